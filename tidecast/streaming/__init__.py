@@ -1,0 +1,5 @@
+"""The surveyed work is batch only: a run is a function of a fixed ``today``.
+
+There is no watermark, stateful operator or streaming window to rebuild, so this
+package stays empty on purpose.
+"""
