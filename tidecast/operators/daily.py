@@ -143,9 +143,14 @@ def channel_spine(loans: DataFrame, calendar: DataFrame, today: dt.date, years:
 
 
 def daily_history(loans: DataFrame, calendar: DataFrame, today: dt.date, years: int = 5,
-                  ahead_biz_days: int = 3) -> DataFrame:
-    """Every day and channel of the trailing years, weekends zero."""
-    weights = calendar_weights(funded_per_day(loans, calendar, today, years, ahead_biz_days))
+                  ahead_biz_days: int = 3, funded: DataFrame | None = None) -> DataFrame:
+    """Every day and channel of the trailing years, weekends zero.
+
+    ``funded`` may hold the same loans already cut to (at least) the dates needed,
+    for sources whose funding date is derived and would not push a filter down.
+    """
+    fact = loans if funded is None else funded
+    weights = calendar_weights(funded_per_day(fact, calendar, today, years, ahead_biz_days))
     spine = channel_spine(loans, calendar, today, years, ahead_biz_days)
     joined = spine.join(
         weights.withColumnRenamed("funded_date", "calendar_date"),
