@@ -10,11 +10,11 @@ from tidecast.functions.numeric import clip
 from tidecast.operators.structural import (
     Fit,
     ModelSpec,
-    _lookup,
     days_near_holidays,
     distortion_slot,
     holiday_days,
     interaction,
+    lookup,
     seasonal_product,
 )
 
@@ -66,7 +66,7 @@ def _mom_weight(spec: ModelSpec) -> Column:
     # the step into a January is measured a year further back
     before = F.add_months(month, -13)
     same = F.when(F.month(month) > 1, last_year).otherwise(F.add_months(month, -24))
-    prev, pp, yoy = (F.element_at(totals, d) for d in (before, same, last_year))
+    prev, pp, yoy = (F.try_element_at(totals, d) for d in (before, same, last_year))
     known = prev.isNotNull() & pp.isNotNull() & yoy.isNotNull() & (prev > 0) & (pp > 0)
     weight = clip(1 + spec.mom_dampening * (prev / pp - 1), 0.85, 1.15)
     return F.when(known, weight).otherwise(1.0)
@@ -127,18 +127,19 @@ def forecast(fit: Fit, requests: DataFrame, calendar: DataFrame) -> DataFrame:
         ratio = F.col("cliff_ratio")
         past = (moy == 12) & (dom > spec.cliff_day)
         value = value * F.when(past, ratio + (1 - ratio) * spec.cliff_shrinkage).otherwise(1.0)
-    factor = F.coalesce(F.get("distortion", F.col("slot")), F.lit(1.0))
+    factor = lookup("distortion", F.col("slot"))
     value = F.when((dow >= 5) | F.col("is_holiday"), F.lit(0.0)).otherwise(value * factor)
     if spec.woy_cliff:
         woy = F.weekofyear("day")
-        guard = F.coalesce(F.get("woy_factor", woy * 5 + dow), F.lit(1.0))
+        guard = lookup("woy_factor", woy * 5 + dow)
         active = (dow < 5) & woy.isin(*spec.woy_weeks)
         value = value * F.when(active, guard).otherwise(1.0)
     rows = rows.withColumn("forecast", value * spec.target_scale)
     if spec.mon_thu_fraction is not None:
         rows = _mon_thu_override(rows, calendar, spec, trend)
     return rows.select(
-        "run_id", "param_id", "req_id", "start", "end", "day", "h", "is_holiday", "forecast"
+        "run_id", "param_id", "req_id", "start", "end", "day", "h", "is_holiday", "seasonal",
+        "forecast",
     )
 
 
@@ -154,8 +155,8 @@ def _mon_thu_override(rows: DataFrame, calendar: DataFrame, spec: ModelSpec,
         F.date_sub("start", 2 * (spec.holiday_before + 1)), F.col("end")
     )
     expected = (
-        F.col("base_level") * trend * _lookup("dom_effect", F.col("dom"))
-        * _lookup("moy_effect", F.col("moy")) * _lookup("dow_effect", F.lit(0))
+        F.col("base_level") * trend * lookup("dom_effect", F.col("dom"))
+        * lookup("moy_effect", F.col("moy")) * lookup("dow_effect", F.lit(0))
         * interaction(F.lit(0), F.col("moy"))
     )
     return rows.join(F.broadcast(thursdays), "day", "left").withColumn(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidecast.functions.dates import business_day_add, month_start
@@ -34,7 +34,9 @@ INDICATORS = (
     + [f"{c}_per_bizday" for c in WIDE_SUMS]
 )
 
-BY_MONTH = Window.partitionBy("series_id").orderBy("month")
+
+def by_month() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("month")
 
 
 def month_sums(funnel: DataFrame, cols: list[str], *extra: Column) -> DataFrame:
@@ -74,7 +76,7 @@ def _per_bizday(monthly: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _growth(col: str, k: int) -> Column:
-    return pct_change(F.col(col), F.lag(col, k).over(BY_MONTH))
+    return pct_change(F.col(col), F.lag(col, k).over(by_month()))
 
 
 def _effective_from_calendar() -> Column:
@@ -179,7 +181,7 @@ def smooth_growth(monthly: DataFrame, cols: tuple[str, ...] = (
     "approval_events_per_bizday_growth_1m",
 )) -> DataFrame:
     """Mean of this and the previous row; null until both exist."""
-    two = BY_MONTH.rowsBetween(-1, 0)
+    two = by_month().rowsBetween(-1, 0)
     return monthly.withColumns(
         {c: F.when(F.count(c).over(two) == 2, F.avg(c).over(two)) for c in cols}
     )

@@ -29,7 +29,7 @@ SEASONAL_KEY = [*EFFECT_KEY, "interaction_shrinkage"]
 DISTORTION_KEY = [*SEASONAL_KEY, "seasonal_exponent", "trend_seasonal_tilt"]
 
 TREND_COLUMNS = ["intercept", "slope", "n_train", "last_day"]
-MOY_SLOTS = 13  # month of year is a 1-based index
+MOY_SLOTS = 13  # (weekday, month) pairs share one integer key
 
 
 @dataclass(frozen=True)
@@ -268,6 +268,13 @@ def fit_trend(train: DataFrame, fits: DataFrame) -> DataFrame:
     )
 
 
+def mean_effect(rows: DataFrame, keys: list[str], by: list[str], value: Column) -> DataFrame:
+    """Group means over the unweighted mean of the group means."""
+    means = rows.groupBy(*keys, *by).agg(F.avg(value).alias("raw"))
+    overall = F.avg("raw").over(Window.partitionBy(*keys))
+    return means.withColumn("effect", F.try_divide(F.col("raw"), overall))
+
+
 def fitted_trend(t: Column) -> Column:
     return F.exp(F.col("intercept") + F.col("slope") * t)
 
@@ -320,14 +327,6 @@ def seasonal_cells(train: DataFrame, trend: DataFrame, spec: ModelSpec) -> DataF
     )
 
 
-def _map_array(entries: Column, slots: int) -> Column:
-    """Collected (key, effect) pairs as an array indexed by key, null where missing."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(slots - 1)),
-        lambda i: F.element_at(F.map_from_entries(entries), i),
-    )
-
-
 def fit_effects(train: DataFrame, trend: DataFrame, level: DataFrame, fits: DataFrame,
                 spec: ModelSpec) -> DataFrame:
     """Weekday, day, month and interaction effects: one row per effect key.
@@ -381,7 +380,7 @@ def fit_effects(train: DataFrame, trend: DataFrame, level: DataFrame, fits: Data
     def pairs(key: Column, effect: str) -> Column:
         return F.collect_set(F.struct(key.alias("k"), F.col(effect).alias("e")))
 
-    arrays = (
+    effects = (
         x.groupBy(*EFFECT_KEY)
         .agg(
             pairs(F.col("dow"), "dow_e").alias("dow_pairs"),
@@ -391,34 +390,35 @@ def fit_effects(train: DataFrame, trend: DataFrame, level: DataFrame, fits: Data
         )
         .select(
             *EFFECT_KEY,
-            _map_array(F.col("dow_pairs"), 7).alias("dow_effect"),
-            _map_array(F.col("dom_pairs"), 32).alias("dom_effect"),
-            _map_array(F.col("moy_pairs"), MOY_SLOTS).alias("moy_effect"),
-            _map_array(F.col("int_pairs"), 5 * MOY_SLOTS).alias("int_ratio"),
+            F.map_from_entries("dow_pairs").alias("dow_effect"),
+            F.map_from_entries("dom_pairs").alias("dom_effect"),
+            F.map_from_entries("moy_pairs").alias("moy_effect"),
+            F.map_from_entries("int_pairs").alias("int_ratio"),
         )
     )
     # a run without seasonal rows keeps its trend and level; its effects count as 1
-    return keys.join(arrays, EFFECT_KEY, "left")
+    return keys.join(effects, EFFECT_KEY, "left")
 
 
-def _lookup(array: str, index: Column) -> Column:
-    return F.coalesce(F.get(F.col(array), index), F.lit(1.0))
+def lookup(effects: str, key: Column) -> Column:
+    """Effect of a key (a map has at most 60 entries); 1 where it was never seen."""
+    return F.coalesce(F.try_element_at(F.col(effects), key), F.lit(1.0))
 
 
 def interaction(dow: Column, moy: Column) -> Column:
     s = F.col("interaction_shrinkage")
-    return (1 - s) * _lookup("int_ratio", dow * MOY_SLOTS + moy) + s
+    return (1 - s) * lookup("int_ratio", dow * MOY_SLOTS + moy) + s
 
 
 def seasonal_product(spec: ModelSpec, dow: Column, dom: Column, moy: Column,
                      with_moy: bool) -> Column:
     """Product of the effects; unseen keys count as 1 and weekends as 0."""
     month = F.lit(12) if spec.december_only else moy
-    out = _lookup("dow_effect", dow)
+    out = lookup("dow_effect", dow)
     if spec.use_dom:
-        out = out * _lookup("dom_effect", dom)
+        out = out * lookup("dom_effect", dom)
     if spec.use_moy and with_moy:
-        out = out * _lookup("moy_effect", moy)
+        out = out * lookup("moy_effect", moy)
     out = out * interaction(dow, month)
     return F.when(dow < 5, out).otherwise(F.lit(0.0))
 
@@ -618,7 +618,6 @@ def fit_model(history: DataFrame, runs: DataFrame, fits: DataFrame, calendar: Da
     effects = stage(fit_effects(train, trend, level, fits, spec), "effects")
     model = fits.join(effects, EFFECT_KEY)
     if spec.learns_distortion:
-        slots = 5 * spec.n_offsets
         factors = (
             fit_holiday_distortion(train, effects, fits, spec)
             .groupBy(*DISTORTION_KEY)
@@ -630,11 +629,11 @@ def fit_model(history: DataFrame, runs: DataFrame, fits: DataFrame, calendar: Da
                     )
                 ).alias("pairs")
             )
-            .select(*DISTORTION_KEY, _map_array(F.col("pairs"), slots).alias("distortion"))
+            .select(*DISTORTION_KEY, F.map_from_entries("pairs").alias("distortion"))
         )
         model = model.join(factors, DISTORTION_KEY, "left")
     else:
-        model = model.withColumn("distortion", F.lit(None).cast("array<double>"))
+        model = model.withColumn("distortion", F.lit(None).cast("map<int,double>"))
     if spec.cliff_day is not None:
         model = model.join(fit_cliff_ratio(train, spec), "run_id", "left").fillna(
             1.0, subset=["cliff_ratio"]
@@ -649,7 +648,7 @@ def fit_model(history: DataFrame, runs: DataFrame, fits: DataFrame, calendar: Da
                              F.col("factor").alias("e"))
                 ).alias("pairs")
             )
-            .select(*DISTORTION_KEY, _map_array(F.col("pairs"), 54 * 5).alias("woy_factor"))
+            .select(*DISTORTION_KEY, F.map_from_entries("pairs").alias("woy_factor"))
         )
         model = model.join(table, DISTORTION_KEY, "left")
     if spec.mom_dampening:

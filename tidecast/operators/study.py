@@ -25,6 +25,11 @@ KEY_INDICATORS = [
 CALENDAR_WORDS = ["biz_day", "holiday", "effective", "calendar", "per_bizday"]
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation that is null, not an error, where a side has no variance."""
+    return F.try_divide(F.covar_samp(x, y), F.stddev(x) * F.stddev(y))
+
+
 def lead_lag_join(params: DataFrame, indicators: DataFrame,
                   leads: tuple[int, ...] = LEADS) -> DataFrame:
     """Parameters of a month with the indicators of the month ``lead`` months before.
@@ -57,7 +62,7 @@ def correlation_sweep(params: DataFrame, ladder: DataFrame, min_obs: int = 4) ->
         .groupBy("series_id", "lead", "indicator", "param")
         .agg(
             F.count("*").alias("n_obs"),
-            F.corr("value", "target").alias("r"),
+            pearson("value", "target").alias("r"),
             F.stddev("value").alias("sd_value"),
             F.stddev("target").alias("sd_target"),
         )
@@ -67,8 +72,8 @@ def correlation_sweep(params: DataFrame, ladder: DataFrame, min_obs: int = 4) ->
         )
         .select(
             "series_id", "lead", "indicator", "param",
-            F.round("r", 3).alias("correlation"),
-            F.round(F.abs("r"), 3).alias("abs_corr"),
+            F.round(F.round("r", 12), 3).alias("correlation"),
+            F.round(F.round(F.abs("r"), 12), 3).alias("abs_corr"),
             "n_obs",
         )
     )
@@ -196,7 +201,7 @@ def composite_zscore(merged: DataFrame) -> DataFrame:
 
 def composite_correlation(scored: DataFrame) -> DataFrame:
     return scored.groupBy("series_id").agg(
-        F.corr("composite_score", "regime_numeric").alias("r"), F.count("*").alias("n")
+        pearson("composite_score", "regime_numeric").alias("r"), F.count("*").alias("n")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions.dates import month_start
+from tidecast.operators.analog import anchor_lookup
 from tidecast.operators.calendar import business_days_per_month
 from tidecast.operators.forecast import forecast
 from tidecast.operators.regime import (
@@ -118,3 +119,17 @@ def switch_regime(history: DataFrame, funnel: DataFrame, runs: DataFrame, calend
     return _forecast_part(history, runs, calendar, a, fits_a, MODEL_A).unionByName(
         _forecast_part(history, runs, calendar, c, fits_c, MODEL_C)
     )
+
+
+def switch_dual_lookup(runs: DataFrame, anchors: DataFrame, funnel: DataFrame,
+                       calendar: DataFrame, months_forward: int = 2) -> DataFrame:
+    """Nearest anchor per run and month: January months from the January pool, other
+    months from the rest. Months whose pool is empty drop."""
+    months = switch_months(runs, calendar, months_forward)
+    january = F.month("month") == 1
+    first = months.filter(january).join(
+        anchor_lookup(runs, anchors, funnel, force_month=1), "run_id")
+    others = months.filter(~january).join(
+        anchor_lookup(runs, anchors, funnel, force_month=2), "run_id")
+    cols = ["run_id", "req_id", "month", "label", "distance"]
+    return first.select(*cols).unionByName(others.select(*cols))

@@ -21,6 +21,12 @@ CALENDAR_END = dt.date(2002, 12, 31)
 AS_OF = dt.date(2001, 7, 27)
 TODAY = dt.date(2001, 3, 30)
 TRAIN_START = dt.date(1996, 9, 1)
+# Run dates whose horizons cover a December, a January and a spring month.
+RUN_TODAYS = (dt.date(2000, 11, 20), dt.date(2000, 12, 28), TODAY)
+# Months whose tuned parameters serve as the anchor table.
+ANCHOR_MONTHS = (dt.date(2000, 11, 1), dt.date(2001, 2, 1))
+# The study's and the backtest's fixed dates, moved onto the test data.
+MONTH_SHIFT = -300
 
 CHANNEL_BY_PRIORITY = {
     "1": "Wholesale",
@@ -100,6 +106,6 @@ def calendar(spark: SparkSession, start: dt.date = CALENDAR_START,
 
 
 __all__ = [
-    "AS_OF", "TODAY", "TRAIN_START", "CALENDAR_START", "CALENDAR_END",
+    "ANCHOR_MONTHS", "AS_OF", "MONTH_SHIFT", "RUN_TODAYS", "TODAY", "TRAIN_START", "CALENDAR_START", "CALENDAR_END",
     "calendar", "company_holidays", "funded_loans", "loans", "snapshots",
 ]
