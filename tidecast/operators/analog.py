@@ -150,26 +150,25 @@ def two_window_signature(funnel: DataFrame, until: dt.date | Column) -> DataFram
         "day_no", F.datediff("filedt", F.lit(dt.date(1970, 1, 1)))
     )
     by_day = Window.partitionBy("series_id").orderBy("day_no")
-
-    def sums(lo: int, hi: int) -> tuple[dict[str, Column], Column]:
+    frames = {"a": (-30, -1), "b": (-60, -31), "c": (-60, -1), "d": (-120, -61)}
+    sums = []
+    for tag, (lo, hi) in frames.items():
         w = by_day.rangeBetween(lo, hi)
+        named = {f"{m}_{tag}": c for m, c in MEASURES.items()}
+        named |= {f"biz_{tag}": "biz_day", f"rows_{tag}": "has_row"}
+        sums += [F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(n) for n, c in named.items()]
+    rows = spine.select("series_id", F.col("filedt").alias("origin"), *sums)
 
-        def total(c: str) -> Column:
-            return F.coalesce(F.sum(c).over(w), F.lit(0.0))
-
-        biz = F.when(total("biz_day") > 0, total("biz_day")).otherwise(total("has_row"))
-        return {m: total(c) for m, c in MEASURES.items()}, biz
-
-    cols = []
-    for suffix, n in (("_1m", 30), ("_2m", 60)):
-        current, biz = sums(-n, -1)
-        prior, prior_biz = sums(-2 * n, -n - 1)
-        cols += _signature_columns(current, prior, biz, prior_biz, suffix)
-        if n == 60:
-            cols.append(biz.alias("biz_day_count_forecast"))
-    return spine.select("series_id", F.col("filedt").alias("origin"), *cols).select(
-        "series_id", "origin", *FEATURES
-    )
+    def measures(tag: str) -> dict[str, Column]:
+        return {m: F.col(f"{m}_{tag}") for m in MEASURES}
+
+    return rows.select(
+        "series_id",
+        "origin",
+        *_signature_columns(measures("a"), measures("b"), _biz("a"), _biz("b"), "_1m"),
+        *_signature_columns(measures("c"), measures("d"), _biz("c"), _biz("d"), "_2m"),
+        _biz("c").alias("biz_day_count_forecast"),
+    ).select("series_id", "origin", *FEATURES)
 
 
 def candidate_window_index(signatures: DataFrame, funnel: DataFrame, history: DataFrame,

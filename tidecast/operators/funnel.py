@@ -131,16 +131,17 @@ def funnel_base(loans: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def pull_through(part: str, whole: str):
-    """Percentage with two decimals, null for an empty base."""
-    pct = F.try_divide(100.0 * F.col(part).cast("double"), F.col(whole).cast("double"))
+    """Percentage with two decimals in exact arithmetic, null for an empty base."""
+    pct = F.try_divide(
+        100 * F.col(part).cast("decimal(28,2)"), F.col(whole).cast("decimal(28,2)")
+    )
     return pct.cast("decimal(10,2)")
 
 
 def average_size(volume: str, count: str):
-    """Mean amount per event with two decimals, null without events."""
-    return F.try_divide(F.col(volume).cast("double"), F.col(count).cast("double")).cast(
-        "decimal(18,2)"
-    )
+    """Mean amount per event with two decimals in exact arithmetic, null without events."""
+    mean = F.try_divide(F.col(volume).cast("decimal(28,2)"), F.col(count).cast("decimal(10,0)"))
+    return mean.cast("decimal(18,2)")
 
 
 def with_calendar(per_day: DataFrame, calendar: DataFrame) -> DataFrame:

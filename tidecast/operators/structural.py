@@ -613,6 +613,8 @@ def fit_model(history: DataFrame, runs: DataFrame, fits: DataFrame, calendar: Da
     the later steps read them more than once.
     """
     train = stage(training_rows(history, runs, calendar, spec), "train")
+    # written keys keep their partitioning through the steps; folded literals would not
+    fits = stage(fits, "fits")
     trend = fit_trend(train, fits)
     level = fit_base_level(train, trend, fits, spec)
     effects = stage(fit_effects(train, trend, level, fits, spec), "effects")
