@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidecast.functions.dates import business_day_add, month_start
 from tidecast.functions.numeric import clip
 from tidecast.schemas import PARAM_NAMES
-from tidecast.staging import stage
+from tidecast.staging import spread, stage
 
 TREND_KEY = ["run_id", "recency_strength"]
 LEVEL_KEY = [*TREND_KEY, "level_lookback_days"]
@@ -29,6 +29,7 @@ SEASONAL_KEY = [*EFFECT_KEY, "interaction_shrinkage"]
 DISTORTION_KEY = [*SEASONAL_KEY, "seasonal_exponent", "trend_seasonal_tilt"]
 
 TREND_COLUMNS = ["intercept", "slope", "n_train", "last_day"]
+WEEKDAYS = range(5)
 MOY_SLOTS = 13  # (weekday, month) pairs share one integer key
 
 
@@ -291,7 +292,7 @@ def fit_base_level(train: DataFrame, trend: DataFrame, fits: DataFrame,
         "run_id", "y", "t", (F.col("n_prod") - F.col("p")).alias("rank")
     )
     rows = (
-        keys.join(trend, TREND_KEY)
+        spread(keys.join(trend, TREND_KEY), LEVEL_KEY)
         .join(recent, "run_id")
         .filter(F.col("rank") <= F.col("level_lookback_days"))
         .withColumn("fitted", fitted_trend(F.col("t")))
@@ -310,90 +311,137 @@ def fit_base_level(train: DataFrame, trend: DataFrame, fits: DataFrame,
 
 
 def seasonal_cells(train: DataFrame, trend: DataFrame, spec: ModelSpec) -> DataFrame:
-    """Detrended sums per (weekday, day of month, month): all that the effects need."""
+    """Detrended sums per (day of month, month) with one column per weekday.
+
+    This is all that the effects need: at most 372 rows per trend.
+    """
     dom = F.col("dom") if spec.use_dom else F.lit(0)
     moy = F.lit(12) if spec.december_only else F.col("moy")
+    x, w = F.col("detrended"), F.col("year_weight")
+
+    def per_weekday(name: str, value: Column) -> list[Column]:
+        return [
+            F.coalesce(F.sum(F.when(F.col("dow") == k, value)), F.lit(0.0)).alias(f"{name}{k}")
+            for k in WEEKDAYS
+        ]
+
+    sums = per_weekday("s", x) + per_weekday("n", F.lit(1.0))
+    if spec.moy_recency_strength:
+        sums += per_weekday("ws", x * w) + [F.sum(w).alias("wn")]
+    lines = spread(trend.select(*TREND_KEY, "intercept", "slope"), TREND_KEY)
     return (
-        train.filter("seasonal")
-        .join(trend.select(*TREND_KEY, "intercept", "slope"), "run_id")
+        lines.join(train.filter("seasonal"), "run_id")
         .withColumn("detrended", F.col("y") / fitted_trend(F.col("t")))
-        .groupBy(*TREND_KEY, "dow", dom.alias("dom"), moy.alias("moy"))
-        .agg(
-            F.sum("detrended").alias("s"),
-            F.count("*").alias("n"),
-            F.sum(F.col("detrended") * F.col("year_weight")).alias("ws"),
-            F.sum("year_weight").alias("wn"),
-        )
+        .groupBy(*TREND_KEY, dom.alias("dom"), moy.alias("moy"))
+        .agg(*sums)
     )
 
 
+def _total(*cols: Column) -> Column:
+    out = cols[0]
+    for c in cols[1:]:
+        out = out + c
+    return out
+
+
+def _weekday_effects(spec: ModelSpec) -> dict[str, Column]:
+    """e0..e4: weekday means pulled toward the base level, over their plain mean.
+    A weekday without rows has no effect and does not enter the mean."""
+    pulled = []
+    for k in WEEKDAYS:
+        shrink = F.col("dow_shrinkage") * spec.dow_shrinkage_multipliers.get(k, 1.0)
+        raw = F.try_divide(f"t{k}", f"c{k}")
+        pulled.append((1 - shrink) * raw + shrink * F.col("base_level"))
+    present = _total(*[p.isNotNull().cast("double") for p in pulled])
+    mean = _total(*[F.coalesce(p, F.lit(0.0)) for p in pulled]) / present
+    return {f"e{k}": p / mean for k, p in zip(WEEKDAYS, pulled)}
+
+
 def fit_effects(train: DataFrame, trend: DataFrame, level: DataFrame, fits: DataFrame,
                 spec: ModelSpec) -> DataFrame:
     """Weekday, day, month and interaction effects: one row per effect key.
 
     Each effect is a group mean of what the earlier effects leave, divided by the
-    unweighted mean of the group means. The cells flow through windows of one
-    exchange; the sums over distinct groups use the share of a cell in its group.
+    unweighted mean of the group means. One exchange by trend serves all steps; the
+    rows shrink from (day, month) over month to one per key.
     """
     keys = fits.select(*EFFECT_KEY).distinct().join(level, LEVEL_KEY)
-    cells = seasonal_cells(train, trend, spec).join(keys, TREND_KEY).repartition(*EFFECT_KEY)
-    whole = Window.partitionBy(*EFFECT_KEY)
-
-    def group_mean(value: str, count: str, *by: str) -> Column:
-        w = Window.partitionBy(*EFFECT_KEY, *by)
-        return F.sum(value).over(w) / F.sum(count).over(w)
-
-    def share(*by: str) -> Column:
-        return F.col("n") / F.sum("n").over(Window.partitionBy(*EFFECT_KEY, *by))
-
-    def mean_of_groups(value: str, part: str) -> Column:
-        return F.sum(F.col(value) * F.col(part)).over(whole) / F.sum(part).over(whole)
-
-    multiplier = F.lit(1.0)
-    for dow, m in spec.dow_shrinkage_multipliers.items():
-        multiplier = F.when(F.col("dow") == dow, m).otherwise(multiplier)
-    shrink = F.col("dow_shrinkage") * multiplier
-    x = cells.withColumns({"dow_raw": group_mean("s", "n", "dow"), "part": share("dow")})
-    # the weekday mean is pulled toward the base level, not toward the overall mean
-    x = x.withColumn("dow_raw", (1 - shrink) * F.col("dow_raw") + shrink * F.col("base_level"))
-    x = x.withColumn("dow_e", F.col("dow_raw") / mean_of_groups("dow_raw", "part"))
-    x = x.withColumns({"s": F.col("s") / F.col("dow_e"), "ws": F.col("ws") / F.col("dow_e")})
+    per_trend = Window.partitionBy(*TREND_KEY)
+    totals = [F.sum(f"s{k}").over(per_trend).alias(f"t{k}") for k in WEEKDAYS]
+    counts = [F.sum(f"n{k}").over(per_trend).alias(f"c{k}") for k in WEEKDAYS]
+    cells = seasonal_cells(train, trend, spec)
+    x = cells.select(*cells.columns, *totals, *counts).join(keys, TREND_KEY)
+    x = x.withColumns(_weekday_effects(spec))
+
+    def left_over(name: str) -> list[Column]:
+        return [F.coalesce(F.col(f"{name}{k}") / F.col(f"e{k}"), F.lit(0.0)) for k in WEEKDAYS]
+
+    x = x.withColumns(
+        {
+            **{f"x{k}": c for k, c in zip(WEEKDAYS, left_over("s"))},
+            "n": _total(*[F.col(f"n{k}") for k in WEEKDAYS]),
+        }
+    ).withColumn("x", _total(*[F.col(f"x{k}") for k in WEEKDAYS]))
 
+    whole = Window.partitionBy(*EFFECT_KEY)
     if spec.use_dom:
-        x = x.withColumns({"dom_raw": group_mean("s", "n", "dom"), "part": share("dom")})
-        x = x.withColumn("dom_e", F.col("dom_raw") / mean_of_groups("dom_raw", "part"))
-        x = x.withColumns({"s": F.col("s") / F.col("dom_e"), "ws": F.col("ws") / F.col("dom_e")})
+        same_dom = Window.partitionBy(*EFFECT_KEY, "dom")
+        n_dom = F.sum("n").over(same_dom)
+        # a cell's share of its day sums to 1 per day: summing over shares counts days
+        x = x.withColumns(
+            {"dom_raw": F.sum("x").over(same_dom) / n_dom, "part": F.col("n") / n_dom}
+        )
+        mean = F.sum(F.col("dom_raw") * F.col("part")).over(whole) / F.sum("part").over(whole)
+        x = x.withColumn("dom_e", F.col("dom_raw") / mean)
     else:
         x = x.withColumn("dom_e", F.lit(1.0))
 
-    if spec.use_moy:
-        x = x.withColumns({"moy_raw": group_mean("ws", "wn", "moy"), "part": share("moy")})
-        x = x.withColumn("moy_e", F.col("moy_raw") / mean_of_groups("moy_raw", "part"))
-        x = x.withColumn("s", F.col("s") / F.col("moy_e"))
+    # from here one row per month
+    if spec.moy_recency_strength:
+        weighted = _total(*left_over("ws")) / F.col("dom_e")
+        moy_raw = F.sum(weighted) / F.sum("wn")
     else:
-        x = x.withColumn("moy_e", F.lit(1.0))
-
+        moy_raw = F.sum(F.col("x") / F.col("dom_e")) / F.sum("n")
+    months = x.groupBy(*EFFECT_KEY, "moy").agg(
+        moy_raw.alias("moy_raw"),
+        *[F.sum(F.col(f"x{k}") / F.col("dom_e")).alias(f"x{k}") for k in WEEKDAYS],
+        *[F.sum(f"n{k}").alias(f"n{k}") for k in WEEKDAYS],
+        *[F.max(f"e{k}").alias(f"e{k}") for k in WEEKDAYS],
+        F.collect_list(F.struct("dom", "dom_e")).alias("dom_pairs"),
+    )
+    moy_e = F.col("moy_raw") / F.avg("moy_raw").over(whole) if spec.use_moy else F.lit(1.0)
+    months = months.withColumn("moy_e", moy_e)
     # shrinking toward the mean leaves the mean, so the raw ratio is all that is kept
-    x = x.withColumns({"int_raw": group_mean("s", "n", "dow", "moy"), "part": share("dow", "moy")})
-    x = x.withColumn("int_e", F.col("int_raw") / mean_of_groups("int_raw", "part"))
-
-    def pairs(key: Column, effect: str) -> Column:
-        return F.collect_set(F.struct(key.alias("k"), F.col(effect).alias("e")))
+    raws = [F.try_divide(F.col(f"x{k}") / F.col("moy_e"), F.col(f"n{k}")) for k in WEEKDAYS]
+    months = months.withColumns({f"r{k}": r for k, r in zip(WEEKDAYS, raws)})
+    total = _total(*[F.coalesce(f"r{k}", F.lit(0.0)) for k in WEEKDAYS])
+    number = _total(*[F.col(f"r{k}").isNotNull().cast("int") for k in WEEKDAYS])
+    int_mean = F.sum(total).over(whole) / F.sum(number).over(whole)
+    pairs = [
+        F.struct((F.lit(k * MOY_SLOTS) + F.col("moy")).alias("k"),
+                 (F.col(f"r{k}") / F.col("int_mean")).alias("e"))
+        for k in WEEKDAYS
+    ]
+    weekdays = [F.struct(F.lit(k).alias("k"), F.col(f"e{k}").alias("e")) for k in WEEKDAYS]
+
+    def as_map(entries: Column) -> Column:
+        return F.map_from_entries(F.filter(entries, lambda p: p["e"].isNotNull()))
 
     effects = (
-        x.groupBy(*EFFECT_KEY)
+        months.withColumn("int_mean", int_mean)
+        .groupBy(*EFFECT_KEY)
         .agg(
-            pairs(F.col("dow"), "dow_e").alias("dow_pairs"),
-            pairs(F.col("dom"), "dom_e").alias("dom_pairs"),
-            pairs(F.col("moy"), "moy_e").alias("moy_pairs"),
-            pairs(F.col("dow") * MOY_SLOTS + F.col("moy"), "int_e").alias("int_pairs"),
+            *[F.max(f"e{k}").alias(f"e{k}") for k in WEEKDAYS],
+            F.collect_list("dom_pairs").alias("dom_pairs"),
+            F.collect_list(F.struct("moy", "moy_e")).alias("moy_pairs"),
+            F.collect_list(F.array(*pairs)).alias("int_pairs"),
         )
         .select(
             *EFFECT_KEY,
-            F.map_from_entries("dow_pairs").alias("dow_effect"),
-            F.map_from_entries("dom_pairs").alias("dom_effect"),
+            as_map(F.array(*weekdays)).alias("dow_effect"),
+            F.map_from_entries(F.array_distinct(F.flatten("dom_pairs"))).alias("dom_effect"),
             F.map_from_entries("moy_pairs").alias("moy_effect"),
-            F.map_from_entries("int_pairs").alias("int_ratio"),
+            as_map(F.flatten("int_pairs")).alias("int_ratio"),
         )
     )
     # a run without seasonal rows keeps its trend and level; its effects count as 1
@@ -426,7 +474,7 @@ def seasonal_product(spec: ModelSpec, dow: Column, dom: Column, moy: Column,
 def expected_mean(train: DataFrame, effects: DataFrame, fits: DataFrame,
                   spec: ModelSpec) -> DataFrame:
     """Effects per seasonal key with the mean in-sample seasonal (weekends count as 0)."""
-    keyed = fits.select(*SEASONAL_KEY).distinct().join(effects, EFFECT_KEY)
+    keyed = spread(fits.select(*SEASONAL_KEY).distinct().join(effects, EFFECT_KEY), SEASONAL_KEY)
     if not spec.expected_normalised:
         return keyed.withColumn("mean_seasonal", F.lit(1.0))
     dom = F.col("dom") if spec.use_dom else F.lit(0)
@@ -521,8 +569,11 @@ def fit_holiday_distortion(train: DataFrame, effects: DataFrame, fits: DataFrame
     near = near.select(
         "run_id", "holiday_dow", "offset", "y", "dow", "dom", "moy", "t_expected"
     )
-    keyed = fits.select(*DISTORTION_KEY).distinct().join(
-        expected_mean(train, effects, fits, spec), SEASONAL_KEY
+    keyed = spread(
+        fits.select(*DISTORTION_KEY).distinct().join(
+            expected_mean(train, effects, fits, spec), SEASONAL_KEY
+        ),
+        DISTORTION_KEY,
     )
     k = spec.holiday_shrinkage
     ratios = (
@@ -612,7 +663,8 @@ def fit_model(history: DataFrame, runs: DataFrame, fits: DataFrame, calendar: Da
     param_id and the eight parameters. Training rows and effects are staged, since
     the later steps read them more than once.
     """
-    train = stage(training_rows(history, runs, calendar, spec), "train")
+    # by month, so that the cells of a single run also unfold in parallel
+    train = stage(spread(training_rows(history, runs, calendar, spec), ["run_id", "moy"]), "train")
     # written keys keep their partitioning through the steps; folded literals would not
     fits = stage(fits, "fits")
     trend = fit_trend(train, fits)
@@ -664,4 +716,4 @@ def fit_model(history: DataFrame, runs: DataFrame, fits: DataFrame, calendar: Da
             )
         )
         model = model.join(totals, "run_id", "left")
-    return Fit(spec, train, effects, model)
+    return Fit(spec, train, effects, spread(model, ["run_id", "param_id"]))
