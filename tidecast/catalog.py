@@ -147,11 +147,9 @@ class Inputs:
 
     def steps(self, spec: st.ModelSpec) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Staged training rows, parameters and effects."""
-        fits = st.default_fits(self.runs, spec)
+        fits = stage(st.with_step_keys(st.default_fits(self.runs, spec)), "fits")
         train = stage(self.train(spec), "train")
-        trend = st.fit_trend(train, fits)
-        level = st.fit_base_level(train, trend, fits, spec)
-        return train, fits, stage(st.fit_effects(train, trend, level, fits, spec), "effects")
+        return train, fits, stage(st.fit_effects(train, fits, spec), "effects")
 
     def forecast(self, spec: st.ModelSpec) -> DataFrame:
         return fo.forecast(self.fit(spec), fo.horizon_requests(self.runs, 2), self.calendar)

@@ -1,10 +1,11 @@
 """Structural fits: trend, level, calendar effects and holiday distortion.
 
-All tables carry ``run_id`` and the parameters a step depends on, so a step runs
-once per distinct value of them: the trend per recency, the level per recency and
-lookback, the effects per those and the weekday shrinkage. The rest of the eight
-parameters enters later expressions only. A grid of 6,561 points needs 3 trends,
-9 levels and 27 sets of effects per run.
+Parameter sets that agree on what a step depends on share that step: effects per
+recency, lookback and weekday shrinkage, the in-sample mean also per interaction
+shrinkage, the distortion also per exponent and tilt. The remaining parameters
+enter horizon expressions only, so a grid of 6,561 points needs 27 sets of effects
+per run. The shared parameters are spelled out in string keys, since Spark
+normalises floating-point grouping keys and would exchange the rows again.
 
 A run reads at most one row per day, so a group (run, parameters) is bounded by
 the length of the calendar, never by the fact tables.
@@ -24,9 +25,12 @@ from tidecast.staging import spread, stage
 
 TREND_KEY = ["run_id", "recency_strength"]
 LEVEL_KEY = [*TREND_KEY, "level_lookback_days"]
-EFFECT_KEY = [*LEVEL_KEY, "dow_shrinkage"]
-SEASONAL_KEY = [*EFFECT_KEY, "interaction_shrinkage"]
-DISTORTION_KEY = [*SEASONAL_KEY, "seasonal_exponent", "trend_seasonal_tilt"]
+EFFECT_PARAMS = ["recency_strength", "level_lookback_days", "dow_shrinkage"]
+SEASONAL_PARAMS = [*EFFECT_PARAMS, "interaction_shrinkage"]
+DISTORTION_PARAMS = [*SEASONAL_PARAMS, "seasonal_exponent", "trend_seasonal_tilt"]
+EFFECT_KEY = ["run_id", "effect_key"]
+SEASONAL_KEY = ["run_id", "seasonal_key"]
+DISTORTION_KEY = ["run_id", "distortion_key"]
 
 TREND_COLUMNS = ["intercept", "slope", "n_train", "last_day"]
 WEEKDAYS = range(5)
@@ -148,6 +152,20 @@ def default_fits(runs: DataFrame, spec: ModelSpec, param_id: int = 0) -> DataFra
     )
 
 
+def with_step_keys(fits: DataFrame) -> DataFrame:
+    """Name the parameters each step depends on."""
+    def key(params: list[str]) -> Column:
+        return F.concat_ws("|", *[F.col(p).cast("string") for p in params])
+
+    return fits.withColumns(
+        {
+            "effect_key": key(EFFECT_PARAMS),
+            "seasonal_key": key(SEASONAL_PARAMS),
+            "distortion_key": key(DISTORTION_PARAMS),
+        }
+    )
+
+
 def holiday_halo(holidays: DataFrame, before: int, after: int) -> DataFrame:
     """Weekdays within calendar days -before..+after of any holiday."""
     near = F.sequence(F.date_sub("calendar_date", before), F.date_add("calendar_date", after))
@@ -229,43 +247,45 @@ def training_rows(history: DataFrame, runs: DataFrame, calendar: DataFrame,
     )
 
 
-def fit_trend(train: DataFrame, fits: DataFrame) -> DataFrame:
-    """Recency-weighted log-linear least squares, from five weighted sums.
-
-    The production index is centred, which keeps the 2x2 solution well conditioned.
-    """
+def _trend_sums() -> dict[str, Column]:
+    """Five weighted sums over production rows. The index is centred, which keeps
+    the 2x2 solution well conditioned."""
     u = F.col("p") - (F.col("n_prod") - 1) / 2
-    rows = (
+    w = F.exp(F.col("recency_strength") * F.col("p") / F.col("n_prod"))
+    ly = F.ln("y")
+    return {
+        "sw": F.sum(w), "sx": F.sum(w * u), "sxx": F.sum(w * u * u),
+        "sy": F.sum(w * ly), "sxy": F.sum(w * u * ly),
+    }
+
+
+def _with_line(sums: DataFrame) -> DataFrame:
+    """Slope and intercept of the weighted least squares line from its sums."""
+    c = F.col
+    return sums.withColumn(
+        "slope",
+        F.try_divide(
+            c("sw") * c("sxy") - c("sx") * c("sy"), c("sw") * c("sxx") - c("sx") * c("sx")
+        ),
+    ).withColumn(
+        "intercept",
+        (c("sy") - c("slope") * c("sx")) / c("sw") - c("slope") * (c("n_prod") - 1) / 2,
+    )
+
+
+def fit_trend(train: DataFrame, fits: DataFrame) -> DataFrame:
+    """Recency-weighted log-linear least squares, in one aggregation."""
+    sums = (
         train.filter("prod")
-        .select("run_id", "p", "n_prod", "n_train", "last_day", F.ln("y").alias("ly"),
-                u.alias("u"))
         .join(fits.select(*TREND_KEY).distinct(), "run_id")
-        .withColumn("w", F.exp(F.col("recency_strength") * F.col("p") / F.col("n_prod")))
-    )
-    w, v, ly = F.col("w"), F.col("u"), F.col("ly")
-    sums = rows.groupBy(*TREND_KEY).agg(
-        F.sum(w).alias("sw"),
-        F.sum(w * v).alias("sx"),
-        F.sum(w * v * v).alias("sxx"),
-        F.sum(w * ly).alias("sy"),
-        F.sum(w * v * ly).alias("sxy"),
-        F.max("n_prod").alias("n_prod"),
-        F.max("n_train").alias("n_train"),
-        F.max("last_day").alias("last_day"),
-    )
-    c = F.col
-    return (
-        sums.withColumn(
-            "slope",
-            F.try_divide(
-                c("sw") * c("sxy") - c("sx") * c("sy"), c("sw") * c("sxx") - c("sx") * c("sx")
-            ),
-        )
-        .withColumn(
-            "intercept",
-            (c("sy") - c("slope") * c("sx")) / c("sw") - c("slope") * (c("n_prod") - 1) / 2,
+        .groupBy(*TREND_KEY)
+        .agg(
+            *[c.alias(n) for n, c in _trend_sums().items()],
+            *[F.max(n).alias(n) for n in ("n_prod", "n_train", "last_day")],
         )
-        .select(*TREND_KEY, "intercept", "slope", "n_train", "last_day", "n_prod")
+    )
+    return _with_line(sums).select(
+        *TREND_KEY, "intercept", "slope", "n_train", "last_day", "n_prod"
     )
 
 
@@ -280,44 +300,54 @@ def fitted_trend(t: Column) -> Column:
     return F.exp(F.col("intercept") + F.col("slope") * t)
 
 
-def fit_base_level(train: DataFrame, trend: DataFrame, fits: DataFrame,
-                   spec: ModelSpec) -> DataFrame:
-    """Recent target over recent trend, over the last production days.
-
-    Only rows within the longest lookback meet the parameters.
-    """
-    keys = fits.select(*LEVEL_KEY).distinct()
-    longest = fits.agg(F.max("level_lookback_days")).scalar()
-    recent = train.filter(F.col("prod") & (F.col("n_prod") - F.col("p") <= longest)).select(
-        "run_id", "y", "t", (F.col("n_prod") - F.col("p")).alias("rank")
-    )
-    rows = (
-        spread(keys.join(trend, TREND_KEY), LEVEL_KEY)
-        .join(recent, "run_id")
-        .filter(F.col("rank") <= F.col("level_lookback_days"))
-        .withColumn("fitted", fitted_trend(F.col("t")))
-    )
+def _level_weight(spec: ModelSpec) -> Column:
+    """Weight of a production row in the base level, null outside the lookback."""
+    rank = F.col("n_prod") - F.col("p")
     if spec.rank_weighted_level:
         n = F.least(F.col("level_lookback_days"), F.col("n_prod"))
-        position = F.try_divide(F.lit(2.0) * (n - F.col("rank")), (n - 1).cast("double"))
+        position = F.try_divide(F.lit(2.0) * (n - rank), (n - 1).cast("double"))
         weight = F.exp(F.coalesce(position, F.lit(0.0)))
     else:
         weight = F.lit(1.0)
-    level = rows.groupBy(*LEVEL_KEY).agg(
-        (F.sum(F.col("y") * weight) / F.sum(F.col("fitted") * weight)).alias("base_level"),
+    return F.when(rank <= F.col("level_lookback_days"), weight)
+
+
+def fit_base_level(train: DataFrame, trend: DataFrame, fits: DataFrame,
+                   spec: ModelSpec) -> DataFrame:
+    """Recent target over recent trend, over the last production days."""
+    rows = (
+        fits.select(*LEVEL_KEY).distinct()
+        .join(trend.drop("n_prod", "n_train", "last_day"), TREND_KEY)
+        .join(train.filter("prod"), "run_id")
+        .withColumns({"weight": _level_weight(spec), "fitted": fitted_trend(F.col("t"))})
+    )
+    return rows.groupBy(*LEVEL_KEY).agg(
+        (F.sum(F.col("y") * F.col("weight")) / F.sum(F.col("fitted") * F.col("weight"))).alias(
+            "base_level"
+        ),
         *[F.max(c).alias(c) for c in TREND_COLUMNS],
     )
-    return level
 
 
-def seasonal_cells(train: DataFrame, trend: DataFrame, spec: ModelSpec) -> DataFrame:
-    """Detrended sums per (day of month, month) with one column per weekday.
+def seasonal_cells(train: DataFrame, fits: DataFrame, spec: ModelSpec) -> DataFrame:
+    """Per effect key, (day of month, month) sums with one column per weekday.
 
-    This is all that the effects need: at most 372 rows per trend.
+    This is all that the effects need: at most 372 rows per key. The keys unfold
+    over the production rows of their run; the trend is a window over those rows,
+    so everything up to the cells stays within one partitioning by key.
     """
     dom = F.col("dom") if spec.use_dom else F.lit(0)
     moy = F.lit(12) if spec.december_only else F.col("moy")
-    x, w = F.col("detrended"), F.col("year_weight")
+    keys = fits.select(*EFFECT_KEY, *EFFECT_PARAMS).distinct()
+    per_key = Window.partitionBy(*EFFECT_KEY)
+    rows = spread(keys, EFFECT_KEY).join(train.filter("prod"), "run_id")
+    rows = _with_line(
+        rows.select("*", *[c.over(per_key).alias(n) for n, c in _trend_sums().items()])
+    )
+    rows = rows.withColumns(
+        {"fitted": fitted_trend(F.col("t")), "weight": _level_weight(spec)}
+    ).withColumn("detrended", F.when(F.col("seasonal"), F.col("y") / F.col("fitted")))
+    x = F.col("detrended")
 
     def per_weekday(name: str, value: Column) -> list[Column]:
         return [
@@ -325,15 +355,15 @@ def seasonal_cells(train: DataFrame, trend: DataFrame, spec: ModelSpec) -> DataF
             for k in WEEKDAYS
         ]
 
-    sums = per_weekday("s", x) + per_weekday("n", F.lit(1.0))
+    sums = per_weekday("s", x) + per_weekday("n", F.when(x.isNotNull(), F.lit(1.0)))
     if spec.moy_recency_strength:
+        w = F.when(x.isNotNull(), F.col("year_weight"))
         sums += per_weekday("ws", x * w) + [F.sum(w).alias("wn")]
-    lines = spread(trend.select(*TREND_KEY, "intercept", "slope"), TREND_KEY)
-    return (
-        lines.join(train.filter("seasonal"), "run_id")
-        .withColumn("detrended", F.col("y") / fitted_trend(F.col("t")))
-        .groupBy(*TREND_KEY, dom.alias("dom"), moy.alias("moy"))
-        .agg(*sums)
+    return rows.groupBy(*EFFECT_KEY, dom.alias("dom"), moy.alias("moy")).agg(
+        *sums,
+        F.sum(F.col("y") * F.col("weight")).alias("level_y"),
+        F.sum(F.col("fitted") * F.col("weight")).alias("level_fitted"),
+        *[F.max(c).alias(c) for c in ("intercept", "slope", "n_train", "dow_shrinkage")],
     )
 
 
@@ -357,21 +387,25 @@ def _weekday_effects(spec: ModelSpec) -> dict[str, Column]:
     return {f"e{k}": p / mean for k, p in zip(WEEKDAYS, pulled)}
 
 
-def fit_effects(train: DataFrame, trend: DataFrame, level: DataFrame, fits: DataFrame,
-                spec: ModelSpec) -> DataFrame:
-    """Weekday, day, month and interaction effects: one row per effect key.
+FIT_COLUMNS = ["base_level", "intercept", "slope", "n_train"]
+
+
+def fit_effects(train: DataFrame, fits: DataFrame, spec: ModelSpec) -> DataFrame:
+    """Trend, level and weekday, day, month and interaction effects: one row per key.
 
     Each effect is a group mean of what the earlier effects leave, divided by the
-    unweighted mean of the group means. One exchange by trend serves all steps; the
-    rows shrink from (day, month) over month to one per key.
+    unweighted mean of the group means. Rows shrink from (day, month) over month to
+    one per key without another exchange. Groups without seasonal rows stay null and
+    drop out of every mean; their effects later count as 1.
     """
-    keys = fits.select(*EFFECT_KEY).distinct().join(level, LEVEL_KEY)
-    per_trend = Window.partitionBy(*TREND_KEY)
-    totals = [F.sum(f"s{k}").over(per_trend).alias(f"t{k}") for k in WEEKDAYS]
-    counts = [F.sum(f"n{k}").over(per_trend).alias(f"c{k}") for k in WEEKDAYS]
-    cells = seasonal_cells(train, trend, spec)
-    x = cells.select(*cells.columns, *totals, *counts).join(keys, TREND_KEY)
-    x = x.withColumns(_weekday_effects(spec))
+    whole = Window.partitionBy(*EFFECT_KEY)
+    cells = seasonal_cells(train, fits, spec)
+    x = cells.select(
+        *cells.columns,
+        *[F.sum(f"s{k}").over(whole).alias(f"t{k}") for k in WEEKDAYS],
+        *[F.sum(f"n{k}").over(whole).alias(f"c{k}") for k in WEEKDAYS],
+        (F.sum("level_y").over(whole) / F.sum("level_fitted").over(whole)).alias("base_level"),
+    ).withColumns(_weekday_effects(spec))
 
     def left_over(name: str) -> list[Column]:
         return [F.coalesce(F.col(f"{name}{k}") / F.col(f"e{k}"), F.lit(0.0)) for k in WEEKDAYS]
@@ -383,13 +417,15 @@ def fit_effects(train: DataFrame, trend: DataFrame, level: DataFrame, fits: Data
         }
     ).withColumn("x", _total(*[F.col(f"x{k}") for k in WEEKDAYS]))
 
-    whole = Window.partitionBy(*EFFECT_KEY)
     if spec.use_dom:
         same_dom = Window.partitionBy(*EFFECT_KEY, "dom")
         n_dom = F.sum("n").over(same_dom)
         # a cell's share of its day sums to 1 per day: summing over shares counts days
         x = x.withColumns(
-            {"dom_raw": F.sum("x").over(same_dom) / n_dom, "part": F.col("n") / n_dom}
+            {
+                "dom_raw": F.try_divide(F.sum("x").over(same_dom), n_dom),
+                "part": F.try_divide(F.col("n"), n_dom),
+            }
         )
         mean = F.sum(F.col("dom_raw") * F.col("part")).over(whole) / F.sum("part").over(whole)
         x = x.withColumn("dom_e", F.col("dom_raw") / mean)
@@ -399,15 +435,18 @@ def fit_effects(train: DataFrame, trend: DataFrame, level: DataFrame, fits: Data
     # from here one row per month
     if spec.moy_recency_strength:
         weighted = _total(*left_over("ws")) / F.col("dom_e")
-        moy_raw = F.sum(weighted) / F.sum("wn")
+        moy_raw = F.try_divide(F.sum(weighted), F.sum("wn"))
     else:
-        moy_raw = F.sum(F.col("x") / F.col("dom_e")) / F.sum("n")
+        moy_raw = F.try_divide(F.sum(F.col("x") / F.col("dom_e")), F.sum("n"))
     months = x.groupBy(*EFFECT_KEY, "moy").agg(
         moy_raw.alias("moy_raw"),
         *[F.sum(F.col(f"x{k}") / F.col("dom_e")).alias(f"x{k}") for k in WEEKDAYS],
         *[F.sum(f"n{k}").alias(f"n{k}") for k in WEEKDAYS],
         *[F.max(f"e{k}").alias(f"e{k}") for k in WEEKDAYS],
-        F.collect_list(F.struct("dom", "dom_e")).alias("dom_pairs"),
+        *[F.max(c).alias(c) for c in FIT_COLUMNS],
+        F.collect_list(F.struct(F.col("dom").alias("k"), F.col("dom_e").alias("e"))).alias(
+            "dom_pairs"
+        ),
     )
     moy_e = F.col("moy_raw") / F.avg("moy_raw").over(whole) if spec.use_moy else F.lit(1.0)
     months = months.withColumn("moy_e", moy_e)
@@ -427,25 +466,27 @@ def fit_effects(train: DataFrame, trend: DataFrame, level: DataFrame, fits: Data
     def as_map(entries: Column) -> Column:
         return F.map_from_entries(F.filter(entries, lambda p: p["e"].isNotNull()))
 
-    effects = (
+    return (
         months.withColumn("int_mean", int_mean)
         .groupBy(*EFFECT_KEY)
         .agg(
             *[F.max(f"e{k}").alias(f"e{k}") for k in WEEKDAYS],
+            *[F.max(c).alias(c) for c in FIT_COLUMNS],
             F.collect_list("dom_pairs").alias("dom_pairs"),
-            F.collect_list(F.struct("moy", "moy_e")).alias("moy_pairs"),
+            F.collect_list(F.struct(F.col("moy").alias("k"), F.col("moy_e").alias("e"))).alias(
+                "moy_pairs"
+            ),
             F.collect_list(F.array(*pairs)).alias("int_pairs"),
         )
         .select(
             *EFFECT_KEY,
+            *FIT_COLUMNS,
             as_map(F.array(*weekdays)).alias("dow_effect"),
-            F.map_from_entries(F.array_distinct(F.flatten("dom_pairs"))).alias("dom_effect"),
-            F.map_from_entries("moy_pairs").alias("moy_effect"),
+            as_map(F.array_distinct(F.flatten("dom_pairs"))).alias("dom_effect"),
+            as_map(F.col("moy_pairs")).alias("moy_effect"),
             as_map(F.flatten("int_pairs")).alias("int_ratio"),
         )
     )
-    # a run without seasonal rows keeps its trend and level; its effects count as 1
-    return keys.join(effects, EFFECT_KEY, "left")
 
 
 def lookup(effects: str, key: Column) -> Column:
@@ -474,7 +515,8 @@ def seasonal_product(spec: ModelSpec, dow: Column, dom: Column, moy: Column,
 def expected_mean(train: DataFrame, effects: DataFrame, fits: DataFrame,
                   spec: ModelSpec) -> DataFrame:
     """Effects per seasonal key with the mean in-sample seasonal (weekends count as 0)."""
-    keyed = spread(fits.select(*SEASONAL_KEY).distinct().join(effects, EFFECT_KEY), SEASONAL_KEY)
+    keys = fits.select(*SEASONAL_KEY, "effect_key", "interaction_shrinkage").distinct()
+    keyed = spread(keys.join(effects, EFFECT_KEY), SEASONAL_KEY)
     if not spec.expected_normalised:
         return keyed.withColumn("mean_seasonal", F.lit(1.0))
     dom = F.col("dom") if spec.use_dom else F.lit(0)
@@ -502,12 +544,20 @@ def expected_value(spec: ModelSpec, t: Column) -> Column:
     return base * scaled * (1 + F.col("trend_seasonal_tilt") * (scaled - 1))
 
 
+def _distortion_fits(train: DataFrame, effects: DataFrame, fits: DataFrame,
+                     spec: ModelSpec) -> DataFrame:
+    """One row per distortion key with all that its expectation needs."""
+    keys = fits.select(
+        *DISTORTION_KEY, "seasonal_key", "seasonal_exponent", "trend_seasonal_tilt"
+    ).distinct()
+    means = expected_mean(train, effects, fits, spec)
+    return spread(keys.join(means, SEASONAL_KEY), DISTORTION_KEY)
+
+
 def expected_baseline(train: DataFrame, effects: DataFrame, fits: DataFrame,
                       spec: ModelSpec) -> DataFrame:
     """Expectation of every weekday training row, per distortion key."""
-    keyed = fits.select(*DISTORTION_KEY).distinct().join(
-        expected_mean(train, effects, fits, spec), SEASONAL_KEY
-    )
+    keyed = _distortion_fits(train, effects, fits, spec)
     return keyed.join(train.drop("n_train", "last_day", "series_id"), "run_id").select(
         *DISTORTION_KEY, "day", "y", "dow", "moy", "prod",
         expected_value(spec, F.col("t")).alias("expected"),
@@ -569,12 +619,7 @@ def fit_holiday_distortion(train: DataFrame, effects: DataFrame, fits: DataFrame
     near = near.select(
         "run_id", "holiday_dow", "offset", "y", "dow", "dom", "moy", "t_expected"
     )
-    keyed = spread(
-        fits.select(*DISTORTION_KEY).distinct().join(
-            expected_mean(train, effects, fits, spec), SEASONAL_KEY
-        ),
-        DISTORTION_KEY,
-    )
+    keyed = _distortion_fits(train, effects, fits, spec)
     k = spec.holiday_shrinkage
     ratios = (
         keyed.join(near, "run_id")
@@ -666,10 +711,8 @@ def fit_model(history: DataFrame, runs: DataFrame, fits: DataFrame, calendar: Da
     # by month, so that the cells of a single run also unfold in parallel
     train = stage(spread(training_rows(history, runs, calendar, spec), ["run_id", "moy"]), "train")
     # written keys keep their partitioning through the steps; folded literals would not
-    fits = stage(fits, "fits")
-    trend = fit_trend(train, fits)
-    level = fit_base_level(train, trend, fits, spec)
-    effects = stage(fit_effects(train, trend, level, fits, spec), "effects")
+    fits = stage(with_step_keys(fits), "fits")
+    effects = stage(fit_effects(train, fits, spec), "effects")
     model = fits.join(effects, EFFECT_KEY)
     if spec.learns_distortion:
         factors = (
