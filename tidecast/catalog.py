@@ -685,7 +685,7 @@ plain("agg_mad", "series_id median:2 mad:2",
 
 def _mad(rows: DataFrame) -> DataFrame:
     center = rows.groupBy("series_id").agg(F.median("amount").alias("median"))
-    return rows.join(F.broadcast(center), "series_id").groupBy("series_id").agg(
+    return rows.join(center, "series_id").groupBy("series_id").agg(
         F.max("median").alias("median"),
         (F.lit(an.MAD_TO_SIGMA) * F.median(F.abs(F.col("amount") - F.col("median")))).alias("mad"),
     )

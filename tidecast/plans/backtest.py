@@ -94,7 +94,7 @@ def batch_backtest(history: DataFrame, index: AnalogIndex, runs: DataFrame, cale
         .withColumn(
             "error",
             F.when(F.col("n_failed").isNull(), "no analog matches found")
-            .when(~ok, "insufficient training data")
+            .when(~ok, "a matched window has too little history or no actuals")
             .otherwise(""),
         )
         .withColumn("forecast_total", F.when(ok, F.coalesce("forecast_sum", F.lit(0.0))))

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+_local_roots: dict[str, str] = {}
+
+
 def staging_root(spark: SparkSession) -> str:
     """Shared folder named by the session; a temporary one only in local mode."""
     root = spark.conf.get(CHECKPOINT_DIR, None)
@@ -23,9 +26,10 @@ def staging_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="tidecast-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="tidecast-")
+    return _local_roots[app]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
