@@ -383,7 +383,7 @@ def _weekday_effects(spec: ModelSpec) -> dict[str, Column]:
         raw = F.try_divide(f"t{k}", f"c{k}")
         pulled.append((1 - shrink) * raw + shrink * F.col("base_level"))
     present = _total(*[p.isNotNull().cast("double") for p in pulled])
-    mean = _total(*[F.coalesce(p, F.lit(0.0)) for p in pulled]) / present
+    mean = F.try_divide(_total(*[F.coalesce(p, F.lit(0.0)) for p in pulled]), present)
     return {f"e{k}": p / mean for k, p in zip(WEEKDAYS, pulled)}
 
 
@@ -455,7 +455,7 @@ def fit_effects(train: DataFrame, fits: DataFrame, spec: ModelSpec) -> DataFrame
     months = months.withColumns({f"r{k}": r for k, r in zip(WEEKDAYS, raws)})
     total = _total(*[F.coalesce(f"r{k}", F.lit(0.0)) for k in WEEKDAYS])
     number = _total(*[F.col(f"r{k}").isNotNull().cast("int") for k in WEEKDAYS])
-    int_mean = F.sum(total).over(whole) / F.sum(number).over(whole)
+    int_mean = F.try_divide(F.sum(total).over(whole), F.sum(number).over(whole))
     pairs = [
         F.struct((F.lit(k * MOY_SLOTS) + F.col("moy")).alias("k"),
                  (F.col(f"r{k}") / F.col("int_mean")).alias("e"))

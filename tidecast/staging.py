@@ -41,12 +41,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash a table that later unfolds into many rows over all shuffle partitions.
+    """Hash a table that later unfolds into many rows over enough tasks for all cores.
 
     Fitted parameter sets are few bytes but much work each; left to its size, such a
     table would end up in one task. Steps keyed by ``keys`` then need no exchange.
     The reversed key order keeps the planner from merging this exchange with an
     earlier one by the same keys, which would be coalesced by size again.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    n = min(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        2 * spark.sparkContext.defaultParallelism,
+    )
     return df.repartition(n, *reversed(keys))
