@@ -28,9 +28,13 @@ LEVEL_KEY = [*TREND_KEY, "level_lookback_days"]
 EFFECT_PARAMS = ["recency_strength", "level_lookback_days", "dow_shrinkage"]
 SEASONAL_PARAMS = [*EFFECT_PARAMS, "interaction_shrinkage"]
 DISTORTION_PARAMS = [*SEASONAL_PARAMS, "seasonal_exponent", "trend_seasonal_tilt"]
-EFFECT_KEY = ["run_id", "effect_key"]
-SEASONAL_KEY = ["run_id", "seasonal_key"]
-DISTORTION_KEY = ["run_id", "distortion_key"]
+# the key that differs early comes first: sorts then decide on its first bytes
+EFFECT_KEY = ["effect_key", "run_id", "salt"]
+SEASONAL_KEY = ["seasonal_key", "run_id"]
+DISTORTION_KEY = ["distortion_key", "run_id"]
+
+# The effect keys of one run unfold its rows in up to this many tasks.
+SALTS = 16
 
 TREND_COLUMNS = ["intercept", "slope", "n_train", "last_day"]
 WEEKDAYS = range(5)
@@ -153,17 +157,18 @@ def default_fits(runs: DataFrame, spec: ModelSpec, param_id: int = 0) -> DataFra
 
 
 def with_step_keys(fits: DataFrame) -> DataFrame:
-    """Name the parameters each step depends on."""
+    """Name the parameters each step depends on; the salt follows from the effect key."""
     def key(params: list[str]) -> Column:
         return F.concat_ws("|", *[F.col(p).cast("string") for p in params])
 
-    return fits.withColumns(
+    keyed = fits.withColumns(
         {
             "effect_key": key(EFFECT_PARAMS),
             "seasonal_key": key(SEASONAL_PARAMS),
             "distortion_key": key(DISTORTION_PARAMS),
         }
     )
+    return keyed.withColumn("salt", F.pmod(F.xxhash64("effect_key"), F.lit(SALTS)).cast("int"))
 
 
 def holiday_halo(holidays: DataFrame, before: int, after: int) -> DataFrame:
@@ -247,12 +252,20 @@ def training_rows(history: DataFrame, runs: DataFrame, calendar: DataFrame,
     )
 
 
+def _with_recency(rows: DataFrame) -> DataFrame:
+    """Recency weight and centred index of production rows. Centring keeps the 2x2
+    solution well conditioned."""
+    return rows.withColumns(
+        {
+            "w": F.exp(F.col("recency_strength") * F.col("p") / F.col("n_prod")),
+            "u": F.col("p") - (F.col("n_prod") - 1) / 2,
+        }
+    )
+
+
 def _trend_sums() -> dict[str, Column]:
-    """Five weighted sums over production rows. The index is centred, which keeps
-    the 2x2 solution well conditioned."""
-    u = F.col("p") - (F.col("n_prod") - 1) / 2
-    w = F.exp(F.col("recency_strength") * F.col("p") / F.col("n_prod"))
-    ly = F.ln("y")
+    """The five weighted sums that the least squares line needs."""
+    w, u, ly = F.col("w"), F.col("u"), F.col("ly")
     return {
         "sw": F.sum(w), "sx": F.sum(w * u), "sxx": F.sum(w * u * u),
         "sy": F.sum(w * ly), "sxy": F.sum(w * u * ly),
@@ -275,9 +288,13 @@ def _with_line(sums: DataFrame) -> DataFrame:
 
 def fit_trend(train: DataFrame, fits: DataFrame) -> DataFrame:
     """Recency-weighted log-linear least squares, in one aggregation."""
-    sums = (
+    rows = (
         train.filter("prod")
+        .select("run_id", "p", "n_prod", "n_train", "last_day", F.ln("y").alias("ly"))
         .join(fits.select(*TREND_KEY).distinct(), "run_id")
+    )
+    sums = (
+        _with_recency(rows)
         .groupBy(*TREND_KEY)
         .agg(
             *[c.alias(n) for n, c in _trend_sums().items()],
@@ -332,15 +349,21 @@ def fit_base_level(train: DataFrame, trend: DataFrame, fits: DataFrame,
 def seasonal_cells(train: DataFrame, fits: DataFrame, spec: ModelSpec) -> DataFrame:
     """Per effect key, (day of month, month) sums with one column per weekday.
 
-    This is all that the effects need: at most 372 rows per key. The keys unfold
-    over the production rows of their run; the trend is a window over those rows,
-    so everything up to the cells stays within one partitioning by key.
+    This is all that the effects need: at most 372 rows per key. The rows of a run
+    meet its keys in the tasks of (run, salt), so what is exchanged is a run's rows
+    once per salt in use, never the rows unfolded per key. The trend is a window over
+    the unfolded rows and everything up to the effects keeps their partitioning.
     """
     dom = F.col("dom") if spec.use_dom else F.lit(0)
     moy = F.lit(12) if spec.december_only else F.col("moy")
     keys = fits.select(*EFFECT_KEY, *EFFECT_PARAMS).distinct()
     per_key = Window.partitionBy(*EFFECT_KEY)
-    rows = spread(keys, EFFECT_KEY).join(train.filter("prod"), "run_id")
+    prod = train.filter("prod").select(
+        "run_id", "y", F.ln("y").alias("ly"), "t", "p", "n_prod", "n_train", "dow", "dom", "moy",
+        "seasonal", "year_weight",
+    )
+    prod = prod.join(keys.select("run_id", "salt").distinct(), "run_id")
+    rows = _with_recency(prod.join(keys.hint("shuffle_hash"), ["run_id", "salt"]))
     rows = _with_line(
         rows.select("*", *[c.over(per_key).alias(n) for n, c in _trend_sums().items()])
     )
@@ -515,7 +538,7 @@ def seasonal_product(spec: ModelSpec, dow: Column, dom: Column, moy: Column,
 def expected_mean(train: DataFrame, effects: DataFrame, fits: DataFrame,
                   spec: ModelSpec) -> DataFrame:
     """Effects per seasonal key with the mean in-sample seasonal (weekends count as 0)."""
-    keys = fits.select(*SEASONAL_KEY, "effect_key", "interaction_shrinkage").distinct()
+    keys = fits.select(*SEASONAL_KEY, "effect_key", "salt", "interaction_shrinkage").distinct()
     keyed = spread(keys.join(effects, EFFECT_KEY), SEASONAL_KEY)
     if not spec.expected_normalised:
         return keyed.withColumn("mean_seasonal", F.lit(1.0))
