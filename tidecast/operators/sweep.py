@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,9 +149,7 @@ def score_params(history: DataFrame, windows: DataFrame, fits: DataFrame, calend
                  spec: ModelSpec, months_forward: Column | int = 1) -> DataFrame:
     """Forecast and actual window total of every (window, parameter set)."""
     fit = fit_model(history, windows, fits, calendar, spec)
-    fit = type(fit)(
-        spec, fit.train, fit.effects, fit.model.filter(F.col("n_train") >= MIN_TRAINING_ROWS)
-    )
+    fit = replace(fit, model=fit.model.filter(F.col("n_train") >= MIN_TRAINING_ROWS))
     requests = horizon_requests(windows, months_forward, "target_start")
     actuals = (
         windows.select("run_id", "series_id", "target_start", "target_end")
