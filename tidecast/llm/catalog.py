@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import base, langid
+from tidecast.llm import base, bpe, chunking, langid, lmscore, quality, rules, textstats
+from tidecast.staging import stage
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -18,7 +20,49 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", base.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lmscore.score_documents(base.read(spark, folder, "documents"))
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = base.read(spark, folder, "documents"), base.read(spark, folder, "labels")
+    statistics = stage(textstats.text_statistics(docs), "statistics")
+    model = quality.train(quality.labelled(statistics, labels.filter(~base.held_out())))
+    score = F.col("score")
+    return quality.score(statistics, model).select(
+        "doc_id", base.held_out().alias("held_out"), "score", (score >= 0.7).cast("int").alias("predicted"))
+
+
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = base.read(spark, folder, "documents"), base.read(spark, folder, "labels")
+    return judged(docs, labels).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "anomaly")
+
+
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    statistics = stage(textstats.text_statistics(docs), "statistics")
+    scored = stage(rules.score(statistics, rules.fit(statistics)), "anomalies")
+    return rules.judge(scored, rules.threshold(scored, labels.filter(~base.held_out())))
+
+
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    both = bpe.encode(base.read(spark, folder, "documents"), bpe.load(BYTE_BPE), decoded=True)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op9_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.dedup_chunks(base.read(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_lm_score": op2_lm_score,
+    "op3_quality": op3_quality,
+    "op4_quality_rules": op4_quality_rules,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op9_chunk_dedup": op9_chunk_dedup,
 }
 ORACLE: dict[str, str] = {}

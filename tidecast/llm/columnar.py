@@ -178,11 +178,11 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def pack_small(values: np.ndarray) -> bytes:
-    """32-bit numbers, most of them small, by byte planes."""
-    return values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+def pack_counts(values: np.ndarray) -> bytes:
+    """64-bit numbers, most of them small, by byte planes."""
+    return np.ascontiguousarray(values).astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def unpack_small(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(packed, np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+def unpack_counts(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
