@@ -42,6 +42,14 @@ def buckets(spark: SparkSession, n_bytes: int, each: int = BUCKET_BYTES) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each), 1)
 
 
+def chunk_bytes(n_bytes: int) -> int:
+    """Size of a chunk of documents: 8 MB, more for large data, up to 64 MB.
+
+    Chunks and buckets exchange a row per pair, so both must not grow in number alone.
+    """
+    return int(min(max(8 << 20, 8 * n_bytes**0.5), 64 << 20))
+
+
 def held_out(key: str | Column = "doc_id") -> Column:
     """Rows that no fit may read: crc32 of the key as text, modulo 4, is 2."""
     c = F.col(key) if isinstance(key, str) else key

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import base, bpe, chunking, langid, lmscore, quality, rules, textstats
+from tidecast.llm import (
+    base, bpe, chunking, langid, lmscore, minhash, quality, rules, suffixes, textstats,
+)
 from tidecast.staging import stage
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,8 +44,18 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     statistics = stage(textstats.text_statistics(docs), "statistics")
-    scored = stage(rules.score(statistics, rules.fit(statistics)), "anomalies")
-    return rules.judge(scored, rules.threshold(scored, labels.filter(~base.held_out())))
+    labels = labels.filter(~base.held_out())
+    scored = stage(rules.score(statistics, rules.fit(statistics, labels)), "anomalies")
+    return rules.judge(scored, rules.threshold(scored, labels))
+
+
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.dedup_substrings(base.read(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(base.read(spark, folder, "documents"), words_per_shingle=4)
 
 
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,6 +74,8 @@ QUERIES = {
     "op2_lm_score": op2_lm_score,
     "op3_quality": op3_quality,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_minhash": op6_minhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_chunk_dedup": op9_chunk_dedup,
 }

@@ -24,7 +24,7 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return docs.select(
         F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("doc"),
-        F.xxhash64(body).cast("int").alias("mark"), body.alias("text"))
+        F.hash(body).alias("mark"), body.alias("text"))
 
 
 def coverage(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:

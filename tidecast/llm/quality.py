@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm import base, textstats
+from tidecast.llm.rules import known_labels
 
 BINS = 2_000
 
@@ -62,11 +63,9 @@ def pool_adjacent(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
 
 
-def labelled(statistics: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
-    """Statistics with a ``label`` of 0 or 1; other labels and second labels of a key are skipped."""
-    known = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label"))
-    known = known.filter("label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
-    return statistics.join(known, "doc_id")
+def labelled(statistics: DataFrame, labels: DataFrame) -> DataFrame:
+    """Statistics with a ``label`` of 0 or 1; other labels are skipped, of several the least counts."""
+    return statistics.join(known_labels(labels), "doc_id")
 
 
 def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:

@@ -2,8 +2,7 @@
 
 Random axis-parallel splits isolate unusual rows after few steps; the mean path length
 over many small trees gives each document a score between 0 and 1. The cut-off is
-taken from labelled rows: the highest share of bad rows found while at most ``false_rate``
-of the good ones are lost.
+taken from labelled rows: as low as leaves at most ``false_rate`` of the good ones out.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm import base, textstats
 
-BINS = 1_000
+BINS = 10_000
 
 
 @dataclass
@@ -30,14 +29,14 @@ class Forest:
     child: np.ndarray
     length: np.ndarray
     mean_length: float
+    depth: int
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
         rows = np.arange(len(x))
-        depth = int(np.ceil(np.log2(self.feature.shape[1] + 1)))
         for f, t, c, length in zip(self.feature, self.threshold, self.child, self.length, strict=True):
             at = np.zeros(len(x), np.int64)
-            for _ in range(depth):
+            for _ in range(self.depth):
                 feature = f[at]
                 inner = feature >= 0
                 right = x[rows, np.maximum(feature, 0)] >= t[at]
@@ -53,32 +52,38 @@ def _mean_path(n: int | np.ndarray) -> np.ndarray:
         return np.where(n > 2, 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
-def grow(sample: np.ndarray, trees: int, rows: int, seed: int) -> Forest:
-    """Trees on random subsets of the sample, split at random between the extremes of a random feature."""
+def grow(sample: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int, rows: int, depth: int,
+         seed: int) -> Forest:
+    """Trees on random subsets of the sample.
+
+    A node splits a random feature at a random place of the node's box, which starts as
+    ``low`` to ``high`` and may reach beyond the sample: what lies where no sample row does is
+    then cut off after few steps.
+    """
     rng = np.random.default_rng(seed)
     rows = min(rows, len(sample))
-    depth = max(1, int(np.ceil(np.log2(max(rows, 2)))))
     nodes = 2 ** (depth + 1)
     feature = np.full((trees, nodes), -1)
     threshold, length = np.zeros((trees, nodes)), np.zeros((trees, nodes))
     child = np.zeros((trees, nodes), np.int64)
     for k in range(trees):
-        todo, used = [(0, sample[rng.choice(len(sample), rows, replace=False)], 0)], 1
+        todo = [(0, sample[rng.choice(len(sample), rows, replace=False)], low, high, 0)]
+        used = 1
         while todo:
-            node, x, d = todo.pop()
-            low, high = x.min(axis=0), x.max(axis=0)
-            open_ = np.flatnonzero(high > low)
+            node, x, lo, hi, d = todo.pop()
+            open_ = np.flatnonzero(hi > lo)
             if d == depth or len(x) < 2 or not len(open_):
                 length[k, node] = d + _mean_path(len(x))
                 continue
             f = rng.choice(open_)
-            t = rng.uniform(low[f], high[f])
-            t = t if t > low[f] else high[f]
+            t = rng.uniform(lo[f], hi[f])
             feature[k, node], threshold[k, node], child[k, node] = f, t, used
             right = x[:, f] >= t
-            todo += [(used, x[~right], d + 1), (used + 1, x[right], d + 1)]
+            below, above = hi.copy(), lo.copy()
+            below[f] = above[f] = t
+            todo += [(used, x[~right], lo, below, d + 1), (used + 1, x[right], above, hi, d + 1)]
             used += 2
-    return Forest(feature, threshold, child, length, max(float(_mean_path(rows)), 1e-9))
+    return Forest(feature, threshold, child, length, max(float(_mean_path(rows)), 1e-9), depth)
 
 
 def base_failed() -> Column:
@@ -86,12 +91,34 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def fit(statistics: DataFrame, max_rows: int = 20_000, trees: int = 200, rows: int = 256,
-        seed: int = 7) -> Forest | None:
-    """Forest from a bounded, hash-chosen sample of the documents that pass the fixed limits."""
-    passed = statistics.filter(~base_failed())
-    table = base.sampled(passed, max_rows, "doc_id").orderBy("doc_id", *textstats.NAMES).toArrow()
-    return grow(textstats.ratios(table), trees, rows, seed) if len(table) else None
+def features(table: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Ratios of the counts on a logarithmic scale, so that a split between none and a few is likely."""
+    return np.log(textstats.ratios(table) + 0.01)
+
+
+def known_labels(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """``doc_id, label``: one label of 0 or 1 per key; others and null keys are skipped."""
+    known = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label"))
+    return known.filter("label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
+
+
+def fit(statistics: DataFrame, labels: DataFrame, max_rows: int = 20_000, trees: int = 200,
+        rows: int = 256, depth: int = 10, seed: int = 7) -> Forest | None:
+    """Forest of the documents that pass the fixed limits; None if there are none.
+
+    Trees are grown on those labelled good (on all where none is), the box is that of all.
+    Both are bounded, hash-chosen samples of at most about ``max_rows``.
+    """
+    names = ["doc_id", *textstats.NAMES]
+    passed = statistics.filter(~base_failed()).select(*names)
+    good = passed.join(known_labels(labels).filter("label = 1"), "doc_id", "left_semi")
+    every, sample = (features(base.sampled(x, max_rows, "doc_id").orderBy(*names).toArrow())
+                     for x in (passed, good))
+    if not len(every):
+        return None
+    sample = sample if len(sample) else every
+    both = np.concatenate([every, sample])
+    return grow(sample, both.min(axis=0), both.max(axis=0), trees, rows, depth, seed)
 
 
 def score(statistics: DataFrame, forest: Forest | None) -> DataFrame:
@@ -100,7 +127,7 @@ def score(statistics: DataFrame, forest: Forest | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = forest.scores(textstats.ratios(batch)) if forest else np.zeros(batch.num_rows)
+            s = forest.scores(features(batch)) if forest else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(s)], names=[*batch.schema.names, "anomaly"])
 
@@ -108,15 +135,12 @@ def score(statistics: DataFrame, forest: Forest | None) -> DataFrame:
     return columns.mapInArrow(run, textstats.SCHEMA + ", anomaly double")
 
 
-def threshold(scored: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality",
-              false_rate: float = 0.01) -> float:
+def threshold(scored: DataFrame, labels: DataFrame, false_rate: float = 0.003) -> float:
     """Lowest anomaly from which on at most ``false_rate`` of the good labelled rows lie; 1 without labels.
 
-    Works on counts per thousandth of the score, so a fixed number of rows reaches the driver.
+    Works on counts per step of the score, so a fixed number of rows reaches the driver.
     """
-    known = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label"))
-    known = known.filter("label IN (0, 1)").dropDuplicates(["doc_id"])
-    counts = (scored.filter(~base_failed()).join(known, "doc_id")
+    counts = (scored.filter(~base_failed()).join(known_labels(labels), "doc_id")
               .groupBy(F.floor(F.col("anomaly") * BINS).cast("int").alias("bin"))
               .agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect())
     good = np.zeros(BINS + 2)
