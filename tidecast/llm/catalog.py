@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.llm import (
-    base, bpe, chunking, langid, lmscore, minhash, quality, rules, suffixes, textstats,
+    base, bpe, chunking, langid, lmscore, minhash, mixing, quality, rules, suffixes, syncmers,
+    textstats,
 )
 from tidecast.staging import stage
 
@@ -42,6 +43,11 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "base_failed", "kept", "anomaly")
 
 
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(base.read(spark, folder, "documents")).withColumn(
+        "probability", F.round("probability", 6))
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     statistics = stage(textstats.text_statistics(docs), "statistics")
     labels = labels.filter(~base.held_out())
@@ -64,6 +70,10 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.fingerprints(base.read(spark, folder, "documents"))
+
+
 def op9_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.dedup_chunks(base.read(spark, folder, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -77,6 +87,10 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_minhash": op6_minhash,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_syncmers": op8_syncmers,
     "op9_chunk_dedup": op9_chunk_dedup,
+    "op10_mixing": op10_mixing,
+}
+ORACLE: dict[str, str] = {
+    "op10_mixing": mixing.oracle(),
 }
-ORACLE: dict[str, str] = {}
