@@ -12,7 +12,7 @@ from those of the arcs that it was copied from. Cells once computed stay in a ta
 
 A word is read from left to right. ``last[i]`` is the label of the arc that ends at byte i
 of the one accepted path; the next ones follow by table look-ups alone, and walking back
-gives the labels. Decoding emits the byte strings of the labels.
+gives the labels. Words are read in order, so that common beginnings are read once. Decoding emits the byte strings of the labels.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ import json
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -31,6 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tidecast.llm import base
+from tidecast.llm.columnar import slices, texts
 
 #: The public pattern that cuts text into words before any merge, with
 #: white space spelled as the Unicode property.
@@ -38,7 +38,7 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 NEVER, FOREVER = -1, 1 << 60
 #: Distinct words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -95,15 +95,53 @@ class Automaton:
         for k, (a, b, ab) in enumerate(spec.merges):
             self.made[ab], self.parts[ab] = k, (a, b)
             self.merge[a, b] = k
-        added = {i for _, i in spec.added}
-        self.ids = {label: i for i, label in enumerate(spec.labels) if i not in added}
-        # a label with these two last bytes has one of these lengths, longest first
-        sizes: dict[bytes, set[int]] = {}
-        for label in self.ids:
-            sizes.setdefault(label[-2:], set()).add(len(label))
-        self.sizes = {tail: sorted(s, reverse=True) for tail, s in sizes.items()}
+        self.first = n  # the state before any label
         self.moments: dict[tuple[int, int], int] = {}
         self.table: dict[int, bool] = {}
+        added = {i for _, i in spec.added}
+        self._read({label: i for i, label in enumerate(spec.labels) if label and i not in added})
+
+    def _read(self, ids: dict[bytes, int]) -> None:
+        """Transitions over bytes: the labels that end at a byte, longest first, without searching.
+
+        ``step`` leads from the longest label beginning that the text ends with to the next one,
+        ``ending`` gives the longest whole label among its ends, ``shorter`` the next one.
+        """
+        self.step: dict[int, int] = {}
+        text, token = [b""], [-1]
+        for label, i in sorted(ids.items()):
+            state = 0
+            for k, c in enumerate(label):
+                cell = state << 8 | c
+                if cell not in self.step:
+                    self.step[cell] = len(text)
+                    text.append(label[:k + 1])
+                    token.append(-1)
+                state = self.step[cell]
+            token[state] = i
+        self.back = [0] * len(text)
+        self.ending = token[:]
+        self.shorter = [-1] * len(self.labels)
+        tree = sorted(self.step.items(), key=lambda x: len(text[x[1]]))
+        for cell, state in tree:
+            parent, c = cell >> 8, cell & 255
+            if parent:
+                self.back[state] = self.onward(self.back[parent], c)
+            end = self.ending[self.back[state]]
+            if token[state] < 0:
+                self.ending[state] = end
+            else:
+                self.shorter[token[state]] = end
+
+    def onward(self, state: int, c: int) -> int:
+        """The transition by byte c; computed once."""
+        cell = state << 8 | c
+        found = self.step.get(cell)
+        if found is None:
+            found = self.onward(self.back[state], c) if state else 0
+            if state:
+                self.step[cell] = found
+        return found
 
     def removed(self, s: int, t: int) -> int:
         """Gadget that removes the arc t of state s; NEVER if there never was one, FOREVER if none does."""
@@ -120,103 +158,93 @@ class Automaton:
         self.moments[s, t] = out
         return out
 
-    def arc(self, s: int, t: int) -> bool:
-        cell = s << 32 | t
-        if cell not in self.table:
-            self.table[cell] = self.removed(s, t) == FOREVER
-        return self.table[cell]
-
-    def encode(self, word: bytes) -> list[int]:
-        ids, sizes, table = self.ids, self.sizes, self.table
-        whole = ids.get(word)
-        if whole is not None and len(word) < 3:
-            return [whole]
-        last: list[int] = [0] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            tail = word[max(0, end - 2):end]
-            options = sizes.get(tail, ()) if end > 1 else ()
-            for size in chain(options, (1,)):
-                start = end - size
-                if start < 0:
-                    continue
-                t = ids.get(word[start:end])
-                if t is None:
-                    continue
-                if start == 0:
-                    if size == 1 or self.whole(t):
-                        last[end] = t
-                        break
-                    continue
-                s = last[start]
-                ok = table.get(s << 32 | t)
-                if ok or ok is None and self.arc(s, t):
-                    last[end] = t
-                    break
-        out, end = [], len(word)
-        while end:
-            out.append(last[end])
-            end -= len(self.labels[last[end]])
-        return out[::-1]
-
     def whole(self, t: int) -> bool:
-        """Whether the merges make token t of its own bytes; the last gadget of its parts must find them."""
+        """Whether the merges make token t of its own bytes: its gadget must find the arc it takes."""
         if self.made[t] == NEVER:
             return True
         a, b = self.parts[t]
-        return self.whole(a) and self.whole(b) and self.removed(a, b) == self.made[t]
-
-
-@lru_cache(maxsize=2)
-def _compiled(digest: str, spec_of: _Held) -> Automaton:
-    return Automaton(spec_of.spec)
+        return self.arc(self.first, a) and self.arc(self.first, b) and self.removed(a, b) == self.made[t]
 
+    def arc(self, s: int, t: int) -> bool:
+        cell = s << 32 | t
+        found = self.table.get(cell)
+        if found is None:
+            found = self.whole(t) if s == self.first else (
+                self.removed(s, t) == FOREVER and self.arc(self.first, t))
+            self.table[cell] = found
+        return found
+
+    def encode(self, words: list[bytes]) -> Iterator[list[int]]:
+        """Ids of each word. Words should be sorted: what begins like the one before is not read again."""
+        step, ending, shorter, table = self.step, self.ending, self.shorter, self.table
+        size = [len(x) for x in self.labels]
+        states, last, before = [0], [self.first], b""
+        for word in words:
+            n = 0
+            for x, y in zip(before, word, strict=False):
+                if x != y:
+                    break
+                n += 1
+            del states[n + 1:], last[n + 1:]
+            state = states[n]
+            for end in range(n + 1, len(word) + 1):
+                found = step.get(state << 8 | word[end - 1])
+                state = self.onward(state, word[end - 1]) if found is None else found
+                states.append(state)
+                t = ending[state]
+                while t >= 0:
+                    s = last[end - size[t]]
+                    ok = table.get(s << 32 | t)
+                    if ok or ok is None and self.arc(s, t):
+                        break
+                    t = shorter[t]
+                last.append(t)
+            before = word
+            out, end = [], len(word)
+            while end:
+                t = last[end]
+                out.append(t)
+                end -= size[t]
+            out.reverse()
+            yield out
 
-class _Held:
-    """Carries the merges past the cache's key: equal for equal digests."""
-
-    def __init__(self, spec: Merges) -> None:
-        self.spec = spec
-
-    def __hash__(self) -> int:
-        return hash(self.spec.digest)
 
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Held) and other.spec.digest == self.spec.digest
+#: Automata and remembered words of this process, by digest of the merges.
+_compiled: dict[str, tuple[Automaton, dict[str, bytes]]] = {}
 
 
 class Encoder:
     """Texts to packed ids, with a bounded memory of words."""
 
     def __init__(self, spec: Merges) -> None:
-        self.automaton = _compiled(spec.digest, _Held(spec))
+        if spec.digest not in _compiled:
+            _compiled[spec.digest] = Automaton(spec), {}
+        self.automaton, self.known = _compiled[spec.digest]
         self.split = regex.compile(PATTERN).findall
         self.labels = self.automaton.labels
         self.added = {label.decode(): struct.pack("<I", i) for label, i in spec.added if label}
         names = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.known: dict[str, bytes] = {}
-
-    def words(self, text: str) -> bytes:
-        known = self.known
-        words = self.split(text)
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            encode = self.automaton.encode
-            for w in set(words):
-                if w not in known:
-                    ids = encode(w.encode())
-                    known[w] = struct.pack(f"<{len(ids)}I", *ids)
-            return b"".join(map(known.__getitem__, words))
-
-    def __call__(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit numbers; added tokens in the text are single ids."""
+
+    def pieces(self, text: str) -> list[str]:
+        """Words and added tokens of a text."""
         if self.special is None or not any(t in text for t in self.added):
-            return self.words(text)
-        return b"".join(self.added[p] if p in self.added else self.words(p)
-                        for p in self.special.split(text) if p)
+            return self.split(text)
+        return list(chain.from_iterable(
+            (p,) if p in self.added else self.split(p) for p in self.special.split(text)))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers; added tokens in it are single ids."""
+        pieces = [self.pieces(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        self.known.update(self.added)
+        new = set().union(*pieces).difference(self.known) if pieces else set()
+        new = sorted((w.encode(), w) for w in new)
+        for (_, w), ids in zip(new, self.automaton.encode([b for b, _ in new]), strict=True):
+            self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        get = self.known.__getitem__
+        return [b"".join(map(get, p)) for p in pieces]
 
     def decode(self, packed: bytes) -> str:
         ids = np.frombuffer(packed, "<u4").tolist()
@@ -235,9 +263,9 @@ def encode(docs: DataFrame, spec: Merges, key: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(spec)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                ids = [encoder(t or "") for t in batch["text"].slice(lo, 256).to_pylist()]
-                out = {"doc_id": batch["doc_id"].slice(lo, 256),
+            for lo, hi in slices(texts(batch["text"])[1]):
+                ids = encoder([t or "" for t in batch["text"].slice(lo, hi - lo).to_pylist()])
+                out = {"doc_id": batch["doc_id"].slice(lo, hi - lo),
                        "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
                        "ids": pa.array(ids, pa.binary())}
                 if decoded:
