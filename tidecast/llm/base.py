@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 import tidecast
 
-#: Text handled by one bucket of a hashed exchange, in bytes.
-BUCKET_BYTES = 12 << 20
-
-
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
@@ -37,9 +33,9 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
-def buckets(spark: SparkSession, n_bytes: int, each: int = BUCKET_BYTES) -> int:
-    """Enough hash buckets that each gets about ``each`` bytes; they grow with the data."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each), 1)
+def buckets(n_bytes: int, each: int) -> int:
+    """Enough hash buckets that each gets about ``each`` bytes; they grow with the data alone."""
+    return max(-(-n_bytes // each), 1)
 
 
 def chunk_bytes(n_bytes: int) -> int:

@@ -98,7 +98,7 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
     spark = docs.sparkSession
     base.ship(spark)
     rows = cutting.keyed(docs, key, text)
-    n_buckets = base.buckets(spark, base.text_bytes(rows), 8 << 20)
+    n_buckets = base.buckets(base.text_bytes(rows), 8 << 20)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []

@@ -332,24 +332,29 @@ def splitters(rows: DataFrame, n: int, length: int, max_documents: int = 2_000)
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50,
-                     hot_count: int = 50_000) -> DataFrame:
+                     hot_count: int = 50_000, carry: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) of every whole text (UTF-8; null: empty).
 
     Every byte covered by a string of ``length`` bytes that also starts in a document with
     a smaller key is removed; strings are those of the input. Rows that repeat a key are one
     document's and do not remove each other's bytes. A null key stands above all others.
+    ``carry`` adds ``row``, a struct of all columns of the document, and ``remaining``, the kept
+    bytes as text without the fragments of characters that a cut leaves.
     """
     if not ANCHOR <= length <= 120:
         raise ValueError(f"length must be {ANCHOR} to 120")
     spark = docs.sparkSession
     base.ship(spark)
-    rows = cutting.keyed(docs, key, text).select("doc", "text")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(*cutting.key_and_text(key, text), *([row] if carry else []))
+    rows = keyed.select("doc", "text")
     size = base.text_bytes(rows)
-    n_chunks = base.buckets(spark, size, base.chunk_bytes(size))
-    n_buckets = base.buckets(spark, size, 32 << 20)
+    n_chunks = base.buckets(size, base.chunk_bytes(size))
+    n_buckets = base.buckets(size, 32 << 20)
     cuts = np.array(splitters(rows, n_buckets, length), f"S{ANCHOR}")
     width = _width(length)
-    chunks = rows.withColumn("chunk", F.pmod(F.xxhash64("doc", "text"), F.lit(n_chunks)).cast("int"))
+    number = F.pmod(F.xxhash64("doc", "text"), F.lit(n_chunks)).cast("int")
+    chunks = keyed.withColumn("chunk", number)
 
     def offer(table: pa.Table) -> pa.Table:
         c = Chunk(table, length)
@@ -371,17 +376,17 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
         if not docs.num_rows:
             return _table([], RUN)
         c, out = Chunk(docs, length), []
-        number = docs["chunk"][0].as_py()
+        chunk = docs["chunk"][0].as_py()
         cold, hot = c.chosen(_verdict(replies, "anchor"))
         rows, least, _ = c.suffixes(cold)
         bucket = np.searchsorted(cuts, _first_bytes(rows), side="right")
         edges = [0, *np.searchsorted(bucket, np.arange(1, n_buckets)).tolist(), len(bucket)]
         for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
             if hi > lo:
-                out.append((number, "suffix", b, *front_code(rows[lo:hi]), pack_counts(least[lo:hi])))
+                out.append((chunk, "suffix", b, *front_code(rows[lo:hi]), pack_counts(least[lo:hi])))
         _, _, _, one, two, least = c.windows(hot)
         for b, lo, hi in _by_range(one, n_buckets):
-            out.append((number, "window", b, pack_sorted(one[lo:hi]), two[lo:hi].tobytes(), pack_counts(least[lo:hi])))
+            out.append((chunk, "window", b, pack_sorted(one[lo:hi]), two[lo:hi].tobytes(), pack_counts(least[lo:hi])))
         return _table(out, RUN)
 
     def answer(table: pa.Table) -> pa.Table:
@@ -425,7 +430,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
 
     def cut(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _table([], CUT)
+            return pa.Table.from_batches([], schema)
         c = Chunk(docs, length)
         cold, hot = c.chosen(_verdict(replies, "anchor"))
         edge = np.zeros(len(c.data) + 1, np.int32)
@@ -453,19 +458,26 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
         total = np.concatenate(([0], np.cumsum(~gone)))[c.offsets].astype(np.int64)
         kept = c.data[~gone].tobytes()
         n_bytes = np.diff(c.offsets)
-        return pa.Table.from_pydict({
+        left = [kept[a:b] for a, b in zip(total, total[1:], strict=False)]
+        out = pa.Table.from_pydict({
             "doc": c.key, "n_bytes": n_bytes, "n_removed": n_bytes - np.diff(total),
-            "n_spans": np.bincount(of, minlength=n).astype(np.int64),
-            "kept": pa.array([kept[a:b] for a, b in zip(total, total[1:], strict=False)], pa.binary())}, schema=CUT)
+            "n_spans": np.bincount(of, minlength=n).astype(np.int64), "kept": pa.array(left, pa.binary())}, schema=CUT)
+        if carry:
+            text_ = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string())
+            out = out.append_column("row", c.table["row"]).append_column("remaining", text_)
+        return out
 
     offers = chunks.groupBy("chunk").applyInArrow(offer, _ddl(OFFER))
     verdicts = offers.groupBy("bucket").applyInArrow(judge, _ddl(REPLY))
     runs = chunks.groupBy("chunk").cogroup(verdicts.groupBy("chunk")).applyInArrow(send, _ddl(RUN))
     answers = runs.groupBy("kind", "bucket").applyInArrow(answer, _ddl(REPLY))
     replies = verdicts.unionByName(answers)
-    out = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, _ddl(CUT))
-    return out.select(F.expr(f"nullif(doc, {cutting.NULL_KEY}L)").alias("doc_id"),
-                      "n_bytes", "n_removed", "n_spans", "kept")
+    result = _ddl(CUT)
+    if carry:
+        result += f", row {keyed.schema['row'].dataType.simpleString()}, remaining string"
+    out = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, result)
+    return out.withColumn("doc_id", F.expr(f"nullif(doc, {cutting.NULL_KEY}L)")).drop("doc").select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept", *(["row", "remaining"] if carry else []))
 
 
 OFFER = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
