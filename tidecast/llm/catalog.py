@@ -38,7 +38,8 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = base.read(spark, folder, "documents"), base.read(spark, folder, "labels")
-    return judged(docs, labels).select(
+    scored, _, cut = calibrated(docs, labels)
+    return rules.judge(scored, cut).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "anomaly")
 
@@ -48,11 +49,13 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "probability", F.round("probability", 6))
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def calibrated(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, rules.Forest | None, float]:
+    """Scored statistics of the documents, the forest and its cut-off; held-out labels stay unread."""
     statistics = stage(textstats.text_statistics(docs), "statistics")
     labels = labels.filter(~base.held_out())
-    scored = stage(rules.score(statistics, rules.fit(statistics, labels)), "anomalies")
-    return rules.judge(scored, rules.threshold(scored, labels))
+    forest = rules.fit(statistics, labels)
+    scored = stage(rules.score(statistics, forest), "anomalies")
+    return scored, forest, rules.threshold(scored, labels)
 
 
 def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

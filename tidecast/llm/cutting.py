@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm import base
@@ -19,12 +19,15 @@ from tidecast.llm.columnar import parts, spans, starts_of_runs
 NULL_KEY = (1 << 63) - 1
 
 
+def key_and_text(key: str = "doc_id", text: str = "text") -> list[Column]:
+    """``doc`` (the key, nulls last) and ``text`` (null: empty)."""
+    return [F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("doc"),
+            F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")]
+
+
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc`` (the key, nulls last), ``mark`` (checksum of the text) and ``text`` (null: empty)."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("doc"),
-        F.hash(body).alias("mark"), body.alias("text"))
+    """``doc``, ``text`` and ``mark``, a checksum of the text."""
+    return docs.select(*key_and_text(key, text)).withColumn("mark", F.hash("text"))
 
 
 def coverage(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm import base, textstats
+from tidecast.llm.columnar import parts
 
 BINS = 10_000
 
@@ -156,3 +157,22 @@ def judge(scored: DataFrame, cut: float) -> DataFrame:
     """Adds ``base_failed`` and ``kept``: neither failed nor as unusual as ``cut``."""
     return (scored.withColumn("base_failed", base_failed())
             .withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < cut)))
+
+
+def passing(docs: DataFrame, forest: Forest | None, cut: float, text: str = "text") -> DataFrame:
+    """The documents that the rules keep, with all their columns; texts stay where they are."""
+    base.ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, data, offsets in parts(batch["_text"]):
+                got = {k: pa.array(v.astype(np.int64)) for k, v in textstats.statistics(data, offsets).items()}
+                table = pa.Table.from_pydict(got)
+                words, again = got["n_words"].to_numpy(), got["n_repeat_words"].to_numpy()
+                anomaly = forest.scores(features(table)) if forest else np.zeros(len(table))
+                kept = (words >= 50) & (100 * again <= 50 * words) & (anomaly < cut)
+                some = batch.slice(lo, len(table)).filter(pa.array(kept))
+                yield some.select([n for n in batch.schema.names if n != "_text"])
+
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.withColumn("_text", body).mapInArrow(run, docs.schema)
