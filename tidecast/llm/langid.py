@@ -15,6 +15,7 @@ Only vocabulary x languages numbers reach the driver.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,8 +32,9 @@ from tidecast.staging import stage
 #: A longer word is scored in consecutive parts of this many bytes.
 LONGEST = 64
 #: Words remembered by a task, and words passed over at a time.
-REMEMBERED, AT_ONCE = 300_000, 20_000
+REMEMBERED, AT_ONCE = 400_000, 20_000
 MAX_LANGUAGES = 1_000
+TABLE = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -61,21 +63,41 @@ class Pieces:
 
     pieces: list[bytes]
     keys: np.ndarray = field(init=False)
-    ids: np.ndarray = field(init=False)
+    tables: list[np.ndarray] = field(init=False)
     longest: int = field(init=False)
 
     def __post_init__(self) -> None:
         joined = np.frombuffer(b"".join(self.pieces), np.uint8)
         ends = np.cumsum([len(p) for p in self.pieces])
         starts = ends - [len(p) for p in self.pieces]
-        h = hashes(joined, starts, ends)
-        order = np.argsort(h)
-        self.keys, self.ids = h[order], (order + 257).astype(np.int32)
+        self.keys = np.concatenate([np.zeros(257, np.uint64), hashes(joined, starts, ends)])
+        # tables by different bits of the hash; a piece that finds its place taken goes to the next one
+        self.tables = []
+        left = np.arange(257, len(self.keys), dtype=np.int32)
+        while len(left):
+            table = np.zeros(TABLE, np.int32)
+            place = self._place(self.keys[left], len(self.tables))
+            table[place] = left
+            self.tables.append(table)
+            left = left[table[place] != left]
         self.longest = int((ends - starts).max())
 
+    @staticmethod
+    def _place(h: np.ndarray, k: int) -> np.ndarray:
+        return ((h >> np.uint64(44 - 20 * k % 40)) & np.uint64(TABLE - 1)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Arc of the piece with each hash; 0 where there is none."""
+        out = np.zeros(len(h), np.int32)
+        for k, table in enumerate(self.tables):
+            at = table[self._place(h, k)]
+            hit = self.keys[at] == h
+            out[hit] = at[hit]
+        return out
+
     @property
     def size(self) -> int:
-        return len(self.pieces) + 257
+        return len(self.keys)
 
     def arcs(self, chars: np.ndarray) -> list[np.ndarray]:
         """For words of one length (words x bytes): piece ids by length and start."""
@@ -86,8 +108,7 @@ class Pieces:
         for k in range(1, min(self.longest, width) + 1):
             starts = (row + np.arange(width - k + 1)).ravel()
             h = hashes(flat, starts, starts + k)
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            found = np.where(self.keys[at] == h, self.ids[at], 0).reshape(n, -1)
+            found = self.find(h).reshape(n, -1)
             if k == 1:  # any byte can be read, if only as an unknown one
                 found = np.where(found == 0, flat.reshape(n, width) + 1, found)
             out.append(found)
@@ -176,6 +197,7 @@ class Model:
     pieces: list[bytes]
     prob: np.ndarray
     prior: np.ndarray
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def normalised(counts: np.ndarray, smoothing: float) -> np.ndarray:
@@ -286,6 +308,17 @@ class Scorer:
         return out
 
 
+#: The scorer of the last model used in this process: tasks that follow know its words.
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer_of(model: Model) -> Scorer:
+    if model.name not in _scorers:
+        _scorers.clear()
+        _scorers[model.name] = Scorer(model)
+    return _scorers[model.name]
+
+
 def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score``: most probable language of each text and its posterior probability.
 
@@ -295,7 +328,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
     base.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model) if model else None
+        scorer = scorer_of(model) if model else None
         for batch in batches:
             n = batch.num_rows
             pred, score = [UNKNOWN] * n, np.zeros(n)
