@@ -174,18 +174,23 @@ def expected_counts(words: list[bytes], weight: np.ndarray, lang: np.ndarray,
         n, width = chars.shape
         own = lang[at]
         p = [prob[a, own[:, None]] for a in arcs]
-        ahead = np.zeros((width + 1, n))
-        ahead[0] = 1
+        ahead, ahead_log = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+        back, back_log = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+        ahead[0] = back[width] = 1
         for j in range(1, width + 1):
+            i = width - j
+            ahead_log[j], back_log[i] = ahead_log[j - 1], back_log[i + 1]
             for k in range(1, min(j, len(arcs)) + 1):
-                ahead[j] += ahead[j - k] * p[k - 1][:, j - k]
-        back = np.zeros((width + 1, n))
-        back[width] = weight[at] / ahead[width]
-        for j in range(width - 1, -1, -1):
-            for k in range(1, min(width - j, len(arcs)) + 1):
-                back[j] += p[k - 1][:, j] * back[j + k]
+                ahead[j] += ahead[j - k] * p[k - 1][:, j - k] * np.exp(ahead_log[j - k] - ahead_log[j])
+                back[i] += back[i + k] * p[k - 1][:, i] * np.exp(back_log[i + k] - back_log[i])
+            if j % 8 == 0:  # keep long words within the range of floating point
+                for value, log, at_ in ((ahead, ahead_log, j), (back, back_log, i)):
+                    log[at_] += np.log(value[at_])
+                    value[at_] = 1
+        total = np.log(ahead[width]) + ahead_log[width]
         for k, a in enumerate(arcs, 1):
-            share = ahead[:width - k + 1].T * p[k - 1] * back[k:].T
+            share = (weight[at] * ahead[:width - k + 1] * back[k:]
+                     * np.exp(ahead_log[:width - k + 1] + back_log[k:] - total)).T * p[k - 1]
             seen = a > 0
             np.add.at(out, (a[seen], np.broadcast_to(own[:, None], a.shape)[seen]), share[seen])
     return out
