@@ -16,12 +16,15 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Let Python workers of a local session find this package wherever it was started.
 
-    On a cluster submit the package with ``--py-files`` or install it.
+    On a cluster submit the package with ``--py-files`` or install it. Workers also give large
+    arrays back to the system at once, so that idle ones don't hold memory.
     """
     root = os.path.dirname(os.path.dirname(os.path.abspath(tidecast.__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+    env["MALLOC_MMAP_THRESHOLD_"] = env["MALLOC_TRIM_THRESHOLD_"] = str(1 << 20)
+    env["ARROW_DEFAULT_MEMORY_POOL"] = "system"
 
 
 def documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -39,11 +42,11 @@ def buckets(n_bytes: int, each: int) -> int:
 
 
 def chunk_bytes(n_bytes: int) -> int:
-    """Size of a chunk of documents: 8 MB, more for large data, up to 64 MB.
+    """Size of a chunk of documents: 4 MB, more for large data, up to 64 MB.
 
     Chunks and buckets exchange a row per pair, so both must not grow in number alone.
     """
-    return int(min(max(8 << 20, 8 * n_bytes**0.5), 64 << 20))
+    return int(min(max(4 << 20, 8 * n_bytes**0.5), 64 << 20))
 
 
 def held_out(key: str | Column = "doc_id") -> Column:

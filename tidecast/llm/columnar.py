@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
-BLOCK = 1 << 20
+SLICE_BYTES = 2 << 20
+BLOCK = (1 << 19) - 4096
 _RATIO = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_RATIO, -1, 1 << 64)
@@ -137,7 +137,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         upto = max(upto, at + 1)
         hi = int(ends[at:upto].max())
         n = hi - lo
-        size = 1 << max(20, int(n).bit_length())
+        size = 1 << max(18, int(n).bit_length())
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTES[data[lo:hi]] * _powers(size, _RATIO)[:n], out=total[1:])
         s, e = starts[at:upto] - lo, ends[at:upto] - lo

@@ -30,9 +30,9 @@ from tidecast.llm.columnar import (
     unpack_sorted, words,
 )
 
-#: N-grams are told apart by this many bits: at 10^11 different ones, one in fifty thousand
-#: shares its number with another.
-BITS = 52
+#: N-grams are told apart by this many bits: at 10^11 different ones, one in three
+#: thousand shares its number with another.
+BITS = 48
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +111,7 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, key: st
     docs = base.documents(docs, key, text)
     size, n_words = count_text(docs)
     n_chunks = base.buckets(size, base.chunk_bytes(size))
-    n_buckets = base.buckets(size, base.chunk_bytes(size) * 2)
+    n_buckets = base.buckets(size, 4 * base.chunk_bytes(size))
     cuts = (np.arange(1, n_buckets, dtype=object) * (1 << BITS) // n_buckets).astype(np.uint64)
     chunks = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
 

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidecast.llm import base, cutting
 from tidecast.llm.columnar import (
@@ -41,7 +42,8 @@ from tidecast.llm.columnar import (
 )
 
 ANCHOR = 16
-SLICE = 1 << 20
+#: Text hashed, and suffixes copied, at a time.
+SLICE, ROWS = 1 << 19, 1 << 13
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
@@ -49,7 +51,7 @@ def rolling(data: np.ndarray, width: int) -> np.ndarray:
     n = len(data)
     if n < width:
         return np.zeros(0, np.uint64)
-    size = 1 << max(20, n.bit_length())
+    size = 1 << max(18, n.bit_length())
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[data] * _powers(size, _RATIO)[:n], out=total[1:])
     return mix((total[width:] - total[:-width]) * _powers(size, _INVERSE)[:n - width + 1])
@@ -109,12 +111,14 @@ def suffix_rows(data: np.ndarray, a: Anchors, length: int) -> np.ndarray:
     right, left = a.high + length - a.at, a.at - a.low
     rows = np.zeros((len(a.at), _width(length)), np.uint8)
     padded = np.concatenate([np.zeros(back, np.uint8), data, np.zeros(length, np.uint8)])
-    step = np.arange(length)
-    rows[:, :length] = np.where(step < right[:, None], padded[a.at[:, None] + back + step], 0)
+    for lo in range(0, len(rows), ROWS):
+        some = slice(lo, lo + ROWS)
+        at, r, n = a.at[some, None] + back, right[some, None], left[some, None]
+        step = np.arange(length)
+        rows[some, :length] = np.where(step < r, padded[at + step], 0)
+        step = np.arange(back)
+        rows[some, length + 1:length + 1 + back] = np.where(step < n, padded[at - 1 - step], 0)
     rows[:, length] = right
-    step = np.arange(back)
-    rows[:, length + 1:length + 1 + back] = np.where(
-        step < left[:, None], padded[a.at[:, None] + back - 1 - step], 0)
     rows[:, length + 1 + back] = left
     return rows
 
@@ -220,7 +224,7 @@ def least_keys(rows: np.ndarray, group: np.ndarray, key: np.ndarray, length: int
     if not n:
         return out
     line = np.concatenate([rows[:, length + 1:length + 1 + back][:, ::-1], rows[:, :length]], axis=1)
-    power, inverse = _powers(1 << 20, _RATIO), _powers(1 << 20, _INVERSE)
+    power, inverse = _powers(1 << 18, _RATIO), _powers(1 << 18, _INVERSE)
     total = np.zeros((n, line.shape[1] + 1), np.uint64)
     np.cumsum(_BYTES[line] * power[:line.shape[1]], axis=1, out=total[:, 1:])
     right, left = rows[:, length].astype(np.int64), rows[:, length + 1 + back].astype(np.int64)
@@ -288,7 +292,7 @@ class Chunk:
             part = slice(lo, lo + SLICE // 8)
             bytes_ = _BYTES[self.data[start[part][:, None] + step]]
             for k, ratio in enumerate((_RATIO, 0x9FB21C651E98DF25)):
-                h[k, part] = mix((bytes_ * _powers(1 << 20, ratio)[:self.length]).sum(axis=1, dtype=np.uint64))
+                h[k, part] = mix((bytes_ * _powers(1 << 18, ratio)[:self.length]).sum(axis=1, dtype=np.uint64))
         order = np.lexsort((h[1], h[0]))
         s = h[:, order]
         first = np.concatenate(([True], (s[:, 1:] != s[:, :-1]).any(axis=0))) if len(order) else np.zeros(0, bool)
@@ -345,12 +349,12 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
         raise ValueError(f"length must be {ANCHOR} to 120")
     spark = docs.sparkSession
     base.ship(spark)
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    keyed = docs.select(*cutting.key_and_text(key, text), *([row] if carry else []))
+    carried = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)] if carry else []
+    keyed = docs.select(*cutting.key_and_text(key, text), *carried)
     rows = keyed.select("doc", "text")
     size = base.text_bytes(rows)
     n_chunks = base.buckets(size, base.chunk_bytes(size))
-    n_buckets = base.buckets(size, 32 << 20)
+    n_buckets = base.buckets(size, 4 * base.chunk_bytes(size))
     cuts = np.array(splitters(rows, n_buckets, length), f"S{ANCHOR}")
     width = _width(length)
     number = F.pmod(F.xxhash64("doc", "text"), F.lit(n_chunks)).cast("int")
@@ -430,7 +434,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
 
     def cut(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return pa.Table.from_batches([], schema)
+            return _table([], CUT)
         c = Chunk(docs, length)
         cold, hot = c.chosen(_verdict(replies, "anchor"))
         edge = np.zeros(len(c.data) + 1, np.int32)
@@ -464,7 +468,9 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
             "n_spans": np.bincount(of, minlength=n).astype(np.int64), "kept": pa.array(left, pa.binary())}, schema=CUT)
         if carry:
             text_ = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string())
-            out = out.append_column("row", c.table["row"]).append_column("remaining", text_)
+            for name in schema_of_row.names:
+                out = out.append_column(name, c.table[name])
+            out = out.append_column("remaining", text_)
         return out
 
     offers = chunks.groupBy("chunk").applyInArrow(offer, _ddl(OFFER))
@@ -472,12 +478,14 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     runs = chunks.groupBy("chunk").cogroup(verdicts.groupBy("chunk")).applyInArrow(send, _ddl(RUN))
     answers = runs.groupBy("kind", "bucket").applyInArrow(answer, _ddl(REPLY))
     replies = verdicts.unionByName(answers)
-    result = _ddl(CUT)
+    result = T.StructType.fromDDL(_ddl(CUT))
+    schema_of_row = T.StructType([f for f in keyed.schema if f.name.startswith("_")])
     if carry:
-        result += f", row {keyed.schema['row'].dataType.simpleString()}, remaining string"
+        result = T.StructType([*result, *schema_of_row, T.StructField("remaining", T.StringType())])
     out = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, result)
-    return out.withColumn("doc_id", F.expr(f"nullif(doc, {cutting.NULL_KEY}L)")).drop("doc").select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", "kept", *(["row", "remaining"] if carry else []))
+    row = F.struct(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns))).alias("row")
+    return out.select(F.expr(f"nullif(doc, {cutting.NULL_KEY}L)").alias("doc_id"), "n_bytes", "n_removed",
+                      "n_spans", "kept", *([row, "remaining"] if carry else []))
 
 
 OFFER = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
