@@ -8,9 +8,9 @@
    (uniform prior) given the matches so far says how likely it is to reach the threshold; below
    ``miss`` the pair is dropped. Survivors are verified on their full shingle sets.
 4. Confirmed links are joined into components. Groups that still hold several components are
-   looked at again, whole: blocks of members are compared with blocks, pairs of one
-   component left out, and their survivors verified too. After that every candidate pair
-   has been compared or lies within one component, so no link is lost to the pairing in 2.
+   looked at again, whole: blocks of members are compared with blocks in the same two
+   steps, pairs of one component left out. After that every candidate pair has been compared
+   or lies within one component, so no link is lost to the pairing in 2.
 
 Links, components and signatures stay in tables; nothing of them reaches the driver.
 """
@@ -232,12 +232,52 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def remaining(bands: DataFrame, labels: DataFrame, classes: DataFrame, size: int, least: np.ndarray,
-              batch: int) -> DataFrame:
-    """Survivors (a, b) among members of different components in groups that hold several.
+def links_between(ids: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, sig: np.ndarray,
+                  doc: np.ndarray, key: np.ndarray, threshold: int, least: np.ndarray,
+                  batch: int) -> list[tuple[int, int]]:
+    """One confirmed link for each two components that rows ``left`` and ``right`` connect.
+
+    Signatures are compared first; survivors are verified on their whole sets, given as (doc,
+    key) in order of doc. Components joined on the way are not compared any further.
+    """
+    root = {int(x): int(x) for x in label}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    _, number = np.unique(key, return_inverse=True)
+    edge = np.searchsorted(doc, np.arange(len(ids) + 1))
+    size = np.diff(edge)
+    seen = np.zeros(len(key) + 1, bool)
+    out = []
+    for x in left:
+        now = np.array([find(int(v)) for v in label[right]])
+        y = right[(now != find(int(label[x]))) & ((right > x) | (left is not right))]
+        y = y[survivors(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y], least, batch)]
+        if not len(y):
+            continue
+        mine = number[edge[x]:edge[x + 1]]
+        seen[mine] = True
+        common = np.array([np.count_nonzero(seen[number[edge[v]:edge[v + 1]]]) for v in y])
+        seen[mine] = False
+        for v in y[100 * common >= threshold * (size[x] + size[y] - common)]:
+            r, q = find(int(label[x])), find(int(label[v]))
+            if r != q:
+                root[max(r, q)] = min(r, q)
+                out.append((min(int(ids[x]), int(ids[v])), max(int(ids[x]), int(ids[v]))))
+    return out
+
+
+def remaining(bands: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words_per_shingle: int,
+              threshold: int, size: int, least: np.ndarray, batch: int) -> DataFrame:
+    """Confirmed links (a, b) among members of different components in groups that hold several.
 
     The members outside the component of the group's least label are compared with all
-    others, block by block; groups of the same members are looked at once.
+    others, block by block; groups of the same members are looked at once. Pairs are not rows:
+    a block returns a link for each two components that it joins.
     """
     label = F.coalesce("label", "doc_id").alias("label")
     members = bands.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", label)
@@ -265,28 +305,31 @@ def remaining(bands: DataFrame, labels: DataFrame, classes: DataFrame, size: int
             F.transform(count("outer_blocks"), lambda j: F.struct(
                 F.lit(1).alias("kind"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))))
     ).alias("task"))
-    rows = whole.join(classes.select("doc_id", "signature"), "doc_id")
+    needed = inside.select("doc_id").distinct()
+    content = docs.join(needed, "doc_id", "left_semi").join(classes.select("doc_id", "signature"), "doc_id")
+    rows = whole.join(stage(content, "content"), "doc_id")
 
     def compare(table: pa.Table) -> pa.Table:
         sig = _signatures_of(table["signature"], size)
         ids, label, outer, own = (table[c].to_numpy() for c in ("doc_id", "label", "outer", "own"))
-        across = table["kind"][0].as_py() == 0
-        same_block = table["i"][0].as_py() == table["j"][0].as_py()
-        left = np.flatnonzero(outer) if across else (
-            np.arange(len(ids)) if same_block else np.flatnonzero(own == table["i"][0].as_py()))
-        right = np.flatnonzero(~outer) if across else (
-            left if same_block else np.flatnonzero(own == table["j"][0].as_py()))
-        found = []
-        for x in left:
-            y = right[label[right] != label[x]]
-            if not across and same_block:
-                y = y[ids[y] > ids[x]]
-            keep = y[survivors(np.broadcast_to(sig[x], (len(y), size)), sig[y], least, batch)]
-            found.append(np.column_stack([np.minimum(ids[x], ids[keep]), np.maximum(ids[x], ids[keep])]))
-        found = np.concatenate([np.zeros((0, 2), np.int64), *found])
-        return pa.Table.from_pydict({"a": found[:, 0], "b": found[:, 1]})
-
-    return (rows.select("band", "task.*", "doc_id", "label", "outer", "own", "signature")
+        if table["kind"][0].as_py() == 0:
+            left, right = np.flatnonzero(outer), np.flatnonzero(~outer)
+        elif table["i"][0].as_py() == table["j"][0].as_py():
+            left = right = np.arange(len(ids))
+        else:
+            left = np.flatnonzero(own == table["i"][0].as_py())
+            right = np.flatnonzero(own == table["j"][0].as_py())
+        doc, key = [], []
+        for lo, data, offsets in parts(table["text"], SLICE):
+            d, k = shingles(data, offsets, words_per_shingle)
+            doc.append(d + lo)
+            key.append(k)
+        found = links_between(ids, label, left, right, sig, np.concatenate(doc), np.concatenate(key),
+                              threshold, least, batch)
+        return pa.Table.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()),
+                                     "b": pa.array([b for _, b in found], pa.int64())})
+
+    return (rows.select("band", "task.*", "doc_id", "label", "outer", "own", "signature", "text")
             .groupBy("band", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct())
 
 
@@ -321,9 +364,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     links = stage(confirmed(survivors_, docs, words_per_shingle, threshold), "links")
 
     shared = candidates.select("band", "doc_id").distinct()
-    more = remaining(shared, components(links), classes, size, least, batch)
-    more = stage(more.join(survivors_, ["a", "b"], "left_anti"), "more")
-    links = links.union(confirmed(more, docs, words_per_shingle, threshold))
+    more = remaining(shared, components(links), classes, docs, words_per_shingle, threshold, size, least, batch)
+    links = links.union(stage(more, "more"))
     labels = components(links)
 
     first = firsts.withColumnRenamed("doc_id", "first")
