@@ -176,10 +176,10 @@ class Inputs:
         )
 
     def backtest(self) -> DataFrame:
-        one = self.series.filter(F.col("series_id") == o.BACKTEST_SERIES)
-        runs = stage(bt.backtest_runs(one, b.TRAIN_START, b.MONTH_SHIFT), "runs")
+        runs = stage(bt.backtest_runs(self.series, b.TRAIN_START, b.MONTH_SHIFT), "runs")
         return bt.batch_backtest(
-            self.history, self.index, runs, self.calendar, b.TRAIN_START, n_trials=o.TRIALS
+            self.history, self.index, runs, self.calendar, b.TRAIN_START, n_trials=o.TRIALS,
+            anchors=self.anchors,
         )
 
 
@@ -1324,8 +1324,8 @@ plain("param_sweep_monthly", BEST, "SELECT * FROM wm_best", lambda x: x.month_be
 plain("param_sweep_window", BEST, "SELECT * FROM ww_best",
       lambda x: sw.param_sweep(
           x.history,
-          sw.mid_month_windows(x.series.filter(F.col("series_id") == o.WINDOW_SERIES),
-                               dt.date.fromisoformat(o.WINDOW_START), b.TRAIN_START),
+          sw.mid_month_windows(
+              x.series, dt.date.fromisoformat(o.WINDOW_START), b.TRAIN_START),
           sw.WINDOW_GRID, x.calendar, st.MODEL_A, 2))
 plain("param_search_ranges", BEST, "SELECT * FROM ws_best",
       lambda x: sw.search_params(x.history, x.month_windows, x.calendar, st.MODEL_R, o.TRIALS))
@@ -1343,7 +1343,8 @@ plain("tuning_summary", f"series_id {BANDS}",
 
 def _analog(x: Inputs) -> af.AnalogForecast:
     return af.analog_forecast(
-        x.history, x.index, x.runs, x.calendar, b.TRAIN_START, n_trials=o.TRIALS)
+        x.history, x.index, x.runs, x.calendar, b.TRAIN_START, n_trials=o.TRIALS,
+        anchors=x.anchors)
 
 
 plain("analog_forecast", "run_id day forecast:2 model_used",
@@ -1381,10 +1382,10 @@ plain("batch_backtest",
       "run_id range_start range_end actuals_through mean_tune_err:6 actuals_total:2 "
       "forecast_total:2 blended_total:2 difference:2 pct_difference:6",
       "SELECT * FROM bt_pct", lambda x: x.backtest())
-plain("backtest_summary", BANDS + " mean_tune_err:6",
-      _bands_sql("bt_pct WHERE pct_difference IS NOT NULL", "pct_difference").replace(
+plain("backtest_summary", f"series_id {BANDS} mean_tune_err:6",
+      _bands_sql("bt_pct WHERE pct_difference IS NOT NULL", "pct_difference", "series_id").replace(
           "avg(0) AS zero", "avg(mean_tune_err) AS mean_tune_err"),
-      lambda x: bt.backtest_summary(x.backtest()))
+      lambda x: bt.backtest_summary(x.backtest(), "series_id"))
 
 # ------------------------------------------------------------ registry
 

@@ -125,18 +125,12 @@ def calendar_dimension(
 
 
 def nth_future_bizday_bound(calendar: DataFrame, today: dt.date, n: int) -> DataFrame:
-    """One row: the ``n``-th business day after ``today``."""
-    ranked = Window.orderBy("calendar_date")  # a few days of a calendar
-    ahead = F.date_add(F.lit(today), 7 * n + 14)
-    return (
-        calendar.filter(
-            (F.col("calendar_date") > F.lit(today))
-            & (F.col("calendar_date") <= ahead)
-            & (F.col("biz_day") == 1)
-        )
-        .withColumn("rn", F.row_number().over(ranked))
-        .filter(F.col("rn") == n)
-        .agg(F.min("calendar_date").alias("upper_bound"))
+    """One row: the ``n``-th business day after ``today``. An error if the calendar ends before."""
+    ahead = calendar.filter((F.col("calendar_date") > F.lit(today)) & (F.col("biz_day") == 1))
+    first = ahead.select("calendar_date").orderBy("calendar_date").limit(n)
+    short = F.raise_error(F.lit(f"the calendar has fewer than {n} business days after {today}"))
+    return first.agg(
+        F.when(F.count("*") == n, F.max("calendar_date")).otherwise(short.cast("date")).alias("upper_bound")
     )
 
 

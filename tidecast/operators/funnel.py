@@ -1,16 +1,17 @@
 """Funnel metrics per file date and channel.
 
 A loan that holds a third of all snapshot rows must not multiply: both sides are
-reduced to one row per loan (and file date) before they meet, and the effect of
-duplicate loan rows on the volumes is carried as a row count.
+reduced to their distinct rows with a row count, and then to one row per loan (and file
+date), before they meet. Counts are 64-bit and enter products as decimals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.functions.predicates import status_kept
+from tidecast.functions.predicates import normalized_channel, status_kept
+from tidecast.staging import stage
 
 # event kind -> date column of the loan table
 EVENT_DATES = {
@@ -96,35 +97,72 @@ def status_filter(snapshots: DataFrame) -> DataFrame:
     return snapshots.filter(status_kept(F.col("loan_status")))
 
 
+def _copies(rows: DataFrame) -> Column:
+    """How many rows of the table a row stands for, as an exact factor."""
+    n = F.col("n_rows") if "n_rows" in rows.columns else F.lit(1)
+    return n.cast("decimal(19,0)")
+
+
+def reduced_loans(loans: DataFrame) -> DataFrame:
+    """Distinct loan rows, as far as the funnel reads them, with their number."""
+    return loans.groupBy(
+        "loan_number", "channel", "repeat_application", *EVENT_DATES.values(),
+        F.when(F.col("funded_date").isNotNull(), 1).alias("funded_date"),
+    ).agg(F.count("*").alias("n_rows"))
+
+
+def reduced_snapshots(snapshots: DataFrame) -> DataFrame:
+    """Distinct snapshots per day with their number; ``kept`` says whether the status counts."""
+    kept = F.coalesce(status_kept(F.col("loan_status")), F.lit(False))
+    return snapshots.groupBy(
+        "loan_number", F.col("filedt").cast("date").alias("filedt"), "channel", "loan_amount",
+        kept.alias("kept"),
+    ).agg(F.count("*").alias("n_rows"))
+
+
 def loan_stages(loans: DataFrame) -> DataFrame:
     """One row per loan: how many of its rows exist and have reached each stage."""
+    n = _copies(loans)
+
+    def reached(column: str):
+        return F.coalesce(F.sum(F.when(F.col(column).isNotNull(), n)), F.lit(0)).cast("long")
+
     return (
         loans.filter(F.col("repeat_application") == 0)
         .groupBy("loan_number")
         .agg(
-            F.count("*").cast("int").alias("n_rows"),
-            F.count("funded_date").cast("int").alias("n_funded"),
-            F.count("underwriting_submission_date").cast("int").alias("n_submitted"),
-            F.count("initial_conditional_approval_date").cast("int").alias("n_approved"),
+            F.sum(n).cast("long").alias("n_rows"),
+            reached("funded_date").alias("n_funded"),
+            reached("underwriting_submission_date").alias("n_submitted"),
+            reached("initial_conditional_approval_date").alias("n_approved"),
         )
     )
 
 
 def funnel_base(loans: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Counts of distinct loans and joined-row volumes per file date and channel."""
-    per_loan_day = (
-        status_filter(snapshots)
-        .groupBy("loan_number", F.col("filedt").cast("date").alias("filedt"), "channel")
-        .agg(F.sum("loan_amount").alias("amount"))
-    )
+    """Counts of distinct loans and joined-row volumes per file date and channel.
+
+    Takes raw tables or reduced ones.
+    """
+    if "kept" in snapshots.columns:
+        counted = snapshots.filter("kept")
+    else:
+        counted = status_filter(snapshots)
+    amount = F.col("loan_amount") * _copies(snapshots)
+    per_loan_day = counted.groupBy(
+        "loan_number", F.col("filedt").cast("date").alias("filedt"), "channel"
+    ).agg(F.sum(amount).cast("decimal(28,2)").alias("amount"))
     joined = per_loan_day.join(loan_stages(loans), "loan_number")
+
+    def volume(n: str):
+        product = F.col("amount") * F.col(n).cast("decimal(19,0)")
+        return F.sum(product.cast("decimal(38,2)")).cast("decimal(38,2)")
+
     return joined.groupBy("filedt", "channel").agg(
         F.count("*").alias("loan_count"),
-        F.sum(F.col("amount") * F.col("n_rows")).cast("decimal(38,2)").alias("loan_volume"),
+        volume("n_rows").alias("loan_volume"),
         F.count_if(F.col("n_funded") > 0).alias("funded_loan_count"),
-        F.sum(F.col("amount") * F.col("n_funded")).cast("decimal(38,2)").alias(
-            "funded_loan_volume"
-        ),
+        volume("n_funded").alias("funded_loan_volume"),
         F.count_if(F.col("n_submitted") > 0).alias("underwriting_submission_count"),
         F.count_if(F.col("n_approved") > 0).alias("initial_conditional_approval_count"),
     )
@@ -140,7 +178,7 @@ def pull_through(part: str, whole: str):
 
 def average_size(volume: str, count: str):
     """Mean amount per event with two decimals in exact arithmetic, null without events."""
-    mean = F.try_divide(F.col(volume).cast("decimal(28,2)"), F.col(count).cast("decimal(10,0)"))
+    mean = F.try_divide(F.col(volume).cast("decimal(28,2)"), F.col(count).cast("decimal(19,0)"))
     return mean.cast("decimal(18,2)")
 
 
@@ -156,7 +194,12 @@ def with_calendar(per_day: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def funnel_daily(loans: DataFrame, snapshots: DataFrame, calendar: DataFrame) -> DataFrame:
-    """The whole funnel: 17 metrics per weekday file date and channel."""
+    """The whole funnel: 17 metrics per weekday file date and channel.
+
+    Each table is read once and reduced; both halves start from the written reductions.
+    """
+    loans = stage(reduced_loans(loans), "loans")
+    snapshots = stage(reduced_snapshots(snapshots), "snapshots")
     events = event_counts(loans, snapshots).withColumnRenamed("dt", "filedt")
     joined = (
         funnel_base(loans, snapshots)
@@ -208,12 +251,37 @@ def funnel_daily_simple(loans: DataFrame, snapshots: DataFrame, calendar: DataFr
     return with_calendar(metrics, calendar)
 
 
+SUMMED = [
+    "loan_count", "loan_volume", "funded_loan_count", "funded_loan_volume",
+    "underwriting_submission_count", "initial_conditional_approval_count",
+    *COUNT_COLUMNS, *VOLUME_COLUMNS,
+]
+
+
 def funnel_series(funnel: DataFrame) -> DataFrame:
-    """Numeric view for indicators and signatures: series key, nulls as 0, doubles."""
-    keys = {"filedt", "channel"}
-    cols = [
-        F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
-        for c in funnel.columns
-        if c not in keys
-    ]
-    return funnel.select(F.col("channel").alias("series_id"), "filedt", *cols)
+    """Numeric view for indicators and signatures: series key, nulls as 0, doubles.
+
+    Series carry the names of the daily history: channels that normalise to one name are
+    added up, and percentages and sizes are taken from the sums.
+    """
+    columns = [c for c in funnel.columns if c not in ("filedt", "channel")]
+    summed = [c for c in SUMMED if c in columns]
+    kept = [c for c in CALENDAR_COLUMNS if c in columns]
+    rows = funnel.groupBy(normalized_channel(F.col("channel")).alias("series_id"), "filedt").agg(
+        *[F.sum(c).alias(c) for c in summed], *[F.max(c).alias(c) for c in kept]
+    )
+    derived = {
+        "pull_through_pct_count": pull_through("funded_loan_count", "loan_count"),
+        "pull_through_pct_volume": pull_through("funded_loan_volume", "loan_volume"),
+    }
+    if "approval_event_volume" in columns:
+        derived |= {
+            "avg_application_loan_size": average_size("application_volume", "application_count"),
+            "avg_underwriting_submission_loan_size": average_size(
+                "underwriting_submission_event_volume", "underwriting_submission_events"),
+            "avg_approval_loan_size": average_size("approval_event_volume", "approval_events"),
+        }
+    rows = rows.withColumns({k: v for k, v in derived.items() if k in columns})
+    return rows.select("series_id", "filedt", *[
+        F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns
+    ])

@@ -24,7 +24,7 @@ TRAIN_START = dt.date(1996, 9, 1)
 # Run dates whose horizons cover a December, a January and a spring month.
 RUN_TODAYS = (dt.date(2000, 11, 20), dt.date(2000, 12, 28), TODAY)
 # Months whose tuned parameters serve as the anchor table.
-ANCHOR_MONTHS = (dt.date(2000, 11, 1), dt.date(2001, 2, 1))
+ANCHOR_MONTHS = (dt.date(1999, 3, 1), dt.date(2001, 3, 1))
 # The study's and the backtest's fixed dates, moved onto the test data.
 MONTH_SHIFT = -300
 
