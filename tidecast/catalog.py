@@ -10,6 +10,7 @@ round the same way whatever an engine's tie rule.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -66,9 +67,9 @@ class Inputs:
     @cached_property
     def funded(self) -> DataFrame:
         since = dt.date(b.AS_OF.year - 5, b.AS_OF.month, b.AS_OF.day)
-        return b.funded_loans(
-            self.spark, self.directory, since, b.AS_OF + dt.timedelta(days=21)
-        )
+        until = cal_ops.nth_future_bizday_bound(
+            self.calendar, b.AS_OF, daily_ops.AHEAD_BIZ_DAYS).first()["upper_bound"]
+        return b.funded_loans(self.spark, self.directory, since, until)
 
     @cached_property
     def snapshots(self) -> DataFrame:
@@ -290,7 +291,7 @@ def _(x: Inputs) -> DataFrame:
     totals = x.history.groupBy("series_id", F.date_format("day", "yyyy-MM").alias("month")).agg(
         F.sum("amount").alias("amount"), F.count("*").alias("n_days")
     )
-    path = f"{staging_root(x.spark)}/tidecast/results-{dt.datetime.now().timestamp()}"
+    path = f"{staging_root(x.spark)}/tidecast/{uuid.uuid4().hex}/results"
     sinks.write_results(totals, path, "csv")
     return x.spark.read.schema("series_id string, month string, amount double, n_days long").csv(
         path, header=True
@@ -480,10 +481,9 @@ def _(x: Inputs) -> DataFrame:
     )
 
 
-plain("join_period_shift", "series_id lead:i month indicator_month regime value:6",
-      f"SELECT * FROM ladder_led WHERE indicator = '{sy.KEY_INDICATORS[0]}'",
-      lambda x: sy.lead_lag_join(
-          x.optimal, x.ladder.filter(F.col("indicator") == sy.KEY_INDICATORS[0])))
+plain("join_period_shift", "series_id lead:i indicator month indicator_month regime value:6",
+      "SELECT * FROM ladder_led",
+      lambda x: sy.lead_lag_join(x.optimal, x.ladder))
 
 
 def _run_windows(x: Inputs, days: int) -> DataFrame:
@@ -697,8 +697,7 @@ plain("agg_stddev", "series_id sd_pop:2 sd_samp:2",
       lambda x: x.history.groupBy("series_id").agg(
           F.stddev_pop("amount").alias("sd_pop"), F.stddev_samp("amount").alias("sd_samp")))
 CORR = "series_id lead:i indicator param correlation:3 n_obs:i"
-plain("agg_corr", CORR, "SELECT * FROM corrs WHERE param = 'regime_numeric'",
-      lambda x: sy.regime_correlations(x.correlations))
+plain("agg_corr", CORR, "SELECT * FROM corrs", lambda x: x.correlations)
 plain("agg_regime_stats", "series_id regime indicator mean:6 median:6 min:6 max:6 n:i",
       " UNION ALL ".join(
           f"""SELECT series_id, regime, '{c}' AS indicator, avg({c}) AS mean,
@@ -1120,9 +1119,8 @@ plain("regime_smoothing", SMOOTHED.replace("month ", ""),
       f"SELECT * FROM (SELECT *, {o.LATEST} AS rn FROM mrun_s) WHERE rn = 1",
       lambda x: rg.run_indicators(x.funnel, x.runs).withColumnRenamed("run_id", "series_id"))
 plain("lead_lag_join", "series_id lead:i indicator month indicator_month value:5 regime_numeric:2",
-      "SELECT * FROM ladder_led WHERE NOT contains(indicator, '_growth_')",
-      lambda x: sy.lead_lag_join(
-          x.optimal, x.ladder.filter(~F.col("indicator").contains("_growth_"))))
+      "SELECT * FROM ladder_led",
+      lambda x: sy.lead_lag_join(x.optimal, x.ladder))
 plain("correlation_sweep", CORR + " abs_corr:3", "SELECT * FROM corrs", lambda x: x.correlations)
 _CAL_HIT = " OR ".join(f"contains(indicator, '{w}')" for w in sy.CALENDAR_WORDS)
 _RANK = "row_number() OVER (PARTITION BY series_id ORDER BY abs_corr DESC, lead, indicator)"
@@ -1350,7 +1348,9 @@ def _analog(x: Inputs) -> af.AnalogForecast:
 plain("analog_forecast", "run_id day forecast:2 model_used",
       """SELECT f.run_id, f.day, f.forecast, 'analog_k3' AS model_used FROM af_blend f
         JOIN runs r ON r.run_id = f.run_id
-        WHERE f.day BETWEEN r.forecast_start AND r.forecast_end""",
+        WHERE f.day BETWEEN r.forecast_start AND r.forecast_end
+        UNION ALL SELECT run_id, NULL, NULL, 'none' FROM runs
+        WHERE run_id NOT IN (SELECT run_id FROM af_blend)""",
       lambda x: af.cut_to_horizon(_analog(x).blended, x.runs, 3))
 EVAL = "run_id series_id day source model_used actual:2 forecast:2 diff:2 pct_err:6"
 plain("eval_frame", EVAL, "SELECT * FROM evi",

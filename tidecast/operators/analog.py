@@ -313,9 +313,17 @@ def analog_topk_min_gap(distances: DataFrame, k: int = 5, min_gap_days: int = 14
     """The k nearest origins of every run that lie at least ``min_gap_days`` apart.
 
     One pass over a run's candidates in order of (distance, origin): a candidate is
-    taken unless k are taken or one of them is too near. A run holds at most one
-    candidate per day of history.
+    taken unless k are taken or one of them is too near. Only the first
+    (k - 1) * (2 * gap - 1) + 1 candidates of that order can be taken: origins are distinct
+    days, so each one taken rules out at most 2 * gap - 1 of them, itself included, and
+    before the last at most k - 1 are taken. A ranked window keeps those, so a
+    collected group has that bound, whatever the length of the history.
     """
+    reach = (k - 1) * (2 * max(min_gap_days, 1) - 1) + 1
+    nearest = Window.partitionBy("run_id", "series_id").orderBy("distance", "origin")
+    distances = distances.withColumn("place", F.row_number().over(nearest)).filter(
+        F.col("place") <= reach
+    )
     pair = F.struct("distance", "origin", "target_start", "target_end")
 
     def take(picked: Column, x: Column) -> Column:

@@ -27,6 +27,9 @@ WEIGHT_COLUMNS = [
 MEASURES = ["number_of_loans", "total_loan_amount"]
 
 
+# Fixed value: the history reaches this many business days past today.
+AHEAD_BIZ_DAYS = 3
+
 def channels(loans: DataFrame) -> DataFrame:
     return (
         loans.filter(channel_kept(F.col("channel")))
@@ -36,7 +39,7 @@ def channels(loans: DataFrame) -> DataFrame:
 
 
 def funded_per_day(loans: DataFrame, calendar: DataFrame, today: dt.date, years: int = 5,
-                   ahead_biz_days: int = 3) -> DataFrame:
+                   ahead_biz_days: int = AHEAD_BIZ_DAYS) -> DataFrame:
     """Loans and amount per channel and funding day: the only pass over the fact.
 
     Partial sums run before the shuffle, so a channel that holds a third of all
@@ -115,7 +118,7 @@ def calendar_weights(per_day: DataFrame) -> DataFrame:
 
 
 def channel_spine(loans: DataFrame, calendar: DataFrame, today: dt.date, years: int = 5,
-                  ahead_biz_days: int = 3) -> DataFrame:
+                  ahead_biz_days: int = AHEAD_BIZ_DAYS) -> DataFrame:
     """Dense grid of channels and days: every channel unfolds its own days, then
     looks up the (broadcast, day-bounded) calendar."""
     bound = nth_future_bizday_bound(calendar, today, ahead_biz_days).scalar()
@@ -143,7 +146,7 @@ def channel_spine(loans: DataFrame, calendar: DataFrame, today: dt.date, years:
 
 
 def daily_history(loans: DataFrame, calendar: DataFrame, today: dt.date, years: int = 5,
-                  ahead_biz_days: int = 3, funded: DataFrame | None = None) -> DataFrame:
+                  ahead_biz_days: int = AHEAD_BIZ_DAYS, funded: DataFrame | None = None) -> DataFrame:
     """Every day and channel of the trailing years, weekends zero.
 
     ``funded`` may hold the same loans already cut to (at least) the dates needed,

@@ -6,17 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions.predicates import known_override, source_label
+from tidecast.staging import days_of
 
 RUN_DATES = ["run_id", "series_id", "today", "known_through", "output_through"]
 
 
 def run_actuals(history: DataFrame, runs: DataFrame, lo: Column, hi: Column) -> DataFrame:
     """Actual amounts of every run's series within the run's own dates."""
-    return (
-        history.join(runs, "series_id")
-        .filter(F.col("day").between(lo, hi))
-        .withColumnRenamed("amount", "actual")
-    )
+    spans = days_of(runs.withColumns({"_from": lo, "_to": hi}), "_from", "_to").drop("_from", "_to")
+    return spans.join(history, ["series_id", "day"]).withColumnRenamed("amount", "actual")
 
 
 def stitch_actual_forecast(history: DataFrame, fc: DataFrame, runs: DataFrame) -> DataFrame:

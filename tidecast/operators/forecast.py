@@ -17,6 +17,7 @@ from tidecast.operators.structural import (
     lookup,
     seasonal_product,
 )
+from tidecast.staging import join_sharded, sharded
 
 
 def horizon_requests(runs: DataFrame, months_forward: Column | int = 1,
@@ -103,10 +104,13 @@ def forecast(fit: Fit, requests: DataFrame, calendar: DataFrame) -> DataFrame:
             }
         )
     )
-    on = ["run_id", "param_id"] if "param_id" in requests.columns else ["run_id"]
-    rows = flagged.join(fit.model, on)
+    if "param_id" in requests.columns:
+        rows = flagged.join(fit.model, ["run_id", "param_id"]).withColumn("shard", F.lit(0))
+    else:
+        shards = sharded(fit.fits.select("run_id", "param_id"), "param_id")
+        rows = join_sharded(sharded(fit.model, "param_id"), flagged, shards)
     dow, dom, moy = F.col("dow"), F.col("dom"), F.col("moy")
-    request = Window.partitionBy("run_id", "param_id", "req_id")
+    request = Window.partitionBy("run_id", "shard", "param_id", "req_id")
     rows = rows.withColumn("seasonal", seasonal_product(spec, dow, dom, moy, True))
     rows = rows.withColumn(
         "seasonal", F.try_divide(F.col("seasonal"), F.avg("seasonal").over(request))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidecast.functions.dates import business_day_add, month_start
 from tidecast.functions.numeric import clip
 from tidecast.schemas import PARAM_NAMES
-from tidecast.staging import spread, stage
+from tidecast.staging import days_of, join_sharded, salts, sharded, spread, stage
 
 TREND_KEY = ["run_id", "recency_strength"]
 LEVEL_KEY = [*TREND_KEY, "level_lookback_days"]
@@ -33,9 +33,6 @@ EFFECT_KEY = ["effect_key", "run_id", "salt"]
 SEASONAL_KEY = ["seasonal_key", "run_id"]
 DISTORTION_KEY = ["distortion_key", "run_id"]
 
-# The effect keys of one run unfold its rows in up to this many tasks.
-SALTS = 16
-
 TREND_COLUMNS = ["intercept", "slope", "n_train", "last_day"]
 WEEKDAYS = range(5)
 MOY_SLOTS = 13  # (weekday, month) pairs share one integer key
@@ -168,7 +165,8 @@ def with_step_keys(fits: DataFrame) -> DataFrame:
             "distortion_key": key(DISTORTION_PARAMS),
         }
     )
-    return keyed.withColumn("salt", F.pmod(F.xxhash64("effect_key"), F.lit(SALTS)).cast("int"))
+    return keyed.withColumn("salt", F.pmod(
+        F.xxhash64("effect_key"), F.lit(salts(fits.sparkSession))).cast("int"))
 
 
 def holiday_halo(holidays: DataFrame, before: int, after: int) -> DataFrame:
@@ -192,9 +190,8 @@ def training_rows(history: DataFrame, runs: DataFrame, calendar: DataFrame,
     """
     holidays = holiday_days(calendar)
     flag = holidays.select(F.col("calendar_date").alias("day"), F.lit(1).alias("hol"))
-    rows = history.join(
-        runs.select("run_id", "series_id", "train_start", "train_end"), "series_id"
-    ).filter(F.col("day").between(F.col("train_start"), F.col("train_end")))
+    span = runs.select("run_id", "series_id", "train_start", "train_end")
+    rows = days_of(span, "train_start", "train_end").join(history, ["series_id", "day"])
     if spec.exclude_months:
         rows = rows.filter(~F.month("day").isin(*spec.exclude_months))
     rows = rows.join(F.broadcast(flag), "day", "left")
@@ -363,7 +360,7 @@ def seasonal_cells(train: DataFrame, fits: DataFrame, spec: ModelSpec) -> DataFr
         "seasonal", "year_weight",
     )
     prod = prod.join(keys.select("run_id", "salt").distinct(), "run_id")
-    rows = _with_recency(prod.join(keys.hint("shuffle_hash"), ["run_id", "salt"]))
+    rows = _with_recency(prod.join(keys, ["run_id", "salt"]))
     rows = _with_line(
         rows.select("*", *[c.over(per_key).alias(n) for n, c in _trend_sums().items()])
     )
@@ -547,12 +544,13 @@ def expected_mean(train: DataFrame, effects: DataFrame, fits: DataFrame,
         F.count("*").alias("n_days")
     )
     s = seasonal_product(spec, F.col("dow"), F.col("dom"), F.col("moy"), spec.expected_uses_moy)
+    shards = sharded(fits.select("run_id", "seasonal_key"), "seasonal_key")
     means = (
-        keyed.join(days, "run_id")
-        .groupBy(*SEASONAL_KEY)
+        join_sharded(sharded(keyed, "seasonal_key"), days, shards)
+        .groupBy(*SEASONAL_KEY, "shard")
         .agg((F.sum(s * F.col("n_days")) / F.max("n_train")).alias("mean_seasonal"))
     )
-    return keyed.join(means, SEASONAL_KEY)
+    return keyed.join(means.drop("shard"), SEASONAL_KEY)
 
 
 def expected_value(spec: ModelSpec, t: Column) -> Column:
@@ -581,7 +579,9 @@ def expected_baseline(train: DataFrame, effects: DataFrame, fits: DataFrame,
                       spec: ModelSpec) -> DataFrame:
     """Expectation of every weekday training row, per distortion key."""
     keyed = _distortion_fits(train, effects, fits, spec)
-    return keyed.join(train.drop("n_train", "last_day", "series_id"), "run_id").select(
+    shards = sharded(fits.select("run_id", "distortion_key"), "distortion_key")
+    rows = train.drop("n_train", "last_day", "series_id")
+    return join_sharded(sharded(keyed, "distortion_key"), rows, shards).select(
         *DISTORTION_KEY, "day", "y", "dow", "moy", "prod",
         expected_value(spec, F.col("t")).alias("expected"),
     )
@@ -644,8 +644,9 @@ def fit_holiday_distortion(train: DataFrame, effects: DataFrame, fits: DataFrame
     )
     keyed = _distortion_fits(train, effects, fits, spec)
     k = spec.holiday_shrinkage
+    shards = sharded(fits.select("run_id", "distortion_key"), "distortion_key")
     ratios = (
-        keyed.join(near, "run_id")
+        join_sharded(sharded(keyed, "distortion_key"), near, shards)
         .withColumn("expected", expected_value(spec, F.col("t_expected")))
         .filter(F.col("expected") > 0)
         .groupBy(*DISTORTION_KEY, "holiday_dow", "offset")
@@ -684,9 +685,10 @@ def fit_cliff_ratio(train: DataFrame, spec: ModelSpec) -> DataFrame:
 
 def fit_monthly_totals(history: DataFrame, runs: DataFrame) -> DataFrame:
     """Target per run and calendar month of its training rows."""
+    span = runs.select("run_id", "series_id", "train_start", "train_end")
     return (
-        history.join(runs.select("run_id", "series_id", "train_start", "train_end"), "series_id")
-        .filter(F.col("day").between(F.col("train_start"), F.col("train_end")))
+        days_of(span, "train_start", "train_end")
+        .join(history, ["series_id", "day"])
         .groupBy("run_id", month_start(F.col("day")).alias("month"))
         .agg(F.sum("amount").alias("total"))
     )
@@ -719,6 +721,7 @@ class Fit:
 
     spec: ModelSpec
     train: DataFrame
+    fits: DataFrame
     effects: DataFrame
     model: DataFrame
 
@@ -782,4 +785,4 @@ def fit_model(history: DataFrame, runs: DataFrame, fits: DataFrame, calendar: Da
             )
         )
         model = model.join(totals, "run_id", "left")
-    return Fit(spec, train, effects, spread(model, ["run_id", "param_id"]))
+    return Fit(spec, train, fits, effects, spread(model, ["run_id", "param_id"]))

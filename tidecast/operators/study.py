@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The tuned quantities, the leads in months, the indicators of the score
+# and the words that mark calendar indicators.
 TARGETS = [
     "regime_numeric",
     "trend_dampening",
@@ -49,7 +51,8 @@ def correlation_sweep(params: DataFrame, ladder: DataFrame, min_obs: int = 4) ->
     """Pearson correlation of every (lead, indicator, target).
 
     The targets unfold per joined row, so all correlations are one aggregation.
-    Pairs with a missing value drop; constant columns give no correlation.
+    Pairs with a missing value drop; constant columns give no correlation. Results have three
+    digits, halves to even.
     """
     joined = lead_lag_join(params, ladder.filter(F.col("value").isNotNull()))
     targets = F.array(
@@ -72,8 +75,8 @@ def correlation_sweep(params: DataFrame, ladder: DataFrame, min_obs: int = 4) ->
         )
         .select(
             "series_id", "lead", "indicator", "param",
-            F.round(F.round("r", 12), 3).alias("correlation"),
-            F.round(F.round(F.abs("r"), 12), 3).alias("abs_corr"),
+            F.bround(F.round("r", 12), 3).alias("correlation"),
+            F.bround(F.round(F.abs("r"), 12), 3).alias("abs_corr"),
             "n_obs",
         )
     )

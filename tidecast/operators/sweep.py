@@ -18,6 +18,7 @@ from tidecast.operators.analog import nearest_anchor
 from tidecast.operators.forecast import forecast, horizon_requests
 from tidecast.operators.structural import ModelSpec, fit_model
 from tidecast.schemas import PARAM_NAMES, PARAM_TYPES
+from tidecast.staging import days_of
 
 MIN_TRAINING_ROWS = 100
 
@@ -147,14 +148,14 @@ def param_override(fits: DataFrame, overrides: dict[str, float] | None = None) -
 
 def score_params(history: DataFrame, windows: DataFrame, fits: DataFrame, calendar: DataFrame,
                  spec: ModelSpec, months_forward: Column | int = 1) -> DataFrame:
-    """Forecast and actual window total of every (window, parameter set)."""
+    """Forecast and actual window total of every (window, parameter set), with its parameters."""
     fit = fit_model(history, windows, fits, calendar, spec)
     fit = replace(fit, model=fit.model.filter(F.col("n_train") >= MIN_TRAINING_ROWS))
     requests = horizon_requests(windows, months_forward, "target_start")
+    span = windows.select("run_id", "series_id", "target_start", "target_end")
     actuals = (
-        windows.select("run_id", "series_id", "target_start", "target_end")
-        .join(history, "series_id")
-        .filter(F.col("day").between(F.col("target_start"), F.col("target_end")))
+        days_of(span, "target_start", "target_end")
+        .join(history, ["series_id", "day"])
         .filter((F.weekday("day") < 5) & (F.col("amount") > 0))
         .select("run_id", "day", "amount")
     )
@@ -164,6 +165,7 @@ def score_params(history: DataFrame, windows: DataFrame, fits: DataFrame, calend
         fc.join(actuals, ["run_id", "day"])
         .groupBy("run_id", "param_id")
         .agg(F.sum("forecast").alias("forecast_total"))
+        .join(fit.fits.select("run_id", "param_id", *PARAM_NAMES), ["run_id", "param_id"])
         .join(totals, "run_id")
         .withColumn(
             "signed_pct_err",
@@ -176,19 +178,19 @@ def score_params(history: DataFrame, windows: DataFrame, fits: DataFrame, calend
 SCORE_COLUMNS = ["param_id", "forecast_total", "actual_total", "signed_pct_err", "abs_pct_err"]
 
 
-def argmin_params(scored: DataFrame, fits: DataFrame) -> DataFrame:
-    """Lowest error per window; the first parameter set wins ties."""
-    best = (
+def argmin_params(scored: DataFrame) -> DataFrame:
+    """Lowest error per window with its parameters; the first parameter set wins ties."""
+    return (
         scored.filter(F.col("abs_pct_err").isNotNull())
         .groupBy("run_id")
         .agg(
             F.min_by(
-                F.struct(*SCORE_COLUMNS), F.struct(F.round("abs_pct_err", 9), F.col("param_id"))
+                F.struct(*SCORE_COLUMNS, *PARAM_NAMES),
+                F.struct(F.round("abs_pct_err", 9), F.col("param_id")),
             ).alias("b")
         )
         .select("run_id", "b.*")
     )
-    return best.join(fits, ["run_id", "param_id"])
 
 
 def param_sweep(history: DataFrame, windows: DataFrame, grid: dict[str, list[float]],
@@ -196,9 +198,7 @@ def param_sweep(history: DataFrame, windows: DataFrame, grid: dict[str, list[flo
                 months_forward: Column | int = 1) -> DataFrame:
     """Best grid point of every window."""
     fits = expand_grid(windows, grid)
-    return argmin_params(
-        score_params(history, windows, fits, calendar, spec, months_forward), fits
-    )
+    return argmin_params(score_params(history, windows, fits, calendar, spec, months_forward))
 
 
 def search_params(history: DataFrame, windows: DataFrame, calendar: DataFrame, spec: ModelSpec,
@@ -208,7 +208,7 @@ def search_params(history: DataFrame, windows: DataFrame, calendar: DataFrame, s
     if anchors is not None:
         fits = fits.unionByName(warm_start_params(windows, anchors))
     months = months_spanned(F.col("target_start"), F.col("target_end")) + 1
-    return argmin_params(score_params(history, windows, fits, calendar, spec, months), fits)
+    return argmin_params(score_params(history, windows, fits, calendar, spec, months))
 
 
 def value_counts(best: DataFrame, names: tuple[str, ...] = PARAM_NAMES, *keys: str) -> DataFrame:

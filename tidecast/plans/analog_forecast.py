@@ -139,13 +139,20 @@ def analog_forecast(
 
 
 def cut_to_horizon(blended: DataFrame, runs: DataFrame, k: int) -> DataFrame:
-    """The blended forecast up to the forecast end, labelled by its method."""
+    """The blended forecast up to the forecast end, labelled by its method.
+
+    A run without one (no analog, or a match with too little history to tune) has a single row
+    without a day, labelled ``none``.
+    """
     ends = runs.select("run_id", "forecast_start", "forecast_end")
-    return (
+    cut = (
         blended.join(ends, "run_id")
         .filter(F.col("day").between(F.col("forecast_start"), F.col("forecast_end")))
         .select("run_id", "day", "forecast", F.lit(f"analog_k{k}").alias("model_used"))
     )
+    return runs.select("run_id").join(cut, "run_id", "left").withColumn(
+        "model_used", F.coalesce("model_used", F.lit("none"))
+    )
 
 
 def match_label(matches: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidecast.functions.dates import business_day_add, months_spanned
 from tidecast.operators.evaluate import within_bands
 from tidecast.plans.analog_forecast import AnalogIndex, analog_forecast, match_label
+from tidecast.staging import days_of
 
 # The date ranges, as first and last day.
 DATE_RANGES = (
@@ -69,10 +70,10 @@ def batch_backtest(history: DataFrame, index: AnalogIndex, runs: DataFrame, cale
         .groupBy("run_id")
         .agg(F.sum("forecast").alias("forecast_sum"))
     )
+    span = runs.select("run_id", "series_id", "range_start", "range_end", "actuals_through")
     actuals = (
-        runs.select("run_id", "series_id", "range_start", "range_end", "actuals_through")
-        .join(history, "series_id")
-        .filter(F.col("day").between(F.col("range_start"), F.col("range_end")))
+        days_of(span, "range_start", "range_end")
+        .join(history, ["series_id", "day"])
         .filter(F.weekday("day") < 5)
         .groupBy("run_id")
         .agg(

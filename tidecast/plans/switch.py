@@ -82,13 +82,17 @@ def switch_bizday(history: DataFrame, runs: DataFrame, calendar: DataFrame,
 
 def regime_requests(funnel: DataFrame, runs: DataFrame, calendar: DataFrame,
                     months_forward: int) -> DataFrame:
-    """The month requests of every run with regime, model and parameter set."""
+    """The month requests of every run with regime, model and parameter set.
+
+    A run without funnel has no regime; its months outside December are labelled ``none``.
+    """
     spark = runs.sparkSession
     scores = run_indicators(funnel, runs).select(
         "run_id", weighted_composite().alias("composite")
     )
     december = F.month("month") == 12
-    regime = regime_label(F.month("month"), F.col("composite"), WEIGHTED_THRESHOLD)
+    regime = F.when(F.col("composite").isNotNull(), regime_label(
+        F.month("month"), F.col("composite"), WEIGHTED_THRESHOLD))
     return (
         switch_months(runs, calendar, months_forward)
         .join(scores, "run_id", "left")
@@ -97,27 +101,33 @@ def regime_requests(funnel: DataFrame, runs: DataFrame, calendar: DataFrame,
         .withColumn("param_id", F.coalesce("param_id", F.lit(0).cast("long")))
         .withColumn(
             "model_used",
-            F.when(december, F.lit("C")).otherwise(
-                F.concat(F.lit("A("), F.col("regime"), F.lit(")"))
-            ),
+            F.when(december, F.lit("C"))
+            .when(F.col("regime").isNull(), F.lit("none"))
+            .otherwise(F.concat(F.lit("A("), F.col("regime"), F.lit(")"))),
         )
     )
 
 
 def switch_regime(history: DataFrame, funnel: DataFrame, runs: DataFrame, calendar: DataFrame,
                   months_forward: int = 2) -> DataFrame:
-    """December takes model C, other months model A with their regime's parameters."""
+    """December takes model C, other months model A with their regime's parameters.
+
+    A month without a regime has a single row without a day.
+    """
     spark = runs.sparkSession
     requests = stage(regime_requests(funnel, runs, calendar, months_forward), "requests")
-    a = requests.filter("model_used <> 'C'")
+    a = requests.filter("model_used NOT IN ('C', 'none')")
     fits_a = (
         a.select("run_id", "param_id").distinct()
         .join(F.broadcast(regime_params(spark).drop("regime")), "param_id")
     )
     c = requests.filter("model_used = 'C'")
     fits_c = default_fits(c.select("run_id").distinct(), MODEL_C)
-    return _forecast_part(history, runs, calendar, a, fits_a, MODEL_A).unionByName(
-        _forecast_part(history, runs, calendar, c, fits_c, MODEL_C)
+    status = requests.filter("model_used = 'none'").select("run_id", "model_used").distinct()
+    return (
+        _forecast_part(history, runs, calendar, a, fits_a, MODEL_A)
+        .unionByName(_forecast_part(history, runs, calendar, c, fits_c, MODEL_C))
+        .unionByName(status, allowMissingColumns=True)
     )
 
 

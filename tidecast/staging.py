@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -40,17 +41,41 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salts(spark: SparkSession) -> int:
+    """Into how many tasks the rows of one key may be split: the session's shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash a table that later unfolds into many rows over enough tasks for all cores.
+    """Hash a table that later unfolds into many rows over all shuffle partitions.
 
     Fitted parameter sets are few bytes but much work each; left to its size, such a
     table would end up in one task. Steps keyed by ``keys`` then need no exchange.
     The reversed key order keeps the planner from merging this exchange with an
     earlier one by the same keys, which would be coalesced by size again.
     """
-    spark = df.sparkSession
-    n = min(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        2 * spark.sparkContext.defaultParallelism,
-    )
-    return df.repartition(n, *reversed(keys))
+    return df.repartition(salts(df.sparkSession), *reversed(keys))
+
+
+def sharded(df: DataFrame, by: str) -> DataFrame:
+    """Adds ``shard``, which splits the parameter rows of a run by one of their keys."""
+    n = salts(df.sparkSession)
+    return df.withColumn("shard", F.pmod(F.xxhash64(by), F.lit(n)).cast("int"))
+
+
+def join_sharded(keyed: DataFrame, rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """Rows of a run with its parameter rows, in the tasks of (run, shard).
+
+    ``shards`` holds the distinct (run_id, shard) in use. The rows of a run are copied to
+    those before they meet the parameters, so no exchange by the run alone carries a row per
+    parameter set.
+    """
+    copied = rows.join(shards.select("run_id", "shard").distinct(), "run_id")
+    return keyed.join(copied, ["run_id", "shard"])
+
+
+def days_of(runs: DataFrame, start: str, end: str, day: str = "day") -> DataFrame:
+    """A row per run and day from ``start`` to ``end``, to meet a daily table by (series, day)
+    instead of meeting a series' whole history. Runs whose span is empty have no row."""
+    span = F.when(F.col(start) <= F.col(end), F.sequence(start, end))
+    return runs.withColumn(day, F.explode(span))
