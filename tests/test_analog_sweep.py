@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +22,29 @@ def distances(spark, rows):
         "distance double")
 
 
+def greedy(rows, k, gap):
+    picked = []
+    for distance, origin in sorted(rows):
+        if len(picked) < k and all(abs((origin - o).days) >= gap for _, o in picked):
+            picked.append((distance, origin))
+    return picked
+
+
+@pytest.mark.parametrize("k,gap", [(1, 1), (3, 14), (5, 30), (4, 1)])
+def test_min_gap_matches_a_greedy_pass_with_ties(spark, k, gap):
+    rnd = random.Random(4)
+    runs = {}
+    for r in range(12):
+        at = rnd.sample(range(200), rnd.choice([3, 40, 200]))
+        runs[f"r{r}"] = [(float(rnd.randint(0, 5)), D(2000, 1, 1) + dt.timedelta(days=d)) for d in at]
+    rows = [(r, o, d) for r, pairs in runs.items() for d, o in pairs]
+    got = {}
+    for r in an.analog_topk_min_gap(distances(spark, rows).repartition(5), k, gap).collect():
+        got.setdefault(r.run_id, []).append((r["rank"], r.distance, r.origin))
+    assert {r: [x[1:] for x in sorted(v)] for r, v in got.items()} == {
+        r: greedy(pairs, k, gap) for r, pairs in runs.items()}
+
+
 def test_min_gap_is_greedy_and_complete(spark):
     import random
     rnd = random.Random(5)
@@ -130,9 +154,9 @@ def test_argmin_takes_the_first_of_ties(spark):
          ("r", 0, 1.0, 1.0, None, None)],
         "run_id string, param_id long, forecast_total double, actual_total double, "
         "signed_pct_err double, abs_pct_err double")
-    fits = spark.createDataFrame([("r", i) for i in range(4)], "run_id string, param_id long")
-    best = sw.argmin_params(scored, fits).collect()
-    assert [(r.param_id, r.signed_pct_err) for r in best] == [(1, -0.5)]
+    scored = scored.withColumns({p: F.col("param_id") * 10 for p in PARAM_NAMES})
+    best = sw.argmin_params(scored).collect()
+    assert [(r.param_id, r.signed_pct_err, r.dow_shrinkage) for r in best] == [(1, -0.5, 10)]
 
 
 def registry(spark, rows):

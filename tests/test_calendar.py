@@ -1,10 +1,12 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from brute import weekdays_step
 from tidecast.functions.dates import business_day_add, months_spanned, week_of_month
 from tidecast.operators import calendar as c
+from tidecast.staging import days_of
 
 
 def test_federal_holiday_counts(spark):
@@ -58,3 +60,18 @@ def test_months_spanned(spark):
         [(dt.date(2024, 12, 31), dt.date(2025, 1, 1)), (dt.date(2024, 5, 1), dt.date(2024, 5, 31))],
         "a date, b date")
     assert [r.m for r in d.select(months_spanned(F.col("a"), F.col("b")).alias("m")).collect()] == [2, 1]
+
+
+def test_bound_needs_a_calendar_that_reaches_it(spark):
+    cal = c.calendar_dimension(spark, dt.date(2024, 1, 1), dt.date(2024, 3, 8))
+    assert c.nth_future_bizday_bound(cal, dt.date(2024, 3, 4), 3).first()[0] == dt.date(2024, 3, 7)
+    with pytest.raises(Exception, match="fewer than 5 business days"):
+        c.nth_future_bizday_bound(cal, dt.date(2024, 3, 4), 5).collect()
+
+
+def test_days_of_unfolds_only_real_spans(spark):
+    runs = spark.createDataFrame(
+        [("a", dt.date(2024, 2, 28), dt.date(2024, 3, 1)), ("b", dt.date(2024, 3, 2), dt.date(2024, 3, 1)),
+         ("c", dt.date(2024, 3, 2), None)], "run_id string, lo date, hi date")
+    got = [(r.run_id, r.day) for r in days_of(runs, "lo", "hi").orderBy("day").collect()]
+    assert got == [("a", dt.date(2024, 2, 28)), ("a", dt.date(2024, 2, 29)), ("a", dt.date(2024, 3, 1))]

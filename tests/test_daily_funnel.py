@@ -2,6 +2,8 @@ import datetime as dt
 from collections import defaultdict
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from tidecast.operators import calendar as c
 from tidecast.operators import daily, funnel
 from tidecast.schemas import LOANS, SNAPSHOTS, require
@@ -123,6 +125,41 @@ def test_a_hot_loan_stays_exact(spark):
     assert e.application_count == 29 and e.application_volume == Decimal(2 + 28 * 3)
 
 
+def test_counts_above_32_bits_stay_exact(spark):
+    many = 3_000_000_000
+    loans = funnel.reduced_loans(spark.createDataFrame(
+        [loan(1, "Retail", D(2024, 3, 4), "1.00", D(2024, 3, 4))], LOANS)).withColumn("n_rows", F.lit(many))
+    snaps = spark.createDataFrame([(1, D(2024, 3, 4), "Retail", Decimal("2.50"), "0200")], SNAPSHOTS)
+    reduced = funnel.reduced_snapshots(snaps).withColumn("n_rows", F.lit(many))
+    r = funnel.funnel_base(loans, reduced).first()
+    assert r.loan_count == 1
+    assert r.loan_volume == r.funded_loan_volume == Decimal("2.50") * many * many
+
+
+def test_reduced_tables_give_the_same_funnel(spark):
+    loans, snaps, _ = tables(spark)
+    raw = funnel.funnel_base(loans, snaps)
+    reduced = funnel.funnel_base(funnel.reduced_loans(loans), funnel.reduced_snapshots(snaps))
+    assert sorted(raw.collect()) == sorted(reduced.collect())
+    events = funnel.event_counts(loans, snaps)
+    again = funnel.event_counts(funnel.reduced_loans(loans), funnel.reduced_snapshots(snaps))
+    assert sorted(events.collect(), key=str) == sorted(again.collect(), key=str)
+
+
+def test_series_add_up_the_names_of_a_channel(spark):
+    loans = spark.createDataFrame(
+        [loan(1, "National Corr", D(2024, 3, 4), "1.00", D(2024, 3, 4)),
+         loan(2, "Correspondent", None, "1.00", D(2024, 3, 4))], LOANS)
+    snaps = spark.createDataFrame(
+        [(1, D(2024, 3, 4), "National Corr", Decimal("30.00"), "0200"),
+         (2, D(2024, 3, 4), "Correspondent", Decimal("10.00"), "0200")], SNAPSHOTS)
+    cal = tables(spark)[2]
+    rows = funnel.funnel_series(funnel.funnel_daily(loans, snaps, cal)).collect()
+    assert [(r.series_id, r.loan_count, r.loan_volume) for r in rows] == [("Correspondent", 2.0, 40.0)]
+    assert rows[0].pull_through_pct_count == 50.0 and rows[0].pull_through_pct_volume == 75.0
+    assert rows[0].application_count == 2.0 and rows[0].avg_application_loan_size == 20.0
+
+
 def test_require_reports_missing_and_mistyped(spark):
     import pytest
     loans, _, _ = tables(spark)
