@@ -42,6 +42,8 @@ from tidecast.llm.columnar import (
 )
 
 ANCHOR = 16
+#: Anchors have small hashes, being the least of a window; exchanged ones are hashed again to be even.
+SALT = np.uint64(0x5851F42D4C957F2D)
 #: Text hashed, and suffixes copied, at a time.
 SLICE, ROWS = 1 << 19, 1 << 13
 
@@ -95,7 +97,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> Anchors:
                 end = np.append(run[1:] - 1, len(place) - 1)
                 at = place[run]
                 found.append((np.searchsorted(off, at, side="right") - 1 + first, at + base_,
-                              start[run] + base_, start[end] + base_, h[at]))
+                              start[run] + base_, start[end] + base_, mix(h[at] + SALT)))
         first = last
     none = np.zeros(0, np.int64)
     if not found:
