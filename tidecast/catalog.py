@@ -1176,16 +1176,30 @@ plain("classification_table", "series_id period regime predicted_regime composit
 FORECAST = "run_id param_id:i day forecast:2"
 
 
-@query("fit_masks", "run_id day prod in_halo seasonal",
-       """SELECT t.run_id, t.day, t.prod, t.day IN (SELECT d FROM mb_halo) AS in_halo,
-         s.day IS NOT NULL AS seasonal FROM mb_tr t
-         LEFT JOIN mb_se s ON s.run_id = t.run_id AND s.day = t.day WHERE t.dow < 5""")
-def _(x: Inputs) -> DataFrame:
-    return x.train(st.MODEL_B)
+def _per_model(sql: str) -> str:
+    """The SQL once per model, with its prefix as {p} and its name as a column."""
+    return " UNION ALL ".join(
+        f"SELECT '{spec.name}' AS model, z.* FROM ({sql.format(p=p)}) z" for p, spec in o.SPECS.items())
 
 
-plain("fit_trend", "run_id intercept:8 slope:10", "SELECT * FROM ma_tre",
-      lambda x: st.fit_trend(x.train(st.MODEL_A), st.default_fits(x.runs, st.MODEL_A)))
+def _each_model(part: Callable[[st.ModelSpec], DataFrame]) -> DataFrame:
+    out = None
+    for spec in o.SPECS.values():
+        rows = part(spec).withColumn("model", F.lit(spec.name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+plain("fit_masks", "model run_id day prod in_halo seasonal",
+      " UNION ALL ".join(
+          f"""SELECT '{spec.name}' AS model, t.run_id, t.day, t.prod,
+            {f't.day IN (SELECT d FROM {p}_halo)' if spec.exclude_halo else 'false'} AS in_halo,
+            s.day IS NOT NULL AS seasonal FROM {p}_tr t
+            LEFT JOIN {p}_se s ON s.run_id = t.run_id AND s.day = t.day WHERE t.dow < 5"""
+          for p, spec in o.SPECS.items()),
+      lambda x: _each_model(x.train))
+plain("fit_trend", "model run_id intercept:8 slope:10", _per_model("SELECT * FROM {p}_tre"),
+      lambda x: _each_model(lambda s: st.fit_trend(x.train(s), st.default_fits(x.runs, s))))
 
 
 def _level(x: Inputs, spec: st.ModelSpec) -> DataFrame:
@@ -1194,8 +1208,8 @@ def _level(x: Inputs, spec: st.ModelSpec) -> DataFrame:
     return st.fit_base_level(train, st.fit_trend(train, fits), fits, spec)
 
 
-plain("fit_base_level", "run_id base_level:8 n_train:i", "SELECT * FROM ma_lev",
-      lambda x: _level(x, st.MODEL_A))
+plain("fit_base_level", "model run_id base_level:8 n_train:i", _per_model("SELECT * FROM {p}_lev"),
+      lambda x: _each_model(lambda s: _level(x, s)))
 plain("fit_base_level_ranked", "run_id base_level:8 n_train:i", "SELECT * FROM mr_lev",
       lambda x: _level(x, st.MODEL_R))
 plain("fit_dow_effect", "model run_id k:i e:8",
@@ -1224,9 +1238,8 @@ def _effect_union(x: Inputs, column: str) -> DataFrame:
     return out
 
 
-@query("fit_interaction", "run_id dow:i moy:i e:8", "SELECT * FROM ma_int")
-def _(x: Inputs) -> DataFrame:
-    _, fits, effects = x.steps(st.MODEL_A)
+def _interactions(x: Inputs, spec: st.ModelSpec) -> DataFrame:
+    _, fits, effects = x.steps(spec)
     rows = effects.join(fits.select("run_id", "interaction_shrinkage"), "run_id").select(
         "run_id", "interaction_shrinkage", F.explode("int_ratio").alias("k", "r"))
     s = F.col("interaction_shrinkage")
@@ -1235,16 +1248,23 @@ def _(x: Inputs) -> DataFrame:
         (F.col("k") % st.MOY_SLOTS).alias("moy"), ((1 - s) * F.col("r") + s).alias("e"))
 
 
+plain("fit_interaction", "model run_id dow:i moy:i e:8", _per_model("SELECT * FROM {p}_int"),
+      lambda x: _each_model(lambda s: _interactions(x, s)))
+
+
 plain("fit_effects", "run_id k:i e:8",
       "SELECT run_id, dow * 13 + moy AS k, (e - 0.35) / 0.65 AS e FROM ma_int",
       lambda x: _effect_rows(x.steps(st.MODEL_A)[2], "int_ratio"))
 
 
-@query("expected_baseline", "run_id day expected:2",
-       "SELECT run_id, day, expected FROM ma_ex WHERE dow < 5")
-def _(x: Inputs) -> DataFrame:
-    train, fits, effects = x.steps(st.MODEL_A)
-    return st.expected_baseline(train, effects, fits, st.MODEL_A)
+def _expected(x: Inputs, spec: st.ModelSpec) -> DataFrame:
+    train, fits, effects = x.steps(spec)
+    return st.expected_baseline(train, effects, fits, spec)
+
+
+plain("expected_baseline", "model run_id day expected:2",
+      _per_model("SELECT run_id, day, expected FROM {p}_ex WHERE dow < 5"),
+      lambda x: _each_model(lambda s: _expected(x, s)))
 
 
 plain("holiday_halo", "series_id day amount:2",

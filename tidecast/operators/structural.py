@@ -577,13 +577,16 @@ def _distortion_fits(train: DataFrame, effects: DataFrame, fits: DataFrame,
 
 def expected_baseline(train: DataFrame, effects: DataFrame, fits: DataFrame,
                       spec: ModelSpec) -> DataFrame:
-    """Expectation of every weekday training row, per distortion key."""
+    """Expectation of every weekday training row, per distortion key.
+
+    A model that looks back a limited time counts days from there and leaves out earlier rows.
+    """
     keyed = _distortion_fits(train, effects, fits, spec)
     shards = sharded(fits.select("run_id", "distortion_key"), "distortion_key")
-    rows = train.drop("n_train", "last_day", "series_id")
+    rows = train.filter("t_expected >= 0").drop("n_train", "last_day", "series_id")
     return join_sharded(sharded(keyed, "distortion_key"), rows, shards).select(
         *DISTORTION_KEY, "day", "y", "dow", "moy", "prod",
-        expected_value(spec, F.col("t")).alias("expected"),
+        expected_value(spec, F.col("t_expected")).alias("expected"),
     )
 
 
