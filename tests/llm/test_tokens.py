@@ -43,6 +43,17 @@ def test_ids_equal_the_library(spec, library):
         assert encoder.decode(mine) == library.decode(ref.ids, skip_special_tokens=False) == t
 
 
+def test_letters_and_numbers_of_all_planes(spec, library):
+    rng = random.Random(5)
+    texts = [f"a{chr(c)}1{chr(c)}{chr(c)}! {chr(c)}" for c in [
+        *range(0x500, 0xD800, 7), *range(0xE000, 0x34000, 11), *range(0x3D000, 0x3FD00, 50)]]
+    texts += ["".join(chr(rng.choice([rng.randint(32, 126), rng.randint(0, 0xD7FF), rng.randint(0xE000, 0x3FFFF)]))
+                      for _ in range(30)) for _ in range(2000)]
+    for t, mine, ref in zip(texts, bpe.Encoder(spec)(texts),
+                            library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert mine == packed(ref.ids), t
+
+
 def test_whole_test_table_equals_the_library(spark, spec, library):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     text = {r["doc_id"]: r["text"] for r in docs.collect()}

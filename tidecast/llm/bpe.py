@@ -36,11 +36,33 @@ from tidecast.llm.columnar import slices, texts
 #: white space spelled as the Unicode property.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: Code points that the installed regex library takes for letters and numbers,
+#: and the tokenizers library, with older or other tables, does not (or the other way round).
+OTHER_LETTERS = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D "
+    "107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 "
+    "16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 "
+    "191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF "
+    "1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F "
+    "2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+)
+OTHER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 NEVER, FOREVER = -1, 1 << 60
 #: Distinct words whose ids a task remembers.
 REMEMBERED = 600_000
 
 
+def _class(ranges: str) -> str:
+    ends = [[chr(int(x, 16)) for x in r.split("-")] for r in ranges.split()]
+    return "[" + "".join("-".join(map(regex.escape, r)) for r in ends) + "]"
+
+
+def strict_pattern() -> str:
+    """The pattern with letters and numbers as the tokenizers library has them."""
+    letters, numbers = rf"[\p{{L}}--{_class(OTHER_LETTERS)}]", rf"[\p{{N}}--{_class(OTHER_NUMBERS)}]"
+    return "(?V1)" + PATTERN.replace(r"\p{L}", letters).replace(r"\p{N}", numbers)
+
+
 def byte_alphabet() -> dict[str, int]:
     """Printable characters that stand for bytes in byte-level vocabularies.
 
@@ -220,12 +242,17 @@ class Encoder:
         if spec.digest not in _compiled:
             _compiled[spec.digest] = Automaton(spec), {}
         self.automaton, self.known = _compiled[spec.digest]
-        self.split = regex.compile(PATTERN).findall
+        self.plain = regex.compile(PATTERN).findall
+        self.strict = regex.compile(strict_pattern()).findall
+        self.other = regex.compile(_class(OTHER_LETTERS + OTHER_NUMBERS)).search
         self.labels = self.automaton.labels
         self.added = {label.decode(): struct.pack("<I", i) for label, i in spec.added if label}
         names = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
+    def split(self, text: str) -> list[str]:
+        return self.plain(text) if text.isascii() or not self.other(text) else self.strict(text)
+
     def pieces(self, text: str) -> list[str]:
         """Words and added tokens of a text."""
         if self.special is None or not any(t in text for t in self.added):
