@@ -40,7 +40,7 @@ from tidecast.plans import switch as swi
 from tidecast.schemas import PARAM_NAMES
 from tidecast.sources import binding as b
 from tidecast.sources import readers, sinks
-from tidecast.staging import stage, staging_root
+from tidecast.staging import in_parallel, stage, staging_root
 
 UNTIL = dt.date.fromisoformat(o.UNTIL)
 
@@ -176,7 +176,13 @@ class Inputs:
             sw.anchors_from_sweep(self.month_best, self.month_windows, b.TODAY), "anchors"
         )
 
+    def prepare(self) -> None:
+        """Index, anchors and runs side by side; all of them read the calendar and the history."""
+        _ = self.calendar, self.history
+        in_parallel(self.spark, lambda: self.index, lambda: self.anchors, lambda: self.runs)
+
     def backtest(self) -> DataFrame:
+        self.prepare()
         runs = stage(bt.backtest_runs(self.series, b.TRAIN_START, b.MONTH_SHIFT), "runs")
         return bt.batch_backtest(
             self.history, self.index, runs, self.calendar, b.TRAIN_START, n_trials=o.TRIALS,
@@ -1360,6 +1366,7 @@ plain("tuning_summary", f"series_id {BANDS}",
 
 
 def _analog(x: Inputs) -> af.AnalogForecast:
+    x.prepare()
     return af.analog_forecast(
         x.history, x.index, x.runs, x.calendar, b.TRAIN_START, n_trials=o.TRIALS,
         anchors=x.anchors)

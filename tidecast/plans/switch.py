@@ -24,7 +24,7 @@ from tidecast.operators.structural import (
     default_fits,
     fit_model,
 )
-from tidecast.staging import stage
+from tidecast.staging import in_parallel, stage
 
 OUTPUT = ["run_id", "day", "forecast", "model_used", "n_biz_days"]
 
@@ -71,13 +71,16 @@ def switch_bizday(history: DataFrame, runs: DataFrame, calendar: DataFrame,
     months = switch_months(runs, calendar, months_forward).withColumns(
         {"model_used": choice, "param_id": F.lit(0).cast("long")}
     )
-    out = None
-    for spec in (MODEL_A, MODEL_B, MODEL_C):
+    months = stage(months, "months")
+
+    def of(spec: ModelSpec) -> DataFrame:
         part = months.filter(F.col("model_used") == spec.name)
         fits = default_fits(part.select("run_id").distinct(), spec)
-        fc = _forecast_part(history, runs, calendar, part, fits, spec)
-        out = fc if out is None else out.unionByName(fc)
-    return out
+        return _forecast_part(history, runs, calendar, part, fits, spec)
+
+    a, b, c = in_parallel(
+        runs.sparkSession, lambda: of(MODEL_A), lambda: of(MODEL_B), lambda: of(MODEL_C))
+    return a.unionByName(b).unionByName(c)
 
 
 def regime_requests(funnel: DataFrame, runs: DataFrame, calendar: DataFrame,
@@ -124,11 +127,12 @@ def switch_regime(history: DataFrame, funnel: DataFrame, runs: DataFrame, calend
     c = requests.filter("model_used = 'C'")
     fits_c = default_fits(c.select("run_id").distinct(), MODEL_C)
     status = requests.filter("model_used = 'none'").select("run_id", "model_used").distinct()
-    return (
-        _forecast_part(history, runs, calendar, a, fits_a, MODEL_A)
-        .unionByName(_forecast_part(history, runs, calendar, c, fits_c, MODEL_C))
-        .unionByName(status, allowMissingColumns=True)
+    model_a, model_c = in_parallel(
+        spark,
+        lambda: _forecast_part(history, runs, calendar, a, fits_a, MODEL_A),
+        lambda: _forecast_part(history, runs, calendar, c, fits_c, MODEL_C),
     )
+    return model_a.unionByName(model_c).unionByName(status, allowMissingColumns=True)
 
 
 def switch_dual_lookup(runs: DataFrame, anchors: DataFrame, funnel: DataFrame,

@@ -10,11 +10,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+T = TypeVar("T")
 
 
 _local_roots: dict[str, str] = {}
@@ -41,6 +46,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_parallel(spark: SparkSession, *steps: Callable[[], T]) -> list[T]:
+    """Results of independent steps whose jobs run side by side.
+
+    Small staged tables leave most of a cluster idle; steps that do not read each other need
+    not wait for each other.
+    """
+    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+        return list(pool.map(lambda step: inheritable_thread_target(spark)(step)(), steps))
+
+
 def salts(spark: SparkSession) -> int:
     """Into how many tasks the rows of one key may be split: the session's shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
