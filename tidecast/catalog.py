@@ -54,7 +54,7 @@ class Inputs:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return stage(b.calendar(self.spark), "calendar")
+        return stage(b.calendar(self.spark, self.directory), "calendar")
 
     @cached_property
     def loans(self) -> DataFrame:
@@ -948,7 +948,7 @@ def _dense_days(x: Inputs) -> DataFrame:
 plain("us_federal_holidays", "calendar_date n_loans:i",
       """SELECT hday AS calendar_date, count(l.loan_number) AS n_loans FROM hol
         LEFT JOIN loans l ON l.funded_date = hday GROUP BY 1""",
-      lambda x: cal_ops.us_federal_holidays(x.spark, b.CALENDAR_START, b.CALENDAR_END).join(
+      lambda x: cal_ops.us_federal_holidays(x.spark, *b.calendar_range(x.spark, x.directory)).join(
           x.orders_as_loans.groupBy(F.col("funded_date").alias("calendar_date")).agg(
               F.count("*").alias("n_loans")), "calendar_date", "left").fillna(
           0, subset=["n_loans"]))

@@ -15,8 +15,6 @@ from tidecast.functions.dates import nth_weekday_of_month
 from tidecast.operators.calendar import calendar_dimension
 from tidecast.sources.readers import read_table
 
-CALENDAR_START = dt.date(1994, 1, 1)
-CALENDAR_END = dt.date(2002, 12, 31)
 # The daily history is cut as of AS_OF; forecasts pretend to run on TODAY.
 AS_OF = dt.date(2001, 7, 27)
 TODAY = dt.date(2001, 3, 30)
@@ -100,12 +98,24 @@ def company_holidays(spark: SparkSession, start: dt.date, end: dt.date) -> DataF
     return years.select(F.date_add(thursday, 1).alias("calendar_date"))
 
 
-def calendar(spark: SparkSession, start: dt.date = CALENDAR_START,
-             end: dt.date = CALENDAR_END) -> DataFrame:
+def calendar_range(spark: SparkSession, directory: str) -> tuple[dt.date, dt.date]:
+    """Whole years from one before the first file date to one after the last."""
+    first, last = (
+        read_table(spark, directory, "orders")
+        .agg(F.to_date(F.min("o_orderdate")), F.to_date(F.max("o_orderdate")))
+        .first()
+    )
+    if first is None:
+        raise ValueError("orders holds no dates to span a calendar")
+    return dt.date(first.year - 1, 1, 1), dt.date(last.year + 1, 12, 31)
+
+
+def calendar(spark: SparkSession, directory: str) -> DataFrame:
+    start, end = calendar_range(spark, directory)
     return calendar_dimension(spark, start, end, company_holidays(spark, start, end))
 
 
 __all__ = [
-    "ANCHOR_MONTHS", "AS_OF", "MONTH_SHIFT", "RUN_TODAYS", "TODAY", "TRAIN_START", "CALENDAR_START", "CALENDAR_END",
-    "calendar", "company_holidays", "funded_loans", "loans", "snapshots",
+    "ANCHOR_MONTHS", "AS_OF", "MONTH_SHIFT", "RUN_TODAYS", "TODAY", "TRAIN_START",
+    "calendar", "calendar_range", "company_holidays", "funded_loans", "loans", "snapshots",
 ]
