@@ -1299,7 +1299,10 @@ plain("fit_cliff_ratio", "run_id cliff_ratio:8", "SELECT * FROM mc_cl",
       lambda x: st.fit_cliff_ratio(x.train(st.MODEL_C), st.MODEL_C))
 plain("fit_monthly_totals", "run_id month total:2", "SELECT * FROM mbm_mt",
       lambda x: st.fit_monthly_totals(x.history, x.runs))
-plain("mom_trend_weight", FORECAST, "SELECT * FROM mbm_fc",
+plain("mom_trend_weight", "run_id month weight:8", "SELECT * FROM mbm_mom",
+      lambda x: fo.mom_trend_weight(
+          st.fit_monthly_totals(x.history, x.runs), fo.horizon_requests(x.runs, 2), o.MODEL_B_MOM))
+plain("forecast_mom_trend", FORECAST, "SELECT * FROM mbm_fc",
       lambda x: x.forecast(o.MODEL_B_MOM))
 
 

@@ -73,6 +73,17 @@ def _mom_weight(spec: ModelSpec) -> Column:
     return F.when(known, weight).otherwise(1.0)
 
 
+def mom_trend_weight(monthly_totals: DataFrame, requests: DataFrame, spec: ModelSpec) -> DataFrame:
+    """``run_id, month, weight`` of every month that a request touches, from ``fit_monthly_totals``."""
+    months = forecast_horizon(requests).select("run_id", month_start(F.col("day")).alias("day"))
+    totals = monthly_totals.groupBy("run_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("month", "total"))).alias("monthly_totals")
+    )
+    return months.distinct().join(totals, "run_id", "left").select(
+        "run_id", F.col("day").alias("month"), _mom_weight(spec).alias("weight")
+    )
+
+
 def forecast(fit: Fit, requests: DataFrame, calendar: DataFrame) -> DataFrame:
     """Forecast each request with every parameter set fitted for its run.
 
