@@ -8,7 +8,8 @@ import re
 from pyspark.sql import functions as F
 
 SPACE = "[^\x20\x09-\x0d]+"
-CLASHING = ["chunk", "bucket", "kind", "key", "mark", "label", "text_a", "row", "part", "weight", "anomaly"]
+CLASHING = ["chunk", "bucket", "kind", "key", "mark", "label", "text_a", "row", "part", "weight", "anomaly",
+            "probability", "kept", "topic", "_text", "_tokens", "_source", "_0", "n_words", "signature"]
 
 
 def words(text):

@@ -3,7 +3,7 @@ import struct
 
 import public_tokenizers
 import pytest
-from helpers_llm import documents, some_texts, words
+from helpers_llm import awkward, documents, some_texts, words
 from test_near_duplicates import components
 from test_substrings import removed_by_earlier
 from tokenizers import Tokenizer
@@ -76,6 +76,16 @@ def test_stages_without_much_to_do(spark, texts):
     docs.collect()
 
 
+def test_stages_keep_columns_with_clashing_names(spark):
+    docs = awkward(spark, [f"word{i} " + " ".join(f"w{i}x{k}" for k in range(80)) for i in range(30)])
+    names, seen = docs.columns, {str(r[5:]) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, FOLDER)
+        assert docs.columns == names, name
+        rows = docs.collect()
+        assert rows and {str(r[5:]) for r in rows} == seen
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_query_returns_a_row_per_document(spark, name):
     n = spark.read.parquet(f"{FOLDER}/documents.parquet").count()

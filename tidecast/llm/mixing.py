@@ -138,10 +138,11 @@ def mix(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "
 def sample(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text",
            source: str = "source", lang: str = "lang") -> DataFrame:
     """The documents that ``mix`` keeps, with all their columns; texts do not move where cells are few."""
-    rows = with_cell(docs, plan, text, source, lang)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = with_cell(docs.select(F.col(key).alias("doc_id"), text, source, lang, whole), plan, text, source, lang)
     cells = stage(count_cells(rows), "cells")
-    kept = decide(rows, probabilities(rake(cells, plan), plan), key).filter("kept")
-    return kept.select(*docs.columns)
+    kept = decide(rows, probabilities(rake(cells, plan), plan)).filter("kept")
+    return kept.select("row.*")
 
 
 def oracle(plan: Plan = Plan()) -> str:

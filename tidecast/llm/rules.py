@@ -165,14 +165,15 @@ def passing(docs: DataFrame, forest: Forest | None, cut: float, text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, data, offsets in parts(batch["_text"]):
+            for lo, data, offsets in parts(batch[body]):
                 got = {k: pa.array(v.astype(np.int64)) for k, v in textstats.statistics(data, offsets).items()}
                 table = pa.Table.from_pydict(got)
                 words, again = got["n_words"].to_numpy(), got["n_repeat_words"].to_numpy()
                 anomaly = forest.scores(features(table)) if forest else np.zeros(len(table))
                 kept = (words >= 50) & (100 * again <= 50 * words) & (anomaly < cut)
                 some = batch.slice(lo, len(table)).filter(pa.array(kept))
-                yield some.select([n for n in batch.schema.names if n != "_text"])
+                yield some.select(names)
 
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.withColumn("_text", body).mapInArrow(run, docs.schema)
+    names = list(docs.columns)
+    body = "_" + "_".join(names)  # no column has this name
+    return docs.withColumn(body, F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(run, docs.schema)
