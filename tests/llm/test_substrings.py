@@ -117,7 +117,7 @@ def rolled(b):
     return out
 
 
-def plain_chunks(b, reach=24, longest=1024):
+def plain_chunks(b, reach=12, longest=1024):
     h, ends = rolled(b), []
     for i in range(reach + 15, len(b) - reach):
         if h[i] < min(h[i - reach:i]) and h[i] <= min(h[i + 1:i + reach + 1]):
@@ -131,14 +131,18 @@ def plain_chunks(b, reach=24, longest=1024):
         start = end
 
 
-def first_chunks(rows, least=32):
+def first_chunks(rows, least=48):
     seen = set()
     for k, t in sorted(rows):
-        kept = b""
-        for c in plain_chunks(t) if t else ():
-            if len(c) < least or c not in seen:
-                kept += c
-                seen.add(c)
+        kept, run = b"", b""
+        for c in [*plain_chunks(t), None] if t else ():
+            if c in seen:
+                run += c
+                continue
+            kept += (run if len(run) < least else b"") + (c or b"")
+            run = b""
+            seen.add(c)
+        seen.discard(None)
         yield k, len(t), len(t) - len(kept), kept
 
 

@@ -2,8 +2,10 @@
 
 A gear hash rolls over the last 16 bytes; a chunk ends where its value is the least within
 ``reach`` bytes on either side, so boundaries depend on nearby content alone and come back
-after any insertion. Each chunk of ``least`` bytes or more is identified by a 128-bit digest;
-the first occurrence by (document, position) stays and every other one is cut out.
+after any insertion. Each chunk is identified by a 128-bit digest; the first occurrence by
+(document, position) stays and every other one is cut out where neighbouring repeated
+chunks come to ``least`` bytes together. Small chunks follow a repeated passage closely, and the
+least length leaves alone what short phrases have in common.
 
 Tasks keep the first occurrence of each digest they meet and cut the others themselves; only
 the firsts are exchanged, by digest. A chunk that a third of all documents hold thus arrives
@@ -69,7 +71,7 @@ def boundaries(data: np.ndarray, offsets: np.ndarray, reach: int, longest: int)
     return ends
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, reach: int = 24, longest: int = 1024):
+def chunks(data: np.ndarray, offsets: np.ndarray, reach: int = 12, longest: int = 1024):
     """Start, end and document of every chunk."""
     if not len(data):
         none = np.zeros(0, np.int64)
@@ -87,8 +89,8 @@ def _ordered(digest: np.ndarray, doc: np.ndarray, mark: np.ndarray, start: np.nd
     return order, first
 
 
-def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 24,
-                 least: int = 32, longest: int = 1024) -> DataFrame:
+def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 12,
+                 least: int = 48, longest: int = 1024) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` of every whole text (UTF-8; null: empty).
 
     Chunks end at the same places in equal passages except within about ``reach`` + 16 bytes
@@ -106,8 +108,6 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
             keys, marks = batch["doc"].to_numpy(), batch["mark"].to_numpy()
             for lo, data, offsets in parts(batch["text"]):
                 start, end, of = chunks(data, offsets, reach, longest)
-                long = end - start >= least
-                start, end, of = start[long], end[long], of[long]
                 raw = data.tobytes()
                 digest = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest()
                                   for a, b in zip(start.tolist(), end.tolist(), strict=True))
@@ -155,7 +155,7 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
     here = seen.filter("bucket IS NULL").select("doc", "mark", "starts", "ends")
     elsewhere = (seen.filter("bucket IS NOT NULL").select("bucket", "digests", "docs", "places")
                  .groupBy("bucket").applyInArrow(firsts, cutting.REMOVED))
-    return cutting.cut(rows, here.unionByName(elsewhere)).drop("doc", "mark")
+    return cutting.cut(rows, here.unionByName(elsewhere), least).drop("doc", "mark")
 
 
 NAMES = ["bucket", "digests", "docs", "places", "doc", "mark", "starts", "ends"]

@@ -49,12 +49,12 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], end[last]
 
 
-def cut(docs: DataFrame, removed: DataFrame) -> DataFrame:
+def cut(docs: DataFrame, removed: DataFrame, least: int = 1) -> DataFrame:
     """``doc, n_bytes, n_removed, n_spans, kept`` (binary) of ``keyed`` rows.
 
     ``removed`` has rows (doc, mark, starts, ends): packed little-endian 32-bit starts
-    and ends of half-open byte spans, in any order and with overlaps. What a document loses is
-    bounded by its own length.
+    and ends of half-open byte spans, in any order and with overlaps. Joined spans of fewer than
+    ``least`` bytes stay. What a document loses is bounded by its own length.
     """
     gathered = removed.groupBy("doc", "mark").agg(
         F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
@@ -72,7 +72,9 @@ def cut(docs: DataFrame, removed: DataFrame) -> DataFrame:
                         end.append(np.frombuffer(b"".join(b), "<u4").astype(np.int64) + offsets[i])
                 none = [np.zeros(0, np.int64)]
                 gone = coverage(len(data), np.concatenate(start or none), np.concatenate(end or none))
-                _, _, of = spans(gone, offsets)
+                lo_, hi_, of = spans(gone, offsets)
+                long = hi_ - lo_ >= least
+                gone, of = coverage(len(data), lo_[long], hi_[long]), of[long]
                 total = np.zeros(len(data) + 1, np.int64)
                 np.cumsum(~gone, out=total[1:])
                 ends = total[offsets]
