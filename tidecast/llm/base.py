@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import os
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +29,34 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system; Python workers are kept and would sit on it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(function: Callable) -> Callable:
+    """A function for ``mapInArrow`` or ``applyInArrow`` that ends by giving memory back."""
+    if inspect.isgeneratorfunction(function):
+        def batches(rows):
+            yield from function(rows)
+            _give_back()
+        return batches
+    if function.__code__.co_argcount == 2:
+        def pair(left, right):
+            out = function(left, right)
+            _give_back()
+            return out
+        return pair
+
+    def group(table):
+        out = function(table)
+        _give_back()
+        return out
+    return group
+
+
 def documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only key and text, under names of ours."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -49,7 +49,7 @@ OTHER_LETTERS = (
 OTHER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 NEVER, FOREVER = -1, 1 << 60
 #: Distinct words whose ids a task remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 def _class(ranges: str) -> str:
@@ -299,7 +299,7 @@ def encode(docs: DataFrame, spec: Merges, key: str = "doc_id", text: str = "text
                     out["decoded"] = pa.array([encoder.decode(x) for x in ids], pa.string())
                 yield pa.RecordBatch.from_pydict(out)
 
-    return base.documents(docs, key, text).mapInArrow(run, schema)
+    return base.documents(docs, key, text).mapInArrow(base.tidy(run), schema)
 
 
 def decode(tokens: DataFrame, spec: Merges, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -313,4 +313,4 @@ def decode(tokens: DataFrame, spec: Merges, key: str = "doc_id", ids: str = "ids
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "text": pa.array(out, pa.string())})
 
     return (tokens.selectExpr(f"CAST(`{key}` AS long) AS doc_id", f"`{ids}` AS ids")
-            .mapInArrow(run, "doc_id long, text string"))
+            .mapInArrow(base.tidy(run), "doc_id long, text string"))

@@ -151,10 +151,10 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
         lost = order[~first]
         return cutting.pack_by_document(doc[lost], mark[lost], start[lost], end[lost])
 
-    seen = stage(rows.mapInArrow(found, SCHEMA), "chunks")
+    seen = stage(rows.mapInArrow(base.tidy(found), SCHEMA), "chunks")
     here = seen.filter("bucket IS NULL").select("doc", "mark", "starts", "ends")
     elsewhere = (seen.filter("bucket IS NOT NULL").select("bucket", "digests", "docs", "places")
-                 .groupBy("bucket").applyInArrow(firsts, cutting.REMOVED))
+                 .groupBy("bucket").applyInArrow(base.tidy(firsts), cutting.REMOVED))
     return cutting.cut(rows, here.unionByName(elsewhere), least).drop("doc", "mark")
 
 

@@ -89,7 +89,7 @@ def cut(docs: DataFrame, removed: DataFrame, least: int = 1) -> DataFrame:
 
     base.ship(docs.sparkSession)
     out = joined.select("doc", "mark", "text", "starts", "ends").mapInArrow(
-        run, "doc long, mark int, n_bytes long, n_removed long, n_spans long, kept binary")
+        base.tidy(run), "doc long, mark int, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", F.expr(f"nullif(doc, {NULL_KEY}L)"))
 
 

@@ -245,7 +245,7 @@ def train(docs: DataFrame, pieces: list[bytes], key: str = "doc_id", text: str =
 
     taken = base.sampled(rows, max_documents, "doc_id").select("lang", "text")
     counts = stage(
-        taken.mapInArrow(count_words, "lang string, word string, n long")
+        taken.mapInArrow(base.tidy(count_words), "lang string, word string, n long")
         .groupBy("lang", "word").agg(F.sum("n").alias("n")), "word_counts")
     table = Pieces(pieces)
     prob = normalised(np.zeros((table.size, len(languages))), 1.0)
@@ -266,7 +266,7 @@ def train(docs: DataFrame, pieces: list[bytes], key: str = "doc_id", text: str =
         return run
 
     for _ in range(rounds):
-        got = (counts.mapInArrow(expect(prob), "arc int, col int, n double")
+        got = (counts.mapInArrow(base.tidy(expect(prob)), "arc int, col int, n double")
                .groupBy("arc", "col").agg(F.sum("n").alias("n")).toArrow())
         total = np.zeros_like(prob)
         total[got["arc"].to_numpy(), got["col"].to_numpy()] = got["n"].to_numpy()
@@ -353,4 +353,4 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch["doc_id"], "lang_pred": pa.array(pred, pa.string()), "score": score})
 
-    return base.documents(docs, key, text).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return base.documents(docs, key, text).mapInArrow(base.tidy(run), "doc_id long, lang_pred string, score double")

@@ -55,7 +55,7 @@ def count_text(docs: DataFrame) -> tuple[int, int]:
                 yield pa.RecordBatch.from_pydict({"b": pa.array([len(data)], pa.int64()),
                                                   "w": pa.array([n], pa.int64())})
 
-    got = docs.select("text").mapInArrow(run, "b long, w long").agg(F.sum("b"), F.sum("w")).first()
+    got = docs.select("text").mapInArrow(base.tidy(run), "b long, w long").agg(F.sum("b"), F.sum("w")).first()
     return got[0] or 0, got[1] or 0
 
 
@@ -172,13 +172,13 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, key: st
 
     counted = "chunk int, n int, bucket int, counts binary"
     emission = "chunk int, n int, bucket int, grams binary, counts binary"
-    rows = chunks.groupBy("chunk").applyInArrow(first, emission)
-    totals = rows.groupBy("bucket").applyInArrow(total, counted)
+    rows = chunks.groupBy("chunk").applyInArrow(base.tidy(first), emission)
+    totals = rows.groupBy("bucket").applyInArrow(base.tidy(total), counted)
     for k in range(1, order):
-        rows = chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(later(k), emission)
-        totals = totals.unionByName(rows.groupBy("bucket").applyInArrow(total, counted))
+        rows = chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(base.tidy(later(k)), emission)
+        totals = totals.unionByName(rows.groupBy("bucket").applyInArrow(base.tidy(total), counted))
     scored = chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(
-        score, "doc_id long, n_words long, log10_score double, n_backoff long")
+        base.tidy(score), "doc_id long, n_words long, log10_score double, n_backoff long")
     mean = F.expr("CASE WHEN n_words > 0 THEN log10_score / n_words END")
     return scored.select("doc_id", "n_words", "log10_score", mean.alias("mean_log10"),
                          F.pow(F.lit(10.0), -mean).alias("perplexity"), "n_backoff")

@@ -113,7 +113,7 @@ def sketch(docs: DataFrame, words_per_shingle: int, size: int, bands: int) -> Da
                     "signature": pa.array([r.tobytes() for r in sig], pa.binary()),
                     "bands": pa.ListArray.from_arrays(edges, flat)})
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, high long, low long, "
+    return docs.mapInArrow(base.tidy(run), "doc_id long, n_shingles long, high long, low long, "
                                 "signature binary, bands array<long>")
 
 
@@ -182,7 +182,7 @@ def likely(pairs: DataFrame, classes: DataFrame, size: int, least: np.ndarray, b
             keep = pa.array(survivors(a, b, least, batch))
             yield pa.RecordBatch.from_arrays([rows["a"].take(keep), rows["b"].take(keep)], names=["a", "b"])
 
-    return with_both(pairs, classes, "signature").mapInArrow(run, "a long, b long")
+    return with_both(pairs, classes, "signature").mapInArrow(base.tidy(run), "a long, b long")
 
 
 def similar(text_a: pa.Array, text_b: pa.Array, size: int, threshold: int) -> np.ndarray:
@@ -207,7 +207,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> D
             keep = pa.array(np.flatnonzero(similar(rows["value_a"], rows["value_b"], size, threshold)))
             yield pa.RecordBatch.from_arrays([rows["a"].take(keep), rows["b"].take(keep)], names=["a", "b"])
 
-    return with_both(pairs, docs, "text").mapInArrow(run, "a long, b long").distinct()
+    return with_both(pairs, docs, "text").mapInArrow(base.tidy(run), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -330,7 +330,7 @@ def remaining(bands: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
                                      "b": pa.array([b for _, b in found], pa.int64())})
 
     return (rows.select("band", "task.*", "doc_id", "label", "outer", "own", "signature", "text")
-            .groupBy("band", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+            .groupBy("band", "kind", "i", "j").applyInArrow(base.tidy(compare), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 5,

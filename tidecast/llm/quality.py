@@ -76,7 +76,7 @@ def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                 "i": np.arange(x.shape[1], dtype=np.int32), "n": np.full(x.shape[1], len(x), np.int64),
                 "s": x.sum(axis=0), "q": (x * x).sum(axis=0)})
 
-    got = (rows.select("doc_id", *textstats.NAMES).mapInArrow(run, "i int, n long, s double, q double")
+    got = (rows.select("doc_id", *textstats.NAMES).mapInArrow(base.tidy(run), "i int, n long, s double, q double")
            .groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
            .orderBy("i").toArrow().to_pandas())
     if not len(got):
@@ -114,7 +114,7 @@ def train(rows: DataFrame, features: int = 256, width: float = 3.0, ridge: float
         yield pa.RecordBatch.from_pydict({"i": i.astype(np.int32), "j": j.astype(np.int32), "v": total[i, j]})
 
     tasks = max(1, min(16, n // 5_000))
-    got = (fit_rows.select(*names).repartition(tasks).mapInArrow(products, "i int, j int, v double")
+    got = (fit_rows.select(*names).repartition(tasks).mapInArrow(base.tidy(products), "i int, j int, v double")
            .groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow())
     a = np.zeros((features + 1, features + 2))
     a[got["i"].to_numpy(), got["j"].to_numpy()] = got["v"].to_numpy()
@@ -128,7 +128,7 @@ def train(rows: DataFrame, features: int = 256, width: float = 3.0, ridge: float
             b = np.floor((model.raw(textstats.ratios(batch)) + 1) / 3 * BINS).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"bin": b, "label": batch["label"].cast(pa.int32())})
 
-    got = (check_rows.select(*names).mapInArrow(bins, "bin int, label int").groupBy("bin")
+    got = (check_rows.select(*names).mapInArrow(base.tidy(bins), "bin int, label int").groupBy("bin")
            .agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy("bin").toArrow().to_pandas())
     if len(got):
         n = got["n"].to_numpy()
@@ -146,4 +146,4 @@ def score(statistics: DataFrame, model: Model | None) -> DataFrame:
             s = model(textstats.ratios(batch)) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "score": s})
 
-    return statistics.select("doc_id", *textstats.NAMES).mapInArrow(run, "doc_id long, score double")
+    return statistics.select("doc_id", *textstats.NAMES).mapInArrow(base.tidy(run), "doc_id long, score double")

@@ -133,7 +133,7 @@ def score(statistics: DataFrame, forest: Forest | None) -> DataFrame:
                 [*batch.columns, pa.array(s)], names=[*batch.schema.names, "anomaly"])
 
     columns = statistics.select("doc_id", *textstats.NAMES)
-    return columns.mapInArrow(run, textstats.SCHEMA + ", anomaly double")
+    return columns.mapInArrow(base.tidy(run), textstats.SCHEMA + ", anomaly double")
 
 
 def threshold(scored: DataFrame, labels: DataFrame, false_rate: float = 0.003) -> float:
@@ -176,4 +176,4 @@ def passing(docs: DataFrame, forest: Forest | None, cut: float, text: str = "tex
 
     names = list(docs.columns)
     body = "_" + "_".join(names)  # no column has this name
-    return docs.withColumn(body, F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(run, docs.schema)
+    return docs.withColumn(body, F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(base.tidy(run), docs.schema)

@@ -331,7 +331,7 @@ def splitters(rows: DataFrame, n: int, length: int, max_documents: int = 2_000)
 
     if n < 2:
         return []
-    sample = base.sampled(rows, max_documents, "doc", "text").select("text").mapInArrow(run, "a binary")
+    sample = base.sampled(rows, max_documents, "doc", "text").select("text").mapInArrow(base.tidy(run), "a binary")
     cut = F.xxhash64("a") % F.lit(max(1, -(-max_documents * 200 // 100_000)))
     found = sorted(bytes(r["a"]) for r in sample.distinct().filter(cut == 0).collect())
     return [found[len(found) * i // n] for i in range(1, n)] if found else []
@@ -475,16 +475,16 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
             out = out.append_column("remaining", text_)
         return out
 
-    offers = chunks.groupBy("chunk").applyInArrow(offer, _ddl(OFFER))
-    verdicts = offers.groupBy("bucket").applyInArrow(judge, _ddl(REPLY))
-    runs = chunks.groupBy("chunk").cogroup(verdicts.groupBy("chunk")).applyInArrow(send, _ddl(RUN))
-    answers = runs.groupBy("kind", "bucket").applyInArrow(answer, _ddl(REPLY))
+    offers = chunks.groupBy("chunk").applyInArrow(base.tidy(offer), _ddl(OFFER))
+    verdicts = offers.groupBy("bucket").applyInArrow(base.tidy(judge), _ddl(REPLY))
+    runs = chunks.groupBy("chunk").cogroup(verdicts.groupBy("chunk")).applyInArrow(base.tidy(send), _ddl(RUN))
+    answers = runs.groupBy("kind", "bucket").applyInArrow(base.tidy(answer), _ddl(REPLY))
     replies = verdicts.unionByName(answers)
     result = T.StructType.fromDDL(_ddl(CUT))
     schema_of_row = T.StructType([f for f in keyed.schema if f.name.startswith("_")])
     if carry:
         result = T.StructType([*result, *schema_of_row, T.StructField("remaining", T.StringType())])
-    out = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, result)
+    out = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(base.tidy(cut), result)
     row = F.struct(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns))).alias("row")
     return out.select(F.expr(f"nullif(doc, {cutting.NULL_KEY}L)").alias("doc_id"), "n_bytes", "n_removed",
                       "n_spans", "kept", *([row, "remaining"] if carry else []))

@@ -95,7 +95,7 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                     {"doc_id": batch["doc_id"].slice(lo, len(offsets) - 1)}
                     | {name: got[name].astype(np.int64) for name in NAMES})
 
-    return base.documents(docs, key, text).mapInArrow(run, SCHEMA)
+    return base.documents(docs, key, text).mapInArrow(base.tidy(run), SCHEMA)
 
 
 def ratios(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
