@@ -393,17 +393,20 @@ def anchor_lookup(runs: DataFrame, anchors: DataFrame, funnel: DataFrame,
     windows, a few dozen per series.
     """
     table = anchor_feature_table(anchors, funnel)
-    stats = zscore_norm_stats(table, ANCHOR_FEATURES, "series_id")
     live = volume_features(funnel, live_anchor_windows(runs))
+    stats = table.groupBy("series_id").agg(
+        F.array(*[F.avg(f) for f in ANCHOR_FEATURES]).alias("means"),
+        F.array(*[F.stddev(f) for f in ANCHOR_FEATURES]).alias("stds"),
+    )
 
-    def scored(rows: DataFrame, name: str) -> DataFrame:
-        return (
-            rows.unpivot(["series_id", "window_id"], ANCHOR_FEATURES, "feature", "value")
-            .join(stats, ["series_id", "feature"])
-            .select("series_id", F.col("window_id").alias(name), "feature",
-                    F.coalesce(F.try_divide(F.col("value") - F.col("mean"), F.col("std")),
-                               F.lit(0.0)).alias("z"))
-        )
+    def scored(rows: DataFrame, name: str, z: str) -> DataFrame:
+        values = [
+            F.coalesce(F.try_divide(F.col(f) - F.get("means", F.lit(i)), F.get("stds", F.lit(i))),
+                       F.lit(0.0))
+            for i, f in enumerate(ANCHOR_FEATURES)
+        ]
+        return rows.join(stats, "series_id").select(
+            "series_id", F.col("window_id").alias(name), F.array(*values).alias(z))
 
     pool = anchors.select(
         F.col("label"), F.col("channel").alias("series_id"), "window_end", "january_only"
@@ -420,21 +423,18 @@ def anchor_lookup(runs: DataFrame, anchors: DataFrame, funnel: DataFrame,
     targets = runs.select(
         "run_id", "series_id", "today", (month == 1).alias("wants_january")
     )
-    # one row per run and feature on one side, per anchor and feature on the other:
-    # the join is on (series, feature) and its size is runs x anchors x features
-    pairs = (
-        scored(live, "run_id").join(scored(table, "label").withColumnRenamed("z", "za"),
-                                    ["series_id", "feature"])
-        .groupBy("run_id", "series_id", "label")
-        .agg(F.sqrt(F.sum((F.col("z") - F.col("za")) * (F.col("z") - F.col("za")))).alias("d"))
-    )
+    # a run meets the anchors of its series and kind once, with all features in one array
+    square = F.lit(0.0)
+    for i in range(len(ANCHOR_FEATURES)):
+        gap = F.get("z", F.lit(i)) - F.get("za", F.lit(i))
+        square = square + gap * gap
+    known = scored(table, "label", "za").join(pool, ["series_id", "label"])
+    wanted = scored(live, "run_id", "z").join(targets, ["run_id", "series_id"])
     best = (
-        pairs.join(pool, ["series_id", "label"])
-        .join(targets, ["run_id", "series_id"])
-        .filter(F.col("january_only") == F.col("wants_january"))
-        .withColumn(
-            "gap", F.abs(F.datediff("window_end", F.date_sub("today", 1)))
-        )
+        wanted.join(known.withColumnRenamed("january_only", "wants_january"),
+                    ["series_id", "wants_january"])
+        .withColumn("d", F.sqrt(square))
+        .withColumn("gap", F.abs(F.datediff("window_end", F.date_sub("today", 1))))
         .groupBy("run_id", "series_id")
         .agg(
             F.min_by(
