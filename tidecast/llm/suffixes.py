@@ -318,8 +318,12 @@ def _by_range(sorted_hash: np.ndarray, n: int) -> list[tuple[int, int, int]]:
     return [(b, lo, hi) for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if hi > lo]
 
 
-def splitters(rows: DataFrame, n: int, length: int, max_documents: int = 2_000) -> list[bytes]:
-    """n - 1 anchors that cut the anchors of a bounded, hash-chosen sample into equal parts."""
+def splitters(rows: DataFrame, n: int, length: int) -> list[bytes]:
+    """n - 1 anchors that cut the anchors of a hash-chosen sample into equal parts.
+
+    The sample has 2,000 documents, or four for each part, and 100,000 anchors or eight.
+    """
+    max_documents = max(2_000, 4 * n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,7 +336,7 @@ def splitters(rows: DataFrame, n: int, length: int, max_documents: int = 2_000)
     if n < 2:
         return []
     sample = base.sampled(rows, max_documents, "doc", "text").select("text").mapInArrow(base.tidy(run), "a binary")
-    cut = F.xxhash64("a") % F.lit(max(1, -(-max_documents * 200 // 100_000)))
+    cut = F.xxhash64("a") % F.lit(max(1, -(-max_documents * 200 // max(100_000, 8 * n))))
     found = sorted(bytes(r["a"]) for r in sample.distinct().filter(cut == 0).collect())
     return [found[len(found) * i // n] for i in range(1, n)] if found else []
 
@@ -357,7 +361,9 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     size = base.text_bytes(rows)
     n_chunks = base.buckets(size, base.chunk_bytes(size))
     n_buckets = base.buckets(size, 4 * base.chunk_bytes(size))
-    cuts = np.array(splitters(rows, n_buckets, length), f"S{ANCHOR}")
+    # ranges are finer: repeated text gathers in some of them
+    n_ranges = base.buckets(size, base.chunk_bytes(size))
+    cuts = np.array(splitters(rows, n_ranges, length), f"S{ANCHOR}")
     width = _width(length)
     number = F.pmod(F.xxhash64("doc", "text"), F.lit(n_chunks)).cast("int")
     chunks = keyed.withColumn("chunk", number)
@@ -386,7 +392,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
         cold, hot = c.chosen(_verdict(replies, "anchor"))
         rows, least, _ = c.suffixes(cold)
         bucket = np.searchsorted(cuts, _first_bytes(rows), side="right")
-        edges = [0, *np.searchsorted(bucket, np.arange(1, n_buckets)).tolist(), len(bucket)]
+        edges = [0, *np.searchsorted(bucket, np.arange(1, n_ranges)).tolist(), len(bucket)]
         for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
             if hi > lo:
                 out.append((chunk, "suffix", b, *front_code(rows[lo:hi]), pack_counts(least[lo:hi])))
