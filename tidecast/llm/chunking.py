@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidecast.llm import base, cutting
 from tidecast.llm.columnar import mix, owner, pack_counts, parts, unpack_counts
-from tidecast.staging import stage
 
 GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 WINDOW = 16
@@ -126,9 +126,9 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
         packed = cutting.pack_by_document(doc[lost], mark[lost], start[lost], end[lost])
         n = len(packed)
         none = pa.nulls(n, pa.binary())
-        if n:
-            yield from pa.Table.from_arrays(
-                [pa.nulls(n, pa.int32()), none, none, none, *packed.columns], names=NAMES).to_batches()
+        if n:  # these go through any bucket as they are
+            any_ = pa.array(packed["doc"].to_numpy() % n_buckets, pa.int32())
+            yield from pa.Table.from_arrays([any_, none, none, none, *packed.columns], names=NAMES).to_batches()
         order = order[first]
         bucket = (digest[order, 0] >> np.uint64(33)).astype(np.int64) * n_buckets >> 31
         edges = np.append(np.searchsorted(bucket, np.arange(n_buckets)), len(bucket))
@@ -143,19 +143,21 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
                     "starts": pa.nulls(1, pa.binary()), "ends": pa.nulls(1, pa.binary())})
 
     def firsts(table: pa.Table) -> pa.Table:
-        digest = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in table["digests"].to_pylist()])
-        two = lambda name: [np.split(unpack_counts(x), 2) for x in table[name].to_pylist()]
+        met = table.filter(pc.is_valid(table["digests"]))
+        known = table.filter(pc.is_null(table["digests"])).select(["doc", "mark", "starts", "ends"])
+        if not len(met):
+            return known
+        digest = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in met["digests"].to_pylist()])
+        two = lambda name: [np.split(unpack_counts(x), 2) for x in met[name].to_pylist()]
         doc, mark = (np.concatenate(x) for x in zip(*two("docs"), strict=True))
         start, end = (np.concatenate(x) for x in zip(*two("places"), strict=True))
         order, first = _ordered(digest, doc, mark, start)
         lost = order[~first]
-        return cutting.pack_by_document(doc[lost], mark[lost], start[lost], end[lost])
+        return pa.concat_tables([known, cutting.pack_by_document(doc[lost], mark[lost], start[lost], end[lost])])
 
-    seen = stage(rows.mapInArrow(base.tidy(found), SCHEMA), "chunks")
-    here = seen.filter("bucket IS NULL").select("doc", "mark", "starts", "ends")
-    elsewhere = (seen.filter("bucket IS NOT NULL").select("bucket", "digests", "docs", "places")
-                 .groupBy("bucket").applyInArrow(base.tidy(firsts), cutting.REMOVED))
-    return cutting.cut(rows, here.unionByName(elsewhere), least).drop("doc", "mark")
+    removed = (rows.mapInArrow(base.tidy(found), SCHEMA).groupBy("bucket")
+               .applyInArrow(base.tidy(firsts), cutting.REMOVED))
+    return cutting.cut(rows, removed, least).drop("doc", "mark")
 
 
 NAMES = ["bucket", "digests", "docs", "places", "doc", "mark", "starts", "ends"]
