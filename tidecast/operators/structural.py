@@ -553,6 +553,11 @@ def expected_mean(train: DataFrame, effects: DataFrame, fits: DataFrame,
     return keyed.join(means.drop("shard"), SEASONAL_KEY)
 
 
+def is_positive(name: str) -> Column:
+    """Above zero and a number: a shrinkage beyond 1 can make a seasonal negative, and its power none."""
+    return (F.col(name) > 0) & ~F.isnan(name)
+
+
 def expected_value(spec: ModelSpec, t: Column) -> Column:
     """In-sample expectation of a row that carries dow, dom, moy and the fit."""
     s = seasonal_product(
@@ -651,7 +656,7 @@ def fit_holiday_distortion(train: DataFrame, effects: DataFrame, fits: DataFrame
     ratios = (
         join_sharded(sharded(keyed, "distortion_key"), near, shards)
         .withColumn("expected", expected_value(spec, F.col("t_expected")))
-        .filter(F.col("expected") > 0)
+        .filter(is_positive("expected"))
         .groupBy(*DISTORTION_KEY, "holiday_dow", "offset")
         .agg(
             F.median(F.col("y") / F.col("expected")).alias("median_ratio"),
@@ -705,7 +710,7 @@ def fit_woy_cliff(train: DataFrame, effects: DataFrame, fits: DataFrame,
     k = spec.woy_shrinkage
     return (
         rows.withColumn("woy", F.weekofyear("day"))
-        .filter(F.col("prod") & (F.col("expected") > 0) & F.col("woy").isin(*spec.woy_weeks))
+        .filter(F.col("prod") & is_positive("expected") & F.col("woy").isin(*spec.woy_weeks))
         .groupBy(*DISTORTION_KEY, "woy", "dow")
         .agg(
             F.median(F.col("y") / F.col("expected")).alias("median_ratio"),
