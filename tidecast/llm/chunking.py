@@ -100,19 +100,21 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
     spark = docs.sparkSession
     base.ship(spark)
     rows = cutting.keyed(docs, key, text)
-    n_buckets = base.buckets(base.text_bytes(rows), 8 << 20)
+    size = base.text_bytes(rows)
+    n_buckets = base.buckets(size, 2 * base.chunk_bytes(size))
+    rows = cutting.dealt(rows, base.buckets(size, base.chunk_bytes(size)))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            keys, marks = batch["doc"].to_numpy(), batch["mark"].to_numpy()
+            keys, marks, numbers = (batch[c].to_numpy() for c in ("doc", "mark", "chunk"))
             for lo, data, offsets in parts(batch["text"]):
                 start, end, of = chunks(data, offsets, reach, longest)
                 raw = data.tobytes()
                 digest = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest()
                                   for a, b in zip(start.tolist(), end.tolist(), strict=True))
-                held.append((np.frombuffer(digest, np.uint64).reshape(-1, 2), keys[lo + of], marks[lo + of],
-                             start - offsets[of], end - offsets[of]))
+                held.append((np.frombuffer(digest, np.uint64).reshape(-1, 2), numbers[lo + of], keys[lo + of],
+                             marks[lo + of], start - offsets[of], end - offsets[of]))
                 if sum(len(x[1]) for x in held) >= FLUSH:
                     yield from flush(held)
                     held = []
@@ -120,45 +122,42 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
             yield from flush(held)
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        digest, doc, mark, start, end = (np.concatenate(x) for x in zip(*held, strict=True))
+        digest, *place = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, doc, mark, start, _ = place
         order, first = _ordered(digest, doc, mark, start)
         lost = order[~first]
-        packed = cutting.pack_by_document(doc[lost], mark[lost], start[lost], end[lost])
+        packed = cutting.pack(*(x[lost] for x in place))
         n = len(packed)
-        none = pa.nulls(n, pa.binary())
         if n:  # these go through any bucket as they are
-            any_ = pa.array(packed["doc"].to_numpy() % n_buckets, pa.int32())
-            yield from pa.Table.from_arrays([any_, none, none, none, *packed.columns], names=NAMES).to_batches()
+            any_ = pa.array(packed["chunk"].to_numpy() % n_buckets, pa.int32())
+            none = pa.nulls(n, pa.binary())
+            yield from pa.Table.from_arrays([any_, none, none, *packed.columns], names=NAMES).to_batches()
         order = order[first]
         bucket = (digest[order, 0] >> np.uint64(33)).astype(np.int64) * n_buckets >> 31
         edges = np.append(np.searchsorted(bucket, np.arange(n_buckets)), len(bucket))
         for b in range(n_buckets):
             at = order[edges[b]:edges[b + 1]]
             if len(at):
-                one = {"bucket": pa.array([b], pa.int32()), "digests": pa.array([digest[at].tobytes()], pa.binary()),
-                       "docs": pa.array([pack_counts(np.concatenate((doc[at], mark[at])))], pa.binary()),
-                       "places": pa.array([pack_counts(np.concatenate((start[at], end[at])))], pa.binary())}
-                yield pa.RecordBatch.from_pydict(one | {
-                    "doc": pa.nulls(1, pa.int64()), "mark": pa.nulls(1, pa.int32()),
-                    "starts": pa.nulls(1, pa.binary()), "ends": pa.nulls(1, pa.binary())})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b], pa.int32()), pa.array([digest[at].tobytes()], pa.binary()),
+                     pa.array([pack_counts(np.concatenate([x[at] for x in place]))], pa.binary()),
+                     pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names=NAMES)
 
     def firsts(table: pa.Table) -> pa.Table:
         met = table.filter(pc.is_valid(table["digests"]))
-        known = table.filter(pc.is_null(table["digests"])).select(["doc", "mark", "starts", "ends"])
+        known = table.filter(pc.is_null(table["digests"])).select(["chunk", "spans"])
         if not len(met):
             return known
         digest = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in met["digests"].to_pylist()])
-        two = lambda name: [np.split(unpack_counts(x), 2) for x in met[name].to_pylist()]
-        doc, mark = (np.concatenate(x) for x in zip(*two("docs"), strict=True))
-        start, end = (np.concatenate(x) for x in zip(*two("places"), strict=True))
+        _, doc, mark, start, _ = place = np.concatenate(
+            [unpack_counts(x).reshape(5, -1) for x in met["places"].to_pylist()], axis=1)
         order, first = _ordered(digest, doc, mark, start)
-        lost = order[~first]
-        return pa.concat_tables([known, cutting.pack_by_document(doc[lost], mark[lost], start[lost], end[lost])])
+        return pa.concat_tables([known, cutting.pack(*place[:, order[~first]])])
 
     removed = (rows.mapInArrow(base.tidy(found), SCHEMA).groupBy("bucket")
                .applyInArrow(base.tidy(firsts), cutting.REMOVED))
-    return cutting.cut(rows, removed, least).drop("doc", "mark")
+    return cutting.cut(rows, removed, least)
 
 
-NAMES = ["bucket", "digests", "docs", "places", "doc", "mark", "starts", "ends"]
-SCHEMA = "bucket int, digests binary, docs binary, places binary, " + cutting.REMOVED
+NAMES = ["bucket", "digests", "places", "chunk", "spans"]
+SCHEMA = "bucket int, digests binary, places binary, " + cutting.REMOVED

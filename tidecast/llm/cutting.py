@@ -6,15 +6,13 @@ spans found in one text are never cut out of another. A null key stands above al
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm import base
-from tidecast.llm.columnar import parts, spans, starts_of_runs
+from tidecast.llm.columnar import combine, pack_counts, spans, starts_of_runs, texts, unpack_counts
 
 NULL_KEY = (1 << 63) - 1
 
@@ -38,73 +36,57 @@ def coverage(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of half-open spans in ascending order."""
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order])
-    if not len(start):
-        return start, end
-    first = np.concatenate(([True], start[1:] > end[:-1]))
-    last = np.append(np.flatnonzero(first)[1:] - 1, len(start) - 1)
-    return start[first], end[last]
+def dealt(docs: DataFrame, n_chunks: int) -> DataFrame:
+    """``keyed`` rows with the ``chunk`` in which their spans meet them; copies of a text are spread."""
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc", "mark"), F.lit(n_chunks)).cast("int"))
+
+
+def pack(chunk: np.ndarray, doc: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
+    """Rows for ``cut``: one per chunk, with all spans of its documents."""
+    order = np.argsort(chunk, kind="stable")
+    first = starts_of_runs(chunk[order])
+    spans_ = [pack_counts(np.concatenate([x[at] for x in (doc, mark, start, end)]))
+              for at in np.split(order, first[1:])] if len(first) else []
+    return pa.Table.from_pydict({"chunk": chunk[order][first].astype(np.int32),
+                                 "spans": pa.array(spans_, pa.binary())})
+
+
+REMOVED = "chunk int, spans binary"
 
 
 def cut(docs: DataFrame, removed: DataFrame, least: int = 1) -> DataFrame:
-    """``doc, n_bytes, n_removed, n_spans, kept`` (binary) of ``keyed`` rows.
+    """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) of ``dealt`` rows.
 
-    ``removed`` has rows (doc, mark, starts, ends): packed little-endian 32-bit starts
-    and ends of half-open byte spans, in any order and with overlaps. Joined spans of fewer than
-    ``least`` bytes stay. What a document loses is bounded by its own length.
+    ``removed`` has the half-open byte spans of ``pack``, in any order and with overlaps.
+    Joined spans of fewer than ``least`` bytes stay. What a document loses is bounded by its
+    own length, so a chunk's spans are by the chunk's.
     """
-    gathered = removed.groupBy("doc", "mark").agg(
-        F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    joined = docs.join(gathered, ["doc", "mark"], "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, data, offsets in parts(batch["text"]):
-                n = len(offsets) - 1
-                start, end = [], []
-                for i, (a, b) in enumerate(zip(batch["starts"].slice(lo, n).to_pylist(),
-                                               batch["ends"].slice(lo, n).to_pylist(), strict=True)):
-                    if a:
-                        start.append(np.frombuffer(b"".join(a), "<u4").astype(np.int64) + offsets[i])
-                        end.append(np.frombuffer(b"".join(b), "<u4").astype(np.int64) + offsets[i])
-                none = [np.zeros(0, np.int64)]
-                gone = coverage(len(data), np.concatenate(start or none), np.concatenate(end or none))
-                lo_, hi_, of = spans(gone, offsets)
-                long = hi_ - lo_ >= least
-                gone, of = coverage(len(data), lo_[long], hi_[long]), of[long]
-                total = np.zeros(len(data) + 1, np.int64)
-                np.cumsum(~gone, out=total[1:])
-                ends = total[offsets]
-                size = np.diff(offsets)
-                kept = pa.Array.from_buffers(
-                    pa.large_binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[~gone].tobytes())])
-                yield pa.RecordBatch.from_pydict({
-                    "doc": batch["doc"].slice(lo, n), "mark": batch["mark"].slice(lo, n),
-                    "n_bytes": size, "n_removed": size - np.diff(ends),
-                    "n_spans": np.bincount(of, minlength=n).astype(np.int64),
-                    "kept": kept.cast(pa.binary())})
+
+    def run(docs: pa.Table, removed: pa.Table) -> pa.Table:
+        data, offsets = texts(docs["text"])
+        n = len(offsets) - 1
+        found = [unpack_counts(x).reshape(4, -1) for x in removed["spans"].to_pylist()]
+        doc, mark, start, end = np.concatenate([np.zeros((4, 0), np.int64), *found], axis=1)
+        key = combine(doc, mark)
+        order = np.argsort(key, kind="stable")
+        key, start, end = key[order], start[order], end[order]
+        own = combine(docs["doc"].to_numpy(), docs["mark"].to_numpy().astype(np.int64))
+        low, high = np.searchsorted(key, own, side="left"), np.searchsorted(key, own, side="right")
+        at = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b) for a, b in zip(low, high, strict=True))])
+        shift = np.repeat(offsets[:-1], high - low)
+        gone = coverage(len(data), start[at] + shift, end[at] + shift)
+        first, last, of = spans(gone, offsets)
+        long = last - first >= least
+        gone, of = coverage(len(data), first[long], last[long]), of[long]
+        total = np.concatenate(([0], np.cumsum(~gone)))[offsets].astype(np.int64)
+        kept = data[~gone].tobytes()
+        size = np.diff(offsets)
+        return pa.Table.from_pydict({
+            "doc": docs["doc"], "n_bytes": size, "n_removed": size - np.diff(total),
+            "n_spans": np.bincount(of, minlength=n).astype(np.int64),
+            "kept": pa.array([kept[a:b] for a, b in zip(total, total[1:], strict=False)], pa.binary())})
 
     base.ship(docs.sparkSession)
-    out = joined.select("doc", "mark", "text", "starts", "ends").mapInArrow(
-        base.tidy(run), "doc long, mark int, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumn("doc_id", F.expr(f"nullif(doc, {NULL_KEY}L)"))
-
-
-def pack_by_document(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
-    """Rows for ``cut``: the spans of each document packed."""
-    order = np.lexsort((start, mark, doc))
-    doc, mark = doc[order], mark[order]
-    start, end = start[order].astype("<u4"), end[order].astype("<u4")
-    first = starts_of_runs(doc)
-    first = np.union1d(first, starts_of_runs(mark)).astype(np.int64)
-    edges = np.append(first, len(doc))
-    return pa.Table.from_pydict({
-        "doc": doc[first].astype(np.int64), "mark": mark[first].astype(np.int32),
-        "starts": pa.array([start[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary()),
-        "ends": pa.array([end[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())})
-
-
-REMOVED = "doc long, mark int, starts binary, ends binary"
+    out = docs.groupBy("chunk").cogroup(removed.groupBy("chunk")).applyInArrow(
+        base.tidy(run), "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.select(F.expr(f"nullif(doc, {NULL_KEY}L)").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
