@@ -47,9 +47,10 @@ OTHER_LETTERS = (
     "2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
 )
 OTHER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+FIRST_OTHER = chr(int(OTHER_LETTERS.split()[0], 16)).encode()[0]
 NEVER, FOREVER = -1, 1 << 60
 #: Distinct words whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 
 
 def _class(ranges: str) -> str:
@@ -251,7 +252,10 @@ class Encoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
     def split(self, text: str) -> list[str]:
-        return self.plain(text) if text.isascii() or not self.other(text) else self.strict(text)
+        # the listed code points begin with a byte from FIRST_OTHER on
+        if text.isascii() or np.frombuffer(text.encode(), np.uint8).max() < FIRST_OTHER or not self.other(text):
+            return self.plain(text)
+        return self.strict(text)
 
     def pieces(self, text: str) -> list[str]:
         """Words and added tokens of a text."""
