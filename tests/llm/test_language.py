@@ -4,7 +4,7 @@ import math
 import numpy as np
 import public_tokenizers
 import pytest
-from helpers_llm import awkward, documents  # noqa: F401
+from helpers_llm import awkward
 
 from tidecast.llm import base, langid
 
