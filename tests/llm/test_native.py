@@ -96,6 +96,18 @@ def test_fingerprints_match_brute_force(spark):
         assert r["near_next"] == pytest.approx(likeness(sketch(t), sketch(following)))
 
 
+def test_query_finds_a_passage_shared_by_long_documents(spark, tmp_path):
+    def text(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    passage = text("shared", 40)
+    texts = [f"{text('a', 3000)} {passage} {text('b', 3000)}", f"{text('c', 3000)} {passage} {text('d', 3000)}"]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op8_syncmers"](spark, str(tmp_path)).collect()
+    common = set.intersection(*({x >> 32 for x in r["anchors"]} for r in rows))
+    assert len(common) >= 10 and all(r["near_next"] > 0 for r in rows)
+
+
 def test_fingerprints_of_awkward_rows(spark):
     docs = awkward(spark, some_texts(1, 10))
     rows = syncmers.fingerprints(docs).collect()

@@ -74,7 +74,7 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_syncmers(spark: SparkSession, folder: str) -> DataFrame:
-    return syncmers.fingerprints(base.read(spark, folder, "documents"))
+    return syncmers.fingerprints(base.read(spark, folder, "documents"), size=None)
 
 
 def op9_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
 A text is a sequence of symbols: its words, or its characters where hardly any white space
-stands between them. Of all runs of ``k`` symbols those are chosen whose least symbol hash is at
-their first or last place. Whether a run is chosen depends on nothing outside it, so an edit
-moves only the anchors it touches. The fingerprint holds the ``size`` least hashes of the chosen
-runs (of the single symbols where none is chosen, as in the shortest texts); the likeness of two fingerprints
-is the share of common hashes among the ``size`` least of both together, an estimate of the
-share of common anchors.
+stands between them. Of all runs of ``k`` symbols those are chosen whose least
+symbol hash is at their first or last place. Whether a run is chosen depends on nothing outside it, so
+an edit moves only the anchors it touches. The fingerprint holds the distinct hashes of the
+chosen runs (of the single symbols where none is chosen, as in the shortest texts): all of them,
+then with their places, or the ``size`` least. The likeness of two fingerprints is the
+share of common hashes among all of both, or among the ``size`` least of both together, an
+estimate of the former.
 """
 
 from __future__ import annotations
@@ -26,8 +27,13 @@ def symbols(text: Column) -> Column:
     return F.when(F.char_length(text) > UNSPACED * F.size(words), F.split(text, "")).otherwise(words)
 
 
+def placed(hash_: Column, place: Column) -> Column:
+    """A hash and a place as one number that sorts by hash, then place."""
+    return F.shiftleft(hash_.cast("long"), 32).bitwiseOR(place.cast("long"))
+
+
 def anchors(hashes: Column, k: int) -> Column:
-    """Hashes of the closed syncmers of a sequence of symbol hashes; the sequence itself where there is none."""
+    """Closed syncmers of a sequence of symbol hashes by hash and place; none in the shortest."""
     def closed(i: Column) -> Column:
         inner = [F.get(hashes, i + j) for j in range(1, k - 1)]
         least = F.least(*inner) if len(inner) > 1 else inner[0]
@@ -35,16 +41,20 @@ def anchors(hashes: Column, k: int) -> Column:
 
     starts = F.when(F.size(hashes) >= k, F.sequence(F.lit(0), F.size(hashes) - k)).otherwise(
         F.array().cast("array<int>"))
-    runs = F.transform(F.filter(starts, closed), lambda i: F.hash(*(F.get(hashes, i + j) for j in range(k))))
-    return F.when(F.size(runs) > 0, runs).otherwise(hashes)
+    return F.transform(F.filter(starts, closed),
+                       lambda i: placed(F.hash(*(F.get(hashes, i + j) for j in range(k))), i))
 
 
-def with_sketch(df: DataFrame, text: str, to: str, k: int, size: int) -> DataFrame:
-    """Adds ``to``: the least ``size`` distinct anchors in ascending order; none for an empty text."""
+def with_sketch(df: DataFrame, text: str, to: str, k: int, size: int | None) -> DataFrame:
+    """Adds ``to``, the distinct anchor hashes in ascending order (the least ``size``), and
+    ``to_places``, every anchor as ``placed``; none for an empty text."""
     df = df.withColumn("_h", F.transform(symbols(F.col(text)), lambda w: F.hash(w)))
-    least = F.slice(F.array_sort(F.array_distinct(anchors(F.col("_h"), k))), 1, size)
-    none = F.array().cast("array<int>")
-    return df.withColumn(to, F.when(F.col(text) == "", none).otherwise(least)).drop("_h")
+    df = df.withColumn("_a", anchors(F.col("_h"), k))
+    found = F.when(F.size("_a") > 0, F.col("_a")).otherwise(F.transform("_h", placed))
+    none = F.array().cast("array<long>")
+    df = df.withColumn(f"{to}_places", F.when(F.col(text) == "", none).otherwise(F.sort_array(found)))
+    least = F.array_distinct(F.transform(f"{to}_places", lambda x: F.shiftright(x, 32).cast("int")))
+    return df.withColumn(to, least if size is None else F.slice(least, 1, size)).drop("_h", "_a")
 
 
 def fingerprint(sketch: str) -> Column:
@@ -53,12 +63,17 @@ def fingerprint(sketch: str) -> Column:
     return F.lower(F.array_join(digits, ""))
 
 
-def likeness(a: str, b: str, size: int) -> Column:
+def likeness(a: str, b: str, size: int | None) -> Column:
     """0 to 1; two empty sketches are alike, an empty one and another are not."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    common = F.size(F.array_intersect(F.array_intersect(a, b), least))
+    if size is None:
+        common = F.size(F.array_intersect(a, b))
+        together = F.size(a) + F.size(b) - common
+    else:
+        least = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
+        common = F.size(F.array_intersect(F.array_intersect(a, b), least))
+        together = F.size(least)
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(
-        common / F.greatest(F.size(least), F.lit(1)))
+        common / F.greatest(together, F.lit(1)))
 
 
 def successors(ids: DataFrame) -> DataFrame:
@@ -86,9 +101,13 @@ def successors(ids: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4,
-                 size: int = 64) -> DataFrame:
+                 size: int | None = 64) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
+    Without a ``size`` fingerprints and likeness are those of all anchors, and ``anchors`` and
+    ``edited_anchors`` follow: each anchor's hash in the upper and the number of its first symbol
+    in the lower 32 bits, in ascending order.
+
     The edited text has the last quarter of the characters replaced by as many from the start
     of the next document in order of the key (after the last, the first). A null text counts
     as empty; a null key comes last. Rows that repeat a key are ordered by a hash of their
@@ -117,9 +136,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     edited = F.concat(F.left("text", (F.col("n_chars") - tail).cast("int")), F.col("start"))
     both = with_sketch(both.withColumn("edited", edited), "text", "own", k, size)
     both = with_sketch(both, "edited", "changed", k, size)
+    places = [] if size else [F.col("own_places").alias("anchors"), F.col("changed_places").alias("edited_anchors")]
     return both.select(
         F.expr(f"nullif(key, {NULL_KEY}L)").alias("doc_id"), "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint("own").alias("fingerprint"), fingerprint("changed").alias("edited_fingerprint"),
         likeness("own", "changed", size).alias("near_edited"),
-        likeness("own", "next_sketch", size).alias("near_next"))
+        likeness("own", "next_sketch", size).alias("near_next"), *places)
