@@ -96,6 +96,47 @@ def test_fingerprints_match_brute_force(spark):
         assert r["near_next"] == pytest.approx(likeness(sketch(t), sketch(following)))
 
 
+def local_symbols(t):
+    body = t.rstrip("\x20\x09\x0a\x0b\x0c\x0d")
+    parts, end = re.split("[\x20\x09-\x0d]+", body), t[len(body):]
+    out = [s for p in parts for s in (list(p) if len(p) > syncmers.UNSPACED else [p])]
+    return out + ([] if not end else list(end) if len(parts[-1]) > syncmers.UNSPACED else [""])
+
+
+def all_anchors(t, k=4):
+    """Hash and place of every closed syncmer."""
+    h = [hash_text(s) for s in local_symbols(t)] if t else []
+    runs = [(h[i:i + k], i) for i in range(len(h) - k + 1)]
+    chosen = [(hash_numbers(r), i) for r, i in runs if min(r[1:-1]) >= min(r[0], r[-1])]
+    return sorted(chosen or [(x, i) for i, x in enumerate(h)])
+
+
+def jaccard(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints_of_all_anchors_match_brute_force(spark):
+    long_texts = [" ".join(some_texts(i, 12)) for i in (21, 22)]
+    texts = some_texts(5, 20) + long_texts + [
+        "", None, "a", "a b c d", "日本語" * 60, "x" * 200, " ", "one " + "y" * 25 + "  two\n", "\n" + "z" * 24 + " \n",
+        "\U0001f600" * 25 + " \t", "\U0001f600" * 24 + " "]
+    docs = documents(spark, texts, 5)
+    got = {r["doc_id"]: r for r in syncmers.fingerprints(docs, size=None).collect()}
+    body = [t or "" for t in texts]
+    assert max(len(set(all_anchors(t))) for t in body) > 500
+    for i, t in enumerate(body):
+        following, r = body[(i + 1) % len(body)], got[i]
+        cut = len(t) // 4
+        edited = t[:len(t) - cut] + following[:cut]
+        for name, places, of in (("fingerprint", "anchors", t), ("edited_fingerprint", "edited_anchors", edited)):
+            want = all_anchors(of)
+            assert [(x >> 32, x & 0xFFFFFFFF) for x in r[places]] == want
+            assert r[name] == text_of(sorted({h for h, _ in want}))
+        assert r["near_edited"] == pytest.approx(jaccard(all_anchors(t), all_anchors(edited)))
+        assert r["near_next"] == pytest.approx(jaccard(all_anchors(t), all_anchors(following)))
+
+
 def test_query_finds_a_passage_shared_by_long_documents(spark, tmp_path):
     def text(name, n):
         return " ".join(f"{name}{i}" for i in range(n))
@@ -108,6 +149,16 @@ def test_query_finds_a_passage_shared_by_long_documents(spark, tmp_path):
     assert len(common) >= 10 and all(r["near_next"] > 0 for r in rows)
 
 
+def test_symbols_do_not_depend_on_the_rest_of_the_text(spark):
+    chinese = "\n".join("".join(chr(0x4E00 + (i * 7919 + j * 104729) % 20000) for j in range(249)) for i in range(4))
+    english = " ".join(f"word{i}" for i in range(200))
+    got = {r["doc_id"]: r["near_edited"] for r in syncmers.fingerprints(
+        documents(spark, [chinese, english]), size=None).collect()}
+    assert got[0] > 0.6
+    got = {r["doc_id"]: r["near_edited"] for r in syncmers.fingerprints(documents(spark, [chinese, english])).collect()}
+    assert got[0] > 0.5
+
+
 def test_fingerprints_of_awkward_rows(spark):
     docs = awkward(spark, some_texts(1, 10))
     rows = syncmers.fingerprints(docs).collect()

@@ -1,8 +1,8 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is a sequence of symbols: its words, or its characters where hardly any white space
-stands between them. Of all runs of ``k`` symbols those are chosen whose least
-symbol hash is at their first or last place. Whether a run is chosen depends on nothing outside it, so
+A text is a sequence of symbols: its words, where a run without white space that is too long
+for a word counts as its characters. Of all runs of ``k`` symbols those are chosen whose least
+symbol hash is at their first or last place. Both choices depend on nothing outside the run, so
 an edit moves only the anchors it touches. The fingerprint holds the distinct hashes of the
 chosen runs (of the single symbols where none is chosen, as in the shortest texts): all of them,
 then with their places, or the ``size`` least. The likeness of two fingerprints is the
@@ -18,13 +18,25 @@ from pyspark.sql import functions as F
 from tidecast.staging import stage
 
 NULL_KEY = (1 << 63) - 1
-#: More characters a word than this, and characters are the symbols.
+#: A run of more characters than this without white space counts as its characters.
 UNSPACED = 24
+SPACE = "\x20\x09\x0A\x0B\x0C\x0D"
+BETWEEN = r"[\x20\x09-\x0D]+"
 
 
-def symbols(text: Column) -> Column:
-    words = F.split(text, r"[\x20\x09-\x0D]+")
-    return F.when(F.char_length(text) > UNSPACED * F.size(words), F.split(text, "")).otherwise(words)
+def long(run: Column) -> Column:
+    return F.char_length(run) > UNSPACED
+
+
+def symbols(text: Column, words: Column) -> Column:
+    """``words`` with the long runs cut; white space that ends the text stays with a run that is cut."""
+    body = F.rtrim(text, F.lit(SPACE))
+    runs = F.split(body, BETWEEN)
+    end = F.substring(text, F.char_length(body) + 1, F.char_length(text))
+    apart = lambda x: F.when(long(x), F.split(x, "")).otherwise(F.array(x))
+    after = F.when(end == "", F.array().cast("array<string>")).when(
+        long(F.element_at(runs, -1)), F.split(end, "")).otherwise(F.array(F.lit("")))
+    return F.when(F.exists(words, long), F.concat(F.flatten(F.transform(runs, apart)), after)).otherwise(words)
 
 
 def placed(hash_: Column, place: Column) -> Column:
@@ -48,13 +60,14 @@ def anchors(hashes: Column, k: int) -> Column:
 def with_sketch(df: DataFrame, text: str, to: str, k: int, size: int | None) -> DataFrame:
     """Adds ``to``, the distinct anchor hashes in ascending order (the least ``size``), and
     ``to_places``, every anchor as ``placed``; none for an empty text."""
-    df = df.withColumn("_h", F.transform(symbols(F.col(text)), lambda w: F.hash(w)))
+    df = df.withColumn("_w", F.split(text, BETWEEN))
+    df = df.withColumn("_h", F.transform(symbols(F.col(text), F.col("_w")), lambda w: F.hash(w)))
     df = df.withColumn("_a", anchors(F.col("_h"), k))
     found = F.when(F.size("_a") > 0, F.col("_a")).otherwise(F.transform("_h", placed))
     none = F.array().cast("array<long>")
     df = df.withColumn(f"{to}_places", F.when(F.col(text) == "", none).otherwise(F.sort_array(found)))
     least = F.array_distinct(F.transform(f"{to}_places", lambda x: F.shiftright(x, 32).cast("int")))
-    return df.withColumn(to, least if size is None else F.slice(least, 1, size)).drop("_h", "_a")
+    return df.withColumn(to, least if size is None else F.slice(least, 1, size)).drop("_w", "_h", "_a")
 
 
 def fingerprint(sketch: str) -> Column:
