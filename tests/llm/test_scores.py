@@ -111,6 +111,21 @@ def test_forest_keeps_prose_and_finds_junk(spark):
     assert passed == {i for i, k in kept.items() if k}
 
 
+def test_box_holds_every_row_of_a_table_larger_than_the_sample(spark, monkeypatch):
+    good, bad = junk_and_prose(4, 60)
+    texts = good + bad[:1]  # one unusual row, rarer than the sample could promise to hold
+    statistics = textstats.text_statistics(documents(spark, texts))
+    labels = labelled_rows(spark, texts, lambda i: int(i < 60))
+    x = rules.features(statistics.toArrow())
+    boxes, grow = [], rules.grow
+    monkeypatch.setattr(rules, "grow", lambda sample, low, high, *a: boxes.append((low, high)) or grow(sample, low, high, *a))
+    for max_rows in (5, 20, 1000):
+        rules.fit(statistics, labels, max_rows=max_rows, trees=5, rows=16, depth=4)
+    assert len(boxes) == 3
+    for low, high in boxes:
+        assert np.array_equal(low, x.min(axis=0)) and np.array_equal(high, x.max(axis=0))
+
+
 def test_limits_without_labels_or_rows(spark):
     docs = awkward(spark, ["w" + " w" * 60, " ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(49))])
     statistics = textstats.text_statistics(docs)

@@ -103,23 +103,47 @@ def known_labels(labels: DataFrame, key: str = "doc_id", label: str = "quality")
     return known.filter("label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
 
 
+def box(statistics: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Least and greatest value of each feature over all rows; None if there are none.
+
+    Tasks send a row per feature, so a fixed number of rows reaches the driver.
+    """
+    base.ship(statistics.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full(len(textstats.FEATURES), np.inf), np.full(len(textstats.FEATURES), -np.inf)
+        for batch in batches:
+            if batch.num_rows:
+                x = features(batch)
+                low, high = np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
+        if (low <= high).all():
+            yield pa.RecordBatch.from_pydict(
+                {"feature": pa.array(np.arange(len(low)), pa.int32()), "low": low, "high": high})
+
+    ends = (statistics.mapInArrow(base.tidy(run), "feature int, low double, high double")
+            .groupBy("feature").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+            .orderBy("feature").toArrow())
+    return (ends["low"].to_numpy(), ends["high"].to_numpy()) if len(ends) else None
+
+
 def fit(statistics: DataFrame, labels: DataFrame, max_rows: int = 20_000, trees: int = 200,
         rows: int = 256, depth: int = 10, seed: int = 7) -> Forest | None:
     """Forest of the documents that pass the fixed limits; None if there are none.
 
-    Trees are grown on those labelled good (on all where none is), the box is that of all.
-    Both are bounded, hash-chosen samples of at most about ``max_rows``.
+    Trees are grown on a bounded, hash-chosen sample of at most about ``max_rows`` of those
+    labelled good (of all where none is); the box is that of all, every row is read for it.
     """
     names = ["doc_id", *textstats.NAMES]
     passed = statistics.filter(~base_failed()).select(*names)
-    good = passed.join(known_labels(labels).filter("label = 1"), "doc_id", "left_semi")
-    every, sample = (features(base.sampled(x, max_rows, "doc_id").orderBy(*names).toArrow())
-                     for x in (passed, good))
-    if not len(every):
+    extent = box(passed)
+    if extent is None:
         return None
-    sample = sample if len(sample) else every
-    both = np.concatenate([every, sample])
-    return grow(sample, both.min(axis=0), both.max(axis=0), trees, rows, depth, seed)
+    good = passed.join(known_labels(labels).filter("label = 1"), "doc_id", "left_semi")
+    for some in (good, passed):
+        sample = features(base.sampled(some, max_rows, "doc_id").orderBy(*names).toArrow())
+        if len(sample):
+            break
+    return grow(sample, *extent, trees, rows, depth, seed)
 
 
 def score(statistics: DataFrame, forest: Forest | None) -> DataFrame:
