@@ -207,6 +207,25 @@ def test_probabilities_spend_the_share(spark):
     assert all(r["probability"] == pytest.approx(1.0) for r in full)
 
 
+def test_a_mixture_without_a_share_meets_its_targets(spark):
+    texts = [f"{'mail a@b.org ' if i % 10 == 0 else ''}" + "word " * (20 + i % 7) for i in range(240)]
+    docs = documents(spark, texts)
+    given = (("source", (("s1", 1.0), ("s2", 2.0), ("absent", 5.0))),)
+    for plan in (mixing.Plan(share=None, rounds=30), mixing.Plan(share=None, rounds=30, targets=given)):
+        mixed = mixing.mix(docs, plan)
+        report = {(r["dimension"], r["name"]): r for r in mixing.achieved(mixed, plan).collect()}
+        assert report["topic", "contact"]["target"] > report["topic", "contact"]["natural"]
+        for r in report.values():
+            assert r["expected"] == pytest.approx(r["target"], abs=1e-6)
+            assert 0 <= r["kept"] <= 1
+        assert mixed.agg({"probability": "max"}).first()[0] == pytest.approx(1.0)
+    assert report["source", "s2"]["target"] == pytest.approx(2 / 3)
+    assert report["source", mixing.NONE]["target"] == report["source", mixing.NONE]["kept"] == 0
+    missed = {(r["dimension"], r["name"]): r for r in mixing.achieved(mixing.mix(docs)).collect()}
+    r = missed["topic", "contact"]
+    assert r["natural"] < r["expected"] < r["target"] - 1e-3  # the share of 0.9 is too large for it
+
+
 def test_topics_in_order_of_the_rules(spark):
     texts = ["Licensed under", "mail me@x.org", "a | b", "plain", "licence @ | ", None, ""]
     rows = mixing.with_cell(documents(spark, texts), mixing.Plan()).collect()

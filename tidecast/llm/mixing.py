@@ -4,6 +4,9 @@ Documents are counted by cell (source, language, topic). Raking scales the cells
 weights so that each of the three marginals meets its target in turn, round after round; the
 weights then become inclusion probabilities whose expected tokens are a given share of
 the corpus, and a hash of the key decides each document. Only cells take part in the rounds.
+No document is kept twice, so a given share may be too large for the targets: groups that are
+wholly kept then stay below theirs. A plan without a share keeps as much as meets them all, and
+``achieved`` tells how far a mixture came.
 """
 
 from __future__ import annotations
@@ -28,7 +31,10 @@ class Plan:
 
     ``topics``: a text has the first topic one of whose substrings its lower-cased form contains,
     else ``other``. ``temper``: a marginal's target is its share to this power, so values below 1
-    raise small groups. ``share``: expected part of all tokens that is kept.
+    raise small groups. ``share``: expected part of all tokens that is kept, whether or not the
+    targets can be met with it; with None, the largest part that meets them. ``targets``: for a
+    marginal, weights of its groups instead of ``temper``; groups without a weight are not kept.
+    The SQL of ``oracle`` knows neither ``targets`` nor a share of None.
     """
 
     topics: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -36,9 +42,10 @@ class Plan:
         ("secrets", ("password", "token =")), ("tables", (" | ",)))
     other: str = "prose"
     temper: tuple[tuple[str, float], ...] = (("source", 0.9), ("lang", 0.9), ("topic", 0.9))
-    share: float = 0.9
+    share: float | None = 0.9
     rounds: int = 10
     capping: int = 8
+    targets: tuple[tuple[str, tuple[tuple[str, float], ...]], ...] = ()
 
 
 def topic_of(text: Column, plan: Plan) -> Column:
@@ -68,14 +75,26 @@ def count_cells(rows: DataFrame) -> DataFrame:
         F.sum("_tokens").alias("tokens")).filter("tokens > 0")
 
 
+def wanted(cells: DataFrame, plan: Plan, name: str, power: float) -> DataFrame | None:
+    """``name`` and ``target_{name}``, the share each group of a marginal should have; None without groups."""
+    part = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("_t"))
+    given = dict(plan.targets).get(name)
+    if given is None:
+        part = part.withColumn("_t", F.pow("_t", F.lit(power)))
+    else:
+        weight = F.create_map(*(F.lit(x) for group, w in given for x in (group, float(w))))
+        part = part.withColumn("_t", F.get(F.map_values(F.map_filter(weight, lambda k, _: k == F.col(name))), F.lit(0)))
+        part = part.filter("_t > 0")
+    total = part.agg(F.sum("_t")).first()[0]
+    return None if total is None else part.select(name, (F.col("_t") / F.lit(total)).alias(f"target_{name}"))
+
+
 def rake(cells: DataFrame, plan: Plan) -> DataFrame:
-    """Cells with ``weight``, shares that meet the tempered marginals as far as the cells allow."""
-    for name, power in plan.temper:
-        part = cells.groupBy(name).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("_t"))
-        total = part.agg(F.sum("_t")).first()[0]
-        if total is None:
+    """Cells with ``weight``, shares that meet the wanted marginals as far as the cells allow."""
+    parts = [(name, wanted(cells, plan, name, power)) for name, power in plan.temper]
+    for name, part in parts:
+        if part is None:
             return cells.withColumn("weight", F.lit(0.0))
-        part = part.select(name, (F.col("_t") / F.lit(total)).alias(f"target_{name}"))
         cells = cells.join(part, name)
     cells = stage(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
     for _ in range(plan.rounds):
@@ -88,9 +107,13 @@ def rake(cells: DataFrame, plan: Plan) -> DataFrame:
 
 def probabilities(cells: DataFrame, plan: Plan) -> DataFrame:
     """Cells with ``probability``: min(1, scale * weight / tokens), the scale such that the
-    expected tokens are the plan's share of all. Cells at 1 leave their rest to the others."""
+    expected tokens are the plan's share of all. Cells at 1 leave their rest to the others.
+    Without a share the scale is the largest that needs no cell more than whole."""
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
     ratio = F.col("weight") / F.col("tokens")
+    if plan.share is None:
+        most = cells.agg(F.max(ratio)).first()[0] or 0.0
+        return cells.withColumn("probability", F.least(F.lit(1.0), ratio / F.lit(most)) if most else F.lit(0.0))
     scale = 0.0
     for _ in range(plan.capping):
         full = ratio * F.lit(scale) >= 1
@@ -135,6 +158,26 @@ def mix(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "
         "probability", "kept")
 
 
+def achieved(mixed: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """``dimension, name, natural, target, expected, kept`` of a result of ``mix``: shares of the tokens
+    in the input, as planned, by the probabilities and in the documents kept."""
+    cells = mixed.groupBy(*DIMENSIONS).agg(
+        F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("probability")).alias("expected"),
+        F.sum(F.when(F.col("kept"), F.col("n_tokens")).otherwise(0)).alias("kept")).filter("tokens > 0")
+    cells = stage(cells, "mixed_cells")
+    sums = {c: cells.agg(F.sum(c).cast("double")).first()[0] for c in ("tokens", "expected", "kept")}
+    out = None
+    for name, power in plan.temper:
+        part = cells.groupBy(name).agg(*((F.try_divide(F.sum(c).cast("double"), F.lit(sums[c]).cast("double"))).alias(c)
+                                         for c in sums))
+        target = wanted(cells, plan, name, power)
+        part = part.withColumn(f"target_{name}", F.lit(0.0)) if target is None else part.join(target, name, "left")
+        part = part.select(F.lit(name).alias("dimension"), F.col(name).alias("name"), F.col("tokens").alias("natural"),
+                           F.coalesce(f"target_{name}", F.lit(0.0)).alias("target"), "expected", "kept")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def sample(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text",
            source: str = "source", lang: str = "lang") -> DataFrame:
     """The documents that ``mix`` keeps, with all their columns; texts do not move where cells are few."""
