@@ -43,6 +43,18 @@ def test_substrings_match_brute_force(spark, length):
     assert sum(r[2] for r in want) > 1000
 
 
+@pytest.mark.parametrize("length", [79, 80, 120])
+def test_long_strings_repeated_in_other_chunks(spark, monkeypatch, length):
+    monkeypatch.setattr(base, "chunk_bytes", lambda n: 2_000)
+    monkeypatch.setattr(base, "buckets", lambda n, each: 7)
+    rng = random.Random(length)
+    shared = ["".join(rng.choice("abcdefgh ") for _ in range(length + n)) for n in (0, 1, 3, 40) for _ in range(5)]
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 60))) + s + rng.choice("xyz") * 3
+             for s in shared * 2]
+    want = check(documents(spark, texts, 5), length=length)
+    assert sum(r[2] > 0 for r in want) == len(shared)
+
+
 def test_many_chunks_and_ranges(spark, monkeypatch):
     monkeypatch.setattr(base, "chunk_bytes", lambda n: 2_000)
     monkeypatch.setattr(base, "buckets", lambda n, each: 7)

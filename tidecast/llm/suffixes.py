@@ -365,6 +365,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     n_ranges = base.buckets(size, base.chunk_bytes(size))
     cuts = np.array(splitters(rows, n_ranges, length), f"S{ANCHOR}")
     width = _width(length)
+    n_words = -(-(length - ANCHOR + 1) // 64)  # a suffix's windows are bits of so many numbers
     number = F.pmod(F.xxhash64("doc", "text"), F.lit(n_chunks)).cast("int")
     chunks = keyed.withColumn("chunk", number)
 
@@ -414,7 +415,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
             first = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (t[1:] != t[:-1]))))
             low = np.empty(len(key), np.int64)
             low[order] = np.repeat(np.minimum.reduceat(key[order], first), np.diff(np.append(first, len(key))))
-            mask = (low < key).astype(np.int64)
+            mask = (low < key).astype(np.int64)[:, None]
         else:
             lcps = table["lcps"].to_pylist()
             runs = [(front_decode(x, y, width), x) for x, y in zip(lcps, table["rest"].to_pylist(), strict=True)]
@@ -433,11 +434,14 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
             first = np.flatnonzero(new)
             lowest = np.minimum.reduceat(key_, first) if len(first) else key_
             low = least_keys(flat[first], group[first], lowest, length)[of]
-            bits = (low < key_[:, None]) @ (np.uint64(1) << np.arange(low.shape[1], dtype=np.uint64))
-            mask = np.empty(len(key), np.int64)
-            mask[place] = bits.astype(np.uint64).view(np.int64)
+            earlier = low < key_[:, None]
+            mask = np.empty((len(key), n_words), np.int64)
+            for w in range(n_words):
+                some = earlier[:, 64 * w:64 * w + 64]
+                bits = some @ (np.uint64(1) << np.arange(some.shape[1], dtype=np.uint64))
+                mask[place, w] = bits.astype(np.uint64).view(np.int64)
         split = np.split(mask, np.cumsum(sizes)[:-1])
-        return _table([(c, kind, b, pack_counts(v)) for c, v in zip(
+        return _table([(c, kind, b, pack_counts(v.ravel())) for c, v in zip(
             table["chunk"].to_pylist(), split, strict=True)], REPLY)
 
     def cut(docs: pa.Table, replies: pa.Table) -> pa.Table:
@@ -453,11 +457,11 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
 
         _, least, of = c.suffixes(cold)
         if len(of):
-            mask = _verdict(replies, "suffix").view(np.uint64)[of]
+            mask = _verdict(replies, "suffix").view(np.uint64).reshape(-1, n_words)[of]
             later = c.key[cold.doc] > least[of]  # the chunk holds the same suffix under a smaller key
             remove(cold.low[later], cold.high[later] + length)
             for j in range(length - ANCHOR + 1):
-                hit = ~later & (mask >> np.uint64(j) & np.uint64(1) > 0)
+                hit = ~later & (mask[:, j // 64] >> np.uint64(j % 64) & np.uint64(1) > 0)
                 hit &= (cold.at - j >= cold.low) & (cold.at - j <= cold.high)
                 remove(cold.at[hit] - j, cold.at[hit] - j + length)
         start, doc, of, _, _, least = c.windows(hot)
