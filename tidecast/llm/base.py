@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import tidecast
 
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
@@ -57,6 +58,30 @@ def tidy(function: Callable) -> Callable:
     return group
 
 
+def keyed_tidy(function: Callable) -> Callable:
+    """``tidy`` for a function of a key and two tables."""
+    def pair(key, left, right):
+        out = function(key, left, right)
+        _give_back()
+        return out
+    return pair
+
+
+def repeated(df: DataFrame, times: str, block: int = 4096) -> DataFrame:
+    """Each row as often as its number ``times`` says.
+
+    Rows with many copies are first cut into blocks that are dealt out, so that no task
+    writes all copies of a row.
+    """
+    n, at = F.col(times), F.sequence(F.lit(0).cast("long"), F.lit(block - 1).cast("long"))
+    few = df.filter(n <= block).withColumn("_copy", F.explode(F.slice(at, F.lit(1), n.cast("int"))))
+    many = df.filter(n > block).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(block))))
+    many = many.withColumn("_left", F.least(n - F.col("_block"), F.lit(block)).cast("int"))
+    many = many.repartition(F.xxhash64(*df.columns, "_block")).withColumn(
+        "_copy", F.explode(F.slice(at, F.lit(1), F.col("_left")))).drop("_block", "_left")
+    return few.unionByName(many).withColumn("_copy", F.lit(None)).drop("_copy")
+
+
 def documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only key and text, under names of ours."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

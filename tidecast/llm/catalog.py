@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm import (
     base, bpe, chunking, langid, lmscore, minhash, mixing, quality, rules, suffixes, syncmers,
-    textstats,
+    textstats, topk,
 )
 from tidecast.staging import stage
 
@@ -82,6 +82,10 @@ def op9_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(base.read(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_lm_score": op2_lm_score,
@@ -93,7 +97,9 @@ QUERIES = {
     "op8_syncmers": op8_syncmers,
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_mixing": op10_mixing,
+    "op12_topk": op12_topk,
 }
 ORACLE: dict[str, str] = {
     "op10_mixing": mixing.oracle(),
+    "op12_topk": topk.oracle(),
 }
