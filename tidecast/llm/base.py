@@ -67,19 +67,20 @@ def keyed_tidy(function: Callable) -> Callable:
     return pair
 
 
-def repeated(df: DataFrame, times: str, block: int = 4096) -> DataFrame:
-    """Each row as often as its number ``times`` says.
+def repeated(df: DataFrame, times: str, index: str = "_copy", block: int = 4096) -> DataFrame:
+    """Each row as often as its number ``times`` says, numbered from 0 by ``index``.
 
     Rows with many copies are first cut into blocks that are dealt out, so that no task
-    writes all copies of a row.
+    writes all copies of a row. ``df`` is read twice.
     """
-    n, at = F.col(times), F.sequence(F.lit(0).cast("long"), F.lit(block - 1).cast("long"))
-    few = df.filter(n <= block).withColumn("_copy", F.explode(F.slice(at, F.lit(1), n.cast("int"))))
-    many = df.filter(n > block).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(block))))
-    many = many.withColumn("_left", F.least(n - F.col("_block"), F.lit(block)).cast("int"))
-    many = many.repartition(F.xxhash64(*df.columns, "_block")).withColumn(
-        "_copy", F.explode(F.slice(at, F.lit(1), F.col("_left")))).drop("_block", "_left")
-    return few.unionByName(many).withColumn("_copy", F.lit(None)).drop("_copy")
+    n = F.col(times)
+    upto = lambda first, last, step: F.explode(F.sequence(first, last, F.lit(step).cast("long")))
+    zero = F.lit(0).cast("long")
+    few = df.filter((n > 0) & (n <= block)).withColumn(index, upto(zero, n - 1, 1))
+    many = df.filter(n > block).withColumn("_first", upto(zero, n - 1, block))
+    many = many.repartition(F.xxhash64(times, "_first")).withColumn(
+        index, upto(F.col("_first"), F.least(n, F.col("_first") + block) - 1, 1)).drop("_first")
+    return few.unionByName(many)
 
 
 def documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.llm import (
-    base, bpe, chunking, langid, lmscore, minhash, mixing, quality, rules, suffixes, syncmers,
+    base, bpe, chunking, langid, lmscore, manifest, minhash, mixing, quality, rules, suffixes, syncmers,
     textstats, topk,
 )
 from tidecast.staging import stage
@@ -82,6 +82,11 @@ def op9_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.manifest(base.read(spark, folder, "documents"), tampered=manifest.tampered_third(),
+                             tampering={"text": manifest.lowered()})
+
+
 def op12_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(base.read(spark, folder, "embeddings"))
 
@@ -97,9 +102,11 @@ QUERIES = {
     "op8_syncmers": op8_syncmers,
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_mixing": op10_mixing,
+    "op11_manifest": op11_manifest,
     "op12_topk": op12_topk,
 }
 ORACLE: dict[str, str] = {
     "op10_mixing": mixing.oracle(),
+    "op11_manifest": manifest.oracle(),
     "op12_topk": topk.oracle(),
 }
