@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.llm import (
-    base, bpe, chunking, langid, lmscore, manifest, minhash, mixing, quality, rules, suffixes, syncmers,
+    base, bpe, chunking, collocations, langid, lmscore, manifest, minhash, mixing, quality, rules, suffixes, syncmers,
     textstats, topk,
 )
 from tidecast.staging import stage
@@ -91,6 +91,10 @@ def op12_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(base.read(spark, folder, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(base.read(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_lm_score": op2_lm_score,
@@ -104,9 +108,11 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_manifest": op11_manifest,
     "op12_topk": op12_topk,
+    "op13_collocations": op13_collocations,
 }
 ORACLE: dict[str, str] = {
     "op10_mixing": mixing.oracle(),
     "op11_manifest": manifest.oracle(),
     "op12_topk": topk.oracle(),
+    "op13_collocations": collocations.oracle(),
 }
