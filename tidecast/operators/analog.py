@@ -1,8 +1,8 @@
 """Signatures of trailing windows and the search for similar past windows.
 
-Signatures come from range frames over a dense spine, so all origins of a series
-are computed in one pass. Everything per series or run is bounded by the days of
-its history.
+Signatures are differences of running totals, over a dense spine or looked up by day, so a
+window costs as much as a day. Everything per series or run is bounded by the days of
+its history, and runs of one series meet its days or candidates in many tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions.numeric import safe_pct, safe_ratio
+from tidecast.staging import blocks, carried_days, join_salted
 
 # metric prefix -> (count column, volume column) of the funnel
 KINDS = {
@@ -50,34 +51,61 @@ def _signature_columns(current: dict[str, Column], prior: dict[str, Column], biz
     return out
 
 
-def window_days(windows: DataFrame) -> DataFrame:
-    """Unfold windows (window_id, series_id, start, end, prior_start, prior_end) to days."""
-    return windows.select(
-        "window_id", "series_id", "start", "end", "prior_start", "prior_end",
-        F.explode(F.sequence("prior_start", "end")).alias("filedt"),
+def running_totals(funnel: DataFrame, columns: list[str], until: dt.date | None) -> DataFrame:
+    """Totals of every series up to each day (``as_of``), as exact decimals, and ``n_rows``.
+
+    The difference of two rows is the sum of any window.
+    """
+    so_far = Window.partitionBy("series_id").orderBy("filedt")
+    rows = funnel.select(
+        "series_id", "filedt", F.count("*").over(so_far).alias("n_rows"),
+        *[F.sum(exact(c)).over(so_far).alias(c) for c in columns],
     )
+    return carried_days(rows, "filedt", F.lit(until).cast("date")).drop("filedt")
+
 
+def exact(c: str) -> Column:
+    """Amounts of up to six decimals, so that sums and their differences lose nothing."""
+    return F.coalesce(F.col(c), F.lit(0.0)).cast("decimal(28,6)")
 
-def _window_sums(funnel: DataFrame, windows: DataFrame, extra: list[Column] | None = None):
-    rows = window_days(windows).join(funnel, ["series_id", "filedt"])
-    cur = F.col("filedt").between(F.col("start"), F.col("end"))
-    pri = F.col("filedt").between(F.col("prior_start"), F.col("prior_end"))
 
-    def total(col: Column, when: Column) -> Column:
-        return F.coalesce(F.sum(F.when(when, col)), F.lit(0.0))
+def _window_sums(funnel: DataFrame, windows: DataFrame, means: dict[str, str] | None = None) -> DataFrame:
+    """Sums of the current (``_c``) and the prior (``_p``) window, and means over the current one.
+
+    A window meets the running totals at its ends and the days before its starts: three days if
+    the prior window ends where the current one begins.
+    """
+    means = means or {}
+    bounds = ["start", "end", "prior_start", "prior_end"]
+    windows = windows.select("window_id", "series_id", *bounds)
+    until = windows.agg(F.max(F.greatest("end", "prior_end"))).first()[0]
+    columns = ["biz_day", *MEASURES.values()]
+    totals = running_totals(
+        funnel.withColumns({f"_has_{c}": F.when(F.col(c).isNotNull(), 1.0) for c in means.values()}),
+        [*columns, *means.values(), *[f"_has_{c}" for c in means.values()]], until)
+    spans = {"c": ("start", "end"), "p": ("prior_start", "prior_end")}
+    days = [d for lo, hi in spans.values() for d in (F.date_sub(lo, 1), F.col(hi))]
+    points = windows.withColumn("as_of", F.explode(F.array_distinct(F.array(*days))))
+    met = points.join(totals, ["series_id", "as_of"], "left")
+
+    def total(c: str, tag: str) -> Column:
+        lo, hi = spans[tag]
+
+        def at(day: Column) -> Column:
+            return F.coalesce(F.max(F.when(F.col("as_of") == day, F.col(c))), F.lit(0))
+
+        # an empty window, one that ends before it starts, has no rows
+        return F.when(F.col(lo) <= F.col(hi), at(F.col(hi)) - at(F.date_sub(lo, 1))).otherwise(
+            F.lit(0)).cast("double")
 
     aggs = []
-    for tag, when in (("c", cur), ("p", pri)):
-        aggs += [total(F.col(col), when).alias(f"{m}_{tag}") for m, col in MEASURES.items()]
-        aggs += [
-            total(F.col("biz_day"), when).alias(f"biz_{tag}"),
-            F.count_if(when).cast("double").alias(f"rows_{tag}"),
-        ]
-    sums = rows.groupBy("window_id", "series_id").agg(*aggs, *(extra or []))
-    # a window without rows has all-zero features
-    return windows.join(sums, ["window_id", "series_id"], "left").fillna(
-        0.0, subset=[c for c in sums.columns if c not in ("window_id", "series_id")]
-    )
+    for tag in spans:
+        aggs += [total(c, tag).alias(f"{m}_{tag}") for m, c in MEASURES.items()]
+        aggs += [total("biz_day", tag).alias(f"biz_{tag}"), total("n_rows", tag).alias(f"rows_{tag}")]
+    for n, c in means.items():
+        mean = F.try_divide(total(c, "c"), total(f"_has_{c}", "c"))
+        aggs.append(F.coalesce(mean, F.lit(0.0)).alias(n))
+    return met.groupBy("window_id", "series_id", *bounds).agg(*aggs)
 
 
 def _biz(tag: str) -> Column:
@@ -108,14 +136,12 @@ def legacy_volume_signature(funnel: DataFrame, todays: DataFrame) -> DataFrame:
         F.add_months(start, -1).alias("prior_start"),
         F.date_sub(start, 1).alias("prior_end"),
     )
-    cur = F.col("filedt").between(F.col("start"), F.col("end"))
     sizes = {
         "avg_app_loan_size": "avg_application_loan_size",
         "avg_uw_loan_size": "avg_underwriting_submission_loan_size",
         "avg_appr_loan_size": "avg_approval_loan_size",
     }
-    means = [F.avg(F.when(cur, F.col(c))).alias(n) for n, c in sizes.items()]
-    sums = _window_sums(funnel, windows, means)
+    sums = _window_sums(funnel, windows, sizes)
     out = []
     for k in KINDS:
         level = safe_ratio(F.col(f"{k}_vol_c"), _biz("c"))
@@ -145,18 +171,23 @@ def funnel_spine(funnel: DataFrame, until: dt.date | Column) -> DataFrame:
 
 def two_window_signature(funnel: DataFrame, until: dt.date | Column) -> DataFrame:
     """25 features of every origin day from its trailing 30 and 60 days and the equal
-    windows before them. The windows end the day before the origin."""
-    spine = funnel_spine(funnel, until).withColumn(
-        "day_no", F.datediff("filedt", F.lit(dt.date(1970, 1, 1)))
-    )
-    by_day = Window.partitionBy("series_id").orderBy("day_no")
-    frames = {"a": (-30, -1), "b": (-60, -31), "c": (-60, -1), "d": (-120, -61)}
+    windows before them. The windows end the day before the origin, and their sums are
+    differences of running totals."""
+    by_day = Window.partitionBy("series_id").orderBy("filedt")
+    columns = ["biz_day", "has_row", *MEASURES.values()]
+    # the spine has every day, so totals up to n days ago stand n rows back
+    spine = funnel_spine(funnel, until).select(
+        "series_id", "filedt", *[F.sum(exact(c)).over(by_day).alias(c) for c in columns])
+
+    def between(c: str, last: int, first: int) -> Column:
+        ago = [F.coalesce(F.lag(c, n).over(by_day), F.lit(0)) for n in (last, first + 1)]
+        return (ago[0] - ago[1]).cast("double")
+
     sums = []
-    for tag, (lo, hi) in frames.items():
-        w = by_day.rangeBetween(lo, hi)
+    for tag, (first, last) in {"a": (30, 1), "b": (60, 31), "c": (60, 1), "d": (120, 61)}.items():
         named = {f"{m}_{tag}": c for m, c in MEASURES.items()}
         named |= {f"biz_{tag}": "biz_day", f"rows_{tag}": "has_row"}
-        sums += [F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(n) for n, c in named.items()]
+        sums += [between(c, last, first).alias(n) for n, c in named.items()]
     rows = spine.select("series_id", F.col("filedt").alias("origin"), *sums)
 
     def measures(tag: str) -> dict[str, Column]:
@@ -277,34 +308,36 @@ def analog_queries(signatures: DataFrame, runs: DataFrame, norm: DataFrame,
                                                   F.col("scale").alias("v")))).alias("s"))
         .select("series_id", F.transform("s", lambda x: x["v"]).alias("scales"))
     )
-    return (
-        runs.select("run_id", "series_id", F.col(as_of).alias("origin"))
-        .join(signatures, ["series_id", "origin"])
-        .join(scales, "series_id")
-        .select(
-            "run_id", "series_id", F.col("origin").alias("as_of"),
-            feature_array().alias("live"),
-            F.zip_with(feature_weights(), "scales", lambda w, s: w / (s * s)).alias("coef"),
-        )
+    live = runs.select("run_id", "series_id", F.col(as_of).alias("origin")).join(
+        signatures, ["series_id", "origin"])
+    return join_salted(live, scales, "series_id", "run_id").select(
+        "run_id", "series_id", F.col("origin").alias("as_of"),
+        feature_array().alias("live"),
+        F.zip_with(feature_weights(), "scales", lambda w, s: w / (s * s)).alias("coef"),
     )
 
 
 def analog_distance(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """Weighted distance of every run to its series' candidates that end before it.
 
-    Pairs per run are bounded by the days of the series' history.
+    Pairs per run are bounded by the days of the series' history. Candidates are cut into
+    blocks by a hash of their origin and a run meets each block on its own, so the pairs of
+    a series with many runs are spread over as many tasks.
     """
+    n = blocks(queries.sparkSession)
     cand = candidates.select(
-        "series_id", "origin", "target_start", "target_end", feature_array().alias("cand")
+        "series_id", "origin", "target_start", "target_end", feature_array().alias("cand"),
+        F.pmod(F.xxhash64("origin"), F.lit(n)).cast("int").alias("block"),
     )
+    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     square = F.lit(0.0)
     for i in range(len(FEATURES)):
         gap = F.get("cand", F.lit(i)) - F.get("live", F.lit(i))
         square = square + F.get("coef", F.lit(i)) * gap * gap
     return (
-        queries.join(cand, "series_id")
+        asked.join(cand, ["series_id", "block"])
         .filter(F.col("target_end") < F.col("as_of"))
-        .select("run_id", "series_id", "origin", "target_start", "target_end",
+        .select("run_id", "series_id", "block", "origin", "target_start", "target_end",
                 F.sqrt(square).alias("distance"))
     )
 
@@ -317,13 +350,19 @@ def analog_topk_min_gap(distances: DataFrame, k: int = 5, min_gap_days: int = 14
     (k - 1) * (2 * gap - 1) + 1 candidates of that order can be taken: origins are distinct
     days, so each one taken rules out at most 2 * gap - 1 of them, itself included, and
     before the last at most k - 1 are taken. A ranked window keeps those, so a
-    collected group has that bound, whatever the length of the history.
+    collected group has that bound, whatever the length of the history. Where ``distances`` has
+    blocks, that many of each block leave their task before a run's blocks meet.
     """
     reach = (k - 1) * (2 * max(min_gap_days, 1) - 1) + 1
-    nearest = Window.partitionBy("run_id", "series_id").orderBy("distance", "origin")
-    distances = distances.withColumn("place", F.row_number().over(nearest)).filter(
-        F.col("place") <= reach
-    )
+
+    def first(rows: DataFrame, *by: str) -> DataFrame:
+        nearest = Window.partitionBy("run_id", "series_id", *by).orderBy("distance", "origin")
+        return rows.withColumn("place", F.row_number().over(nearest)).filter(
+            F.col("place") <= reach).drop("place")
+
+    if "block" in distances.columns:
+        distances = first(distances, "block")
+    distances = first(distances)
     pair = F.struct("distance", "origin", "target_start", "target_end")
 
     def take(picked: Column, x: Column) -> Column:
@@ -390,10 +429,13 @@ def anchor_lookup(runs: DataFrame, anchors: DataFrame, funnel: DataFrame,
 
     January targets see January anchors only, others the rest. Ties go to the
     anchor whose window ends nearest to the live window's end. Anchors are tuned
-    windows, a few dozen per series.
+    windows, a few dozen per series. What a run looks for depends on its series and date
+    alone, so each date is matched once, however many runs share it.
     """
+    key = F.concat_ws("@", "series_id", F.col("today").cast("string"))
+    dates = runs.select("series_id", "today").distinct().withColumn("run_id", key)
     table = anchor_feature_table(anchors, funnel)
-    live = volume_features(funnel, live_anchor_windows(runs))
+    live = volume_features(funnel, live_anchor_windows(dates))
     stats = table.groupBy("series_id").agg(
         F.array(*[F.avg(f) for f in ANCHOR_FEATURES]).alias("means"),
         F.array(*[F.stddev(f) for f in ANCHOR_FEATURES]).alias("stds"),
@@ -420,10 +462,10 @@ def anchor_lookup(runs: DataFrame, anchors: DataFrame, funnel: DataFrame,
         )
     else:
         month = F.lit(force_month)
-    targets = runs.select(
+    targets = dates.select(
         "run_id", "series_id", "today", (month == 1).alias("wants_january")
     )
-    # a run meets the anchors of its series and kind once, with all features in one array
+    # a date meets the anchors of its series and kind once, with all features in one array
     square = F.lit(0.0)
     for i in range(len(ANCHOR_FEATURES)):
         gap = F.get("z", F.lit(i)) - F.get("za", F.lit(i))
@@ -435,7 +477,7 @@ def anchor_lookup(runs: DataFrame, anchors: DataFrame, funnel: DataFrame,
                     ["series_id", "wants_january"])
         .withColumn("d", F.sqrt(square))
         .withColumn("gap", F.abs(F.datediff("window_end", F.date_sub("today", 1))))
-        .groupBy("run_id", "series_id")
+        .groupBy("series_id", "today")
         .agg(
             F.min_by(
                 F.struct("label", F.col("d").alias("distance")),
@@ -443,18 +485,34 @@ def anchor_lookup(runs: DataFrame, anchors: DataFrame, funnel: DataFrame,
             ).alias("b")
         )
     )
-    return best.select("run_id", "series_id", "b.label", "b.distance")
+    return runs.select("run_id", "series_id", "today").join(best, ["series_id", "today"]).select(
+        "run_id", "series_id", "b.label", "b.distance")
 
 
 def nearest_anchor(targets: DataFrame, anchors: DataFrame) -> DataFrame:
-    """The anchor of the same series whose window starts nearest to the target."""
-    pairs = targets.select("run_id", "series_id", "target_start").join(
-        anchors.withColumnRenamed("channel", "series_id"), "series_id"
-    )
-    gap = F.abs(F.datediff("window_start", "target_start"))
+    """The anchor of the same series whose window starts nearest to the target.
+
+    On a tie the earlier window. Targets are reduced to their dates and lie with the anchors on
+    one line per series; the last anchor before and the next one after a date are the only
+    ones to compare, so nothing multiplies.
+    """
     row = F.struct(*[F.col(c) for c in anchors.columns if c != "channel"])
-    return (
-        pairs.groupBy("run_id", "series_id", "target_start")
-        .agg(F.min_by(row, F.struct(gap, F.col("window_start"))).alias("a"))
-        .select("run_id", "series_id", "target_start", "a.*")
-    )
+    known = anchors.groupBy(F.col("channel").alias("series_id"), "window_start").agg(
+        F.min(row).alias("anchor"))
+    asked = targets.select("run_id", "series_id", "target_start").distinct()
+    dates = asked.select("series_id", F.col("target_start").alias("at")).distinct()
+    line = dates.withColumn("wanted", F.lit(True)).unionByName(
+        known.withColumnRenamed("window_start", "at"), allowMissingColumns=True)
+    series = Window.partitionBy("series_id")
+
+    def upto(order: Column) -> Column:  # rows of one date see each other
+        return F.last("anchor", ignorenulls=True).over(series.orderBy(order))
+
+    both = line.withColumns({"before": upto(F.col("at")), "after": upto(F.col("at").desc())}).filter("wanted")
+    nearer = F.when(
+        F.col("after").isNull()
+        | (F.datediff("at", "before.window_start") <= F.datediff("after.window_start", "at")),
+        F.col("before")).otherwise(F.col("after"))
+    found = both.select("series_id", F.col("at").alias("target_start"), nearer.alias("a")).filter("a IS NOT NULL")
+    return asked.join(found, ["series_id", "target_start"]).select(
+        "run_id", "series_id", "target_start", "a.*")

@@ -35,6 +35,17 @@ INDICATORS = (
 )
 
 
+# growth of the partial month -> its indicator and how many months back
+MTD_GROWTH = {
+    "application_count_per_bizday_growth_1m": ("application_count_per_bizday", 1),
+    "application_count_per_bizday_growth_3m": ("application_count_per_bizday", 3),
+    "approval_events_per_bizday_growth_1m": ("approval_events_per_bizday", 1),
+    "underwriting_submission_events_per_bizday_growth_1m": (
+        "underwriting_submission_events_per_bizday", 1),
+}
+SMOOTHED = ("application_count_per_bizday_growth_1m", "approval_events_per_bizday_growth_1m")
+
+
 def by_month() -> WindowSpec:
     return Window.partitionBy("series_id").orderBy("month")
 
@@ -94,27 +105,48 @@ def monthly_indicators_mtd(funnel: DataFrame, today: Column | None = None) -> Da
     rows = funnel
     if today is not None:
         rows = funnel.filter(F.col("filedt") <= business_day_add(today, -1))
-    worked = (
-        (F.weekday("filedt") < 5)
-        & (F.col("is_holiday") != 1)
-        & (F.col("is_company_holiday") != 1)
-    )
     monthly = month_sums(
         rows,
         EVENT_SUMS,
-        F.greatest(F.count_if(worked), F.lit(1)).cast("double").alias("effective_biz_days"),
+        F.greatest(F.count_if(_worked()), F.lit(1)).cast("double").alias("effective_biz_days"),
     )
     out = _per_bizday(monthly, EVENT_SUMS)
-    return out.withColumns(
-        {
-            "application_count_per_bizday_growth_1m": _growth("application_count_per_bizday", 1),
-            "application_count_per_bizday_growth_3m": _growth("application_count_per_bizday", 3),
-            "approval_events_per_bizday_growth_1m": _growth("approval_events_per_bizday", 1),
-            "underwriting_submission_events_per_bizday_growth_1m": _growth(
-                "underwriting_submission_events_per_bizday", 1
-            ),
-        }
+    return out.withColumns({name: _growth(c, k) for name, (c, k) in MTD_GROWTH.items()})
+
+
+def _worked() -> Column:
+    return (
+        (F.weekday("filedt") < 5)
+        & (F.col("is_holiday") != 1)
+        & (F.col("is_company_holiday") != 1)
+    )
+
+
+def indicators_by_day(funnel: DataFrame, smooth: bool = True) -> DataFrame:
+    """The last month of ``monthly_indicators_mtd`` as of every file date of every series.
+
+    Running sums within each month give the partial month, and its growth is against whole earlier
+    months, which any later date sees alike. So one table, a row per series and file date,
+    answers every run. ``smooth`` as in ``smooth_growth``.
+    """
+    so_far = Window.partitionBy("series_id", "month").orderBy("filedt")
+    worked = F.sum(F.when(_worked(), 1).otherwise(0)).over(so_far)
+    dated = funnel.withColumn("month", month_start(F.col("filedt"))).select(
+        "series_id", "filedt", "month", *[F.sum(c).over(so_far).alias(c) for c in EVENT_SUMS],
+        F.greatest(worked, F.lit(1)).cast("double").alias("effective_biz_days"),
+    )
+    earlier = {
+        f"{c}_{k}_ago": F.lag(c, k).over(by_month()) for c, k in MTD_GROWTH.values()
+    } | {f"{g}_before": F.lag(g, 1).over(by_month()) for g in SMOOTHED}
+    monthly = monthly_indicators_mtd(funnel).select(
+        "series_id", "month", *[c.alias(n) for n, c in earlier.items()]
     )
+    out = _per_bizday(dated, EVENT_SUMS).join(monthly, ["series_id", "month"])
+    grown = {n: pct_change(F.col(c), F.col(f"{c}_{k}_ago")) for n, (c, k) in MTD_GROWTH.items()}
+    out = out.withColumns(grown)
+    if smooth:  # adding null gives null, as a mean of fewer than two does
+        out = out.withColumns({g: (F.col(g) + F.col(f"{g}_before")) / 2 for g in SMOOTHED})
+    return out.drop(*earlier)
 
 
 def monthly_indicators_full(funnel: DataFrame) -> DataFrame:
@@ -176,10 +208,7 @@ def growth_ladder(monthly: DataFrame, indicators: list[str] = INDICATORS,
     )
 
 
-def smooth_growth(monthly: DataFrame, cols: tuple[str, ...] = (
-    "application_count_per_bizday_growth_1m",
-    "approval_events_per_bizday_growth_1m",
-)) -> DataFrame:
+def smooth_growth(monthly: DataFrame, cols: tuple[str, ...] = SMOOTHED) -> DataFrame:
     """Mean of this and the previous row; null until both exist."""
     two = by_month().rowsBetween(-1, 0)
     return monthly.withColumns(

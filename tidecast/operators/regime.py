@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.functions.dates import business_day_add
-from tidecast.operators.indicators import latest_month, monthly_indicators_mtd, smooth_growth
+from tidecast.operators.indicators import indicators_by_day
 from tidecast.schemas import PARAM_NAMES, PARAM_TYPES
+from tidecast.staging import carried_days
 
 REGIME_IDS = {"January": 0, "Regime1": 1, "Regime2": 2}
 # Model A parameters per regime, in the order of PARAM_NAMES.
@@ -62,19 +63,13 @@ def regime_label(month: Column, composite: Column, threshold: float) -> Column:
     )
 
 
-def funnel_as_of_runs(funnel: DataFrame, runs: DataFrame) -> DataFrame:
-    """The funnel rows each run may see, keyed by the run instead of the series."""
-    return (
-        funnel.join(runs.select("run_id", "series_id", "today"), "series_id")
-        .filter(F.col("filedt") <= business_day_add(F.col("today"), -1))
-        .drop("series_id", "today")
-        .withColumnRenamed("run_id", "series_id")
-    )
-
-
 def run_indicators(funnel: DataFrame, runs: DataFrame, smooth: bool = True) -> DataFrame:
-    """Latest month-to-date indicators of every run."""
-    monthly = monthly_indicators_mtd(funnel_as_of_runs(funnel, runs))
-    if smooth:
-        monthly = smooth_growth(monthly)
-    return latest_month(monthly).withColumnRenamed("series_id", "run_id")
+    """Latest month-to-date indicators of every run, from the rows before its ``today``.
+
+    The indicators are computed once per series and file date, and a run looks its day up: the
+    work does not grow with runs times history, and no join is by the series alone.
+    """
+    seen = runs.select("run_id", "series_id", business_day_add(F.col("today"), -1).alias("as_of"))
+    until = seen.agg(F.max("as_of")).first()[0]
+    days = carried_days(indicators_by_day(funnel, smooth), "filedt", F.lit(until).cast("date"))
+    return seen.join(days.drop("filedt"), ["series_id", "as_of"]).drop("series_id", "as_of")

@@ -15,7 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -61,6 +61,11 @@ def salts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def blocks(spark: SparkSession, most: int = 64) -> int:
+    """The same where every block costs a copy of the other side."""
+    return min(salts(spark), most)
+
+
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """Hash a table that later unfolds into many rows over all shuffle partitions.
 
@@ -89,8 +94,31 @@ def join_sharded(keyed: DataFrame, rows: DataFrame, shards: DataFrame) -> DataFr
     return keyed.join(copied, ["run_id", "shard"])
 
 
+def join_salted(rows: DataFrame, one_each: DataFrame, key: str, by: str) -> DataFrame:
+    """Rows with the one row that ``one_each`` has for their key, where a key may be most of the rows.
+
+    The rows of a key are dealt to as many tasks as there are salts, and its one row is copied to each.
+    """
+    n = blocks(rows.sparkSession)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(n)).cast("int"))
+    copies = one_each.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def days_of(runs: DataFrame, start: str, end: str, day: str = "day") -> DataFrame:
     """A row per run and day from ``start`` to ``end``, to meet a daily table by (series, day)
     instead of meeting a series' whole history. Runs whose span is empty have no row."""
     span = F.when(F.col(start) <= F.col(end), F.sequence(start, end))
     return runs.withColumn(day, F.explode(span))
+
+
+def carried_days(rows: DataFrame, day: str, until: Column) -> DataFrame:
+    """Every row on each day on which it is its series' last one, the latest up to ``until``.
+
+    A lookup "as of a day" is then an equality of (series, day): no join by the series alone, and
+    no more rows than the calendar has days. Of rows on one day the last in any order stays.
+    """
+    later = F.lead(day).over(Window.partitionBy("series_id").orderBy(day))
+    last = F.coalesce(F.date_sub("_later", 1), F.greatest(F.col(day), until))
+    span = F.when(F.col(day) <= last, F.sequence(day, last))
+    return rows.withColumn("_later", later).withColumn("as_of", F.explode(span)).drop("_later")
