@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from tidecast.llm import base
 from tidecast.llm.columnar import combine, hashes, mix, pack_counts, parts, spans, starts_of_runs, texts, unpack_counts
-from tidecast.staging import stage
+from tidecast.staging import join_salted, stage
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09]] = True
@@ -472,7 +472,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, lang: str =
     found = stage(found.withColumn("value", F.col("score") * (1 << 40) + F.least("f", F.lit((1 << 40) - 1))), "scored")
     steps = [i / 128 for i in range(1, 128)]
     cuts = found.groupBy("lang").agg(F.percentile_approx("value", steps, 2000).alias("cuts"))
-    found = found.join(cuts, "lang").withColumn("range", F.size(F.filter("cuts", lambda x: x > F.col("value")))).drop("cuts")
+    found = join_salted(found, cuts, "lang", "a").withColumn("range", F.size(F.filter("cuts", lambda x: x > F.col("value")))).drop("cuts")
     earlier = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = found.groupBy("lang", "range").agg(F.count("*").alias("size")).select(
         "lang", "range", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
