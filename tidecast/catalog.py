@@ -298,9 +298,9 @@ def _(x: Inputs) -> DataFrame:
         F.sum("amount").alias("amount"), F.count("*").alias("n_days")
     )
     path = f"{staging_root(x.spark)}/tidecast/{uuid.uuid4().hex}/results"
-    sinks.write_results(totals, path, "csv")
+    sinks.publish(totals, path, "csv")
     return x.spark.read.schema("series_id string, month string, amount double, n_days long").csv(
-        path, header=True
+        sinks.latest(x.spark, path), header=True
     )
 
 
@@ -1441,8 +1441,17 @@ SELECT * EXCLUDE (rn, is_new) FROM (
     SELECT * REPLACE (abs_err > 0.08 AS high_error_flag,
       month(window_start) = 1 OR month(window_end) = 1 AS january_only), 1 AS is_new
     FROM reg_in WHERE abs_err <= 0.15)) WHERE rn = 1""")
-plain("registry_upsert", REGISTRY, "SELECT * FROM reg_up",
-      lambda x: reg.registry_upsert(x.anchors, _incoming(x)))
+
+
+@query("registry_upsert", REGISTRY, "SELECT * FROM reg_up")
+def _(x: Inputs) -> DataFrame:
+    """The stored table after the first tuning and two upserts of the later one, read back."""
+    path = f"{staging_root(x.spark)}/tidecast/{uuid.uuid4().hex}/registry"
+    reg.store_registry(x.anchors, path)
+    reg.upsert_registry(_incoming(x), path)
+    return reg.upsert_registry(_incoming(x), path)
+
+
 plain("registry_latest", REGISTRY,
       """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label
         ORDER BY run_date DESC, abs_err) AS rn FROM (
