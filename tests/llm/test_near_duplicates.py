@@ -87,6 +87,57 @@ def test_awkward_rows(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def rows_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+A, B, C = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, A), (5, A), (5, B)],
+    [(1, A), (5, A), (5, B), (9, B)],
+    [(5, B), (5, A), (1, A), (9, B), (9, C), (11, C), (12, A + " more"), (3, ""), (3, None), (5, ""), (14, ""), (14, "x y")],
+    [(7, A)] * 60 + [(7, B)] * 3 + [(8, B), (6, C), (9, A)] + [(i, C) for i in range(20, 40)],
+])
+def test_repeated_keys_link_all_their_texts(spark, rows):
+    want = components(rows, 4)
+    got = minhash.near_duplicates(rows_of(spark, rows), words_per_shingle=4).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == sorted(
+        (k, want[k], want[k] == k) for k, _ in rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeated_keys_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    texts = near_copies(seed, 14) + ["", "a b"]
+    rows = [(rng.randrange(40), rng.choice(texts)) for _ in range(90)]
+    want = components(rows, 5)
+    got = minhash.near_duplicates(rows_of(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((k, want[k]) for k, _ in rows)
+
+
+def test_rows_go_only_for_texts_that_stay(spark):
+    rows = [(1, A), (5, A), (5, B), (9, B), (9, C), (12, A + " more"), (3, ""), (3, None), (None, A), (None, A), (4, C), (4, C)]
+    got = minhash.deduplicated(rows_of(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(
+        [(1, A), (5, B), (4, C), (3, ""), (3, None), (None, A), (None, A)], key=repr)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_rows_that_stay_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    texts = near_copies(seed, 12)
+    rows = sorted({(rng.randrange(30), rng.choice(texts)) for _ in range(80)})
+    want = components([(i, t) for i, (_, t) in enumerate(rows)], 5)
+    got = [tuple(r) for r in minhash.deduplicated(rows_of(spark, rows)).collect()]
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(want[i], []).append(r)
+    assert len(got) == len(groups) and set(got) <= set(rows)
+    assert sorted(k for k, _ in got) == sorted(min(k for k, _ in g) for g in groups.values())
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(7, 3), (9, 7)], "a long, b long")
     got = {r["node"]: r["label"] for r in minhash.components(links).collect()}

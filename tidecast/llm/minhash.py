@@ -88,7 +88,7 @@ def signatures(doc: np.ndarray, key: np.ndarray, n: int, size: int) -> np.ndarra
 
 
 def sketch(docs: DataFrame, words_per_shingle: int, size: int, bands: int) -> DataFrame:
-    """``doc_id, n_shingles, high, low`` (digest of the set)``, signature, bands`` of every text."""
+    """``doc_id, mark, n_shingles, high, low`` (digest of the set)``, signature, bands`` of every text."""
     rows = size // bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,15 +108,26 @@ def sketch(docs: DataFrame, words_per_shingle: int, size: int, bands: int) -> Da
                 flat = np.column_stack(band).astype(np.uint64).view(np.int64).ravel()
                 edges = np.arange(0, len(flat) + 1, bands, dtype=np.int32)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch["doc_id"].slice(lo, n), "n_shingles": count.astype(np.int64),
+                    "doc_id": batch["doc_id"].slice(lo, n), "mark": batch["mark"].slice(lo, n), "n_shingles": count.astype(np.int64),
                     "high": digest[0], "low": digest[1],
                     "signature": pa.array([r.tobytes() for r in sig], pa.binary()),
                     "bands": pa.ListArray.from_arrays(edges, flat)})
 
-    return docs.mapInArrow(base.tidy(run), "doc_id long, n_shingles long, high long, low long, "
+    return docs.mapInArrow(base.tidy(run), "doc_id long, mark long, n_shingles long, high long, low long, "
                                 "signature binary, bands array<long>")
 
 
+def texts_of(nodes: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id`` (the node) and ``text`` of the chosen classes, a text for each.
+
+    Repeated rows become one inside the tasks that read them, so a row with many copies
+    arrives once per task.
+    """
+    chosen = firsts.join(nodes.distinct(), "node", "left_semi").select("node", "doc_id", "mark")
+    once = docs.groupBy("doc_id", "mark").agg(F.first("text").alias("text"))
+    return once.join(chosen, ["doc_id", "mark"]).select(F.col("node").alias("doc_id"), "text")
+
+
 def prune_table(batch: int, size: int, threshold: float, miss: float) -> np.ndarray:
     """Fewest matches that keep a pair after each batch of signature values.
 
@@ -271,8 +282,8 @@ def links_between(ids: np.ndarray, label: np.ndarray, left: np.ndarray, right: n
     return out
 
 
-def remaining(bands: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words_per_shingle: int,
-              threshold: int, size: int, least: np.ndarray, batch: int) -> DataFrame:
+def remaining(bands: DataFrame, labels: DataFrame, classes: DataFrame, firsts: DataFrame, docs: DataFrame,
+              words_per_shingle: int, threshold: int, size: int, least: np.ndarray, batch: int) -> DataFrame:
     """Confirmed links (a, b) among members of different components in groups that hold several.
 
     The members outside the component of the group's least label are compared with all
@@ -305,8 +316,8 @@ def remaining(bands: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
             F.transform(count("outer_blocks"), lambda j: F.struct(
                 F.lit(1).alias("kind"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))))
     ).alias("task"))
-    needed = inside.select("doc_id").distinct()
-    content = docs.join(needed, "doc_id", "left_semi").join(classes.select("doc_id", "signature"), "doc_id")
+    content = texts_of(inside.select(F.col("doc_id").alias("node")), firsts, docs)
+    content = content.join(classes.select("doc_id", "signature"), "doc_id")
     rows = whole.join(stage(content, "content"), "doc_id")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -333,27 +344,25 @@ def remaining(bands: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
             .groupBy("band", "kind", "i", "j").applyInArrow(base.tidy(compare), "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 5,
-                    threshold: int = 80, bands: int = 28, rows: int = 4, batch: int = 16,
-                    miss: float = 1e-6) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row.
+def grouped(docs: DataFrame, by_key: bool, words_per_shingle: int, threshold: int, bands: int, rows: int, batch: int,
+            miss: float) -> DataFrame:
+    """Rows (doc_id, mark) with ``n_shingles`` and, if they have a key and words, the least row of
+    their component, ``least.doc_id`` and ``least.mark``.
 
-    Documents with 100 * common >= threshold * union of their shingle sets are linked; the
-    component's id is its least key, and that document is kept. At similarity 0.8, bands of
-    4 x 28 miss a pair with probability 4e-7. Texts without words (null, empty) have no
-    shingles and are their own component. Rows that repeat a key are one document with several
-    texts, linked through any of them. A row with a null key is linked with nothing and kept.
+    Nodes of the graph are classes of equal sets, numbered in a written table, so a key that
+    has several texts stands for none of them. ``by_key`` links the classes of such a key.
     """
-    base.ship(docs.sparkSession)
     size = bands * rows
     least = prune_table(batch, size, threshold / 100, miss)
-    docs = base.documents(docs, key, text)
     sketches = stage(sketch(docs, words_per_shingle, size, bands), "sketches")
     sets = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    firsts = stage(sets.groupBy("high", "low").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    classes = stage(sets.select("doc_id", "high", "low", "signature", "bands")
-                    .join(firsts, ["doc_id", "high", "low"], "left_semi")
-                    .dropDuplicates(["doc_id", "high", "low"]), "classes")
+    firsts = sets.groupBy("high", "low").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    firsts = stage(firsts.select(
+        F.monotonically_increasing_id().alias("node"), "high", "low", "first.doc_id", "first.mark"), "firsts")
+    # below, doc_id is a node
+    classes = stage(sets.select("doc_id", "mark", "high", "low", "signature", "bands")
+                    .join(firsts, ["doc_id", "mark", "high", "low"])
+                    .select(F.col("node").alias("doc_id"), "signature", "bands").dropDuplicates(["doc_id"]), "classes")
 
     in_band = classes.select("doc_id", F.explode("bands").alias("band"))
     groups = stage(in_band.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
@@ -361,18 +370,75 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     candidates = stage(in_band.join(groups, "band"), "candidates")
     pairs = candidates.filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     survivors_ = stage(likely(stage(pairs, "pairs"), classes, size, least, batch), "likely")
-    links = stage(confirmed(survivors_, docs, words_per_shingle, threshold), "links")
+    either = survivors_.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = stage(texts_of(either, firsts, docs), "texts")
+    links = stage(confirmed(survivors_, wanted, words_per_shingle, threshold), "links")
 
     shared = candidates.select("band", "doc_id").distinct()
-    more = remaining(shared, components(links), classes, docs, words_per_shingle, threshold, size, least, batch)
+    more = remaining(shared, components(links), classes, firsts, docs, words_per_shingle, threshold, size, least, batch)
     links = links.union(stage(more, "more"))
-    labels = components(links)
-
-    first = firsts.withColumnRenamed("doc_id", "first")
-    out = sketches.select("doc_id", "n_shingles", "high", "low")
-    joined = (out.join(first, ["high", "low"], "left")
-              .join(labels.withColumnRenamed("node", "first"), "first", "left"))
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("label", "first"))
-    component = F.coalesce(own, F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"),
-                         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    member = stage(sketches.select("doc_id", "mark", "n_shingles", "high", "low")
+                   .join(firsts.select("high", "low", "node"), ["high", "low"], "left"), "members")
+    if by_key:
+        several = member.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+            F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a")
+        same = member.join(several, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
+        links = links.union(stage(same.distinct(), "keys"))
+    labels = firsts.join(components(links), "node", "left").select(
+        "node", F.coalesce("label", "node").alias("label"), F.struct("doc_id", "mark").alias("row"))
+    labels = stage(labels, "labels")
+    least_of = labels.groupBy("label").agg(F.min("row").alias("least"))
+    found = labels.join(least_of, "label").select("node", "least")
+    linked = F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("least")
+    return member.join(found, "node", "left").select("doc_id", "mark", "n_shingles", linked)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 5,
+                    threshold: int = 80, bands: int = 28, rows: int = 4, batch: int = 16,
+                    miss: float = 1e-6) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row.
+
+    Documents with 100 * common >= threshold * union of their shingle sets are linked; the
+    component's id is its least key, and that document is kept. At similarity 0.8, bands of
+    4 x 28 miss a pair with probability 4e-7. Texts without words (null, empty) have no
+    shingles and are their own component, unless their key has other texts: rows that repeat a
+    key are one document with several texts, linked through any of them; ``n_shingles`` is the
+    row's own. A row with a null key is linked with nothing and kept.
+    """
+    base.ship(docs.sparkSession)
+    docs = marked(base.documents(docs, key, text))
+    out = stage(grouped(docs, True, words_per_shingle, threshold, bands, rows, batch, miss), "grouped")
+    # rows without words take the component of their key's other texts
+    wordless = out.filter("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    others = out.filter("least IS NOT NULL").join(wordless, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min("least.doc_id").alias("other"))
+    others = others.withColumn("n_shingles", F.lit(0).cast("long"))
+    component = F.coalesce("least.doc_id", "other", "doc_id")
+    return out.join(others, ["doc_id", "n_shingles"], "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"),
+        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """With a checksum that tells the texts of a key apart."""
+    return docs.withColumn("mark", F.xxhash64("text"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 5,
+                 threshold: int = 80, bands: int = 28, rows: int = 4, batch: int = 16, miss: float = 1e-6) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates, with all their columns.
+
+    Here every row is a document of its own: of rows that are linked, the one with the least key
+    stays, and no row goes for a text that only its key shares. Rows that repeat key and text
+    are one. Texts without words and rows with a null key are linked with nothing and stay.
+    """
+    base.ship(docs.sparkSession)
+    found = grouped(marked(base.documents(docs, key, text)), False, words_per_shingle, threshold, bands, rows, batch, miss)
+    own = F.struct("doc_id", "mark")
+    stay = found.filter(F.col("doc_id").isNotNull() & (F.col("least").isNull() | (F.col("least") == own))).select(
+        "doc_id", "mark").distinct()
+    rows_ = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("mark"),
+                        F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    once = rows_.filter("doc_id IS NOT NULL").groupBy("doc_id", "mark").agg(F.first("row").alias("row"))
+    return once.join(stay, ["doc_id", "mark"], "left_semi").select("row.*").unionByName(
+        rows_.filter("doc_id IS NULL").select("row.*"))
