@@ -1,9 +1,11 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from helpers_llm import AWKWARD, SPACE, awkward, some_texts
 
 from tidecast.llm import base, columnar
@@ -22,10 +24,28 @@ def test_held_out_is_crc32_of_the_key_as_text(spark):
 
 def test_sample_is_bounded_and_repeatable(spark):
     df = spark.range(20_000).withColumnRenamed("id", "doc_id")
-    first = sorted(r[0] for r in base.sampled(df, 1_000, "doc_id").collect())
-    again = sorted(r[0] for r in base.sampled(df.repartition(7), 1_000, "doc_id").collect())
-    assert first == again and 800 < len(first) < 1200
-    assert base.sampled(df, 20_000, "doc_id").count() == 20_000
+    first = sorted(r[0] for r in base.sampled(df, 1_000).collect())
+    again = sorted(r[0] for r in base.sampled(df.repartition(7), 1_000).collect())
+    assert first == again and 800 < len(first) <= 1000
+    assert base.sampled(df, 20_000).count() == 20_000
+
+
+@pytest.mark.parametrize("hot", ["key", "null", "row"])
+def test_sample_holds_its_bound_with_a_third_of_all_rows_under_one_key(spark, hot):
+    rows = [(i, f"t{i}") for i in range(6000)]
+    rows += [(None if hot == "null" else 7, "t" if hot == "row" else f"x{i}") for i in range(3000)]
+    got = base.sampled(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 900).collect()
+    assert 800 < len(got) <= 900
+    of_key = sum(r["doc_id"] in (None, 7) and r["text"] != "t7" for r in got)
+    assert 230 < of_key < 370
+    assert hot == "row" or len(set(got)) == len(got)
+
+
+def test_sample_by_group_keeps_rare_groups_whole(spark):
+    rows = [("en", i) for i in range(5000)] + [("de", i) for i in range(3000)] + [(None, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "lang string, n long")
+    got = Counter(r["lang"] for r in base.sampled(df, 900, "lang").collect())
+    assert got[None] == 40 and 230 < got["en"] <= 330 and 230 < got["de"] <= 330
 
 
 def test_chunks_grow_with_the_corpus_but_slower():

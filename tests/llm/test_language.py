@@ -36,6 +36,56 @@ def test_forward_sums_all_segmentations(small):
             assert ll[col] == pytest.approx(math.log(total), rel=1e-9)
 
 
+def plain(word, arc, prob, col):
+    """The same sum by a plain pass over the bytes, in logarithms."""
+    ahead = [0.0]
+    for j in range(1, len(word) + 1):
+        terms = []
+        for i in range(max(0, j - 48), j):
+            p = word[i:j]
+            x = prob[arc[p], col] if p in arc else (prob[p[0] + 1, col] if len(p) == 1 else 0.0)
+            if x > 0:
+                terms.append(ahead[i] + math.log(x))
+        top = max(terms)
+        ahead.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    return ahead[-1]
+
+
+@pytest.mark.parametrize("window", [8192, 97])
+def test_long_words_are_summed_whole(small, monkeypatch, window):
+    monkeypatch.setattr(langid, "WINDOW", window)
+    table, prob, pieces = small
+    arc = {p: 257 + i for i, p in enumerate(pieces)}
+    words = [b" " + b"ab" * 100, b" " + b"abba" * 60 + b"z" * 90, " é".encode() + b"ba" * 300, ("é" * 150).encode(),
+             b" " + b"a" * 63, b" " + b"a" * 64, b"z" * 200]
+    got = langid.log_likelihoods(words, table, prob)
+    for w, ll in zip(words, got, strict=True):
+        assert b"".join(langid.cut(w, table)) == w
+        for col in range(2):
+            assert ll[col] == pytest.approx(plain(w, arc, prob, col), rel=1e-9)
+
+
+def test_texts_without_spaces_are_summed_whole():
+    pieces = langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    table = langid.Pieces(pieces)
+    arc = {p: 257 + i for i, p in enumerate(pieces)}
+    prob = langid.normalised(np.random.default_rng(5).random((table.size, 2)), 0.1)
+    words = [(" " + "日本語の文章と中文的句子" * 12).encode(), " ภาษาไทยไม่มีช่องว่าง".encode() * 6,
+             b" " + b"https://example.org/a-long-path?of=things&and=more" * 4]
+    got = langid.log_likelihoods(words, table, prob)
+    for w, ll in zip(words, got, strict=True):
+        for col in range(2):
+            assert ll[col] == pytest.approx(plain(w, arc, prob, col), rel=1e-9)
+
+
+def test_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["½", "²①Ⅷ", "12", "a", "字", "ª", "e\u0301"])],
+                                 "doc_id long, text string, lang string")
+    model = langid.train(docs, [b"a", b" "])
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert got == {0: "und", 1: "und", 2: "und", 3: "en", 4: "en", 5: "en", 6: "en"}
+
+
 def test_expected_counts_are_posterior_counts(small):
     table, prob, pieces = small
     arc = {p: 257 + i for i, p in enumerate(pieces)}

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tidecast
+from tidecast.staging import stage
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -111,14 +112,25 @@ def held_out(key: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sampled(df: DataFrame, limit: int, *keys: str) -> DataFrame:
-    """About ``limit`` rows at most, chosen by a hash of ``keys``, the same in every run.
+def sampled(df: DataFrame, limit: int, by: str | None = None) -> DataFrame:
+    """At most ``limit`` rows, chosen by a hash of the whole row, the same in every run.
 
-    All rows if there are no more than ``limit``.
+    All rows if there are no more than ``limit``. With ``by`` every group has an equal part of the
+    limit, and all its rows where it has fewer. A key on many rows is no more than those rows:
+    the hash covers every column, and rows that are equal in all of them are counted first and
+    sampled by their number. What is chosen is a table of at most ``limit`` checksums.
     """
-    n = df.count()
-    if n <= limit:
+    if df.limit(limit + 1).count() <= limit:
         return df
-    share = limit / n
-    u = F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1 << 30)) / float(1 << 30)
-    return df.filter(u < share)
+    group = F.col(by) if by else F.lit(0)
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.xxhash64(*df.columns).alias("mark"),
+                     group.alias("part"))
+    counts = stage(rows.groupBy("mark").agg(F.first("part").alias("part"), F.count("*").alias("n")), "row_counts")
+    parts = counts.groupBy("part").agg(F.sum("n").alias("total"))
+    parts = parts.withColumn("share", F.least(F.lit(1.0), limit / F.lit(parts.count()) / F.col("total")))
+    u = F.pmod(F.xxhash64(F.lit("sample"), "mark"), F.lit(1 << 30)) / float(1 << 30)
+    same = counts["part"].eqNullSafe(parts["part"])
+    taken = counts.join(parts, same).select("mark", u.alias("u"), F.floor(F.col("n") * F.col("share") + u).alias("times"))
+    taken = taken.filter("times > 0").orderBy("u", "mark").limit(limit)
+    chosen = rows.join(F.broadcast(taken), "mark").groupBy("mark").agg(F.first("row").alias("row"), F.first("times").alias("times"))
+    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).limit(limit).select("row.*")

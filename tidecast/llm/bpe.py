@@ -49,8 +49,10 @@ OTHER_LETTERS = (
 OTHER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 FIRST_OTHER = chr(int(OTHER_LETTERS.split()[0], 16)).encode()[0]
 NEVER, FOREVER = -1, 1 << 60
-#: Distinct words whose ids a task remembers.
-REMEMBERED = 450_000
+#: Bytes of words and their ids that a task remembers, and that its process keeps when the task ends.
+REMEMBERED, KEPT = 96 << 20, 16 << 20
+#: Arcs of the automaton that a process keeps when a task ends; it finds them again when asked.
+KEPT_ARCS = 250_000
 
 
 def _class(ranges: str) -> str:
@@ -232,8 +234,24 @@ class Automaton:
             yield out
 
 
+class Words(dict[str, bytes]):
+    """Ids of words, with the bytes that they take."""
+
+    n_bytes = 0
+
+    def put(self, word: str, ids: bytes) -> None:
+        self[word] = ids
+        self.n_bytes += WORD_BYTES + len(word) + len(ids)
+
+    def forget(self) -> None:
+        self.clear()
+        self.n_bytes = 0
+
+
+#: What Python adds to the text and the ids of a remembered word.
+WORD_BYTES = 200
 #: Automata and remembered words of this process, by digest of the merges.
-_compiled: dict[str, tuple[Automaton, dict[str, bytes]]] = {}
+_compiled: dict[str, tuple[Automaton, Words]] = {}
 
 
 class Encoder:
@@ -241,7 +259,7 @@ class Encoder:
 
     def __init__(self, spec: Merges) -> None:
         if spec.digest not in _compiled:
-            _compiled[spec.digest] = Automaton(spec), {}
+            _compiled[spec.digest] = Automaton(spec), Words()
         self.automaton, self.known = _compiled[spec.digest]
         self.plain = regex.compile(PATTERN).findall
         self.strict = regex.compile(strict_pattern()).findall
@@ -267,16 +285,25 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers; added tokens in it are single ids."""
         pieces = [self.pieces(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if self.known.n_bytes > REMEMBERED:
+            self.known.forget()
         self.known.update(self.added)
         new = set().union(*pieces).difference(self.known) if pieces else set()
         new = sorted((w.encode(), w) for w in new)
         for (_, w), ids in zip(new, self.automaton.encode([b for b, _ in new]), strict=True):
-            self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+            self.known.put(w, struct.pack(f"<{len(ids)}I", *ids))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
+    def shrink(self) -> None:
+        """At the end of a task: what its process keeps for the next one has a bound in bytes."""
+        if self.known.n_bytes > KEPT:
+            self.known.forget()
+        a = self.automaton
+        if len(a.moments) + len(a.table) > KEPT_ARCS:
+            a.moments.clear()
+            a.table.clear()
+
     def decode(self, packed: bytes) -> str:
         ids = np.frombuffer(packed, "<u4").tolist()
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
@@ -302,6 +329,7 @@ def encode(docs: DataFrame, spec: Merges, key: str = "doc_id", text: str = "text
                 if decoded:
                     out["decoded"] = pa.array([encoder.decode(x) for x in ids], pa.string())
                 yield pa.RecordBatch.from_pydict(out)
+        encoder.shrink()
 
     return base.documents(docs, key, text).mapInArrow(base.tidy(run), schema)
 

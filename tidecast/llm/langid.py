@@ -7,14 +7,13 @@ white space, so a text's likelihood is the product over its words, and each dist
 word of a batch is passed over once for all languages.
 
 The probabilities are fitted by expectation-maximisation on word counts of a bounded,
-hash-chosen sample of labelled documents (``max_documents``): forward and backward
+hash-chosen sample of labelled documents (``max_documents``, as many of each language): forward and backward
 passes in the tasks give expected piece counts, which Spark sums by language and piece.
 Only vocabulary x languages numbers reach the driver.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -22,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +29,17 @@ from tidecast.llm import base
 from tidecast.llm.columnar import hashes
 from tidecast.staging import stage
 
-#: A longer word is scored in consecutive parts of this many bytes.
+#: Words up to so many bytes are passed over many at a time. Longer ones are cut where no piece
+#: could cross, which changes no sum; what is left without such a place is passed over alone.
 LONGEST = 64
+#: The fit cuts what is longer than this at any place.
+LONGEST_FIT = 4096
+WINDOW = 8192
 #: Words remembered by a task, and words passed over at a time.
 REMEMBERED, AT_ONCE = 400_000, 20_000
 MAX_LANGUAGES = 1_000
 TABLE = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -155,14 +159,77 @@ def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def log_likelihoods(words: list[bytes], pieces: Pieces, prob: np.ndarray) -> np.ndarray:
     """Logarithm of each word's probability in each language, summed over all segmentations."""
     out = np.zeros((len(words), prob.shape[1]))
-    for at, chars in by_length(words):
+    short = [i for i, w in enumerate(words) if len(w) <= LONGEST]
+    own, text = [], []
+    for i, w in enumerate(words):
+        if len(w) > LONGEST:
+            for part in cut(w, pieces):
+                if len(part) > LONGEST:
+                    out[i] += rolled(part, pieces, prob)
+                else:
+                    own.append(i)
+                    text.append(part)
+    text, own = [words[i] for i in short] + text, np.array(short + own, np.int64)
+    for at, chars in by_length(text):
         total, scale = forward(pieces.arcs(chars), prob)
-        out[at] = np.log(total[-1]) + scale[-1]
+        np.add.at(out, own[at], np.log(total[-1]) + scale[-1])
+    return out
+
+
+def windows(word: bytes, pieces: Pieces) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Arcs by length of a long word, for some starts at a time; arcs may end beyond those."""
+    for lo in range(0, len(word), WINDOW):
+        chars = np.frombuffer(word[lo:lo + WINDOW + pieces.longest], np.uint8)
+        yield lo, [a[0, :WINDOW] for a in pieces.arcs(chars[None, :])]
+
+
+def cut(word: bytes, pieces: Pieces) -> list[bytes]:
+    """A word, if it is long, cut at places that no piece crosses, into parts of ``LONGEST`` bytes or the
+    least possible above. The product of the parts' sums is the word's."""
+    if len(word) <= LONGEST:
+        return [word]
+    edge = np.zeros(len(word) + 1, np.int64)
+    for lo, arcs in windows(word, pieces):
+        for k, found in enumerate(arcs[1:], 2):
+            at = np.flatnonzero(found) + lo
+            np.add.at(edge, at + 1, 1)
+            np.add.at(edge, at + k, -1)
+    free = np.append(np.flatnonzero(np.cumsum(edge[:-1])[1:] == 0) + 1, len(word))
+    out, start = [], 0
+    while start < len(word):
+        i = int(np.searchsorted(free, start + LONGEST, side="right")) - 1
+        if i < 0 or free[i] <= start:
+            i += 1
+        out.append(word[start:int(free[i])])
+        start = int(free[i])
     return out
 
 
-def cut(word: bytes) -> list[bytes]:
-    return [word[i:i + LONGEST] for i in range(0, len(word), LONGEST)]
+def rolled(word: bytes, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
+    """The same as ``forward`` for one word of any length, with only the last sums in memory."""
+    longest = pieces.longest
+    total = np.zeros((WINDOW + longest + 1, prob.shape[1]))
+    total[longest] = 1  # row longest + j: the sum up to byte j of the window
+    log = np.zeros(prob.shape[1])
+    pending = [np.zeros((0, 3), np.int64)]
+    for lo, arcs in windows(word, pieces):
+        for k, found in enumerate(arcs, 1):
+            at = np.flatnonzero(found)
+            pending.append(np.stack([at + lo + k, at + lo, found[at]], axis=1))
+        rows = np.concatenate(pending)
+        last = min(lo + WINDOW, len(word))
+        now, pending = rows[rows[:, 0] <= last], [rows[rows[:, 0] > last]]
+        now = now[np.argsort(now[:, 0], kind="stable")]
+        first = np.searchsorted(now[:, 0], np.arange(lo + 1, last + 2))
+        for j in range(lo + 1, last + 1):
+            mine = now[first[j - lo - 1]:first[j - lo]]
+            row = longest + j - lo
+            total[row] = (total[longest + mine[:, 1] - lo] * prob[mine[:, 2]]).sum(axis=0)
+            if j % 8 == 0:
+                log += np.log(total[row])
+                total[row - longest:row + 1] /= total[row].copy()
+        total[:longest + 1] = total[last - lo:last - lo + longest + 1].copy()
+    return np.log(total[longest]) + log
 
 
 def expected_counts(words: list[bytes], weight: np.ndarray, lang: np.ndarray,
@@ -243,7 +310,7 @@ def train(docs: DataFrame, pieces: list[bytes], key: str = "doc_id", text: str =
                     {"lang": pa.array([name] * len(c), pa.string()), "word": pa.array(list(c), pa.string()),
                      "n": pa.array(list(c.values()), pa.int64())})
 
-    taken = base.sampled(rows, max_documents, "doc_id").select("lang", "text")
+    taken = base.sampled(rows, max_documents, "lang").select("lang", "text")
     counts = stage(
         taken.mapInArrow(base.tidy(count_words), "lang string, word string, n long")
         .groupBy("lang", "word").agg(F.sum("n").alias("n")), "word_counts")
@@ -255,10 +322,11 @@ def train(docs: DataFrame, pieces: list[bytes], key: str = "doc_id", text: str =
             for batch in batches:
                 own, words, weight = [], [], []
                 for name, w, n in zip(*(batch[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
-                    for part in cut(b" " + w.encode()):
-                        own.append(index[name])
-                        words.append(part)
-                        weight.append(n)
+                    for part in cut(b" " + w.encode(), table):
+                        for lo in range(0, len(part), LONGEST_FIT):
+                            own.append(index[name])
+                            words.append(part[lo:lo + LONGEST_FIT])
+                            weight.append(n)
                 got = expected_counts(words, np.array(weight, float), np.array(own, np.int64), table, prob)
                 arc, col = np.nonzero(got)
                 yield pa.RecordBatch.from_pydict({"arc": arc.astype(np.int32), "col": col.astype(np.int32),
@@ -288,14 +356,7 @@ class Scorer:
         self.table = np.zeros((0, len(self.model.languages)))
 
     def learn(self, words: list[str]) -> None:
-        parts, belongs = [], []
-        for i, w in enumerate(words):
-            for part in cut(b" " + w.encode()):
-                parts.append(part)
-                belongs.append(i)
-        ll = log_likelihoods(parts, self.pieces, self.model.prob)
-        total = np.zeros((len(words), ll.shape[1]))
-        np.add.at(total, np.array(belongs, np.int64), ll)
+        total = log_likelihoods([b" " + w.encode() for w in words], self.pieces, self.model.prob)
         self.row.update(zip(words, range(len(self.table), len(self.table) + len(words)), strict=True))
         self.table = np.concatenate([self.table, total])
 

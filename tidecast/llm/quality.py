@@ -93,7 +93,7 @@ def train(rows: DataFrame, features: int = 256, width: float = 3.0, ridge: float
     ``max_rows`` bounds the rows used, chosen by hash. None without rows of either part.
     """
     base.ship(rows.sparkSession)
-    rows = base.sampled(rows, max_rows, "doc_id")
+    rows = base.sampled(rows, max_rows)
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(4))
     fit_rows, check_rows = rows.filter(part != 0), rows.filter(part == 0)
     centre, spread, n = _moments(fit_rows)

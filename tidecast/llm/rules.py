@@ -130,7 +130,7 @@ def fit(statistics: DataFrame, labels: DataFrame, max_rows: int = 20_000, trees:
         rows: int = 256, depth: int = 10, seed: int = 7) -> Forest | None:
     """Forest of the documents that pass the fixed limits; None if there are none.
 
-    Trees are grown on a bounded, hash-chosen sample of at most about ``max_rows`` of those
+    Trees are grown on a bounded, hash-chosen sample of at most ``max_rows`` of those
     labelled good (of all where none is); the box is that of all, every row is read for it.
     """
     names = ["doc_id", *textstats.NAMES]
@@ -140,7 +140,7 @@ def fit(statistics: DataFrame, labels: DataFrame, max_rows: int = 20_000, trees:
         return None
     good = passed.join(known_labels(labels).filter("label = 1"), "doc_id", "left_semi")
     for some in (good, passed):
-        sample = features(base.sampled(some, max_rows, "doc_id").orderBy(*names).toArrow())
+        sample = features(base.sampled(some, max_rows).orderBy(*names).toArrow())
         if len(sample):
             break
     return grow(sample, *extent, trees, rows, depth, seed)
@@ -189,15 +189,12 @@ def passing(docs: DataFrame, forest: Forest | None, cut: float, text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, data, offsets in parts(batch[body]):
+            for lo, data, offsets in parts(batch[text].cast(pa.string())):
                 got = {k: pa.array(v.astype(np.int64)) for k, v in textstats.statistics(data, offsets).items()}
                 table = pa.Table.from_pydict(got)
                 words, again = got["n_words"].to_numpy(), got["n_repeat_words"].to_numpy()
                 anomaly = forest.scores(features(table)) if forest else np.zeros(len(table))
                 kept = (words >= 50) & (100 * again <= 50 * words) & (anomaly < cut)
-                some = batch.slice(lo, len(table)).filter(pa.array(kept))
-                yield some.select(names)
+                yield batch.slice(lo, len(table)).filter(pa.array(kept))
 
-    names = list(docs.columns)
-    body = "_" + "_".join(names)  # no column has this name
-    return docs.withColumn(body, F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(base.tidy(run), docs.schema)
+    return docs.mapInArrow(base.tidy(run), docs.schema)
