@@ -14,8 +14,9 @@ the length of the calendar, never by the fact tables.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidecast.functions.dates import business_day_add, month_start
@@ -183,23 +184,37 @@ def holiday_days(calendar: DataFrame) -> DataFrame:
 
 def training_rows(history: DataFrame, runs: DataFrame, calendar: DataFrame,
                   spec: ModelSpec) -> DataFrame:
-    """Weekday rows of every run with their masks and positions.
+    """Weekday rows of every run with their masks and positions."""
+    return for_model(training_table(history, runs, calendar, [spec]), spec)
+
+
+#: What differs between models that are trained on the same days.
+MODEL_COLUMNS = ["in_halo", "seasonal", "year_weight", "t_expected"]
+
+
+def training_table(history: DataFrame, runs: DataFrame, calendar: DataFrame,
+                   specs: list[ModelSpec]) -> DataFrame:
+    """Weekday rows of every run, once for all models, with a set of masks for each.
 
     ``t`` counts all days of the run, ``p`` its production days, ``pos`` its
-    weekdays; weekends only matter for ``t`` and are dropped at the end.
+    weekdays; weekends only matter for ``t`` and are dropped at the end. Models share
+    their rows, so they must scale the target and leave out months alike.
     """
+    shared = specs[0]
+    if any((s.exclude_months, s.target_scale) != (shared.exclude_months, shared.target_scale)
+           for s in specs):
+        raise ValueError("these models are trained on different rows")
     holidays = holiday_days(calendar)
     flag = holidays.select(F.col("calendar_date").alias("day"), F.lit(1).alias("hol"))
     span = runs.select("run_id", "series_id", "train_start", "train_end")
     rows = days_of(span, "train_start", "train_end").join(history, ["series_id", "day"])
-    if spec.exclude_months:
-        rows = rows.filter(~F.month("day").isin(*spec.exclude_months))
+    if shared.exclude_months:
+        rows = rows.filter(~F.month("day").isin(*shared.exclude_months))
     rows = rows.join(F.broadcast(flag), "day", "left")
-    if spec.exclude_halo:
-        halo = holiday_halo(holidays, spec.holiday_before, spec.holiday_after)
-        rows = rows.join(F.broadcast(halo.withColumn("halo", F.lit(1))), "day", "left")
-    else:
-        rows = rows.withColumn("halo", F.lit(None).cast("int"))
+    halos = {(s.holiday_before, s.holiday_after) for s in specs if s.exclude_halo}
+    for before, after in sorted(halos):
+        halo = holiday_halo(holidays, before, after).withColumn(f"halo_{before}_{after}", F.lit(1))
+        rows = rows.join(F.broadcast(halo), "day", "left")
 
     work = F.weekday("day") < 5
     prod = work & F.col("hol").isNull() & (F.col("amount") > 0)
@@ -209,12 +224,11 @@ def training_rows(history: DataFrame, runs: DataFrame, calendar: DataFrame,
         "run_id",
         "series_id",
         "day",
-        (F.col("amount") / spec.target_scale).alias("y"),
+        (F.col("amount") / shared.target_scale).alias("y"),
         F.weekday("day").alias("dow"),
         F.dayofmonth("day").alias("dom"),
         F.month("day").alias("moy"),
         F.col("hol").isNotNull().alias("is_holiday"),
-        F.col("halo").isNotNull().alias("in_halo"),
         F.coalesce(prod, F.lit(False)).alias("prod"),
         (F.row_number().over(by_day) - 1).alias("t"),
         (F.count_if(prod).over(by_day) - 1).alias("p"),
@@ -222,31 +236,53 @@ def training_rows(history: DataFrame, runs: DataFrame, calendar: DataFrame,
         F.count_if(prod).over(run).alias("n_prod"),
         F.count("*").over(run).alias("n_train"),
         F.max("day").over(run).alias("last_day"),
+        *[f"halo_{before}_{after}" for before, after in sorted(halos)],
     )
-    seasonal = F.col("prod") & ~F.col("in_halo")
+    for spec in specs:
+        rows = rows.withColumns({f"{c}_{spec.name}": v for c, v in _masks(spec, run).items()})
+        rows = rows.withColumns(
+            {f"{c}_{spec.name}": v for c, v in _positions(spec, run).items()})
+    own = [f"{c}_{s.name}" for s in specs for c in MODEL_COLUMNS]
+    return rows.filter(F.col("dow") < 5).select(*TRAIN_COLUMNS, *own)
+
+
+TRAIN_COLUMNS = ["run_id", "series_id", "day", "y", "dow", "dom", "moy", "is_holiday", "prod", "t", "p",
+                 "pos", "n_prod", "n_train", "last_day"]
+
+
+def _masks(spec: ModelSpec, run: WindowSpec) -> dict[str, Column]:
+    """Days near a holiday, and the rows that a model's seasonal effects come from."""
+    halo = F.lit(False)
+    if spec.exclude_halo:
+        halo = F.col(f"halo_{spec.holiday_before}_{spec.holiday_after}").isNotNull()
+    seasonal = F.col("prod") & ~halo
     if spec.completed_months_only:
         seasonal = seasonal & (F.col("day") < month_start(F.col("last_day")))
     if spec.december_only:
         seasonal = seasonal & (F.col("moy") == 12)
-    rows = rows.withColumn("seasonal", seasonal)
+    return {"in_halo": halo, "seasonal": seasonal}
+
+
+def _positions(spec: ModelSpec, run: WindowSpec) -> dict[str, Column]:
+    """Weight of a row's year, and its position in the slice that expectations use."""
+    weight, t_expected = F.lit(1.0), F.col("t")
     if spec.moy_recency_strength:
-        year = F.year("day")
-        first = F.min(F.when(F.col("seasonal"), year)).over(run)
-        last = F.max(F.when(F.col("seasonal"), year)).over(run)
+        year, seasonal = F.year("day"), F.col(f"seasonal_{spec.name}")
+        first = F.min(F.when(seasonal, year)).over(run)
+        last = F.max(F.when(seasonal, year)).over(run)
         weight = F.exp(
             spec.moy_recency_strength * (year - first) / F.greatest(last - first, F.lit(1))
         )
-    else:
-        weight = F.lit(1.0)
-    if spec.distortion_lookback_days is None:
-        t_expected = F.col("t")
-    else:
+    if spec.distortion_lookback_days is not None:
         # the expectation of the lookback slice counts its own days from 0
         cut = F.date_sub("last_day", spec.distortion_lookback_days)
         t_expected = F.col("t") - F.min(F.when(F.col("day") >= cut, F.col("t"))).over(run)
-    return rows.withColumns({"year_weight": weight, "t_expected": t_expected}).filter(
-        F.col("dow") < 5
-    )
+    return {"year_weight": weight, "t_expected": t_expected}
+
+
+def for_model(table: DataFrame, spec: ModelSpec) -> DataFrame:
+    """The training table as one model sees it."""
+    return table.select(*TRAIN_COLUMNS, *[F.col(f"{c}_{spec.name}").alias(c) for c in MODEL_COLUMNS])
 
 
 def _with_recency(rows: DataFrame) -> DataFrame:
@@ -739,14 +775,45 @@ def fit_model(history: DataFrame, runs: DataFrame, fits: DataFrame, calendar: Da
     """Fit every (run, parameter set).
 
     ``runs`` holds run_id, series_id, train_start, train_end; ``fits`` holds run_id,
-    param_id and the eight parameters. Training rows and effects are staged, since
-    the later steps read them more than once.
+    param_id and the eight parameters.
+    """
+    return fit_models(history, runs, calendar, [(spec, fits)])[0]
+
+
+def fit_models(history: DataFrame, runs: DataFrame, calendar: DataFrame,
+               models: list[tuple[ModelSpec, DataFrame]]) -> list[Fit]:
+    """Fit several models, each with its own (run, parameter set) rows.
+
+    Training rows, parameters and effects are staged, since the later steps read them more
+    than once, as three tables whatever the number of models.
     """
+    specs = [spec for spec, _ in models]
     # by month, so that the cells of a single run also unfold in parallel
-    train = stage(spread(training_rows(history, runs, calendar, spec), ["run_id", "moy"]), "train")
+    rows = training_table(history, runs, calendar, specs)
+    train = stage(spread(rows, ["run_id", "moy"]), "train")
     # written keys keep their partitioning through the steps; folded literals would not
-    fits = stage(with_step_keys(fits), "fits")
-    effects = stage(fit_effects(train, fits, spec), "effects")
+    fits = _staged_by_model([with_step_keys(f) for _, f in models], specs, "fits")
+    trains = [for_model(train, spec) for spec in specs]
+    effects = _staged_by_model(
+        [fit_effects(t, f, spec) for t, f, spec in zip(trains, fits, specs)], specs, "effects")
+    return [
+        Fit(spec, t, f, e, _model(history, runs, t, f, e, spec))
+        for spec, t, f, e in zip(specs, trains, fits, effects)
+    ]
+
+
+def _staged_by_model(tables: list[DataFrame], specs: list[ModelSpec], name: str) -> list[DataFrame]:
+    """Tables of several models, written as one."""
+    if len(tables) == 1:
+        return [stage(tables[0], name)]
+    named = [t.withColumn("model", F.lit(s.name)) for t, s in zip(tables, specs)]
+    whole = stage(reduce(DataFrame.unionByName, named), name)
+    return [whole.filter(F.col("model") == s.name).drop("model") for s in specs]
+
+
+def _model(history: DataFrame, runs: DataFrame, train: DataFrame, fits: DataFrame,
+           effects: DataFrame, spec: ModelSpec) -> DataFrame:
+    """One row per (run, parameter set) with effects, distortion and cliffs."""
     model = fits.join(effects, EFFECT_KEY)
     if spec.learns_distortion:
         factors = (
@@ -793,4 +860,4 @@ def fit_model(history: DataFrame, runs: DataFrame, fits: DataFrame, calendar: Da
             )
         )
         model = model.join(totals, "run_id", "left")
-    return Fit(spec, train, fits, effects, spread(model, ["run_id", "param_id"]))
+    return spread(model, ["run_id", "param_id"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +22,11 @@ from tidecast.operators.structural import (
     MODEL_A,
     MODEL_B,
     MODEL_C,
-    ModelSpec,
+    Fit,
     default_fits,
-    fit_model,
+    fit_models,
 )
-from tidecast.staging import in_parallel, stage
+from tidecast.staging import stage
 
 OUTPUT = ["run_id", "day", "forecast", "model_used", "n_biz_days"]
 
@@ -47,10 +49,7 @@ def switch_months(runs: DataFrame, calendar: DataFrame, months_forward: int) ->
     )
 
 
-def _forecast_part(history: DataFrame, runs: DataFrame, calendar: DataFrame, part: DataFrame,
-                   fits: DataFrame, spec: ModelSpec) -> DataFrame:
-    used = runs.join(fits.select("run_id").distinct(), "run_id", "left_semi")
-    fit = fit_model(history, used, fits, calendar, spec)
+def _forecast_part(fit: Fit, calendar: DataFrame, part: DataFrame) -> DataFrame:
     fc = forecast(fit, part.select("run_id", "param_id", "req_id", "start", "end"), calendar)
     labels = part.select("run_id", "req_id", "param_id", "slice_end", "model_used", "n_biz_days")
     return (
@@ -71,16 +70,12 @@ def switch_bizday(history: DataFrame, runs: DataFrame, calendar: DataFrame,
     months = switch_months(runs, calendar, months_forward).withColumns(
         {"model_used": choice, "param_id": F.lit(0).cast("long")}
     )
-    months = stage(months, "months")
-
-    def of(spec: ModelSpec) -> DataFrame:
-        part = months.filter(F.col("model_used") == spec.name)
-        fits = default_fits(part.select("run_id").distinct(), spec)
-        return _forecast_part(history, runs, calendar, part, fits, spec)
-
-    a, b, c = in_parallel(
-        runs.sparkSession, lambda: of(MODEL_A), lambda: of(MODEL_B), lambda: of(MODEL_C))
-    return a.unionByName(b).unionByName(c)
+    specs = [MODEL_A, MODEL_B, MODEL_C]
+    parts = [months.filter(F.col("model_used") == s.name) for s in specs]
+    fits = [default_fits(p.select("run_id").distinct(), s) for p, s in zip(parts, specs)]
+    fitted = fit_models(history, runs, calendar, list(zip(specs, fits)))
+    return reduce(DataFrame.unionByName, [
+        _forecast_part(f, calendar, p) for f, p in zip(fitted, parts)])
 
 
 def regime_requests(funnel: DataFrame, runs: DataFrame, calendar: DataFrame,
@@ -127,11 +122,8 @@ def switch_regime(history: DataFrame, funnel: DataFrame, runs: DataFrame, calend
     c = requests.filter("model_used = 'C'")
     fits_c = default_fits(c.select("run_id").distinct(), MODEL_C)
     status = requests.filter("model_used = 'none'").select("run_id", "model_used").distinct()
-    model_a, model_c = in_parallel(
-        spark,
-        lambda: _forecast_part(history, runs, calendar, a, fits_a, MODEL_A),
-        lambda: _forecast_part(history, runs, calendar, c, fits_c, MODEL_C),
-    )
+    fitted = fit_models(history, runs, calendar, [(MODEL_A, fits_a), (MODEL_C, fits_c)])
+    model_a, model_c = (_forecast_part(f, calendar, p) for f, p in zip(fitted, (a, c)))
     return model_a.unionByName(model_c).unionByName(status, allowMissingColumns=True)
 
 
