@@ -37,10 +37,11 @@ from tidecast.operators import sweep as sw
 from tidecast.plans import analog_forecast as af
 from tidecast.plans import backtest as bt
 from tidecast.plans import switch as swi
+from tidecast.operators.selection import exact_median
 from tidecast.schemas import PARAM_NAMES
 from tidecast.sources import binding as b
 from tidecast.sources import readers, sinks
-from tidecast.staging import in_parallel, stage, staging_root
+from tidecast.staging import in_parallel, join_salted, stage, staging_root
 
 UNTIL = dt.date.fromisoformat(o.UNTIL)
 
@@ -81,9 +82,7 @@ class Inputs:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return daily_ops.daily_history(
-            self.orders_as_loans, self.calendar, b.AS_OF, funded=self.funded
-        )
+        return daily_ops.daily_history(self.orders_as_loans, self.calendar, b.AS_OF)
 
     @cached_property
     def history(self) -> DataFrame:
@@ -356,7 +355,8 @@ plain("null_fill", "calendar_date channel number_of_loans:i",
         FROM spine s LEFT JOIN lagg l ON l.channel = s.channel
           AND l.funded_date = s.calendar_date""",
       lambda x: fn.null_fill(
-          daily_ops.channel_spine(x.orders_as_loans, x.calendar, b.AS_OF).join(
+          daily_ops.channel_spine(
+              daily_ops.channels(x.orders_as_loans), x.calendar, b.AS_OF).join(
               x.per_day.withColumnRenamed("funded_date", "calendar_date"),
               ["calendar_date", "channel"], "left"),
           ["number_of_loans"]))
@@ -445,7 +445,7 @@ plain("join_cross_spine",
       "calendar_date channel biz_day:i funding_day:i is_holiday:i day_of_week:i day_of_month:i "
       "week_of_month:i month_of_year:i",
       "SELECT * FROM spine",
-      lambda x: daily_ops.channel_spine(x.orders_as_loans, x.calendar, b.AS_OF))
+      lambda x: daily_ops.channel_spine(daily_ops.channels(x.orders_as_loans), x.calendar, b.AS_OF))
 plain("join_left_degenerate", "filedt channel loan_count:i biz_day:i calendar_days_remaining:i",
       """SELECT f.filedt, f.channel, f.loan_count, c.biz_day, c.calendar_days_remaining
         FROM fbase f LEFT JOIN cal c ON c.calendar_date = f.filedt WHERE c.is_weekday = 1""",
@@ -679,8 +679,7 @@ plain("agg_weighted_mean", "run_id k:i e:8", "SELECT run_id, moy AS k, e FROM mb
 plain("agg_median", "series_id dow:i median_amount:2 n:i",
       """SELECT series_id, isodow(day) - 1 AS dow, median(amount) AS median_amount, count(*) AS n
         FROM history GROUP BY 1, 2""",
-      lambda x: x.history.groupBy("series_id", F.weekday("day").alias("dow")).agg(
-          F.median("amount").alias("median_amount"), F.count("*").alias("n")))
+      lambda x: _median_by_weekday(x.history.withColumn("dow", F.weekday("day"))))
 plain("agg_mad", "series_id median:2 mad:2",
       """SELECT h.series_id, any_value(m) AS median, 1.4826 * median(abs(h.amount - m)) AS mad
         FROM history h JOIN (SELECT series_id, median(amount) AS m FROM history
@@ -689,12 +688,17 @@ plain("agg_mad", "series_id median:2 mad:2",
       lambda x: _mad(x.history.filter(F.weekday("day") < 5)))
 
 
+def _median_by_weekday(rows: DataFrame) -> DataFrame:
+    keys = ["series_id", "dow"]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).join(
+        exact_median(rows, keys, F.col("amount"), "median_amount"), keys)
+
+
 def _mad(rows: DataFrame) -> DataFrame:
-    center = rows.groupBy("series_id").agg(F.median("amount").alias("median"))
-    return rows.join(center, "series_id").groupBy("series_id").agg(
-        F.max("median").alias("median"),
-        (F.lit(an.MAD_TO_SIGMA) * F.median(F.abs(F.col("amount") - F.col("median")))).alias("mad"),
-    )
+    center = exact_median(rows, ["series_id"], F.col("amount"))
+    away = join_salted(rows, center, "series_id", "day")
+    mad = exact_median(away, ["series_id"], F.abs(F.col("amount") - F.col("median")), "mad")
+    return center.join(mad.withColumn("mad", F.lit(an.MAD_TO_SIGMA) * F.col("mad")), "series_id")
 
 
 plain("agg_stddev", "series_id sd_pop:2 sd_samp:2",

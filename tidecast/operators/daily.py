@@ -11,6 +11,7 @@ from tidecast.functions.dates import week_of_month
 from tidecast.functions.numeric import ratio_or_null
 from tidecast.functions.predicates import channel_kept, normalized_channel, weekend_zero
 from tidecast.operators.calendar import nth_future_bizday_bound
+from tidecast.staging import stage
 
 WEIGHT_COLUMNS = [
     "week_weight",
@@ -38,19 +39,21 @@ def channels(loans: DataFrame) -> DataFrame:
     )
 
 
-def funded_per_day(loans: DataFrame, calendar: DataFrame, today: dt.date, years: int = 5,
-                   ahead_biz_days: int = AHEAD_BIZ_DAYS) -> DataFrame:
+def reduced_loans(loans: DataFrame, calendar: DataFrame, today: dt.date, years: int = 5,
+                  ahead_biz_days: int = AHEAD_BIZ_DAYS) -> DataFrame:
     """Loans and amount per channel and funding day: the only pass over the fact.
 
-    Partial sums run before the shuffle, so a channel that holds a third of all
-    loans still arrives as one row per day and input task.
+    Loans without a date in the trailing years count under a null day, so the channels of all
+    loans are in the same small table. Partial sums run before the shuffle, so a channel that
+    holds a third of all loans still arrives as one row per day and input task.
     """
     bound = nth_future_bizday_bound(calendar, today, ahead_biz_days).scalar()
+    day = F.col("funded_date")
+    inside = (day >= F.add_months(F.lit(today), -12 * years)) & (day <= bound)
     return (
         loans.filter(channel_kept(F.col("channel")))
-        .filter(F.col("funded_date") >= F.add_months(F.lit(today), -12 * years))
-        .filter(F.col("funded_date") <= bound)
-        .groupBy(normalized_channel(F.col("channel")).alias("channel"), "funded_date")
+        .groupBy(normalized_channel(F.col("channel")).alias("channel"),
+                 F.when(inside, day).alias("funded_date"))
         .agg(
             F.count("*").alias("number_of_loans"),
             F.sum("loan_amount").cast("decimal(28,2)").alias("total_loan_amount"),
@@ -58,6 +61,13 @@ def funded_per_day(loans: DataFrame, calendar: DataFrame, today: dt.date, years:
     )
 
 
+def funded_per_day(loans: DataFrame, calendar: DataFrame, today: dt.date, years: int = 5,
+                   ahead_biz_days: int = AHEAD_BIZ_DAYS) -> DataFrame:
+    """Loans and amount per channel and funding day of the trailing years."""
+    return reduced_loans(loans, calendar, today, years, ahead_biz_days).filter(
+        F.col("funded_date").isNotNull())
+
+
 def calendar_weights(per_day: DataFrame) -> DataFrame:
     """Weights of a day in its week, month and year, from weekday loans only.
 
@@ -117,16 +127,15 @@ def calendar_weights(per_day: DataFrame) -> DataFrame:
     )
 
 
-def channel_spine(loans: DataFrame, calendar: DataFrame, today: dt.date, years: int = 5,
+def channel_spine(channels: DataFrame, calendar: DataFrame, today: dt.date, years: int = 5,
                   ahead_biz_days: int = AHEAD_BIZ_DAYS) -> DataFrame:
-    """Dense grid of channels and days: every channel unfolds its own days, then
+    """Dense grid of distinct channels and days: every channel unfolds its own days, then
     looks up the (broadcast, day-bounded) calendar."""
     bound = nth_future_bizday_bound(calendar, today, ahead_biz_days).scalar()
     days = F.sequence(F.add_months(F.lit(today), -12 * years), F.col("upper_bound"))
     d = F.col("calendar_date")
     return (
-        channels(loans)
-        .withColumn("upper_bound", bound)
+        channels.withColumn("upper_bound", bound)
         .select("channel", F.explode(days).alias("calendar_date"))
         .join(F.broadcast(calendar), "calendar_date")
         .select(
@@ -146,15 +155,14 @@ def channel_spine(loans: DataFrame, calendar: DataFrame, today: dt.date, years:
 
 
 def daily_history(loans: DataFrame, calendar: DataFrame, today: dt.date, years: int = 5,
-                  ahead_biz_days: int = AHEAD_BIZ_DAYS, funded: DataFrame | None = None) -> DataFrame:
+                  ahead_biz_days: int = AHEAD_BIZ_DAYS) -> DataFrame:
     """Every day and channel of the trailing years, weekends zero.
 
-    ``funded`` may hold the same loans already cut to (at least) the dates needed,
-    for sources whose funding date is derived and would not push a filter down.
+    Loans are read once: channels and days both come from the written reduction.
     """
-    fact = loans if funded is None else funded
-    weights = calendar_weights(funded_per_day(fact, calendar, today, years, ahead_biz_days))
-    spine = channel_spine(loans, calendar, today, years, ahead_biz_days)
+    reduced = stage(reduced_loans(loans, calendar, today, years, ahead_biz_days), "loans_by_day")
+    weights = calendar_weights(reduced.filter(F.col("funded_date").isNotNull()))
+    spine = channel_spine(reduced.select("channel").distinct(), calendar, today, years, ahead_biz_days)
     joined = spine.join(
         weights.withColumnRenamed("funded_date", "calendar_date"),
         ["calendar_date", "channel"],

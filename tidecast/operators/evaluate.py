@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions.predicates import known_override, source_label
+from tidecast.operators.selection import exact_median
 from tidecast.staging import days_of
 
 RUN_DATES = ["run_id", "series_id", "today", "known_through", "output_through"]
@@ -192,13 +193,20 @@ def month_end_view(history: DataFrame, fc: DataFrame, runs: DataFrame) -> DataFr
 def within_bands(rows: DataFrame, err: str, *keys: str,
                  bands: tuple[int, ...] = (5, 10, 15),
                  extra: list[Column] | None = None) -> DataFrame:
-    """Mean, median and maximum absolute error and the count within each band."""
+    """Mean, median and maximum absolute error and the count within each band.
+
+    The median comes from counts, so a group may hold any number of rows.
+    """
     a = F.abs(F.col(err))
-    return rows.groupBy(*keys).agg(
+    stats = rows.groupBy(*keys).agg(
         F.count(err).alias("n"),
         F.avg(a).alias("mean_abs_err"),
-        F.median(a).alias("median_abs_err"),
         F.max(a).alias("max_abs_err"),
         *[F.count_if(a <= b).alias(f"within_{b}") for b in bands],
         *(extra or []),
     )
+    medians = exact_median(rows, list(keys), a, "median_abs_err")
+    if not keys:
+        return stats.join(medians, how="left", on=F.lit(True))
+    same = [stats[k].eqNullSafe(medians[k]) for k in keys]
+    return stats.join(medians, same, "left").drop(*[medians[k] for k in keys])
