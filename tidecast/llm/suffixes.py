@@ -335,7 +335,7 @@ def splitters(rows: DataFrame, n: int, length: int) -> list[bytes]:
 
     if n < 2:
         return []
-    sample = base.sampled(rows, max_documents, "doc", "text").select("text").mapInArrow(base.tidy(run), "a binary")
+    sample = base.sampled(rows, max_documents).select("text").mapInArrow(base.tidy(run), "a binary")
     cut = F.xxhash64("a") % F.lit(max(1, -(-max_documents * 200 // max(100_000, 8 * n))))
     found = sorted(bytes(r["a"]) for r in sample.distinct().filter(cut == 0).collect())
     return [found[len(found) * i // n] for i in range(1, n)] if found else []
