@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tidecast import staging
 from tidecast.operators import registry as reg
 from tidecast.sources import sinks
 
@@ -14,6 +15,14 @@ SCHEMA = ("label string, channel string, window_start date, window_end date, jan
           "high_error_flag boolean, run_date date, abs_err double")
 
 
+def test_clean_up_deletes_what_was_staged(spark):
+    staged = staging.stage(spark.range(3), "t")
+    folder = os.path.dirname(staged.inputFiles()[0].removeprefix("file://"))
+    assert os.path.isdir(folder)
+    assert staging.clean_up(spark) >= 1 and not os.path.exists(os.path.dirname(folder))
+    assert staging.clean_up(spark) == 0
+
+
 def tuned(spark, *rows):
     return spark.createDataFrame(
         [(label, channel, D(2024, m, 1), D(2024, m, 28), False, False, D(2024, run, 1), err)

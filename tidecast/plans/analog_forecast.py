@@ -107,7 +107,8 @@ def analog_forecast(
 ) -> AnalogForecast:
     """Blended forecast of every run over its whole horizon.
 
-    A run whose matched windows have too little history to tune is left out.
+    A run whose matched windows have too little history to tune has its matches, with the number
+    that failed, and no row in ``blended``; ``cut_to_horizon`` labels it ``none``.
     """
     matches = stage(find_analogs(index, runs, k, min_gap_days), "matches")
     windows = match_windows(matches, train_start)

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidecast.staging import remove
+
 COMPLETE = "_COMPLETE"
 
 
@@ -40,8 +42,7 @@ def publish(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[
     oldest_kept = sorted(v for v, complete in known.items() if complete)[-keep:][0]
     for v in known:
         if v < oldest_kept:
-            fs, at = _folder(spark, f"{path}/{v}")
-            fs.delete(at, True)
+            remove(spark, f"{path}/{v}")
     return f"{path}/{name}"
 
 

@@ -23,6 +23,8 @@ T = TypeVar("T")
 
 
 _local_roots: dict[str, str] = {}
+#: Folders that this process has written, by application.
+_written: dict[str, list[str]] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -41,9 +43,33 @@ def staging_root(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and return the written table."""
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/tidecast/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_folder(spark)
+    df.write.parquet(f"{path}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder below the shared one that nothing else uses."""
+    path = f"{staging_root(spark)}/tidecast/{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever the session's file systems have it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete all that this process has staged for the session's application; how many folders.
+
+    For a job that is done: results that have not been consumed may still read staged tables.
+    """
+    folders = _written.pop(spark.sparkContext.applicationId, [])
+    for path in folders:
+        remove(spark, path)
+    return len(folders)
 
 
 def in_parallel(spark: SparkSession, *steps: Callable[[], T]) -> list[T]:
