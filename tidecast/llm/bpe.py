@@ -49,8 +49,10 @@ OTHER_LETTERS = (
 OTHER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 FIRST_OTHER = chr(int(OTHER_LETTERS.split()[0], 16)).encode()[0]
 NEVER, FOREVER = -1, 1 << 60
-#: Bytes of words and their ids that a task remembers, and that its process keeps when the task ends.
-REMEMBERED, KEPT = 96 << 20, 16 << 20
+#: Bytes of words and their ids that a task remembers.
+REMEMBERED = 32 << 20
+#: Text that is cut into words at once.
+SLICE = 1 << 20
 #: Arcs of the automaton that a process keeps when a task ends; it finds them again when asked.
 KEPT_ARCS = 250_000
 
@@ -296,9 +298,8 @@ class Encoder:
         return [b"".join(map(get, p)) for p in pieces]
 
     def shrink(self) -> None:
-        """At the end of a task: what its process keeps for the next one has a bound in bytes."""
-        if self.known.n_bytes > KEPT:
-            self.known.forget()
+        """At the end of a task: its process keeps the automaton with a bounded number of arcs, and no words."""
+        self.known.forget()
         a = self.automaton
         if len(a.moments) + len(a.table) > KEPT_ARCS:
             a.moments.clear()
@@ -321,7 +322,7 @@ def encode(docs: DataFrame, spec: Merges, key: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(spec)
         for batch in batches:
-            for lo, hi in slices(texts(batch["text"])[1]):
+            for lo, hi in slices(texts(batch["text"])[1], SLICE):
                 ids = encoder([t or "" for t in batch["text"].slice(lo, hi - lo).to_pylist()])
                 out = {"doc_id": batch["doc_id"].slice(lo, hi - lo),
                        "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
