@@ -189,7 +189,7 @@ def passing(docs: DataFrame, forest: Forest | None, cut: float, text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, data, offsets in parts(batch[text].cast(pa.string())):
+            for lo, data, offsets in parts(batch[text].cast(pa.string()), textstats.SLICE):
                 got = {k: pa.array(v.astype(np.int64)) for k, v in textstats.statistics(data, offsets).items()}
                 table = pa.Table.from_pydict(got)
                 words, again = got["n_words"].to_numpy(), got["n_repeat_words"].to_numpy()

@@ -26,7 +26,7 @@ exchanged one by one by hash instead, which splits them, and joined the same way
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -342,20 +342,22 @@ def splitters(rows: DataFrame, n: int, length: int) -> list[bytes]:
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50,
-                     hot_count: int = 50_000, carry: bool = False) -> DataFrame:
+                     hot_count: int = 50_000, carry: bool | Sequence[str] = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) of every whole text (UTF-8; null: empty).
 
     Every byte covered by a string of ``length`` bytes that also starts in a document with
     a smaller key is removed; strings are those of the input. Rows that repeat a key are one
     document's and do not remove each other's bytes. A null key stands above all others.
-    ``carry`` adds ``row``, a struct of all columns of the document, and ``remaining``, the kept
-    bytes as text without the fragments of characters that a cut leaves.
+    ``carry`` adds ``row``, a struct of all columns of the document or of those it names (the text
+    among them is exchanged a second time), and ``remaining``, the kept bytes as text without the
+    fragments of characters that a cut leaves.
     """
     if not ANCHOR <= length <= 120:
         raise ValueError(f"length must be {ANCHOR} to 120")
     spark = docs.sparkSession
     base.ship(spark)
-    carried = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)] if carry else []
+    names = docs.columns if carry is True else list(carry or ())
+    carried = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)]
     keyed = docs.select(*cutting.key_and_text(key, text), *carried)
     rows = keyed.select("doc", "text")
     size = base.text_bytes(rows)
@@ -495,7 +497,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     if carry:
         result = T.StructType([*result, *schema_of_row, T.StructField("remaining", T.StringType())])
     out = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(base.tidy(cut), result)
-    row = F.struct(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns))).alias("row")
+    row = F.struct(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names))).alias("row")
     return out.select(F.expr(f"nullif(doc, {cutting.NULL_KEY}L)").alias("doc_id"), "n_bytes", "n_removed",
                       "n_spans", "kept", *([row, "remaining"] if carry else []))
 

@@ -29,6 +29,8 @@ UPPER = _class(bytes(range(65, 91)))
 DIGIT = _class(b"0123456789")
 PUNCT = _class(bytes(c for c in range(33, 127) if not chr(c).isalnum())) & ~SYMBOL
 END = _class(b".!?")
+#: Bytes of text that are counted at once; a count takes up to ten numbers of 8 bytes for each.
+SLICE = 1 << 19
 FIRST_BYTE = (np.arange(256) & 0xC0) != 0x80
 
 
@@ -89,7 +91,7 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, data, offsets in parts(batch["text"]):
+            for lo, data, offsets in parts(batch["text"], SLICE):
                 got = statistics(data, offsets)
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": batch["doc_id"].slice(lo, len(offsets) - 1)}
