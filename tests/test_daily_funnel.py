@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 from collections import defaultdict
 from decimal import Decimal
 
@@ -146,6 +148,79 @@ def test_reduced_tables_give_the_same_funnel(spark):
     assert sorted(events.collect(), key=str) == sorted(again.collect(), key=str)
 
 
+def events_by_hand(loan_rows, snap_rows):
+    """Row by row: the loans of each (day, channel, kind) and the sum of their distinct amounts."""
+    amounts = defaultdict(set)
+    for n, _, _, amount, _ in snap_rows:
+        if n is not None:
+            amounts[n].add(amount)
+    seen = defaultdict(set)
+    for n, channel, _, _, *days, _ in loan_rows:
+        for kind, day in zip(("application", "submission", "approval"), days, strict=True):
+            if day and n in amounts:
+                seen[day, channel, kind].add(n)
+    out = {}
+    for key, ns in seen.items():
+        known = [a for n in ns for a in amounts[n] if a is not None]
+        out[key] = (len(ns), sum(known) if known else None)
+    return out
+
+
+def random_loans(seed, n=400):
+    rnd = random.Random(seed)
+
+    def day():
+        return rnd.choice([None, D(2024, 3, 4), D(2024, 3, 5), D(2024, 3, 6)])
+
+    loan_rows, snap_rows = [], []
+    for i in range(n):
+        channel = rnd.choice(["Retail", "Wholesale", None])
+        rows = [loan(i or None, channel, None, "1.00", day(), day(), day(), rnd.choice([0, 1]))]
+        if i % 5 == 0:  # a further row, often with some of the same days
+            rows.append(loan(i or None, rnd.choice([channel, "Retail"]), None, "2.00",
+                             rows[0][4], day(), day()))
+        loan_rows += rows * (3 if i % 7 == 0 else 1)
+        for _ in range(rnd.choice([0, 1, 1, 3])):
+            amount = rnd.choice([None, Decimal("10.00"), Decimal("0.00"), Decimal(i) / 4])
+            snap_rows.append((i or None, D(2024, 3, 4), "Retail", amount, "0200"))
+    return loan_rows, snap_rows
+
+
+def test_events_of_repeated_loans_match_a_count_by_hand(spark):
+    loan_rows, snap_rows = random_loans(5)
+    got = {}
+    for r in funnel.event_counts(spark.createDataFrame(loan_rows, LOANS),
+                                 spark.createDataFrame(snap_rows, SNAPSHOTS)).collect():
+        for kind, count, volume in (
+                ("application", r.application_count, r.application_volume),
+                ("submission", r.underwriting_submission_events, r.underwriting_submission_event_volume),
+                ("approval", r.approval_events, r.approval_event_volume)):
+            assert count or volume is None
+            if count:
+                got[r.dt, r.channel, kind] = (count, volume)
+    assert got == events_by_hand(loan_rows, snap_rows)
+
+
+def test_a_task_does_not_hold_an_entry_for_each_event_of_a_loan(spark):
+    """Unpivoted events are three times the loans: no step groups or sorts them by the loan."""
+    loans, snaps, _ = tables(spark)
+    plan = funnel.event_counts(loans, snaps)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode")]
+    assert "Generate explode" not in plan[len(above) + 1 :]
+    assert not re.search(r"keys=\[[^]]*loan_number#", above)
+    assert "Join" not in above and "Sort " not in above
+    # loans with one row share an entry for each day, channel and kind
+    single = spark.createDataFrame(
+        [loan(n, "Retail", None, "1.00", D(2024, 3, 4)) for n in range(1, 301)]
+        + [loan(301, "Retail", None, "1.00", D(2024, 3, 4), x) for x in (None, D(2024, 3, 5))], LOANS)
+    amounts = spark.createDataFrame(
+        [(n, D(2024, 3, 4), "Retail", Decimal("2.00"), "0200") for n in range(1, 302)], SNAPSHOTS)
+    rows = funnel.event_groups(single, amounts).collect()
+    assert sorted((r.kind, r.several or 0, r.n, r.amount) for r in rows) == [
+        ("application", 0, 300, Decimal("600.00")), ("application", 301, 1, Decimal("2.00")),
+        ("submission", 301, 1, Decimal("2.00"))]
+
+
 def test_series_add_up_the_names_of_a_channel(spark):
     loans = spark.createDataFrame(
         [loan(1, "National Corr", D(2024, 3, 4), "1.00", D(2024, 3, 4)),

@@ -7,7 +7,7 @@ date), before they meet. Counts are 64-bit and enter products as decimals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions.predicates import normalized_channel, status_kept
@@ -39,22 +39,24 @@ VOLUME_COLUMNS = [
 ]
 
 
-def _loan_events(loans: DataFrame) -> DataFrame:
+def _loan_events(loans: DataFrame, *kept: str) -> DataFrame:
     """Unpivot the three event dates, so one pass serves all kinds."""
     kinds = F.array(
         *[F.struct(F.lit(k).alias("kind"), F.col(c).alias("dt")) for k, c in EVENT_DATES.items()]
     )
     return (
-        loans.select("loan_number", "channel", F.explode(kinds).alias("e"))
-        .select("loan_number", "channel", "e.kind", "e.dt")
+        loans.select("loan_number", "channel", *kept, F.explode(kinds).alias("e"))
+        .select("loan_number", "channel", *kept, "e.kind", "e.dt")
         .filter("dt is not null")
     )
 
 
-def event_counts(loans: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Distinct loans per event day and channel, and their snapshot volume.
+def event_groups(loans: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Loans and amounts per event day, channel and kind, still to be added up.
 
-    The volume counts every distinct snapshot amount of a loan once per event row.
+    Loans meet their amounts before their events unfold. The events of a loan with one distinct
+    row are distinct as they stand and add up by day at once; only those of other loans are
+    grouped by the loan (``several``), so a task holds no entry for each event.
     """
     amounts = (
         snapshots.select("loan_number", "loan_amount")
@@ -62,15 +64,35 @@ def event_counts(loans: DataFrame, snapshots: DataFrame) -> DataFrame:
         .groupBy("loan_number")
         .agg(F.sum("loan_amount").alias("amount"))
     )
-    events = _loan_events(loans).distinct().join(amounts, "loan_number")
+    rows = loans.select("loan_number", "channel", *EVENT_DATES.values()).distinct()
+    n_rows = F.count("*").over(Window.partitionBy("loan_number"))
+    known = rows.join(amounts, "loan_number").withColumn(
+        "several", F.when(n_rows > 1, F.col("loan_number"))
+    )
+    several = F.col("several").isNotNull()
+    return (
+        _loan_events(known, "several", "amount")
+        .groupBy("dt", "channel", "kind", "several")
+        .agg(
+            F.when(several, 1).otherwise(F.count("*")).alias("n"),
+            F.when(several, F.max("amount")).otherwise(F.sum("amount")).alias("amount"),
+        )
+    )
+
+
+def event_counts(loans: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Distinct loans per event day and channel, and their snapshot volume.
+
+    The volume counts every distinct snapshot amount of a loan once per event row.
+    """
 
     def count(kind: str):
-        return F.count_if(F.col("kind") == kind)
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
 
     def volume(kind: str):
         return F.sum(F.when(F.col("kind") == kind, F.col("amount"))).cast("decimal(38,2)")
 
-    return events.groupBy("dt", "channel").agg(
+    return event_groups(loans, snapshots).groupBy("dt", "channel").agg(
         count("application").alias("application_count"),
         volume("application").alias("application_volume"),
         count("submission").alias("underwriting_submission_events"),
