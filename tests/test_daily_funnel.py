@@ -4,8 +4,10 @@ import re
 from collections import defaultdict
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidecast.catalog import QUERIES
 from tidecast.operators import calendar as c
 from tidecast.operators import daily, funnel
 from tidecast.schemas import LOANS, SNAPSHOTS, require
@@ -221,6 +223,23 @@ def test_a_task_does_not_hold_an_entry_for_each_event_of_a_loan(spark):
         ("submission", 301, 1, Decimal("2.00"))]
 
 
+@pytest.mark.parametrize("name, column, want", [("safe_ratio", "ratio", 0.33333333), ("safe_pct", "pct", 0.5)])
+def test_ratios_of_events_hold_no_entry_for_each_event(spark, tmp_path, name, column, want):
+    day, later = dt.datetime(2001, 3, 31), dt.datetime(2001, 4, 30)
+    orders = [(1, 1, "F", 10.0, day, "2-HIGH")] + [
+        (n, 1, "F", 10.0, later, "2-HIGH") for n in (2, 2, 3, 4)]  # applications a month before
+    shipped = [(1, day), (2, day), (2, dt.datetime(2001, 4, 5))]
+    spark.createDataFrame(
+        orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(shipped, "l_orderkey long, l_shipdate timestamp").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    out = QUERIES[name].run(spark, str(tmp_path))
+    assert {r.filedt: r[column] for r in out.collect()} == {D(2001, 3, 31): want, D(2001, 4, 30): 0.0}
+    plan = out._jdf.queryExecution().toString()
+    assert "kind#" in plan and not re.search(r"keys=\[[^]]*loan_number#[^]]*kind#", plan)
+
+
 def test_series_add_up_the_names_of_a_channel(spark):
     loans = spark.createDataFrame(
         [loan(1, "National Corr", D(2024, 3, 4), "1.00", D(2024, 3, 4)),
