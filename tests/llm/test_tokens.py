@@ -43,6 +43,26 @@ def test_ids_equal_the_library(spec, library):
         assert encoder.decode(mine) == library.decode(ref.ids, skip_special_tokens=False) == t
 
 
+def test_ascii_texts_are_cut_as_the_library_does(spec, library):
+    rng = random.Random(8)
+    parts = [chr(c) for c in range(128)] + ["  ", "\r\n", "'s", "'re", " 12", " ab", "'LL", "\x1c\x1d ", " \x0b", "n't "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    encoder = bpe.Encoder(spec)
+    encoder.plain = encoder.strict = None
+    for t, mine, ref in zip(texts, encoder(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert mine == packed(ref.ids), t
+
+
+def test_texts_of_a_slice_are_decoded_together(spec, library):
+    texts = [*fuzz(6, 200), "", "<|endoftext|>", *some_texts(6, 20), ""]
+    encoder = bpe.Encoder(spec)
+    ids = encoder(texts)
+    assert encoder.decoded(ids) == texts
+    assert encoder([]) == [] and encoder.decoded([]) == [] and encoder.decoded([b"", b""]) == ["", ""]
+    cut = [packed(library.encode(t, add_special_tokens=False).ids[:n]) for t, n in (("日本日本é", 1), ("a日", 2), ("x😀", 2))]
+    assert encoder.decoded(cut) == [library.decode(np.frombuffer(x, "<u4").tolist(), skip_special_tokens=False) for x in cut]
+
+
 def test_letters_and_numbers_of_all_planes(spec, library):
     rng = random.Random(5)
     texts = [f"a{chr(c)}1{chr(c)}{chr(c)}! {chr(c)}" for c in [

@@ -19,13 +19,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -36,6 +38,8 @@ from tidecast.llm.columnar import slices, texts
 #: white space spelled as the Unicode property.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: The pattern for ASCII text alone, in the terms of Python's own library, which is faster there.
+ASCII_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 #: Code points that the installed regex library takes for letters and numbers,
 #: and the tokenizers library, with older or other tables, does not (or the other way round).
 OTHER_LETTERS = (
@@ -116,6 +120,7 @@ class Automaton:
     def __init__(self, spec: Merges) -> None:
         n = len(spec.labels)
         self.labels = spec.labels
+        self.size = [len(x) for x in spec.labels]
         self.made = [NEVER] * n  # the gadget that made a state; bytes are there from the start
         self.parts: list[tuple[int, int]] = [(0, 0)] * n
         self.merge: dict[tuple[int, int], int] = {}
@@ -201,28 +206,30 @@ class Automaton:
             self.table[cell] = found
         return found
 
-    def encode(self, words: list[bytes]) -> Iterator[list[int]]:
+    def encode(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """Ids of each word. Words should be sorted: what begins like the one before is not read again."""
         step, ending, shorter, table = self.step, self.ending, self.shorter, self.table
-        size = [len(x) for x in self.labels]
+        size, onward, arc = self.size, self.onward, self.arc
+        next_state, known_arc = step.get, table.get
         states, last, before = [0], [self.first], b""
         for word in words:
             n = 0
-            for x, y in zip(before, word, strict=False):
+            for x, y in zip(before, word):  # noqa: B905
                 if x != y:
                     break
                 n += 1
             del states[n + 1:], last[n + 1:]
-            state = states[n]
-            for end in range(n + 1, len(word) + 1):
-                found = step.get(state << 8 | word[end - 1])
-                state = self.onward(state, word[end - 1]) if found is None else found
+            state, end = states[n], n
+            for c in word[n:]:
+                end += 1
+                found = next_state(state << 8 | c)
+                state = onward(state, c) if found is None else found
                 states.append(state)
                 t = ending[state]
                 while t >= 0:
                     s = last[end - size[t]]
-                    ok = table.get(s << 32 | t)
-                    if ok or ok is None and self.arc(s, t):
+                    ok = known_arc(s << 32 | t)
+                    if ok or ok is None and arc(s, t):
                         break
                     t = shorter[t]
                 last.append(t)
@@ -241,9 +248,9 @@ class Words(dict[str, bytes]):
 
     n_bytes = 0
 
-    def put(self, word: str, ids: bytes) -> None:
-        self[word] = ids
-        self.n_bytes += WORD_BYTES + len(word) + len(ids)
+    def put(self, words: list[str], ids: list[bytes]) -> None:
+        self.update(zip(words, ids, strict=True))
+        self.n_bytes += WORD_BYTES * len(words) + sum(map(len, words)) + sum(map(len, ids))
 
     def forget(self) -> None:
         self.clear()
@@ -263,17 +270,20 @@ class Encoder:
         if spec.digest not in _compiled:
             _compiled[spec.digest] = Automaton(spec), Words()
         self.automaton, self.known = _compiled[spec.digest]
+        self.ascii = re.compile(ASCII_PATTERN, re.ASCII).findall
         self.plain = regex.compile(PATTERN).findall
         self.strict = regex.compile(strict_pattern()).findall
         self.other = regex.compile(_class(OTHER_LETTERS + OTHER_NUMBERS)).search
-        self.labels = self.automaton.labels
+        self.labels = pa.array(spec.labels, pa.large_binary())
         self.added = {label.decode(): struct.pack("<I", i) for label, i in spec.added if label}
         names = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
     def split(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.ascii(text)
         # the listed code points begin with a byte from FIRST_OTHER on
-        if text.isascii() or np.frombuffer(text.encode(), np.uint8).max() < FIRST_OTHER or not self.other(text):
+        if np.frombuffer(text.encode(), np.uint8).max() < FIRST_OTHER or not self.other(text):
             return self.plain(text)
         return self.strict(text)
 
@@ -287,15 +297,18 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers; added tokens in it are single ids."""
         pieces = [self.pieces(t) for t in texts]
+        found = pa.array(list(chain.from_iterable(pieces)), pa.large_string()).dictionary_encode()
+        words = found.dictionary.to_pylist()
         if self.known.n_bytes > REMEMBERED:
             self.known.forget()
         self.known.update(self.added)
-        new = set().union(*pieces).difference(self.known) if pieces else set()
-        new = sorted((w.encode(), w) for w in new)
-        for (_, w), ids in zip(new, self.automaton.encode([b for b, _ in new]), strict=True):
-            self.known.put(w, struct.pack(f"<{len(ids)}I", *ids))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        new = sorted(set(words).difference(self.known))  # code points sort as their UTF-8 does
+        ids = list(self.automaton.encode(map(str.encode, new)))
+        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        ends = (4 * np.cumsum([0, *map(len, ids)])).tolist()
+        self.known.put(new, [flat[a:b] for a, b in pairwise(ends)])
+        taken = pa.array(list(map(self.known.__getitem__, words)), pa.large_binary()).take(found.indices)
+        return [x.tobytes() for x in _joined(taken, [len(p) for p in pieces])]
 
     def shrink(self) -> None:
         """At the end of a task: its process keeps the automaton with a bounded number of arcs, and no words."""
@@ -306,8 +319,22 @@ class Encoder:
             a.table.clear()
 
     def decode(self, packed: bytes) -> str:
-        ids = np.frombuffer(packed, "<u4").tolist()
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+        return self.decoded([packed])[0]
+
+    def decoded(self, packed: list[bytes]) -> list[str]:
+        """The text of each document's ids."""
+        ids = pa.array(np.frombuffer(b"".join(packed), "<u4"))
+        return [str(x, "utf-8", "replace") for x in _joined(self.labels.take(ids), [len(p) // 4 for p in packed])]
+
+
+def _joined(parts: pa.LargeBinaryArray, sizes: list[int]) -> list[memoryview]:
+    """Bytes of each run of so many parts."""
+    _, ends, data = parts.buffers()
+    if data is None or not len(parts):
+        return [memoryview(b"")] * len(sizes)
+    edges = np.frombuffer(ends, np.int64)[np.cumsum([0, *sizes])].tolist()
+    whole = memoryview(data)
+    return [whole[a:b] for a, b in pairwise(edges)]
 
 
 def encode(docs: DataFrame, spec: Merges, key: str = "doc_id", text: str = "text",
@@ -328,7 +355,7 @@ def encode(docs: DataFrame, spec: Merges, key: str = "doc_id", text: str = "text
                        "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
                        "ids": pa.array(ids, pa.binary())}
                 if decoded:
-                    out["decoded"] = pa.array([encoder.decode(x) for x in ids], pa.string())
+                    out["decoded"] = pa.array(encoder.decoded(ids), pa.string())
                 yield pa.RecordBatch.from_pydict(out)
         encoder.shrink()
 
@@ -342,8 +369,10 @@ def decode(tokens: DataFrame, spec: Merges, key: str = "doc_id", ids: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(spec)
         for batch in batches:
-            out = [None if x is None else encoder.decode(x) for x in batch["ids"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "text": pa.array(out, pa.string())})
+            ids = batch["ids"]
+            out = pa.array(encoder.decoded([x or b"" for x in ids.to_pylist()]), pa.string())
+            out = pc.if_else(ids.is_valid(), out, None)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "text": out})
 
     return (tokens.selectExpr(f"CAST(`{key}` AS long) AS doc_id", f"`{ids}` AS ids")
             .mapInArrow(base.tidy(run), "doc_id long, text string"))
