@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -102,6 +103,62 @@ def test_front_coding_round_trip():
     assert len(rest) < rows.size
 
 
+def runs_of_one_range(length, n, n_groups):
+    rng = np.random.default_rng(length)
+    text = rng.integers(97, 99, (n, 2 * length), np.uint8)
+    # few anchors, and often the same bytes after them
+    text[:, length:length + 16] = rng.integers(97, 99, (n_groups, 16), np.uint8)[rng.integers(0, n_groups, n)]
+    text[:300:3, length:] = text[0, length:]
+    text[:300:2, length - 3:] = text[1, length - 3:]
+    key = rng.integers(0, 40, n)
+    at = np.arange(n) * 2 * length + length
+    a = suffixes.Anchors(np.arange(n), at, at - rng.integers(0, length - 15, n), at + rng.integers(0, 1, n), at)
+    rows = suffixes.suffix_rows(text.ravel(), a, length)
+    runs = []
+    for part in np.array_split(np.arange(n), 3):
+        order = part[suffixes.sort_rows(rows[part])]
+        first = suffixes.common_prefixes(rows[order]) < rows.shape[1]
+        runs.append((rows[order][first], np.minimum.reduceat(key[order], np.flatnonzero(first))))
+    return runs
+
+
+@pytest.mark.parametrize("length, limit", [(50, 7), (50, 1 << 13), (100, 50)])
+def test_windows_of_a_range_are_judged_in_blocks(monkeypatch, length, limit):
+    blocks = suffixes.blocks
+    monkeypatch.setattr(suffixes, "blocks", lambda group: blocks(group, limit))
+    runs = runs_of_one_range(length, 400, 20)
+    back = length - 16
+    found, least = [], {}
+    for rows, key in runs:
+        for r, k in zip(rows, key.tolist(), strict=True):
+            line = r[length + 1:length + 1 + back][::-1].tobytes() + r[:length].tobytes()
+            windows = {j: line[back - j:back - j + length] for j in range(back + 1)
+                       if j <= r[length + 1 + back] and length - j <= r[length]}
+            found.append((k, windows))
+            for j, w in windows.items():
+                least[j, w] = min(least.get((j, w), k), k)
+    coded = [suffixes.front_code(rows) for rows, _ in runs]
+    mask = suffixes.earlier_windows([x for x, _ in coded], [y for _, y in coded],
+                                    np.concatenate([key for _, key in runs]), length).view(np.uint64)
+    hits = 0
+    for bits, (k, windows) in zip(mask, found, strict=True):
+        for j, w in windows.items():
+            assert (int(bits[j // 64]) >> j % 64 & 1) == (least[j, w] < k)
+            hits += least[j, w] < k
+    assert hits > 100
+
+
+def test_a_range_does_not_hold_all_its_windows():
+    runs = runs_of_one_range(50, 120_000, 30_000)
+    coded = [suffixes.front_code(rows) for rows, _ in runs]
+    key = np.concatenate([key for _, key in runs])
+    tracemalloc.start()
+    suffixes.earlier_windows([x for x, _ in coded], [y for _, y in coded], key, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 700 * len(key)  # 1,200 and more bytes a row if all windows are compared at once
+
+
 def test_every_window_has_an_anchor_that_depends_on_it_alone():
     rng = random.Random(4)
     passage = bytes(rng.choice(b"abcd ") for _ in range(90))

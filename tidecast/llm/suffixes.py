@@ -243,6 +243,56 @@ def least_keys(rows: np.ndarray, group: np.ndarray, key: np.ndarray, length: int
     return out
 
 
+def blocks(group: np.ndarray, limit: int = ROWS) -> Iterator[tuple[int, int]]:
+    """Ranges of whole groups, as many as reach ``limit`` rows. Rows of a group stand together."""
+    edges = np.append(starts_of_runs(group)[1:], len(group))
+    lo = 0
+    while lo < len(group):
+        hi = int(edges[np.searchsorted(edges, min(lo + limit, len(group)))])
+        yield lo, hi
+        lo = hi
+
+
+def earlier_windows(lcps: list[bytes], rest: list[bytes], key: np.ndarray, length: int) -> np.ndarray:
+    """For each row of the front-coded runs, as bits, which of its windows a smaller key has.
+
+    Windows are compared in blocks of whole groups: besides the rows, a range holds no more than
+    their bits.
+    """
+    width = _width(length)
+    runs = [(front_decode(x, y, width), x) for x, y in zip(lcps, rest, strict=True)]
+    taken = np.fromiter((x for pair in merge(runs) for x in pair), np.int64, 2 * len(key)).reshape(-1, 2)
+    # rows of one run come in their own order
+    order = np.argsort(taken[:, 0], kind="stable")
+    place = np.empty(len(key), np.int64)
+    place[order] = np.arange(len(key))  # merged position -> row in the joined runs
+    flat = np.frombuffer(b"".join(r for rows, _ in runs for r in rows), np.uint8).reshape(-1, width)
+    del runs
+    key_, lcp = key[place], taken[:, 1]
+    new = lcp < width
+    new[:1] = True
+    group = np.cumsum(lcp < ANCHOR)
+    of = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    lowest = np.minimum.reduceat(key_, first) if len(first) else key_
+    ends = np.append(first, len(key))
+    mask = np.empty((len(key), _numbers(length)), np.int64)
+    for lo, hi in blocks(group[first]):
+        least = least_keys(flat[place[first[lo:hi]]], group[first[lo:hi]], lowest[lo:hi], length)
+        rows = slice(ends[lo], ends[hi])
+        earlier = least[of[rows] - lo] < key_[rows, None]
+        for w in range(mask.shape[1]):
+            some = earlier[:, 64 * w:64 * w + 64]
+            bits = some @ (np.uint64(1) << np.arange(some.shape[1], dtype=np.uint64))
+            mask[place[rows], w] = bits.astype(np.uint64).view(np.int64)
+    return mask
+
+
+def _numbers(length: int) -> int:
+    """A suffix's windows are bits of so many numbers."""
+    return -(-(length - ANCHOR + 1) // 64)
+
+
 class Chunk:
     """What a chunk knows of itself; the same in each of the three steps."""
 
@@ -366,8 +416,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     # ranges are finer: repeated text gathers in some of them
     n_ranges = base.buckets(size, base.chunk_bytes(size))
     cuts = np.array(splitters(rows, n_ranges, length), f"S{ANCHOR}")
-    width = _width(length)
-    n_words = -(-(length - ANCHOR + 1) // 64)  # a suffix's windows are bits of so many numbers
+    n_words = _numbers(length)
     number = F.pmod(F.xxhash64("doc", "text"), F.lit(n_chunks)).cast("int")
     chunks = keyed.withColumn("chunk", number)
 
@@ -419,29 +468,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
             low[order] = np.repeat(np.minimum.reduceat(key[order], first), np.diff(np.append(first, len(key))))
             mask = (low < key).astype(np.int64)[:, None]
         else:
-            lcps = table["lcps"].to_pylist()
-            runs = [(front_decode(x, y, width), x) for x, y in zip(lcps, table["rest"].to_pylist(), strict=True)]
-            taken = np.fromiter((x for pair in merge(runs) for x in pair), np.int64, 2 * len(key)).reshape(-1, 2)
-            # rows of one run come in their own order
-            order = np.argsort(taken[:, 0], kind="stable")
-            place = np.empty(len(key), np.int64)
-            place[order] = np.arange(len(key))  # merged position -> row in the joined runs
-            flat = np.frombuffer(b"".join(r for rows, _ in runs for r in rows), np.uint8).reshape(-1, width)
-            flat, key_ = flat[place], key[place]
-            lcp = taken[:, 1]
-            new = lcp < width
-            new[:1] = True
-            group = np.cumsum(lcp < ANCHOR)
-            of = np.cumsum(new) - 1
-            first = np.flatnonzero(new)
-            lowest = np.minimum.reduceat(key_, first) if len(first) else key_
-            low = least_keys(flat[first], group[first], lowest, length)[of]
-            earlier = low < key_[:, None]
-            mask = np.empty((len(key), n_words), np.int64)
-            for w in range(n_words):
-                some = earlier[:, 64 * w:64 * w + 64]
-                bits = some @ (np.uint64(1) << np.arange(some.shape[1], dtype=np.uint64))
-                mask[place, w] = bits.astype(np.uint64).view(np.int64)
+            mask = earlier_windows(table["lcps"].to_pylist(), table["rest"].to_pylist(), key, length)
         split = np.split(mask, np.cumsum(sizes)[:-1])
         return _table([(c, kind, b, pack_counts(v.ravel())) for c, v in zip(
             table["chunk"].to_pylist(), split, strict=True)], REPLY)
