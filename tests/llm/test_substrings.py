@@ -186,6 +186,32 @@ def rolled(b):
     return out
 
 
+def test_removed_runs_hold_no_number_per_byte():
+    rng = np.random.default_rng(4)
+    offsets = np.array([0, 0, 7, 40, 40, 200, 300])
+    edge = np.zeros(301, np.int32)
+    for lo, hi in ((0, 7), (7, 20), (15, 40), (60, 61), (199, 200), (200, 260), (299, 300)):
+        edge[lo] += 1
+        edge[hi] -= 1
+    flags = np.cumsum(edge[:-1]) > 0
+    runs = [d for d, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)) for i in range(a, b)
+            if flags[i] and (i == a or not flags[i - 1])]
+    gone, of, total = suffixes.removed_runs(edge.copy(), offsets)
+    assert (gone == flags).all() and of.tolist() == runs
+    assert total.tolist() == [int((~flags[:x]).sum()) for x in offsets]
+    assert [x.tolist() for x in suffixes.removed_runs(np.zeros(1, np.int32), np.zeros(1, np.int64))] == [[], [], [0]]
+    n = 1 << 20
+    edge = np.zeros(n + 1, np.int32)
+    at = rng.choice(n - 60, 3000, replace=False)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + 50, -1)
+    tracemalloc.start()
+    suffixes.removed_runs(edge, np.arange(0, n + 1, 1 << 12))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * n  # flags and their edges; sums as 64-bit numbers would be eight bytes a byte
+
+
 def plain_chunks(b, reach=12, longest=1024):
     h, ends = rolled(b), []
     for i in range(reach + 15, len(b) - reach):

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -124,6 +125,25 @@ def test_automaton_equals_merging_by_rank(seed):
         assert [spec.labels[i] for i in ids] == merged_by_rank(w, ranks)
 
 
+def test_an_automaton_is_small_and_shrinks(spec, library):
+    texts = fuzz(7, 400) + some_texts(7, 60)
+    words = sorted({w.encode() for t in texts for w in bpe.Encoder(spec).split(t)})
+    tracemalloc.start()
+    automaton = bpe.Automaton(spec)
+    built = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert built < 23 << 20
+    ids = list(automaton.encode(words))
+    step = dict(automaton.step)
+    assert automaton.table and len(step) > automaton.cells
+    automaton.shrink(len(step))
+    assert automaton.table and automaton.step == step
+    automaton.shrink(0)
+    assert not automaton.table and len(automaton.step) == automaton.cells
+    assert list(automaton.step.items()) == list(step.items())[:automaton.cells]
+    assert list(automaton.encode(words)) == ids
+
+
 def test_awkward_rows_and_round_trip(spark, spec):
     docs = awkward(spark)
     tokens = bpe.encode(docs, spec)

@@ -7,8 +7,8 @@ then has an arc a one for ab too. The accepted label sequences are exactly the
 segmentations that the merges produce, and a byte string has one of them.
 
 The full table has a cell for each pair of tokens (2.5 thousand million for 50,000 merges),
-so its cells are computed on demand: the moment at which a gadget removes an arc follows
-from those of the arcs that it was copied from. Cells once computed stay in a table.
+so its cells are computed on demand: whether an arc ever was in a state follows from the one
+arc that it was copied from, back to the bytes. Cells that were asked for stay in a table.
 
 A word is read from left to right. ``last[i]`` is the label of the arc that ends at byte i
 of the one accepted path; the next ones follow by table look-ups alone, and walking back
@@ -21,6 +21,7 @@ import hashlib
 import json
 import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain, pairwise
@@ -54,10 +55,10 @@ OTHER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 FIRST_OTHER = chr(int(OTHER_LETTERS.split()[0], 16)).encode()[0]
 NEVER, FOREVER = -1, 1 << 60
 #: Bytes of words and their ids that a task remembers.
-REMEMBERED = 32 << 20
+REMEMBERED = 8 << 20
 #: Text that is cut into words at once.
 SLICE = 1 << 20
-#: Arcs of the automaton that a process keeps when a task ends; it finds them again when asked.
+#: Arcs and computed transitions that a process keeps when a task ends; it finds them again when asked.
 KEPT_ARCS = 250_000
 
 
@@ -85,10 +86,10 @@ def byte_alphabet() -> dict[str, int]:
 
 @dataclass(frozen=True)
 class Merges:
-    """What is sent to the tasks: label of each id, merges as triples of ids, added tokens."""
+    """What is sent to the tasks: label of each id, merges as triples of ids (or rows of an array), added tokens."""
 
     labels: tuple[bytes, ...]
-    merges: tuple[tuple[int, int, int], ...]
+    merges: tuple[tuple[int, int, int], ...] | np.ndarray
     added: tuple[tuple[bytes, int], ...]
     digest: str
 
@@ -110,7 +111,7 @@ def load(path: str) -> Merges:
     for pair in spec["model"]["merges"]:
         a, b = pair.split(" ") if isinstance(pair, str) else pair
         merges.append((vocab[a], vocab[b], vocab[a + b]))
-    return Merges(tuple(labels), tuple(merges), tuple((t.encode(), i) for t, i in added.items()),
+    return Merges(tuple(labels), np.array(merges, np.int32).reshape(-1, 3), tuple((t.encode(), i) for t, i in added.items()),
                   hashlib.sha256(raw.encode()).hexdigest())
 
 
@@ -119,16 +120,15 @@ class Automaton:
 
     def __init__(self, spec: Merges) -> None:
         n = len(spec.labels)
-        self.labels = spec.labels
         self.size = [len(x) for x in spec.labels]
-        self.made = [NEVER] * n  # the gadget that made a state; bytes are there from the start
-        self.parts: list[tuple[int, int]] = [(0, 0)] * n
-        self.merge: dict[tuple[int, int], int] = {}
-        for k, (a, b, ab) in enumerate(spec.merges):
-            self.made[ab], self.parts[ab] = k, (a, b)
-            self.merge[a, b] = k
+        self.made = array("i", [NEVER]) * n  # the gadget that made a state; bytes are there from the start
+        self.left, self.right = array("i", bytes(4 * n)), array("i", bytes(4 * n))  # the parts of a state
+        self.merge: dict[int, int] = {}
+        for k, (a, b, ab) in enumerate(np.asarray(spec.merges, np.int32).reshape(-1, 3)):
+            a, b, ab = int(a), int(b), int(ab)
+            self.made[ab], self.left[ab], self.right[ab] = k, a, b
+            self.merge[a << 32 | b] = k
         self.first = n  # the state before any label
-        self.moments: dict[tuple[int, int], int] = {}
         self.table: dict[int, bool] = {}
         added = {i for _, i in spec.added}
         self._read({label: i for i, label in enumerate(spec.labels) if label and i not in added})
@@ -140,23 +140,23 @@ class Automaton:
         ``ending`` gives the longest whole label among its ends, ``shorter`` the next one.
         """
         self.step: dict[int, int] = {}
-        text, token = [b""], [-1]
-        for label, i in sorted(ids.items()):
+        depth, token = array("i", [0]), [-1]
+        for label in sorted(ids):
             state = 0
             for k, c in enumerate(label):
                 cell = state << 8 | c
                 if cell not in self.step:
-                    self.step[cell] = len(text)
-                    text.append(label[:k + 1])
+                    self.step[cell] = len(depth)
+                    depth.append(k + 1)
                     token.append(-1)
                 state = self.step[cell]
-            token[state] = i
-        self.back = [0] * len(text)
+            token[state] = ids[label]
+        self.cells = len(self.step)  # those of the labels; computed ones come after them
+        self.back = array("i", bytes(4 * len(depth)))
         self.ending = token[:]
-        self.shorter = [-1] * len(self.labels)
-        tree = sorted(self.step.items(), key=lambda x: len(text[x[1]]))
-        for cell, state in tree:
-            parent, c = cell >> 8, cell & 255
+        self.shorter = [-1] * len(self.size)
+        for cell in sorted(self.step, key=lambda x: depth[self.step[x]]):
+            state, parent, c = self.step[cell], cell >> 8, cell & 255
             if parent:
                 self.back[state] = self.onward(self.back[parent], c)
             end = self.ending[self.back[state]]
@@ -175,37 +175,46 @@ class Automaton:
                 self.step[cell] = found
         return found
 
-    def removed(self, s: int, t: int) -> int:
-        """Gadget that removes the arc t of state s; NEVER if there never was one, FOREVER if none does."""
-        if (s, t) in self.moments:
-            return self.moments[s, t]
-        born_s, born_t = self.made[s], self.made[t]
-        if born_s == born_t == NEVER:
-            there = True
-        elif born_s >= born_t:  # state s took the arcs of its second part just before its gadget
-            there = self.removed(self.parts[s][1], self.parts[t][0] if born_s == born_t else t) >= born_s
-        else:  # label t came to the states that kept its first part through its gadget
-            there = self.removed(s, self.parts[t][0]) > born_t
-        out = self.merge.get((s, t), FOREVER) if there else NEVER
-        self.moments[s, t] = out
-        return out
+    def there(self, s: int, t: int) -> bool:
+        """Whether state s ever had an arc t: the arc that it was copied from was there and not yet removed."""
+        made, left, right, removed = self.made, self.left, self.right, self.merge.get
+        while True:
+            born_s, born_t = made[s], made[t]
+            if born_s == born_t == NEVER:
+                return True
+            if born_s >= born_t:  # state s took the arcs of its second part just before its gadget
+                s, t, until = right[s], left[t] if born_s == born_t else t, born_s
+            else:  # label t came to the states that kept its first part through its gadget
+                t, until = left[t], born_t + 1
+            if removed(s << 32 | t, FOREVER) < until:
+                return False
 
     def whole(self, t: int) -> bool:
         """Whether the merges make token t of its own bytes: its gadget must find the arc it takes."""
         if self.made[t] == NEVER:
             return True
-        a, b = self.parts[t]
-        return self.arc(self.first, a) and self.arc(self.first, b) and self.removed(a, b) == self.made[t]
+        a, b = self.left[t], self.right[t]
+        return (self.arc(self.first, a) and self.arc(self.first, b)
+                and self.merge[a << 32 | b] == self.made[t] and self.there(a, b))
 
     def arc(self, s: int, t: int) -> bool:
         cell = s << 32 | t
         found = self.table.get(cell)
         if found is None:
             found = self.whole(t) if s == self.first else (
-                self.removed(s, t) == FOREVER and self.arc(self.first, t))
+                cell not in self.merge and self.there(s, t) and self.arc(self.first, t))
             self.table[cell] = found
         return found
 
+    def shrink(self, most: int) -> None:
+        """Without arcs and transitions that were computed on demand if they are more than ``most``."""
+        if len(self.table) > most:
+            self.table.clear()
+        if len(self.step) - self.cells > most:
+            while len(self.step) > self.cells:
+                self.step.popitem()  # the last one that came
+            self.step = dict(self.step)
+
     def encode(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """Ids of each word. Words should be sorted: what begins like the one before is not read again."""
         step, ending, shorter, table = self.step, self.ending, self.shorter, self.table
@@ -313,10 +322,7 @@ class Encoder:
     def shrink(self) -> None:
         """At the end of a task: its process keeps the automaton with a bounded number of arcs, and no words."""
         self.known.forget()
-        a = self.automaton
-        if len(a.moments) + len(a.table) > KEPT_ARCS:
-            a.moments.clear()
-            a.table.clear()
+        self.automaton.shrink(KEPT_ARCS)
 
     def decode(self, packed: bytes) -> str:
         return self.decoded([packed])[0]

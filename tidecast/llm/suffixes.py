@@ -288,6 +288,17 @@ def earlier_windows(lcps: list[bytes], rest: list[bytes], key: np.ndarray, lengt
     return mask
 
 
+def removed_runs(edge: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Removed bytes as flags, the document of each maximal run, and the kept bytes before each offset.
+
+    ``edge`` has the strings that begin less those that end at each byte; its sums take its place.
+    """
+    gone = np.cumsum(edge, out=edge)[:-1] > 0
+    start, end, of = spans(gone, offsets)
+    before = np.concatenate(([0], np.cumsum(end - start)))  # of so many runs; none crosses an offset
+    return gone, of, offsets - before[np.searchsorted(start, offsets)]
+
+
 def _numbers(length: int) -> int:
     """A suffix's windows are bits of so many numbers."""
     return -(-(length - ANCHOR + 1) // 64)
@@ -484,7 +495,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
             np.add.at(edge, start, 1)
             np.add.at(edge, end, -1)
 
-        _, least, of = c.suffixes(cold)
+        least, of = c.suffixes(cold)[1:]
         if len(of):
             mask = _verdict(replies, "suffix").view(np.uint64).reshape(-1, n_words)[of]
             later = c.key[cold.doc] > least[of]  # the chunk holds the same suffix under a smaller key
@@ -497,10 +508,8 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
         if len(of):
             hit = (c.key[doc] > least[of]) | (_verdict(replies, "window")[of] > 0)
             remove(start[hit], start[hit] + length)
-        gone = np.cumsum(edge[:-1]) > 0
-        _, _, of = spans(gone, c.offsets)
+        gone, of, total = removed_runs(edge, c.offsets)
         n = len(c.key)
-        total = np.concatenate(([0], np.cumsum(~gone)))[c.offsets].astype(np.int64)
         kept = c.data[~gone].tobytes()
         n_bytes = np.diff(c.offsets)
         left = [kept[a:b] for a, b in zip(total, total[1:], strict=False)]
