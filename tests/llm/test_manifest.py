@@ -119,6 +119,32 @@ def test_ranks_of_containers(n):
     assert manifest.rank(low, bits, more, directory).tolist() == [int((numbers < x).sum()) for x in low]
 
 
+@pytest.mark.parametrize("n", [*range(254, 259), manifest.SPAN - 1, manifest.SPAN])
+def test_a_container_is_read_as_it_was_written(n):
+    """256 numbers take as many bytes in a list as in a bitmap."""
+    low = np.sort(np.random.default_rng(n).choice(manifest.SPAN, n, replace=False))
+    for count in (np.ones(n, np.int64), 1 + low % 3):
+        bits, more = manifest.pack(low, count)
+        back = manifest.unpack(bits, more)
+        assert back[0].tolist() == low.tolist() and back[1].tolist() == count.tolist()
+        flags = np.zeros(manifest.SPAN, bool)
+        flags[low] = True
+        directory = np.concatenate([[0], np.cumsum(flags.reshape(-1, 64).sum(axis=1))[:-1]]).astype(np.uint16).tobytes()
+        assert manifest.rank(low, bits, more, directory).tolist() == (np.cumsum(count) - count).tolist()
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_as_many_keys_as_make_a_list_as_long_as_a_bitmap(spark, partitions):
+    rng = random.Random(partitions)
+    some = lambda first, n: [first + k for k in rng.sample(range(manifest.SPAN), n)]
+    data = [(k, f"T {k}", "en", "s", 1) for k in some(0, 256) + some(manifest.SPAN, 300) + some(5 * manifest.SPAN, 256)]
+    twice = some(0, 256)
+    data += [(k, f"U {k}", "de", "s", 1) for k in twice + twice[:9]] + [(k, "V", None, None, None) for k in some(-manifest.SPAN, 256)]
+    rng.shuffle(data)
+    docs = spark.createDataFrame(data, documents(spark, []).schema).repartition(partitions)
+    assert got(docs) == expected(rows(docs))
+
+
 def test_any_changed_field_fails_and_others_do_not_matter(spark):
     docs = documents(spark, some_texts(seed=5, n=40)).withColumn("extra", F.rand())
     some = F.col("doc_id") % 4 == 1

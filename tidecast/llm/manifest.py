@@ -58,8 +58,11 @@ def leaves(docs: DataFrame, fields: tuple[str, ...], key: str, group: str, tampe
 
 
 def pack(low: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes | None]:
-    """A container: few numbers as a list, many as a bitmap; repeated ones once more, with their counts."""
-    if len(low) <= SPAN // 16:
+    """A container: few numbers as a list, many as a bitmap; repeated ones once more, with their counts.
+
+    A list is always shorter than a bitmap: its length tells which of them it is.
+    """
+    if len(low) < SPAN // 16:
         bits = low.astype(np.uint16).tobytes()
     else:
         flags = np.zeros(SPAN, bool)
